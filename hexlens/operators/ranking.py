@@ -20,6 +20,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _partitions(df: DataFrame, n: int | None) -> int:
@@ -80,9 +81,7 @@ def running_totals(df: DataFrame, order_cols: list[Column], sum_cols: list[str],
     s = (df.repartitionByRange(_partitions(df, num_partitions), *order_cols)
            .sortWithinPartitions(*order_cols)
            .withColumn("_pid", F.spark_partition_id()))
-    schema = s.schema
-    for c in sum_cols:
-        schema = schema.add(f"_cum_{c}", "double")
+    schema = T.StructType(list(s.schema.fields) + [T.StructField(f"_cum_{c}", T.DoubleType()) for c in sum_cols])
 
     def local_cumsum(batches):
         carry: dict[int, dict[str, float]] = {}
