@@ -24,8 +24,11 @@ def main() -> None:
     spark = build_session(f"local[{cpus}]", shuffle_partitions=max(8, cpus))
     reg = load_all()
     wanted = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q] or list(reg)
-    # warm-up: JVM, Python workers, Arrow
-    reg["cluster_sizes"].fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
+    # warm-up on the smallest tables: JVM code paths, Python workers (numpy/pyarrow imports)
+    warm_dir = os.environ.get("BENCH_WARM_DIR", "/root/testdata/sf0.001")
+    for w in ("cluster_sizes", "byte_window_stats", "roc_auc", "nearest_centroid"):
+        if w in reg:
+            reg[w].fn(spark, warm_dir).write.format("noop").mode("overwrite").save()
     times: dict[str, float] = {}
     failed: dict[str, str] = {}
     for name in wanted:

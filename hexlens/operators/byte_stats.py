@@ -77,19 +77,27 @@ def _stat_slices(n: Column):
     return starts, lens
 
 
-def _diff_stats(values: Column, k: int) -> list[Column]:
-    """mean |d|, population std, max, min of consecutive differences.
+def _with_diff_stats(df: DataFrame, values: Column, names: list[str], tmp: str) -> DataFrame:
+    """Mean |d|, population std, max, min of consecutive differences.
 
     Values are rounded to float32 first and differenced in float32, as the
-    reference does; the four summaries are then taken in double.
+    reference does; the four summaries are then taken in double.  The
+    difference array and its mean are materialised as columns first, so each
+    higher-order function runs once per row.
     """
-    d = F.transform(F.sequence(F.lit(1), F.lit(k - 1)),
-                    lambda i: (F.element_at(values, i + 1) - F.element_at(values, i)).cast("double"))
-    m = k - 1
-    mean_abs = F.aggregate(d, F.lit(0.0), lambda a, x: a + F.abs(x)) / m
-    mean = F.aggregate(d, F.lit(0.0), lambda a, x: a + x) / m
-    std = F.sqrt(F.aggregate(d, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / m)
-    return [mean_abs, std, F.array_max(d), F.array_min(d)]
+    out = df.withColumn(tmp + "_v", values)
+    v = F.col(tmp + "_v")
+    out = out.withColumn(tmp + "_d", F.transform(F.sequence(F.lit(1), F.size(v) - 1),
+                                                 lambda i: (F.element_at(v, i + 1) - F.element_at(v, i)).cast("double")))
+    d = F.col(tmp + "_d")
+    m = F.size(d)
+    out = out.withColumn(tmp + "_m", F.aggregate(d, F.lit(0.0), lambda a, x: a + x) / m)
+    mean = F.col(tmp + "_m")
+    stats = [F.aggregate(d, F.lit(0.0), lambda a, x: a + F.abs(x)) / m,
+             F.sqrt(F.aggregate(d, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / m),
+             F.array_max(d), F.array_min(d)]
+    out = out.select("*", *[c.cast("double").alias(n) for c, n in zip(stats, names)])
+    return out.drop(tmp + "_v", tmp + "_d", tmp + "_m")
 
 
 def byte_statistics(df: DataFrame, window: str = "window", prefix: str = "") -> DataFrame:
@@ -107,12 +115,13 @@ def byte_statistics(df: DataFrame, window: str = "window", prefix: str = "") ->
         cols += [p(1 + i)["mean"], p(1 + i)["std"], p(1 + i)["entropy"]]
     cols += [p(4 + i)["mean"] for i in range(C.STAT_CHUNK_COUNT)]
     cols += [p(4 + i)["std"] for i in range(C.STAT_CHUNK_COUNT)]
-    chunk_means = F.transform(F.slice(F.col(prof), 5, C.STAT_CHUNK_COUNT), lambda s: s["mean"].cast("float"))
-    chunk_stds = F.transform(F.slice(F.col(prof), 5, C.STAT_CHUNK_COUNT), lambda s: s["std"].cast("float"))
-    cols += _diff_stats(chunk_means, C.STAT_CHUNK_COUNT)
-    cols += _diff_stats(chunk_stds, C.STAT_CHUNK_COUNT)
-    named = [c.cast("double").alias(prefix + name) for c, name in zip(cols, STAT_NAMES)]
-    out = out.select("*", *named).drop(prof)
+    n_direct = len(cols)
+    out = out.select("*", *[c.cast("double").alias(prefix + name) for c, name in zip(cols, STAT_NAMES)])
+    chunk_means = F.array(*[F.col(prefix + f"chunk{i}_mean").cast("float") for i in range(C.STAT_CHUNK_COUNT)])
+    chunk_stds = F.array(*[F.col(prefix + f"chunk{i}_std").cast("float") for i in range(C.STAT_CHUNK_COUNT)])
+    out = _with_diff_stats(out, chunk_means, [prefix + n for n in STAT_NAMES[n_direct:n_direct + 4]], "_cmd")
+    out = _with_diff_stats(out, chunk_stds, [prefix + n for n in STAT_NAMES[n_direct + 4:]], "_csd")
+    out = out.drop(prof)
     return out.withColumn(prefix + "stats", F.array(*[F.col(prefix + n).cast("float") for n in STAT_NAMES]))
 
 
@@ -162,15 +171,18 @@ def file_attributes(df: DataFrame, content: str = "content", size: str = "length
     lens = F.concat(F.array(m), b_lens)
     out = df.withColumn("_fa_prof", slice_profiles(sample, starts, lens)).withColumn("_fa_k", k)
     prof, kk = F.col("_fa_prof"), F.col("_fa_k")
+    out = out.withColumn("_fa_e", F.transform(F.slice(prof, 2, C.ENTROPY_MAX_BLOCKS), lambda s: s["entropy"]))
+    ents = F.col("_fa_e")
+    out = out.withColumn("_fa_mean", F.when(kk > 0, F.aggregate(ents, F.lit(0.0), lambda a, x: a + x) / kk))
+    steps = F.when(kk > 1, F.sequence(F.lit(1), kk - 1)).otherwise(F.array().cast("array<int>"))
+    out = out.withColumn("_fa_d", F.transform(steps, lambda i: F.element_at(ents, i + 1) - F.element_at(ents, i)))
+    d = F.col("_fa_d")
+    out = out.withColumn("_fa_dmean", F.when(kk > 1, F.aggregate(d, F.lit(0.0), lambda a, x: a + x) / (kk - 1)))
+    out = out.withColumn("_fa_srt", F.array_sort(ents))
+    srt, mean_e, ch_mean = F.col("_fa_srt"), F.col("_fa_mean"), F.col("_fa_dmean")
     overall = prof[0]["entropy"]
-    ents = F.transform(F.slice(prof, 2, C.ENTROPY_MAX_BLOCKS), lambda s: s["entropy"])
-    srt = F.array_sort(ents)
     has = kk > 0
-    mean_e = F.aggregate(ents, F.lit(0.0), lambda a, x: a + x) / kk
     std_e = F.sqrt(F.aggregate(ents, F.lit(0.0), lambda a, x: a + (x - mean_e) * (x - mean_e)) / kk)
-    d = F.transform(F.sequence(F.lit(1), F.greatest(kk - 1, F.lit(1))),
-                    lambda i: F.element_at(ents, i + 1) - F.element_at(ents, i))
-    ch_mean = F.aggregate(d, F.lit(0.0), lambda a, x: a + x) / (kk - 1)
     change_rate = F.aggregate(d, F.lit(0.0), lambda a, x: a + F.abs(x)) / (kk - 1)
     change_std = F.sqrt(F.aggregate(d, F.lit(0.0), lambda a, x: a + (x - ch_mean) * (x - ch_mean)) / (kk - 1))
     zero = F.lit(0.0)
@@ -196,7 +208,7 @@ def file_attributes(df: DataFrame, content: str = "content", size: str = "length
         "printable_byte_ratio": F.when(n_sample > 0, prof[0]["printable"] / n_sample).otherwise(zero),
     }
     out = out.select("*", *[c.cast("double").alias(name) for name, c in cols.items()])
-    return out.drop("_fa_prof", "_fa_k")
+    return out.drop("_fa_prof", "_fa_k", "_fa_e", "_fa_mean", "_fa_d", "_fa_dmean", "_fa_srt")
 
 
 # ---------------------------------------------------------------------------
