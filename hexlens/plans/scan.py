@@ -1 +1,18 @@
-"""(filled in below)"""
+"""Scan pipeline queries (streaming scan of newly arrived files)."""
+
+from pyspark.sql import DataFrame, SparkSession  # noqa: E402
+
+from hexlens.catalog import register  # noqa: E402
+from hexlens.streaming.scan_stream import scan_stream_table  # noqa: E402
+
+ORACLE_SF_DIR = "/root/testdata/sf0.01"
+
+
+@register("stream_scan", operators=("T1", "T2", "T3", "S13"), sql=f"""
+SELECT regexp_extract(filename, '[^/]+$') AS name, CAST(size AS BIGINT) AS length, sha256(content) AS sha256,
+       substr(hex(content), 1, 4) = '4D5A' AS is_pe
+FROM read_blob('{ORACLE_SF_DIR}/*.parquet')
+""")
+def q_stream_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structured Streaming over the tables' files: hash, features, once per content."""
+    return scan_stream_table(spark, sf_dir)

@@ -1 +1,69 @@
-"""(filled in below)"""
+"""Training / evaluation queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from hexlens import config as C
+from hexlens.catalog import register
+from hexlens.operators import byte_stats as B
+from hexlens.operators import metrics as M
+from hexlens.operators import training as TR
+from hexlens.plans.corpus import round6
+from hexlens.sources.tables import documents_as_files, table
+
+
+@register("split_assignment", operators=("M1",), sql="""
+WITH b AS (
+  SELECT doc_id, toxic AS label,
+         ('0x' || substr(sha256(CAST(doc_id AS VARCHAR) || ':42'), 1, 8))::BIGINT % 100 AS bucket
+  FROM labels
+)
+SELECT CASE WHEN bucket < 20 THEN 'test' WHEN bucket < 40 THEN 'val' ELSE 'train' END AS split,
+       label, count(*)::BIGINT AS n
+FROM b GROUP BY ALL
+""")
+def q_split_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lab = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    return TR.split_60_20_20(lab, "doc_id").groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def labelled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C3-lite: 49 window statistics of each labelled document + label + split."""
+    f = documents_as_files(spark, sf_dir).select("doc_id", "content")
+    lab = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    x = B.byte_statistics(B.byte_window(f.join(lab, "doc_id"), "content"), "window")
+    x = TR.split_60_20_20(x.select("doc_id", "label", "stats"), "doc_id")
+    x = TR.assemble(x, "stats").withColumn("label", F.col("label").cast("double"))
+    # iterative fits re-read their input many times: materialise once in the
+    # shared checkpoint folder (cuts lineage; survives executor loss)
+    return x.checkpoint(eager=True)
+
+
+@register("train_evaluate", operators=("M2", "M7", "M8", "C5", "A29"))
+def q_train_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Route (F11 on the statistics' entropy), train one expert per route, report on the test split."""
+    x = labelled_features(spark, sf_dir)
+    x = x.withColumn("route", (F.col("stats")[11] > C.GATE_HIGH_ENTROPY_RATIO).cast("int"))
+    train = x.where("split <> 'test'").withColumn("is_val", F.col("split") == "val")
+    experts = TR.train_experts(train, "route", max_iter=20, max_depth=4, validation="is_val")
+    scored = TR.expert_predict(x.where("split = 'test'"), "route", experts)
+    return round6(M.classification_report(scored, threshold=0.5), ["precision", "recall", "f1"])
+
+
+@register("feature_importance_top", operators=("M12", "W5", "P13"))
+def q_feature_importance_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = labelled_features(spark, sf_dir)
+    model = TR.train_gbt(x.where("split = 'train'"), max_iter=20, max_depth=4)
+    imp = TR.importance_table(model, B.STAT_NAMES)
+    return round6(TR.top_k_importance(imp), ["importance"])
+
+
+@register("kmeans_families", operators=("M14", "M15", "M17", "A24"))
+def q_kmeans_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    p = TR.scale_pca(e, "embedding", C.FAST_PCA_DIMENSION)
+    k = 16
+    clustered = TR.kmeans_clusters(p, "pca", k=k)
+    return clustered.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
