@@ -206,3 +206,19 @@ def q_l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
                    F.aggregate("u", F.lit(0.0), lambda a, x: a + x).alias("unit_sum"),
                    l2_norm("u").alias("unit_norm"))
     return round6(out, ["norm", "unit_sum", "unit_norm"])
+
+
+@register("seeded_sample", operators=("W10",), sql=f"""
+SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem
+ORDER BY sha256(CAST(l_orderkey AS VARCHAR) || '/' || CAST(l_linenumber AS VARCHAR) || '/' ||
+                CAST(l_partkey AS VARCHAR) || '/' || CAST(l_suppkey AS VARCHAR) || ':42')
+LIMIT {C.VIS_SAMPLE_SIZE}
+""")
+def q_seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At most 20,000 rows without replacement, chosen by a seeded hash order
+    (a bounded top-k: each task keeps 20,000 candidates)."""
+    li = table(spark, sf_dir, "lineitem")
+    key = F.sha2(F.concat(F.concat_ws("/", *[F.col(c).cast("string") for c in
+                                             ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]),
+                          F.lit(":42")), 256)
+    return li.orderBy(key).limit(C.VIS_SAMPLE_SIZE).select("l_orderkey", "l_linenumber", "l_partkey")

@@ -140,3 +140,24 @@ FROM b GROUP BY label, bin
 """)
 def q_score_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round6(M.score_histogram(scored(spark, sf_dir)), ["bin_left"])
+
+
+@register("scan_summary", operators=("A35", "P5", "P12"), sql=f"""
+WITH {SCORED_CTE},
+v AS (SELECT split_part(path, '/', 1) AS source, score > 0.98 AS is_malware,
+             CASE WHEN score > 0.98 THEN score ELSE 1.0 - score END AS confidence FROM scored)
+SELECT source, count(*)::BIGINT AS files, count_if(is_malware)::BIGINT AS malware,
+       {r6('avg(confidence)')} AS avg_confidence, {r6('min(confidence)')} AS min_confidence
+FROM v GROUP BY source
+""")
+def q_scan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts (strictly above 0.98) and confidences, summarised per source folder."""
+    from hexlens.functions.routing import verdict
+    s = scored(spark, sf_dir)
+    is_mal, conf = verdict("score")
+    v = s.select(F.split("path", "/")[0].alias("source"), is_mal.alias("is_malware"), conf.alias("confidence"))
+    out = v.groupBy("source").agg(F.count(F.lit(1)).alias("files"),
+                                  F.sum(F.col("is_malware").cast("int")).cast("bigint").alias("malware"),
+                                  F.avg("confidence").alias("avg_confidence"),
+                                  F.min("confidence").alias("min_confidence"))
+    return round6(out, ["avg_confidence", "min_confidence"])
