@@ -1,8 +1,9 @@
 """PE header parsing (the ``pe_headers`` Arrow UDF) and header scalars.
 
-The UDF reads only the bounds-checked DOS/COFF/optional headers and the
-section table of each file - a few hundred bytes per row - and returns a
-struct; all features over it are Catalyst expressions.  Files that are not
+The UDF reads the bounds-checked DOS/COFF/optional headers, the section
+table, and the import / export / relocation / TLS / resource directories of
+each file and returns one struct; all features over it are Catalyst
+expressions or grouped aggregations.  Files that are not
 PE (P2) or are truncated give a null struct, never a task failure.
 """
 
@@ -26,6 +27,12 @@ SECTION_TYPE = T.StructType([
     T.StructField("raw_ptr", T.LongType()),
     T.StructField("characteristics", T.LongType()),
 ])
+IMPORT_TYPE = T.StructType([
+    T.StructField("entry_pos", T.IntegerType()),
+    T.StructField("dll", T.StringType()),
+    T.StructField("api", T.StringType()),
+    T.StructField("ordinal", T.LongType()),
+])
 HEADER_TYPE = T.StructType([
     T.StructField("machine", T.IntegerType()),
     T.StructField("time_date_stamp", T.LongType()),
@@ -46,10 +53,135 @@ HEADER_TYPE = T.StructType([
     T.StructField("reloc_size", T.LongType()),
     T.StructField("debug_size", T.LongType()),
     T.StructField("tls_size", T.LongType()),
+    T.StructField("tls_callbacks", T.IntegerType()),
+    T.StructField("reloc_blocks", T.LongType()),
+    T.StructField("reloc_entries", T.LongType()),
+    T.StructField("resources_count", T.LongType()),
     T.StructField("sections", T.ArrayType(SECTION_TYPE)),
+    T.StructField("imports", T.ArrayType(IMPORT_TYPE)),
+    T.StructField("exports_count", T.LongType()),
+    T.StructField("export_names", T.ArrayType(T.StringType())),
 ])
 
 _MAX_SECTIONS = 96  # PE loader limit
+# guards against malformed (looping) tables; far above any real image
+_MAX_TABLE_ENTRIES = 1 << 16
+_MAX_NAME = 512
+
+
+def _rva_to_off(rva: int, sections: list[dict]) -> int | None:
+    for sec in sections:
+        extent = max(sec["virtual_size"], sec["raw_size"])
+        if sec["va"] <= rva < sec["va"] + extent:
+            off = rva - sec["va"] + sec["raw_ptr"]
+            return off
+    return None
+
+
+def _cstr(buf: bytes, off: int | None) -> str | None:
+    if off is None or off < 0 or off >= len(buf):
+        return None
+    end = buf.find(b"\x00", off, off + _MAX_NAME)
+    raw = buf[off:end if end >= 0 else off + _MAX_NAME]
+    return raw.decode("utf-8", "ignore")
+
+
+def _imports(buf, rva, size, sections, plus):
+    out = []
+    off = _rva_to_off(rva, sections) if rva and size else None
+    if off is None:
+        return out
+    tsize, flag = (8, 1 << 63) if plus else (4, 1 << 31)
+    fmt = "<Q" if plus else "<I"
+    for e in range(_MAX_TABLE_ENTRIES):
+        d = off + 20 * e
+        if d + 20 > len(buf):
+            break
+        oft, _ts, _fc, name_rva, ft = struct.unpack_from("<IIIII", buf, d)
+        if not (oft or name_rva or ft):
+            break
+        dll = (_cstr(buf, _rva_to_off(name_rva, sections)) or "").lower()
+        t = _rva_to_off(oft or ft, sections)
+        for k in range(_MAX_TABLE_ENTRIES if t is not None else 0):
+            o = t + tsize * k
+            if o + tsize > len(buf):
+                break
+            (v,) = struct.unpack_from(fmt, buf, o)
+            if v == 0:
+                break
+            if v & flag:
+                out.append({"entry_pos": e, "dll": dll, "api": None, "ordinal": v & 0xFFFF})
+            else:
+                h = _rva_to_off(v & 0x7FFFFFFF, sections)
+                out.append({"entry_pos": e, "dll": dll, "api": _cstr(buf, None if h is None else h + 2),
+                            "ordinal": None})
+        if t is None:
+            out.append({"entry_pos": e, "dll": dll, "api": None, "ordinal": None})
+    return out
+
+
+def _exports(buf, rva, size, sections):
+    off = _rva_to_off(rva, sections) if rva and size else None
+    if off is None or off + 40 > len(buf):
+        return 0, []
+    nfun, nnames, _af, anames = struct.unpack_from("<IIII", buf, off + 20)
+    names = []
+    t = _rva_to_off(anames, sections)
+    for k in range(min(nnames, _MAX_TABLE_ENTRIES) if t is not None else 0):
+        o = t + 4 * k
+        if o + 4 > len(buf):
+            break
+        nm = _cstr(buf, _rva_to_off(struct.unpack_from("<I", buf, o)[0], sections))
+        if nm:
+            names.append(nm)
+    return min(nfun, _MAX_TABLE_ENTRIES), names
+
+
+def _relocs(buf, rva, size, sections):
+    off = _rva_to_off(rva, sections) if rva and size else None
+    blocks = entries = 0
+    pos = 0
+    while off is not None and pos + 8 <= size and off + pos + 8 <= len(buf) and blocks < _MAX_TABLE_ENTRIES:
+        _va, bsize = struct.unpack_from("<II", buf, off + pos)
+        if bsize < 8:
+            break
+        blocks += 1
+        entries += (bsize - 8) // 2
+        pos += bsize
+    return blocks, entries
+
+
+def _tls_callbacks(buf, rva, size, sections, plus):
+    off = _rva_to_off(rva, sections) if rva and size else None
+    at = (off + 24) if plus else (off + 12) if off is not None else None
+    w = 8 if plus else 4
+    if at is None or at + w > len(buf):
+        return 0
+    (addr,) = struct.unpack_from("<Q" if plus else "<I", buf, at)
+    return 1 if addr else 0
+
+
+def _resource_leaves(buf, rva, size, sections):
+    base = _rva_to_off(rva, sections) if rva and size else None
+    if base is None:
+        return 0
+    count, seen, stack = 0, 0, [(base, 0)]
+    while stack and seen < _MAX_TABLE_ENTRIES:
+        d, depth = stack.pop()
+        if d + 16 > len(buf) or depth > 8:
+            continue
+        n_named, n_id = struct.unpack_from("<HH", buf, d + 12)
+        for i in range(n_named + n_id):
+            e = d + 16 + 8 * i
+            seen += 1
+            if e + 8 > len(buf) or seen >= _MAX_TABLE_ENTRIES:
+                break
+            _name, target = struct.unpack_from("<II", buf, e)
+            if target & 0x80000000:
+                stack.append((base + (target & 0x7FFFFFFF), depth + 1))
+            else:
+                count += 1
+    return count
 
 
 def parse_pe_header(buf: bytes) -> dict | None:
@@ -89,7 +221,15 @@ def parse_pe_header(buf: bytes) -> dict | None:
         (ch,) = struct.unpack_from("<I", buf, o + 36)
         sections.append({"pos": i, "name": name, "virtual_size": vsize, "va": va, "raw_size": rsize,
                          "raw_ptr": rptr, "characteristics": ch})
+    imp_rva, imp_size = dirs[1]
+    exp_count, exp_names = _exports(buf, dirs[0][0], dirs[0][1], sections)
+    r_blocks, r_entries = _relocs(buf, dirs[5][0], dirs[5][1], sections)
     return {
+        "tls_callbacks": _tls_callbacks(buf, dirs[9][0], dirs[9][1], sections, plus),
+        "reloc_blocks": r_blocks, "reloc_entries": r_entries,
+        "resources_count": _resource_leaves(buf, dirs[2][0], dirs[2][1], sections),
+        "imports": _imports(buf, imp_rva, imp_size, sections, plus),
+        "exports_count": exp_count, "export_names": exp_names,
         "machine": machine, "time_date_stamp": stamp, "symbols_count": nsym, "entry_rva": entry,
         "file_alignment": file_align, "section_alignment": sect_align, "subsystem": subsystem,
         "dll_characteristics": dllch, "size_of_headers": size_headers, "checksum": checksum,

@@ -28,10 +28,16 @@ def l2_norm(v) -> Column:
 
 def l2_normalize(v) -> Column:
     """v / ||v|| when the norm is positive and finite, else zeros."""
-    n = l2_norm(v)
-    ok = (n > 0) & ~F.isnan(n) & (n != F.lit(float("inf")))
-    return F.when(ok, F.transform(_c(v), lambda x: x.cast("double") / n)) \
-            .otherwise(F.transform(_c(v), lambda x: F.lit(0.0)))
+    arr = _c(v)
+
+    def finish(ss):
+        # runs once per row: the norm is bound once, not recomputed per element
+        n = F.sqrt(ss)
+        ok = (n > 0) & ~F.isnan(n) & (n != F.lit(float("inf")))
+        return F.when(ok, F.transform(arr, lambda x: x.cast("double") / n)) \
+                .otherwise(F.transform(arr, lambda x: F.lit(0.0)))
+
+    return F.aggregate(arr, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"), finish)
 
 
 def sq_distance(a, b) -> Column:

@@ -100,13 +100,17 @@ def _with_diff_stats(df: DataFrame, values: Column, names: list[str], tmp: str)
     return out.drop(tmp + "_v", tmp + "_d", tmp + "_m")
 
 
-def byte_statistics(df: DataFrame, window: str = "window", prefix: str = "") -> DataFrame:
-    """The 49 window statistics as named double columns plus ``stats array<float>``."""
-    n = F.length(_col(window)).cast("int")
-    starts, lens = _stat_slices(n)
-    prof = "_prof"
-    out = df.withColumn(prof, slice_profiles(_col(window), starts, lens))
-    p = lambda i: F.col(prof)[i]
+def window_slices(n: Column):
+    """Bounds (relative to the window) of the 14 slices behind the 49 statistics."""
+    return _stat_slices(n)
+
+
+WINDOW_SLICES = 1 + 3 + C.STAT_CHUNK_COUNT
+
+
+def stats_from_profiles(df: DataFrame, prof: str, first: int = 0, prefix: str = "") -> DataFrame:
+    """The 49 statistics from 14 slice profiles starting at index ``first`` of ``prof``."""
+    p = lambda i: F.col(prof)[first + i]
     whole = p(0)
     cols = [whole["mean"], whole["std"], whole["min"], whole["max"], whole["median"], whole["q25"],
             whole["q75"], whole["zeros"].cast("double"), whole["ffs"].cast("double"),
@@ -116,15 +120,22 @@ def byte_statistics(df: DataFrame, window: str = "window", prefix: str = "") ->
     cols += [p(4 + i)["mean"] for i in range(C.STAT_CHUNK_COUNT)]
     cols += [p(4 + i)["std"] for i in range(C.STAT_CHUNK_COUNT)]
     n_direct = len(cols)
-    out = out.select("*", *[c.cast("double").alias(prefix + name) for c, name in zip(cols, STAT_NAMES)])
+    out = df.select("*", *[c.cast("double").alias(prefix + name) for c, name in zip(cols, STAT_NAMES)])
     chunk_means = F.array(*[F.col(prefix + f"chunk{i}_mean").cast("float") for i in range(C.STAT_CHUNK_COUNT)])
     chunk_stds = F.array(*[F.col(prefix + f"chunk{i}_std").cast("float") for i in range(C.STAT_CHUNK_COUNT)])
     out = _with_diff_stats(out, chunk_means, [prefix + n for n in STAT_NAMES[n_direct:n_direct + 4]], "_cmd")
     out = _with_diff_stats(out, chunk_stds, [prefix + n for n in STAT_NAMES[n_direct + 4:]], "_csd")
-    out = out.drop(prof)
     return out.withColumn(prefix + "stats", F.array(*[F.col(prefix + n).cast("float") for n in STAT_NAMES]))
 
 
+def byte_statistics(df: DataFrame, window: str = "window", prefix: str = "") -> DataFrame:
+    """The 49 window statistics as named double columns plus ``stats array<float>``."""
+    n = F.length(_col(window)).cast("int")
+    starts, lens = _stat_slices(n)
+    out = df.withColumn("_prof", slice_profiles(_col(window), starts, lens))
+    return stats_from_profiles(out, "_prof", 0, prefix).drop("_prof")
+
+
 # ---------------------------------------------------------------------------
 # A8-A10 file attributes over the first 10240 bytes
 # ---------------------------------------------------------------------------
@@ -161,17 +172,25 @@ def block_layout(m: Column, block_size: int = C.ENTROPY_BLOCK_SIZE, max_blocks:
     return starts, lens, k
 
 
-def file_attributes(df: DataFrame, content: str = "content", size: str = "length",
-                    sample_size: int = C.ENTROPY_SAMPLE_SIZE, stride_blocks: bool = False) -> DataFrame:
-    """size, log_size and the 14 entropy/ratio features of the file prefix."""
-    sample = F.substring(_col(content), 1, sample_size)
-    m = F.least(F.length(_col(content)), F.lit(sample_size)).cast("int")
+ATTR_SLICES = 1 + C.ENTROPY_MAX_BLOCKS
+
+
+def attr_slices(content: Column, sample_size: int = C.ENTROPY_SAMPLE_SIZE, stride_blocks: bool = False):
+    """(starts, lens, k): whole prefix then its blocks, padded with empty slices to 11 entries."""
+    m = F.least(F.length(content), F.lit(sample_size)).cast("int")
     b_starts, b_lens, k = block_layout(m, stride=stride_blocks)
-    starts = F.concat(F.array(F.lit(0)), b_starts)
-    lens = F.concat(F.array(m), b_lens)
-    out = df.withColumn("_fa_prof", slice_profiles(sample, starts, lens)).withColumn("_fa_k", k)
-    prof, kk = F.col("_fa_prof"), F.col("_fa_k")
-    out = out.withColumn("_fa_e", F.transform(F.slice(prof, 2, C.ENTROPY_MAX_BLOCKS), lambda s: s["entropy"]))
+    pad = F.array_repeat(F.lit(0), F.lit(C.ENTROPY_MAX_BLOCKS) - k)
+    starts = F.concat(F.array(F.lit(0)), b_starts, pad)
+    lens = F.concat(F.array(m), b_lens, pad)
+    return starts, lens, k
+
+
+def attrs_from_profiles(df: DataFrame, prof_col: str, first: int, k: Column, size: str = "length") -> DataFrame:
+    """size, log_size and the 14 entropy/ratio features from 11 profiles at ``first``."""
+    prof = F.col(prof_col)
+    out = df.withColumn("_fa_k", k)
+    kk = F.col("_fa_k")
+    out = out.withColumn("_fa_e", F.transform(F.slice(prof, first + 2, kk), lambda s: s["entropy"]))
     ents = F.col("_fa_e")
     out = out.withColumn("_fa_mean", F.when(kk > 0, F.aggregate(ents, F.lit(0.0), lambda a, x: a + x) / kk))
     steps = F.when(kk > 1, F.sequence(F.lit(1), kk - 1)).otherwise(F.array().cast("array<int>"))
@@ -180,7 +199,8 @@ def file_attributes(df: DataFrame, content: str = "content", size: str = "length
     out = out.withColumn("_fa_dmean", F.when(kk > 1, F.aggregate(d, F.lit(0.0), lambda a, x: a + x) / (kk - 1)))
     out = out.withColumn("_fa_srt", F.array_sort(ents))
     srt, mean_e, ch_mean = F.col("_fa_srt"), F.col("_fa_mean"), F.col("_fa_dmean")
-    overall = prof[0]["entropy"]
+    whole = prof[first]
+    overall = whole["entropy"]
     has = kk > 0
     std_e = F.sqrt(F.aggregate(ents, F.lit(0.0), lambda a, x: a + (x - mean_e) * (x - mean_e)) / kk)
     change_rate = F.aggregate(d, F.lit(0.0), lambda a, x: a + F.abs(x)) / (kk - 1)
@@ -188,7 +208,7 @@ def file_attributes(df: DataFrame, content: str = "content", size: str = "length
     zero = F.lit(0.0)
     mn = F.when(has, F.array_min(ents)).otherwise(overall)
     mx = F.when(has, F.array_max(ents)).otherwise(overall)
-    n_sample = prof[0]["n"]
+    n_sample = whole["n"]
     cols = {
         "size": _col(size).cast("double"),
         "log_size": F.log(_col(size).cast("double") + 1),
@@ -204,11 +224,20 @@ def file_attributes(df: DataFrame, content: str = "content", size: str = "length
         "low_entropy_ratio": F.when(has, F.size(F.filter(ents, lambda e: e < C.ENTROPY_LOW_THRESHOLD)) / kk).otherwise(zero),
         "entropy_change_rate": F.when(kk > 1, change_rate).otherwise(zero),
         "entropy_change_std": F.when(kk > 1, change_std).otherwise(zero),
-        "zero_byte_ratio": F.when(n_sample > 0, prof[0]["zeros"] / n_sample).otherwise(zero),
-        "printable_byte_ratio": F.when(n_sample > 0, prof[0]["printable"] / n_sample).otherwise(zero),
+        "zero_byte_ratio": F.when(n_sample > 0, whole["zeros"] / n_sample).otherwise(zero),
+        "printable_byte_ratio": F.when(n_sample > 0, whole["printable"] / n_sample).otherwise(zero),
     }
     out = out.select("*", *[c.cast("double").alias(name) for name, c in cols.items()])
-    return out.drop("_fa_prof", "_fa_k", "_fa_e", "_fa_mean", "_fa_d", "_fa_dmean", "_fa_srt")
+    return out.drop("_fa_k", "_fa_e", "_fa_mean", "_fa_d", "_fa_dmean", "_fa_srt")
+
+
+def file_attributes(df: DataFrame, content: str = "content", size: str = "length",
+                    sample_size: int = C.ENTROPY_SAMPLE_SIZE, stride_blocks: bool = False) -> DataFrame:
+    """size, log_size and the 14 entropy/ratio features of the file prefix."""
+    starts, lens, k = attr_slices(_col(content), sample_size, stride_blocks)
+    sample = F.substring(_col(content), 1, sample_size)
+    out = df.withColumn("_fa_prof", slice_profiles(sample, starts, lens))
+    return attrs_from_profiles(out, "_fa_prof", 0, k, size).drop("_fa_prof")
 
 
 # ---------------------------------------------------------------------------

@@ -8,7 +8,7 @@ a filter over the file's (format-bounded, <= 96) section array.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hexlens import config as C
@@ -158,3 +158,125 @@ def entry_section(sections: str, entry_rva: str, native: bool = False) -> tuple[
     first = F.array_min(F.transform(hit, lambda x: F.struct(x["pos"].alias("pos"), x["name"].alias("name"))))
     flag = F.when(F.size(hit) > 0, (~F.lower(first["name"]).isin(STANDARD_EXEC_SECTIONS)).cast("int")).otherwise(0)
     return first["name"], flag
+
+
+# ---------------------------------------------------------------------------
+# A11-A14, J6, J7 imports (one row per imported function)
+# ---------------------------------------------------------------------------
+
+IMPORT_FEATURES = ["imports_count", "unique_imports", "unique_dlls", "unique_apis", "dll_name_avg_length",
+                   "dll_name_max_length", "dll_name_min_length", "imported_system_dlls_count",
+                   "dll_imports_entropy", "api_imports_entropy", "imported_system_dlls_ratio", "syscall_api_ratio",
+                   "import_ordinal_only_count", "import_ordinal_only_ratio", "avg_imports_per_dll",
+                   "api_network_ratio", "api_process_ratio", "api_filesystem_ratio", "api_registry_ratio"]
+
+
+def _entropy_of_counts(df: DataFrame, keys: list[str], item: Column, out: str) -> DataFrame:
+    """Entropy/8 of the item-name distribution per key (two-level aggregation)."""
+    per = df.where(item.isNotNull() & (item != "")).groupBy(*keys, item.alias("_it")).agg(F.count(F.lit(1)).alias("_c"))
+    tot = F.sum("_c").over(Window.partitionBy(*keys))
+    per = per.withColumn("_t", tot)
+    return per.groupBy(*keys).agg((-F.sum((F.col("_c") / F.col("_t")) * F.log2(F.col("_c") / F.col("_t"))) / 8.0 + 0.0)
+                                  .alias(out))
+
+
+def import_features(imports: DataFrame, file_key: str, system_dlls: list[str] = C.SYSTEM_DLLS,
+                    categories: dict[str, list[str]] | None = None) -> DataFrame:
+    """Per-file import statistics from ``(file_key, entry_pos, dll, api, ordinal)`` rows.
+
+    Descriptor-level values (dll names) use one row per descriptor; function
+    level values use one row per import.  Keyword categories (J6) are
+    expressions over the fixed lists; the system-DLL semi join (J7) is an
+    ``isin`` over the fixed list.
+    """
+    from hexlens.operators.joins import keyword_hits
+    cats = categories or {"network": C.API_CATEGORY_NETWORK, "process": C.API_CATEGORY_PROCESS,
+                          "filesystem": C.API_CATEGORY_FILESYSTEM, "registry": C.API_CATEGORY_REGISTRY}
+    named = F.col("api").isNotNull()
+    ordinal_only = ~named & F.col("ordinal").isNotNull()
+    funcs = imports.groupBy(file_key).agg(
+        F.countDistinct(F.when(named, F.struct("dll", "api"))).cast("double").alias("unique_imports"),
+        F.countDistinct(F.when(named, F.col("api"))).cast("double").alias("unique_apis"),
+        F.sum(F.when(named, 1.0).otherwise(0.0)).alias("_named"),
+        F.sum(F.when(ordinal_only, 1.0).otherwise(0.0)).alias("import_ordinal_only_count"),
+        F.sum(F.when(named & (F.lower("api").startswith("nt") | F.lower("api").startswith("zw")), 1.0)
+               .otherwise(0.0)).alias("_syscall"),
+        *[F.sum(F.when(named & ((keyword_hits(F.concat_ws(" ", F.lower("dll"), F.lower("api")), kws) > 0)), 1.0)
+                .otherwise(0.0)).alias(f"_cat_{c}") for c, kws in cats.items()])
+    desc = imports.select(file_key, "entry_pos", "dll").dropDuplicates([file_key, "entry_pos"])
+    stem = F.split(F.col("dll"), r"\.")[0]
+    dl = F.length("dll").cast("double")
+    dlls = desc.groupBy(file_key).agg(
+        F.count(F.lit(1)).cast("double").alias("imports_count"),
+        F.countDistinct("dll").cast("double").alias("unique_dlls"),
+        F.avg(F.when(dl > 0, dl)).alias("dll_name_avg_length"),
+        F.max(F.when(dl > 0, dl)).alias("dll_name_max_length"),
+        F.min(F.when(dl > 0, dl)).alias("dll_name_min_length"),
+        F.countDistinct(F.when(stem.isin(system_dlls), stem)).cast("double").alias("imported_system_dlls_count"))
+    dll_ent = _entropy_of_counts(desc, [file_key], F.col("dll"), "dll_imports_entropy")
+    api_ent = _entropy_of_counts(imports.where(named), [file_key], F.col("api"), "api_imports_entropy")
+    j = (dlls.join(funcs, file_key, "left").join(dll_ent, file_key, "left").join(api_ent, file_key, "left"))
+    total = F.col("_named") + F.col("import_ordinal_only_count")
+    out = j.select(
+        file_key, "imports_count", "unique_imports", "unique_dlls", "unique_apis",
+        *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in ("dll_name_avg_length", "dll_name_max_length",
+                                                            "dll_name_min_length", "dll_imports_entropy",
+                                                            "api_imports_entropy")],
+        "imported_system_dlls_count",
+        (F.col("imported_system_dlls_count") / (F.col("unique_dlls") + 1)).alias("imported_system_dlls_ratio"),
+        F.when(F.col("_named") > 0, F.col("_syscall") / (F.col("_named") + 1)).otherwise(0.0).alias("syscall_api_ratio"),
+        "import_ordinal_only_count",
+        (F.col("import_ordinal_only_count") / (total + 1)).alias("import_ordinal_only_ratio"),
+        (total / (F.col("unique_dlls") + 1)).alias("avg_imports_per_dll"),
+        *[F.when(F.col("_named") > 0, F.col(f"_cat_{c}") / (total + 1)).otherwise(0.0).alias(f"api_{c}_ratio")
+          for c in cats])
+    return out
+
+
+def export_features(names: Column, count: Column, file_size: Column) -> dict[str, Column]:
+    """A15 from the export-name array of one file."""
+    lens = F.transform(names, lambda x: F.length(x).cast("double"))
+    k = F.size(names).cast("double")
+    has = k > 0
+    return {
+        "exports_count": F.coalesce(count, F.lit(0)).cast("double"),
+        "export_name_avg_length": F.when(has, F.aggregate(lens, F.lit(0.0), lambda a, x: a + x) / k).otherwise(0.0),
+        "export_name_max_length": F.when(has, F.array_max(lens)).otherwise(0.0),
+        "export_name_min_length": F.when(has, F.array_min(lens)).otherwise(0.0),
+        "exports_density": F.when(has, k / (file_size.cast("double") + 1)).otherwise(0.0),
+        "exports_name_ratio": F.when(has, k / (F.coalesce(count, F.lit(0)).cast("double") + 1)).otherwise(0.0),
+    }
+
+
+def header_features(h: Column, file_size: Column, content: Column | None = None) -> dict[str, Column]:
+    """A38, F7, F8, F10 and the header scalars of one parsed file (struct ``h``)."""
+    from hexlens.functions.pe import dll_flags, pe_timestamp, signature_probe
+    size = file_size.cast("double")
+    flag = lambda c: (F.coalesce(c, F.lit(0)) > 0).cast("double")
+    ts, year = pe_timestamp(h["time_date_stamp"])
+    cols = {
+        "symbols_count": F.coalesce(h["symbols_count"], F.lit(0)).cast("double"),
+        "subsystem": F.coalesce(h["subsystem"], F.lit(0)).cast("double"),
+        "dll_characteristics": F.coalesce(h["dll_characteristics"], F.lit(0)).cast("double"),
+        "has_resources": flag(h["resource_size"]),
+        "has_debug_info": flag(h["debug_size"]),
+        "has_tls": flag(h["tls_size"]),
+        "has_relocs": flag(h["reloc_size"]),
+        "has_exceptions": flag(h["exception_size"]),
+        "resources_count": F.coalesce(h["resources_count"], F.lit(0)).cast("double"),
+        "tls_callbacks_count": F.coalesce(h["tls_callbacks"], F.lit(0)).cast("double"),
+        "reloc_blocks_count": F.coalesce(h["reloc_blocks"], F.lit(0)).cast("double"),
+        "reloc_entries_count": F.coalesce(h["reloc_entries"], F.lit(0)).cast("double"),
+        "checksum_zero_flag": F.when(h["machine"].isNotNull() & (F.coalesce(h["checksum"], F.lit(0)) == 0), 1.0)
+                               .otherwise(0.0),
+        "pe_header_size": F.coalesce(h["size_of_headers"], F.lit(0)).cast("double"),
+        "header_size_ratio": F.coalesce(h["size_of_headers"], F.lit(0)).cast("double") / (size + 1),
+        "entry_point_ratio": F.coalesce(h["entry_rva"], F.lit(0)).cast("double") / (size + 1),
+        "timestamp": ts.cast("double"),
+        "timestamp_year": year.cast("double"),
+    }
+    cols.update({k: v.cast("double") for k, v in dll_flags(F.coalesce(h["dll_characteristics"], F.lit(0))).items()})
+    if content is not None:
+        cols.update({k: v.cast("double") for k, v in
+                     signature_probe(content, h["security_va"], h["security_size"]).items()})
+    return cols

@@ -292,3 +292,51 @@ def statistics_table(spark: SparkSession, sf_dir: str, max_file_size: int = C.DE
     f = documents_as_files(spark, sf_dir).select("doc_id", "path", "content")
     w = B.byte_window(f, "content", max_file_size)
     return B.byte_statistics(w, "window").select("doc_id", "path", "orig_length", "stats")
+
+
+# ---------------------------------------------------------------------------
+# C3 featurise (F2-F6): the full 1549-wide row of every document
+# ---------------------------------------------------------------------------
+
+_SLOT_OUT = ["size", "log_size", "file_entropy_avg", "file_entropy_max", "printable_byte_ratio",
+             "high_entropy_ratio", "file_entropy_median"]
+
+
+@register("featurise_documents", operators=("C3", "F2", "F3", "F4", "F5", "F6", "P13"), sql=_FA_SQL + f""",
+raw AS (
+  SELECT meta.doc_id, meta.size AS size, ln(meta.size + 1) AS log_size, coalesce(overall.e, 0) AS e_avg,
+         coalesce(bs.mn, overall.e, 0) AS e_min, coalesce(bs.mx, overall.e, 0) AS e_max,
+         coalesce(bs.mx - bs.mn, 0) AS e_rng, coalesce(bs.sd, 0) AS e_sd, coalesce(bs.q25, 0) AS e_q25,
+         coalesce(bs.q75, 0) AS e_q75, coalesce(bs.med, 0) AS e_med, coalesce(bs.hi, 0) AS hi, coalesce(bs.lo, 0) AS lo,
+         CASE WHEN meta.k > 1 THEN chs.rate ELSE 0 END AS rate, CASE WHEN meta.k > 1 THEN chs.sd ELSE 0 END AS csd,
+         coalesce(overall.zr, 0) AS zr, coalesce(overall.pr, 0) AS pr
+  FROM meta LEFT JOIN overall USING (doc_id) LEFT JOIN bs USING (doc_id) LEFT JOIN chs USING (doc_id)
+),
+v AS (
+  SELECT doc_id, size * 0.8 / {C.SIZE_NORM_MAX} AS s_size, log_size * 0.8 / {C.SIZE_NORM_MAX} AS s_log,
+         e_avg * 0.8 AS s_eavg, e_min * 0.8 AS s_emin, e_max * 0.8 AS s_emax, e_rng * 0.8 AS s_erng,
+         e_sd * 0.8 AS s_esd, e_q25 * 0.8 AS s_eq25, e_q75 * 0.8 AS s_eq75, e_med * 0.8 AS s_emed,
+         hi * 0.8 AS s_hi, lo * 0.8 AS s_lo, rate * 0.8 AS s_rate, csd * 0.8 AS s_csd, zr * 0.8 AS s_zr, pr * 0.8 AS s_pr
+  FROM raw
+),
+n AS (
+  SELECT *, sqrt(s_size*s_size + s_log*s_log + s_eavg*s_eavg + s_emin*s_emin + s_emax*s_emax + s_erng*s_erng
+                 + s_esd*s_esd + s_eq25*s_eq25 + s_eq75*s_eq75 + s_emed*s_emed + s_hi*s_hi + s_lo*s_lo
+                 + s_rate*s_rate + s_csd*s_csd + s_zr*s_zr + s_pr*s_pr) AS norm
+  FROM v
+)
+SELECT doc_id, false AS is_pe, 1549 AS n_features, {r6('norm')} AS pe_norm,
+       {r6('s_size / norm')} AS slot_size, {r6('s_log / norm')} AS slot_log_size,
+       {r6('s_eavg / norm')} AS slot_file_entropy_avg, {r6('s_emax / norm')} AS slot_file_entropy_max,
+       {r6('s_pr / norm')} AS slot_printable_byte_ratio, {r6('s_hi / norm')} AS slot_high_entropy_ratio,
+       {r6('s_emed / norm')} AS slot_file_entropy_median
+FROM n
+""")
+def featurise_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document through the full featuriser (compat profile: the reference's vector)."""
+    from hexlens.operators.featurise import _named_value, featurise
+    f = documents_as_files(spark, sf_dir).select("doc_id", "path", "length", "content")
+    feats = featurise(f, "path").join(documents_as_files(spark, sf_dir).select("doc_id", "path"), "path")
+    slots = [(_named_value(n, F.col(n), "compat") / F.col("pe_norm")).alias(f"slot_{n}") for n in _SLOT_OUT]
+    out = feats.select("doc_id", "is_pe", F.size("features").alias("n_features"), "pe_norm", *slots)
+    return round6(out, ["pe_norm"] + [f"slot_{n}" for n in _SLOT_OUT])

@@ -11,6 +11,7 @@ from hexlens.operators import byte_stats as B
 from hexlens.operators import metrics as M
 from hexlens.operators import training as TR
 from hexlens.plans.corpus import round6
+from hexlens.session import materialize
 from hexlens.sources.tables import documents_as_files, table
 
 
@@ -38,7 +39,7 @@ def labelled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = TR.assemble(x, "stats").withColumn("label", F.col("label").cast("double"))
     # iterative fits re-read their input many times: materialise once in the
     # shared checkpoint folder (cuts lineage; survives executor loss)
-    return x.checkpoint(eager=True)
+    return materialize(x, "labelled-features")
 
 
 @register("train_evaluate", operators=("M2", "M7", "M8", "C5", "A29"))

@@ -67,3 +67,18 @@ def scratch_table_path(spark: SparkSession, name: str) -> str:
     """A folder under the shared checkpoint dir for a materialised table."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/tables/{name}"
+
+
+def materialize(df, name: str):
+    """Write ``df`` once as Parquet under the shared checkpoint folder and read it back.
+
+    Cuts lineage like ``checkpoint()`` but computes the plan exactly once
+    (a reliable RDD checkpoint recomputes an uncached plan), stores columnar
+    data, and later reads get column pruning.  Survives executor loss: the
+    table lives in shared storage.
+    """
+    import uuid
+    spark = df.sparkSession
+    path = scratch_table_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -8,7 +8,7 @@ from hexlens.operators import pe_features as PF
 from hexlens.sources.files import is_pe
 
 
-def make_pe(sections, dllch=0x0140, stamp=1_600_000_000, entry=0x1010, overlay=b""):
+def make_pe(sections, dllch=0x0140, stamp=1_600_000_000, entry=0x1010, overlay=b"", dirs=None):
     """A minimal PE32 image: DOS header, COFF, optional header, section table, bodies."""
     lfanew = 0x80
     opt_size = 224
@@ -23,6 +23,8 @@ def make_pe(sections, dllch=0x0140, stamp=1_600_000_000, entry=0x1010, overlay=b
     struct.pack_into("<II", hdr, opt + 32, 0x1000, 0x200)
     struct.pack_into("<IIHH", hdr, opt + 60, 0x400, 0, 2, dllch)
     struct.pack_into("<I", hdr, opt + 92, 16)
+    for idx, (rva, size) in (dirs or {}).items():
+        struct.pack_into("<II", hdr, opt + 96 + 8 * idx, rva, size)
     body = bytearray()
     ptr = 0x400
     for i, (name, data, vsize, ch) in enumerate(sections):
@@ -70,3 +72,39 @@ def test_section_and_overlay_features(spark):
     assert f.alignment_mismatch_count == 3  # raw 300; virtual 4000 and 600
     ov = PF.trailing_overlay(df, "content", "sections", "length").first()
     assert ov.trailing_data_size == 4096 and ov.overlay_high_entropy_flag == 1
+
+
+def make_idata(va=0x3000):
+    """An .idata-like section with imports, exports and relocations at ``va``."""
+    b = bytearray(0x400)
+    r = lambda off: va + off
+    struct.pack_into("<IIIII", b, 0, r(0x100), 0, 0, r(0x140), r(0x100))
+    struct.pack_into("<IIIII", b, 20, r(0x120), 0, 0, r(0x150), r(0x120))
+    struct.pack_into("<IIII", b, 0x100, r(0x160), r(0x180), 0x80000005, 0)
+    struct.pack_into("<II", b, 0x120, r(0x1A0), 0)
+    b[0x140:0x140 + 13] = b"kernel32.dll\x00"
+    b[0x150:0x150 + 11] = b"WS2_32.dll\x00"
+    b[0x162:0x162 + 12] = b"CreateFileA\x00"
+    b[0x182:0x182 + 9] = b"ReadFile\x00"
+    b[0x1A2:0x1A2 + 8] = b"connect\x00"
+    struct.pack_into("<IIII", b, 0x200 + 20, 3, 2, 0, r(0x240))
+    struct.pack_into("<II", b, 0x240, r(0x260), r(0x270))
+    b[0x260:0x260 + 10] = b"ExportOne\x00"
+    b[0x270:0x270 + 4] = b"Ex2\x00"
+    struct.pack_into("<II", b, 0x300, 0x1000, 16)
+    struct.pack_into("<II", b, 0x310, 0x2000, 12)
+    dirs = {0: (r(0x200), 40), 1: (r(0), 60), 5: (r(0x300), 28)}
+    return bytes(b), dirs
+
+
+def test_import_export_reloc_parsing():
+    import os
+    idata, dirs = make_idata()
+    pe = make_pe([(".text", os.urandom(512), 0x200, 0x60000020), (".data", b"\x00" * 512, 0x200, 0xC0000040),
+                  (".idata", idata, 0x400, 0x40000040)], dirs=dirs)
+    h = parse_pe_header(pe)
+    imps = [(i["dll"], i["api"], i["ordinal"]) for i in h["imports"]]
+    assert imps == [("kernel32.dll", "CreateFileA", None), ("kernel32.dll", "ReadFile", None),
+                    ("kernel32.dll", None, 5), ("ws2_32.dll", "connect", None)]
+    assert h["exports_count"] == 3 and h["export_names"] == ["ExportOne", "Ex2"]
+    assert (h["reloc_blocks"], h["reloc_entries"]) == (2, 6)
