@@ -1,12 +1,119 @@
-"""Scan pipeline queries (streaming scan of newly arrived files)."""
+"""Scan pipeline (C1, C2, C4-lite) and the streaming scan query."""
 
-from pyspark.sql import DataFrame, SparkSession  # noqa: E402
+from __future__ import annotations
 
-from hexlens.catalog import register  # noqa: E402
-from hexlens.streaming.scan_stream import scan_stream_table  # noqa: E402
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from hexlens import config as C
+from hexlens.catalog import register
+from hexlens.functions.routing import routing_label, sigmoid_gate, verdict
+from hexlens.operators import families as FM
+from hexlens.operators import training as TR
+from hexlens.operators.featurise import featurise
+from hexlens.operators.joins import cache_lookup
+from hexlens.plans import dims as D
+from hexlens.session import materialize
+from hexlens.sources.files import base_name, path_guard
+from hexlens.sources.tables import documents_as_files, table
+from hexlens.streaming.scan_stream import scan_stream_table
 
 ORACLE_SF_DIR = "/root/testdata/sf0.01"
 
+RESULT_FAMILY = "struct<cluster_id:int,family_name:string,is_new_family:boolean>"
+
+
+def route_from_vector(features: str, rule: str = "python") -> F.Column:
+    """Routing over the normalised (x0.8) vector values, as both scorers read them (Q5).
+
+    ``python``: sigmoid gate (F11); ``native``: the training rule (F12).
+    """
+    v = F.col(features)
+    he = v[D.ROW_POS["high_entropy_ratio"]]
+    ps = v[D.ROW_POS["packed_sections_ratio"]]
+    kh = v[D.ROW_POS["packer_keyword_hits_ratio"]]
+    kc = v[D.ROW_POS["packer_keyword_hits_count"]]
+    if rule == "native":
+        return routing_label(ps, kc)
+    return sigmoid_gate(he, ps, kh)
+
+
+def scan_corpus(files: DataFrame, experts: dict, family_model: DataFrame | None = None,
+                family_scaler: DataFrame | None = None, cache: DataFrame | None = None,
+                allowed_root: str | None = None, require_pe: bool = True, rule: str = "python",
+                threshold: float = C.PREDICTION_THRESHOLD) -> DataFrame:
+    """C1 (``require_pe=True``, python gate, cache) / C2 (``require_pe=False``, native rule).
+
+    Files failing the path guard are dropped; non-PE files are skipped when
+    required; features are computed per file (narrow); cached verdicts are
+    reused by sha256 on compact rows; each route is scored by its expert (a
+    missing expert scores 0); malicious files get their nearest family.
+    """
+    f = files.where(path_guard("path", allowed_root))
+    feats = featurise(f.select("path", "length", "content"), "path")
+    if require_pe:
+        feats = feats.where("is_pe")
+    x = TR.assemble(feats.select("path", "length", "sha256", "features"), "features", "vec")
+    x = x.withColumn("route", route_from_vector("features", rule))
+    scored = TR.expert_predict(x, "route", experts, features="vec")
+    if cache is not None:
+        hits, _ = cache_lookup(scored.select("sha256"), cache.select("sha256", F.col("score").alias("_cached")))
+        scored = scored.join(hits.dropDuplicates(["sha256"]), "sha256", "left") \
+                       .withColumn("score", F.coalesce("_cached", "score")).drop("_cached")
+    is_mal, conf = verdict("score", threshold)
+    res = scored.select("path", "length", "sha256", "features", "route", "score",
+                        is_mal.alias("is_malware"), conf.alias("confidence"))
+    fam_null = F.lit(None).cast(RESULT_FAMILY)
+    if family_model is not None and family_scaler is not None:
+        mal = res.where("is_malware").select("path", "features")
+        z = FM.scaler_apply(mal, "features", family_scaler, "z").select("path", "z")
+        fam = FM.nearest_centroid(z, "z", family_model, "path").select(
+            "path", F.struct(F.col("cluster_id").cast("int").alias("cluster_id"), "family_name",
+                             "is_new_family").alias("malware_family"))
+        res = res.join(fam, "path", "left")
+    else:
+        res = res.withColumn("malware_family", fam_null)
+    return res.select(F.col("path").alias("file_path"), base_name("path").alias("file_name"),
+                      F.col("length").alias("file_size"), "sha256", "route", "score", "is_malware", "confidence",
+                      "malware_family")
+
+
+def train_all(spark: SparkSession, feats: DataFrame, labels: DataFrame, k_families: int = 8):
+    """C4-lite: split, route, experts, then families of the malicious training rows."""
+    lab = feats.join(labels, "path")
+    lab = TR.split_60_20_20(lab, "path").withColumn("label", F.col("label").cast("double"))
+    lab = TR.assemble(lab, "features", "vec").withColumn("route", route_from_vector("features"))
+    train = lab.where("split <> 'test'").withColumn("is_val", F.col("split") == "val")
+    experts = TR.train_experts(train, "route", features="vec", validation="is_val", max_iter=20, max_depth=4)
+    mal = lab.where("label = 1").select("path", "features")
+    pca = TR.scale_pca(mal, "features", C.FAST_PCA_DIMENSION)
+    clusters = TR.kmeans_clusters(pca, "pca", k=k_families).select("path", "cluster_id", "features")
+    model, scaler = FM.family_fit(clusters, "features", "cluster_id")
+    return experts, model, scaler
+
+
+@register("scan_corpus", operators=("C1", "C2", "C4", "M7", "M8", "P5", "J4", "J1", "A35"))
+def q_scan_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Train on labelled documents, then scan every document (native: no magic check)."""
+    files = documents_as_files(spark, sf_dir).select("path", "length", "content")
+    feats = materialize(featurise(files, "path"), "scan-features")
+    labels = (documents_as_files(spark, sf_dir).select("doc_id", "path")
+              .join(table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label")), "doc_id")
+              .select("path", "label"))
+    experts, model, scaler = train_all(spark, feats.select("path", "features"), labels)
+    # re-use the materialised features: scan = score + verdict + family on them
+    x = TR.assemble(feats.select("path", "length", "sha256", "features"), "features", "vec")
+    x = x.withColumn("route", route_from_vector("features", "native"))
+    scored = TR.expert_predict(x, "route", experts, features="vec")
+    is_mal, conf = verdict("score", 0.5)
+    res = scored.select("path", "length", "features", is_mal.alias("is_malware"), conf.alias("confidence"))
+    mal = res.where("is_malware").select("path", "features")
+    z = FM.scaler_apply(mal, "features", scaler, "z").select("path", "z")
+    fam = FM.nearest_centroid(z, "z", model, "path").select("path", "cluster_id", "family_name", "is_new_family")
+    out = res.join(fam, "path", "left")
+    return out.groupBy("is_malware", "is_new_family").agg(F.count(F.lit(1)).alias("files"),
+                                                          F.countDistinct("cluster_id").alias("families"))
+
 
 @register("stream_scan", operators=("T1", "T2", "T3", "S13"), sql=f"""
 SELECT regexp_extract(filename, '[^/]+$') AS name, CAST(size AS BIGINT) AS length, sha256(content) AS sha256,
