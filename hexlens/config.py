@@ -2,7 +2,8 @@
 
 Everything here is a constant of the feature definitions (thresholds, sizes,
 keyword lists). They are stated as plain text, in natural order, together.
-Profile-dependent values live in :mod:`hexlens.plans.profiles`.
+Python-vs-native differences (SURVEY §1.3) are operator parameters (``native=True``,
+``profile="compat"|"default"``), not code forks.
 """
 
 # ---------------------------------------------------------------------------
@@ -109,3 +110,12 @@ DLLCHAR_GUARD_CF = 0x4000
 SECTION_ENTROPY_MIN_SIZE = 256
 OVERLAY_ENTROPY_MIN_SIZE = 1024
 LARGE_TRAILING_DATA_SIZE = 1024 * 1024
+
+# ---------------------------------------------------------------------------
+# Boosting schedule
+# ---------------------------------------------------------------------------
+WARMUP_ROUNDS = 200
+WARMUP_START_LR = 0.001
+WARMUP_TARGET_LR = 0.07
+DEFAULT_INCREMENTAL_ROUNDS = 200
+DEFAULT_MAX_FINETUNE_ITERATIONS = 15

@@ -1,4 +1,4 @@
-"""Distributed ML operators.
+"""Distributed ML operators.
 
 All fits are ``pyspark.ml`` estimators (distributed over executors); the
 driver only holds model parameters.  Splits are hash buckets of the row key,
@@ -7,6 +7,8 @@ so the same rows land in the same split on every run and at every scale.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler
@@ -127,3 +129,118 @@ def kmeans_clusters(df: DataFrame, features: str, k: int = C.KMEANS_N_CLUSTERS,
 def choose_backend(n_rows: int, density_max_rows: int = C.DENSITY_MAX_ROWS) -> str:
     """M17: 'density' up to 50,000 rows else 'kmeans' (density clustering is not built: see README)."""
     return "density" if n_rows <= density_max_rows else "kmeans"
+
+
+# ---------------------------------------------------------------------------
+# M9 gating MLP, M10 cross-validated score, M11 sampled search, M13 feature gating
+# ---------------------------------------------------------------------------
+
+def train_gating_mlp(df: DataFrame, features: str = "vec", label: str = "route", hidden=(256, 128),
+                     max_iter: int = 50, seed: int = C.DEFAULT_RANDOM_STATE):
+    """M9: multilayer perceptron on routing labels (layers d, 256, 128, 2)."""
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+    d = len(df.select(features).first()[0])
+    mlp = MultilayerPerceptronClassifier(featuresCol=features, labelCol=label, layers=[d, *hidden, 2],
+                                         maxIter=max_iter, seed=seed)
+    return mlp.fit(df.withColumn(label, F.col(label).cast("double")))
+
+
+def fold_column(df: DataFrame, key: str, folds: int, seed: int = C.DEFAULT_RANDOM_STATE, out: str = "fold") -> DataFrame:
+    """Stable fold id per row from the key hash (every label is spread the same way)."""
+    return df.withColumn(out, F.pmod(hash_bucket(key, seed, 1 << 20), F.lit(folds)).cast("int"))
+
+
+_METRICS = {"roc_auc": ("binary", "areaUnderROC"), "accuracy": ("multi", "accuracy"), "f1": ("multi", "f1"),
+            "precision": ("multi", "precisionByLabel"), "recall": ("multi", "recallByLabel")}
+
+
+def cv_score(df: DataFrame, key: str, estimator_params: dict | None = None, folds: int = 5,
+             metric: str = "f1", features: str = "vec", label: str = "label") -> float:
+    """Mean k-fold score of a GBT; fewer than two classes scores 0."""
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+    if df.select(label).distinct().count() < 2:
+        return 0.0
+    kind, name = _METRICS[metric]
+    ev = (BinaryClassificationEvaluator(labelCol=label, metricName=name) if kind == "binary" else
+          MulticlassClassificationEvaluator(labelCol=label, metricName=name, metricLabel=1.0))
+    gbt = GBTClassifier(labelCol=label, featuresCol=features, seed=C.DEFAULT_RANDOM_STATE,
+                        **(estimator_params or {"maxIter": 20, "maxDepth": 4}))
+    cv = CrossValidator(estimator=gbt, estimatorParamMaps=ParamGridBuilder().build(), evaluator=ev,
+                        foldCol="fold", parallelism=2)
+    model = cv.fit(fold_column(df, key, folds))
+    return float(model.avgMetrics[0])
+
+
+def sample_params(trials: int, seed: int = C.DEFAULT_RANDOM_STATE) -> list[dict]:
+    """Seeded random / log-uniform draws over the tuned ranges (GBT equivalents)."""
+    import random
+    rng = random.Random(seed)
+    out = []
+    for _ in range(trials):
+        out.append({
+            "maxDepth": rng.randint(3, 8),                                  # ~ num_leaves 16..512
+            "stepSize": math.exp(rng.uniform(math.log(0.005), math.log(0.2))),
+            "featureSubsetStrategy": str(round(rng.uniform(0.6, 1.0), 3)),
+            "subsamplingRate": rng.uniform(0.6, 1.0),
+            "minInstancesPerNode": rng.randint(10, 100),
+            "minInfoGain": rng.uniform(0.0, 0.2),
+            "maxIter": 20,
+        })
+    return out
+
+
+def tune(df: DataFrame, key: str, trials: int = 5, folds: int = 3, metric: str = "f1") -> DataFrame:
+    """Baseline vs best sampled parameters by cross-validated score (one row per trial)."""
+    spark = df.sparkSession
+    rows = [("baseline", cv_score(df, key, None, folds, metric))]
+    for i, p in enumerate(sample_params(trials)):
+        rows.append((f"trial_{i}", cv_score(df, key, p, folds, metric)))
+    return spark.createDataFrame(rows, f"trial string, {metric} double")
+
+
+def mask_vector(features: str, indices: list[int], out: str = "masked") -> F.Column:
+    """P10: keep a subset of dimensions (top-k, seeded random, statistics only, PE only)."""
+    arr = vector_to_array(F.col(features))
+    return array_to_vector(F.array(*[arr[i] for i in indices])).alias(out)
+
+
+def feature_gating(df: DataFrame, importance_order: list[int], k_values: list[int], features: str = "vec",
+                   label: str = "label") -> DataFrame:
+    """Refit on the top-k dimensions for each k; accuracy on the test split."""
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    spark = df.sparkSession
+    ev = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
+    rows = []
+    for k in k_values:
+        sub = df.select(label, "split", mask_vector(features, importance_order[:k], "m"))
+        model = train_gbt(sub.where("split = 'train'"), label=label, features="m", max_iter=10, max_depth=4)
+        acc = ev.evaluate(model.transform(sub.where("split = 'test'")))
+        rows.append((k, float(acc)))
+    return spark.createDataFrame(rows, "k int, accuracy double")
+
+
+def calinski_harabasz(df: DataFrame, vec: str, cluster: str) -> DataFrame:
+    """Calinski-Harabasz index by grouped sums (one pass per level, no pairs).
+
+    B = sum_c n_c ||mu_c - mu||^2, W = sum_x ||x - mu_c||^2 = sum_c (S2_c - n_c ||mu_c||^2).
+    """
+    from pyspark.ml.stat import Summarizer
+    v = df.select(F.col(cluster).alias("c"), array_to_vector(F.col(vec)).alias("v"),
+                  F.aggregate(F.col(vec), F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")).alias("sq"))
+    per = v.groupBy("c").agg(Summarizer.mean(F.col("v")).alias("mu"), F.count(F.lit(1)).alias("n"),
+                             F.sum("sq").alias("s2"))
+    per = per.select("c", "n", "s2", vector_to_array("mu").alias("mu"))
+    glob = per.agg(F.sum("n").alias("N"), F.count(F.lit(1)).alias("k"))
+    # global mean = weighted mean of cluster means (k rows: small)
+    mu_all = per.select(F.posexplode("mu").alias("i", "m"), "n").groupBy("i").agg(
+        (F.sum(F.col("m") * F.col("n")) / F.sum("n")).alias("g"))
+    b = (per.select("c", "n", F.posexplode("mu").alias("i", "m")).join(F.broadcast(mu_all), "i")
+            .groupBy("c", "n").agg(F.sum((F.col("m") - F.col("g")) ** 2).alias("d2"))
+            .agg(F.sum(F.col("n") * F.col("d2")).alias("B")))
+    w = per.select((F.col("s2") - F.col("n") * F.aggregate("mu", F.lit(0.0), lambda a, x: a + x * x)).alias("w")) \
+           .agg(F.sum("w").alias("W"))
+    return glob.crossJoin(b).crossJoin(w).select(
+        "N", "k", F.when((F.col("k") > 1) & (F.col("W") > 0),
+                         (F.col("B") / (F.col("k") - 1)) / (F.col("W") / (F.col("N") - F.col("k"))))
+        .otherwise(F.lit(0.0)).alias("calinski_harabasz"))

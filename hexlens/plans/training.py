@@ -68,3 +68,81 @@ def q_kmeans_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = 16
     clustered = TR.kmeans_clusters(p, "pca", k=k)
     return clustered.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _labelled_split(spark, sf_dir):
+    x = labelled_features(spark, sf_dir)
+    return x.where("split <> 'test'"), x.where("split = 'test'")
+
+
+@register("continued_boosting", operators=("M2", "M3", "M4"))
+def q_continued_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boost 5 rounds, continue 5 more with a warm-up schedule; AUC on the test split after each."""
+    from hexlens.operators.boosting import boost
+    train, test = _labelled_split(spark, sf_dir)
+    train = train.select("features", "label")
+    m = boost(train, features="features", rounds=5, depth=3)
+    a1 = M.roc_auc(m.predict(test.select("features", "label"))).first()["auc"]
+    m = boost(train, features="features", rounds=5, depth=3, model=m, warmup=10)
+    a2 = M.roc_auc(m.predict(test.select("features", "label"))).first()["auc"]
+    return spark.createDataFrame([(5, a1), (len(m.stages), a2)], "stages int, auc double")
+
+
+@register("fp_reinforcement", operators=("M5", "M6", "J3", "A30", "U2"))
+def q_fp_reinforcement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Re-weighting (M5) then mining (M6) of validation false positives at threshold 0.5."""
+    from hexlens.operators.boosting import boost, fp_mining, fp_reinforcement
+    x = labelled_features(spark, sf_dir)
+    train = x.where("split = 'train'").select("doc_id", "features", "label")
+    val = x.where("split = 'val'").select("doc_id", "features", "label")
+    m = boost(train, features="features", rounds=3, depth=3)
+    m, h1 = fp_reinforcement(train, val, "doc_id", m, max_iter=2, rounds=2, threshold=0.5, features="features", depth=3)
+    m, h2 = fp_mining(train, val, "doc_id", m, max_iter=2, rounds=2, threshold=0.5, features="features", depth=3)
+    rows = [("reinforce", i, n) for i, n in h1] + [("mining", i, n) for i, n in h2]
+    return spark.createDataFrame(rows, "phase string, iteration int, false_positives long")
+
+
+@register("cv_tune", operators=("M10", "M11"))
+def q_cv_tune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stratified-by-hash 3-fold F1 of the default model and of one sampled parameter set."""
+    x = labelled_features(spark, sf_dir).select("doc_id", "label", F.col("features").alias("vec"))
+    return TR.tune(x, "doc_id", trials=1, folds=3, metric="f1")
+
+
+@register("gating_mlp", operators=("M9",))
+def q_gating_mlp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gate network on routing labels (stand-in: embedding label >= 5 is the packed route)."""
+    e = table(spark, sf_dir, "embeddings")
+    x = TR.assemble(e.withColumn("route", (F.col("label") >= 5).cast("double")), "embedding", "vec")
+    model = TR.train_gating_mlp(x, "vec", "route", hidden=(32, 16), max_iter=30)
+    pred = model.transform(x)
+    return pred.groupBy(F.col("route").cast("int").alias("route"), F.col("prediction").cast("int").alias("gate")) \
+               .agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("feature_gating", operators=("M13", "W9", "P10", "M12"))
+def q_feature_gating(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Refit on the top-k statistics by importance for k = 10, 20, ..., 49."""
+    x = labelled_features(spark, sf_dir)
+    model = TR.train_gbt(x.where("split = 'train'"), max_iter=10, max_depth=4)
+    imp = model.featureImportances.toArray()
+    order = sorted(range(len(imp)), key=lambda i: (-imp[i], i))
+    return TR.feature_gating(x, order, TR.k_schedule(len(imp), 10, 10), features="features")
+
+
+@register("cluster_quality", operators=("A37",), sql="""
+WITH e AS (SELECT vec_id, label AS c, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS d FROM embeddings),
+mc AS (SELECT c, d, avg(x) AS mu FROM e GROUP BY c, d),
+mg AS (SELECT d, avg(x) AS g FROM e GROUP BY d),
+nc AS (SELECT c, count(DISTINCT vec_id) AS n FROM e GROUP BY c),
+b AS (SELECT sum(nc.n * (mc.mu - mg.g) * (mc.mu - mg.g)) AS B FROM mc JOIN mg USING (d) JOIN nc USING (c)),
+w AS (SELECT sum((e.x - mc.mu) * (e.x - mc.mu)) AS W FROM e JOIN mc USING (c, d)),
+g AS (SELECT count(DISTINCT vec_id) AS N, count(DISTINCT c) AS k FROM e)
+SELECT g.N::BIGINT AS N, g.k::BIGINT AS k, round((b.B / (g.k - 1)) / (w.W / (g.N - g.k)), 4) AS calinski_harabasz
+FROM g, b, w
+""")
+def q_cluster_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calinski-Harabasz of the embedding clusters by grouped sums (no pairwise distances)."""
+    ch = TR.calinski_harabasz(table(spark, sf_dir, "embeddings"), "embedding", "label")
+    return ch.select(F.col("N").cast("bigint"), F.col("k").cast("bigint"),
+                     F.round("calinski_harabasz", 4).alias("calinski_harabasz"))
