@@ -68,3 +68,10 @@ def fit_dim(v, n: int, dtype: str = "float") -> tuple[Column, Column]:
 def concat_features(stats, pe) -> Column:
     """49 statistics ++ 1500 PE values, float32."""
     return F.concat(_c(stats).cast("array<float>"), _c(pe).cast("array<float>"))
+
+
+def align_ragged(df, col: str, out: str = "aligned", dtype: str = "double"):
+    """Pad every row's array to the longest one in the table (one scalar aggregate)."""
+    n = df.agg(F.max(F.size(col))).first()[0] or 0
+    fixed, status = fit_dim(col, n, dtype)
+    return df.withColumn(out, fixed).withColumn(out + "_status", status), n

@@ -171,3 +171,24 @@ def featurise(files: DataFrame, key: str = "path", max_file_size: int = C.DEFAUL
     f = f.withColumn("features", F.concat(F.col("stats").cast("array<float>"), F.col("pe_vector")))
     keep = [key, "sha256", "is_pe", "length", "orig_length", "stats", "pe_norm", "pe_vector", "features"]
     return f.select(*keep, *[F.col(f"`{c}`") for c in D.NAMED_SLOTS if c in f.columns and c not in keep])
+
+
+def outcome_status(features: DataFrame) -> F.Column:
+    """A39 status per file: success (PE features), skipped (not a PE file), failed (no bytes)."""
+    return (F.when(F.col("length").isNull() | (F.col("length") == 0), F.lit("failed"))
+             .when(F.col("is_pe"), F.lit("success")).otherwise(F.lit("skipped")))
+
+
+def missing_flags(features: DataFrame) -> dict[str, F.Column]:
+    """0/1 per feature group - 1 when the group is absent for the file."""
+    miss = lambda c: F.col(c).isNull().cast("int")
+    return {"stats_missing": miss("stats"), "attributes_missing": miss("file_entropy_avg"),
+            "header_missing": miss("subsystem"), "sections_missing": miss("sections_count"),
+            "imports_missing": miss("imports_count"), "exports_missing": miss("exports_count")}
+
+
+def outcome_counts(features: DataFrame) -> DataFrame:
+    """A39 + A40: files per outcome and missing-group pattern."""
+    flags = missing_flags(features)
+    return (features.select(outcome_status(features).alias("status"), *[c.alias(k) for k, c in flags.items()])
+                    .groupBy("status", *flags).agg(F.count(F.lit(1)).alias("files")))

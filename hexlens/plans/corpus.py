@@ -340,3 +340,18 @@ def featurise_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     slots = [(_named_value(n, F.col(n), "compat") / F.col("pe_norm")).alias(f"slot_{n}") for n in _SLOT_OUT]
     out = feats.select("doc_id", "is_pe", F.size("features").alias("n_features"), "pe_norm", *slots)
     return round6(out, ["pe_norm"] + [f"slot_{n}" for n in _SLOT_OUT])
+
+
+@register("featurise_outcomes", operators=("A39", "A40", "C3", "P2"), sql="""
+SELECT CASE WHEN octet_length(encode(html)) = 0 THEN 'failed'
+            WHEN substr(hex(encode(html)), 1, 4) = '4D5A' THEN 'success' ELSE 'skipped' END AS status,
+       0 AS stats_missing, 0 AS attributes_missing, 1 AS header_missing, 1 AS sections_missing,
+       1 AS imports_missing, 1 AS exports_missing, count(*)::BIGINT AS files
+FROM pages GROUP BY ALL
+""")
+def featurise_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every web page through the featuriser: outcome and missing feature groups."""
+    from hexlens.operators.featurise import featurise, outcome_counts
+    from hexlens.sources.tables import pages_as_files
+    feats = featurise(pages_as_files(spark, sf_dir).select("path", "length", "content"), "path")
+    return outcome_counts(feats)

@@ -222,3 +222,22 @@ def q_seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
                                              ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]),
                           F.lit(":42")), 256)
     return li.orderBy(key).limit(C.VIS_SAMPLE_SIZE).select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+@register("align_ragged", operators=("P9", "P8", "A23"), sql="""
+WITH w AS (SELECT conv_id, turn, len(string_split(text, ' ')) AS k,
+                  list_sum(list_transform(string_split(text, ' '), lambda x: length(x))) AS s FROM conversations),
+m AS (SELECT max(k) AS mx FROM w)
+SELECT CASE WHEN k < mx THEN 'padded' WHEN k > mx THEN 'truncated' ELSE 'ok' END AS status,
+       count(*)::BIGINT AS n, sum(s)::DOUBLE AS total, max(mx)::INTEGER AS width
+FROM w, m GROUP BY ALL
+""")
+def q_align_ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word-length arrays of every conversation turn, padded to the longest turn."""
+    from hexlens.functions.vectors import align_ragged
+    c = table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.transform(F.split("text", " "), lambda w: F.length(w).cast("double")).alias("v"))
+    a, width = align_ragged(c, "v")
+    return a.groupBy(F.col("aligned_status").alias("status")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.aggregate("aligned", F.lit(0.0), lambda s, x: s + x)).alias("total"),
+        F.lit(width).cast("int").alias("width"))

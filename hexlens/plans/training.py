@@ -146,3 +146,21 @@ def q_cluster_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     ch = TR.calinski_harabasz(table(spark, sf_dir, "embeddings"), "embedding", "label")
     return ch.select(F.col("N").cast("bigint"), F.col("k").cast("bigint"),
                      F.round("calinski_harabasz", 4).alias("calinski_harabasz"))
+
+
+@register("incremental_fit", operators=("T5", "M4", "S5"))
+def q_incremental_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored samples arrive as one file per split; each micro-batch continues the model."""
+    import uuid
+    from hexlens.session import scratch_table_path
+    from hexlens.streaming.incremental import incremental_fit
+    x = labelled_features(spark, sf_dir).select("doc_id", "split", "features", "label")
+    rid = uuid.uuid4().hex[:12]
+    src = scratch_table_path(spark, f"incremental-{rid}/samples")
+    x.repartition(1, "split").write.partitionBy("split").parquet(src)
+    schema = spark.read.parquet(src).select("features", "label").schema
+    model, batches = incremental_fit(spark, src + "/*", schema, scratch_table_path(spark, f"incremental-{rid}/ckpt"),
+                                     rounds=2, depth=3)
+    auc = M.roc_auc(model.predict(x.where("split = 'test'"))).first()["auc"]
+    return spark.createDataFrame([(len(batches), sum(batches), len(model.stages), auc)],
+                                 "batches int, rows long, stages int, auc double")

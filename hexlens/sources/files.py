@@ -145,3 +145,22 @@ def read_metadata_json(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.option("wholetext", "true").text(path)
     m = F.from_json("value", T.MapType(T.StringType(), T.StringType()))
     return raw.select(F.explode(m).alias("filename", "label"))
+
+
+def read_samples(spark: SparkSession, samples_path: str, metadata: DataFrame, max_length: int,
+                 pe_dim: int = 1500) -> DataFrame:
+    """Stored samples for every metadata row; missing ones become zeros with orig_length 0.
+
+    ``byte_sequence`` is zero padded / truncated to ``max_length``, the PE
+    vector to ``pe_dim``.  A left join from the metadata keeps every listed file.
+    """
+    s = spark.read.parquet(samples_path)
+    j = metadata.select("filename", "label").join(s, "filename", "left")
+    seq = F.coalesce(F.col("byte_sequence"), F.lit(b"").cast("binary"))
+    pad = F.unhex(F.repeat(F.lit("00"), F.greatest(F.lit(max_length) - F.length(seq), F.lit(0))))
+    pe = F.coalesce(F.col("pe_features").cast("array<float>"), F.array().cast("array<float>"))
+    pe_fixed = F.slice(F.concat(pe, F.array_repeat(F.lit(0.0).cast("float"), pe_dim)), 1, pe_dim)
+    return j.select("filename", "label",
+                    F.substring(F.concat(seq, pad), 1, max_length).alias("byte_sequence"),
+                    pe_fixed.alias("pe_features"),
+                    F.least(F.coalesce(F.col("orig_length"), F.lit(0)), F.lit(max_length)).cast("int").alias("orig_length"))
