@@ -108,3 +108,31 @@ def test_import_export_reloc_parsing():
                     ("kernel32.dll", None, 5), ("ws2_32.dll", "connect", None)]
     assert h["exports_count"] == 3 and h["export_names"] == ["ExportOne", "Ex2"]
     assert (h["reloc_blocks"], h["reloc_entries"]) == (2, 6)
+
+
+def test_featurise_full_row(spark):
+    import os
+    from hexlens.operators.featurise import featurise, outcome_counts
+    from hexlens.plans import dims as D
+    idata, dirs = make_idata()
+    pe = make_pe([(".text", os.urandom(4096), 4000, 0x60000020), ("UPX1", os.urandom(512), 0x200, 0xE0000020),
+                  (".idata", idata, 0x400, 0x40000040)], dirs=dirs, overlay=os.urandom(2048))
+    df = spark.createDataFrame([("a.exe", len(pe), pe), ("b.txt", 5, b"hello"), ("c.bin", 0, b"")],
+                               "path string, length long, content binary")
+    rows = {r.path: r for r in featurise(df).collect()}
+    a, b = rows["a.exe"], rows["b.txt"]
+    assert len(a.features) == 1549 and len(b.features) == 1549
+    assert a.is_pe and not b.is_pe
+    assert sum(v * v for v in a.pe_vector) == pytest.approx(1.0, rel=1e-5)
+    assert a.imports_count == 2 and a.unique_apis == 3 and a.exports_count == 3
+    assert a.imported_system_dlls_count == 1 and a["has_upx_section"] == 1
+    assert a.packer_keyword_hits_count == 1 and a.trailing_data_size == 2048
+    # hash slots: the file's dll / api / section names set their slots
+    assert sum(1 for v in a.pe_vector[:256] if v > 0) >= 5
+    # the non-PE file only carries file attributes in its PE vector
+    nz = [D.NAMED_SLOTS[i] for i, v in enumerate(b.pe_vector[256:384]) if v != 0]
+    assert set(nz) <= {"size", "log_size", "file_entropy_avg", "file_entropy_min", "file_entropy_max",
+                       "printable_byte_ratio", "file_entropy_q25", "file_entropy_q75", "file_entropy_median",
+                       "zero_byte_ratio"}
+    oc = {r.status: r.files for r in outcome_counts(featurise(df)).collect()}
+    assert oc == {"success": 1, "skipped": 1, "failed": 1}
