@@ -77,27 +77,37 @@ def _stat_slices(n: Column):
     return starts, lens
 
 
-def _with_diff_stats(df: DataFrame, values: Column, names: list[str], tmp: str) -> DataFrame:
+def _with_diff_stats(df: DataFrame, groups: list[tuple[Column, list[str], str]]) -> DataFrame:
     """Mean |d|, population std, max, min of consecutive differences.
 
     Values are rounded to float32 first and differenced in float32, as the
     reference does; the four summaries are then taken in double.  The
-    difference array and its mean are materialised as columns first, so each
-    higher-order function runs once per row.
+    difference arrays and their means are materialised as columns first (one
+    projection per level for all groups), so each higher-order function runs
+    once per row.
     """
-    out = df.withColumn(tmp + "_v", values)
-    v = F.col(tmp + "_v")
-    out = out.withColumn(tmp + "_d", F.transform(F.sequence(F.lit(1), F.size(v) - 1),
-                                                 lambda i: (F.element_at(v, i + 1) - F.element_at(v, i)).cast("double")))
-    d = F.col(tmp + "_d")
-    m = F.size(d)
-    out = out.withColumn(tmp + "_m", F.aggregate(d, F.lit(0.0), lambda a, x: a + x) / m)
-    mean = F.col(tmp + "_m")
-    stats = [F.aggregate(d, F.lit(0.0), lambda a, x: a + F.abs(x)) / m,
-             F.sqrt(F.aggregate(d, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / m),
-             F.array_max(d), F.array_min(d)]
-    out = out.select("*", *[c.cast("double").alias(n) for c, n in zip(stats, names)])
-    return out.drop(tmp + "_v", tmp + "_d", tmp + "_m")
+    out = df.withColumns({tmp + "_v": values for values, _, tmp in groups})
+
+    def diffs(v):
+        return F.transform(F.sequence(F.lit(1), F.size(v) - 1),
+                           lambda i: (F.element_at(v, i + 1) - F.element_at(v, i)).cast("double"))
+
+    out = out.withColumns({tmp + "_d": diffs(F.col(tmp + "_v")) for _, _, tmp in groups})
+    out = out.withColumns({tmp + "_m": F.aggregate(F.col(tmp + "_d"), F.lit(0.0), lambda a, x: a + x)
+                           / F.size(F.col(tmp + "_d")) for _, _, tmp in groups})
+    stats = {}
+    for _, names, tmp in groups:
+        d, mean, m = F.col(tmp + "_d"), F.col(tmp + "_m"), F.size(F.col(tmp + "_d"))
+        vals = [F.aggregate(d, F.lit(0.0), lambda a, x: a + F.abs(x)) / m,
+                F.sqrt(F.aggregate(d, F.lit(0.0), _sq_dev(mean)) / m),
+                F.array_max(d), F.array_min(d)]
+        stats.update({n: v.cast("double") for n, v in zip(names, vals)})
+    out = out.withColumns(stats)
+    return out.drop(*[tmp + sfx for _, _, tmp in groups for sfx in ("_v", "_d", "_m")])
+
+
+def _sq_dev(mean: Column):
+    return lambda a, x: a + (x - mean) * (x - mean)
 
 
 def window_slices(n: Column):
@@ -123,8 +133,8 @@ def stats_from_profiles(df: DataFrame, prof: str, first: int = 0, prefix: str =
     out = df.select("*", *[c.cast("double").alias(prefix + name) for c, name in zip(cols, STAT_NAMES)])
     chunk_means = F.array(*[F.col(prefix + f"chunk{i}_mean").cast("float") for i in range(C.STAT_CHUNK_COUNT)])
     chunk_stds = F.array(*[F.col(prefix + f"chunk{i}_std").cast("float") for i in range(C.STAT_CHUNK_COUNT)])
-    out = _with_diff_stats(out, chunk_means, [prefix + n for n in STAT_NAMES[n_direct:n_direct + 4]], "_cmd")
-    out = _with_diff_stats(out, chunk_stds, [prefix + n for n in STAT_NAMES[n_direct + 4:]], "_csd")
+    out = _with_diff_stats(out, [(chunk_means, [prefix + n for n in STAT_NAMES[n_direct:n_direct + 4]], "_cmd"),
+                                 (chunk_stds, [prefix + n for n in STAT_NAMES[n_direct + 4:]], "_csd")])
     return out.withColumn(prefix + "stats", F.array(*[F.col(prefix + n).cast("float") for n in STAT_NAMES]))
 
 
@@ -188,16 +198,17 @@ def attr_slices(content: Column, sample_size: int = C.ENTROPY_SAMPLE_SIZE, strid
 def attrs_from_profiles(df: DataFrame, prof_col: str, first: int, k: Column, size: str = "length") -> DataFrame:
     """size, log_size and the 14 entropy/ratio features from 11 profiles at ``first``."""
     prof = F.col(prof_col)
-    out = df.withColumn("_fa_k", k)
     kk = F.col("_fa_k")
+    out = df.withColumn("_fa_k", k)
     out = out.withColumn("_fa_e", F.transform(F.slice(prof, first + 2, kk), lambda s: s["entropy"]))
     ents = F.col("_fa_e")
-    out = out.withColumn("_fa_mean", F.when(kk > 0, F.aggregate(ents, F.lit(0.0), lambda a, x: a + x) / kk))
     steps = F.when(kk > 1, F.sequence(F.lit(1), kk - 1)).otherwise(F.array().cast("array<int>"))
-    out = out.withColumn("_fa_d", F.transform(steps, lambda i: F.element_at(ents, i + 1) - F.element_at(ents, i)))
+    out = out.withColumns({
+        "_fa_mean": F.when(kk > 0, F.aggregate(ents, F.lit(0.0), lambda a, x: a + x) / kk),
+        "_fa_d": F.transform(steps, lambda i: F.element_at(ents, i + 1) - F.element_at(ents, i)),
+        "_fa_srt": F.array_sort(ents)})
     d = F.col("_fa_d")
     out = out.withColumn("_fa_dmean", F.when(kk > 1, F.aggregate(d, F.lit(0.0), lambda a, x: a + x) / (kk - 1)))
-    out = out.withColumn("_fa_srt", F.array_sort(ents))
     srt, mean_e, ch_mean = F.col("_fa_srt"), F.col("_fa_mean"), F.col("_fa_dmean")
     whole = prof[first]
     overall = whole["entropy"]

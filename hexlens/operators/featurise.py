@@ -111,11 +111,13 @@ def featurise(files: DataFrame, key: str = "path", max_file_size: int = C.DEFAUL
         "entropy", F.when(p["n"] >= C.SECTION_ENTROPY_MIN_SIZE, p["entropy"]).otherwise(F.lit(0.0)))))
     ov = F.element_at("_sp", -1)
     tsize = ov_len.cast("double")
-    f = (f.withColumn("trailing_data_size", tsize)
-          .withColumn("trailing_data_ratio", tsize / (F.col("length").cast("double") + 1))
-          .withColumn("has_large_trailing_data", (tsize >= C.LARGE_TRAILING_DATA_SIZE).cast("double"))
-          .withColumn("overlay_entropy", F.when(tsize >= C.OVERLAY_ENTROPY_MIN_SIZE, ov["entropy"]).otherwise(0.0))
-          .withColumn("overlay_high_entropy_flag", (F.col("overlay_entropy") > C.ENTROPY_HIGH_THRESHOLD).cast("double")))
+    oe = F.when(tsize >= C.OVERLAY_ENTROPY_MIN_SIZE, ov["entropy"]).otherwise(0.0)
+    f = f.withColumns({
+        "trailing_data_size": tsize,
+        "trailing_data_ratio": tsize / (F.col("length").cast("double") + 1),
+        "has_large_trailing_data": (tsize >= C.LARGE_TRAILING_DATA_SIZE).cast("double"),
+        "overlay_entropy": oe,
+        "overlay_high_entropy_flag": (oe > C.ENTROPY_HIGH_THRESHOLD).cast("double")})
     # byte window statistics (49) and file-prefix attributes (16) from the same profiles
     f = B.stats_from_profiles(f, "_sp", 0)
     f = B.attrs_from_profiles(f, "_sp", B.WINDOW_SLICES, k, "length")
