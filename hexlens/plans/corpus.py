@@ -302,7 +302,8 @@ _SLOT_OUT = ["size", "log_size", "file_entropy_avg", "file_entropy_max", "printa
              "high_entropy_ratio", "file_entropy_median"]
 
 
-@register("featurise_documents", operators=("C3", "F2", "F3", "F4", "F5", "F6", "P13"), sql=_FA_SQL + f""",
+@register("featurise_documents", operators=("C3", "F2", "F3", "F4", "F5", "F6", "P13", "A11", "A12", "A13", "A15", "A17",
+                                           "A20", "A38", "F10", "J7"), sql=_FA_SQL + f""",
 raw AS (
   SELECT meta.doc_id, meta.size AS size, ln(meta.size + 1) AS log_size, coalesce(overall.e, 0) AS e_avg,
          coalesce(bs.mn, overall.e, 0) AS e_min, coalesce(bs.mx, overall.e, 0) AS e_max,
@@ -355,3 +356,27 @@ def featurise_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hexlens.sources.tables import pages_as_files
     feats = featurise(pages_as_files(spark, sf_dir).select("path", "length", "content"), "path")
     return outcome_counts(feats)
+
+
+@register("gating_summary", operators=("A36", "F13", "F12"), sql=_FA_SQL + """,
+sig AS (
+  SELECT meta.doc_id, coalesce(bs.hi, 0) AS he,
+         (CASE WHEN coalesce(bs.hi, 0) > 0.8 THEN 1 ELSE 0 END) AS votes
+  FROM meta LEFT JOIN bs USING (doc_id)
+)
+SELECT CASE WHEN votes >= 2 THEN 'packed' ELSE 'normal' END AS decision, 0 AS routing_label,
+       count(*)::BIGINT AS files
+FROM sig GROUP BY ALL
+""")
+def gating_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five-signal vote (>= 2 -> packed) and the training routing rule, per decision.
+
+    Documents carry no sections or overlay, so those signals are 0; the entropy
+    signal comes from the file-prefix blocks.
+    """
+    from hexlens.functions.routing import gate_vote, routing_label
+    fa = B.file_attributes(documents_as_files(spark, sf_dir).select("doc_id", "length", "content"))
+    v = fa.select(gate_vote("high_entropy_ratio", 0.0, 0.0, 0.0, []).alias("packed"),
+                  routing_label(0.0, 0.0).alias("routing_label"))
+    return (v.select(F.when(F.col("packed") == 1, "packed").otherwise("normal").alias("decision"), "routing_label")
+             .groupBy("decision", "routing_label").agg(F.count(F.lit(1)).alias("files")))

@@ -194,3 +194,16 @@ def q_request_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select("event_id", F.lit(1).alias("version"), F.col("event_id").cast("string").alias("id"),
                      ok.alias("ok"), F.when(ok, props["k"]).alias("k"),
                      F.when(~ok, F.lit("SCAN_FAILED")).alias("error_code"))
+
+
+@register("path_guard", operators=("P1", "F9"), sql=f"""
+WITH {_FILES_SQL}
+SELECT doc_id, path, regexp_extract(path, '[^/]+$') AS name, source AS parent
+FROM files WHERE length(path) > 0 AND strpos(path, chr(0)) = 0
+  AND (path = 'src1' OR starts_with(path, 'src1/'))
+""")
+def q_path_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files inside the allowed root ``src1`` (equal, or prefix plus separator; src10 is outside)."""
+    f = documents_as_files(spark, sf_dir).select("doc_id", "path")
+    return f.where(SF.path_guard("path", "src1")).select(
+        "doc_id", "path", SF.base_name("path").alias("name"), SF.parent_name("path").alias("parent"))

@@ -161,3 +161,17 @@ def q_scan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   F.avg("confidence").alias("avg_confidence"),
                                   F.min("confidence").alias("min_confidence"))
     return round6(out, ["avg_confidence", "min_confidence"])
+
+
+@register("malicious_only", operators=("P4", "A22"), sql=f"""
+WITH {SCORED_CTE}
+SELECT path, {r6('score')} AS score, (SELECT count_if(label = 1) FROM scored)::BIGINT AS n_malicious,
+       (SELECT count_if(label <> 1) FROM scored)::BIGINT AS n_benign
+FROM scored WHERE label = 1
+""")
+def q_malicious_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Malicious rows (label 1) with the counts of both classes (one pass for the counts)."""
+    s = scored(spark, sf_dir)
+    counts = s.agg(F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).cast("bigint").alias("n_malicious"),
+                   F.sum(F.when(F.col("label") == 1, 0).otherwise(1)).cast("bigint").alias("n_benign"))
+    return round6(s.where("label = 1").select("path", "score").crossJoin(F.broadcast(counts)), ["score"])
