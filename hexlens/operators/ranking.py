@@ -10,9 +10,11 @@ its rows to one task.  These helpers use the two-pass form instead:
    counts - a table of at most #groups + #partitions rows;
 3. add the per-(partition, group) offsets back with a join.
 
-Both branches read the same range exchange (Spark reuses it), so the
-numbering is consistent.  Used by exact per-group quantiles (A27), ROC
-cumulative counts (W6) and noise-id numbering (W7).
+The numbered (or locally accumulated) rows are written once to the shared
+checkpoint folder before the two branches read them, so the per-partition
+offsets and the rows always agree - even if an executor is lost and a stage
+is recomputed with a different row order.  Used by exact per-group
+quantiles (A27), ROC cumulative counts (W6) and noise-id numbering (W7).
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hexlens.session import materialize
+
 
 def _partitions(df: DataFrame, n: int | None) -> int:
     return n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -38,6 +42,7 @@ def rank_within_group(df: DataFrame, group_cols: list[str], order_cols: list[Col
            .sortWithinPartitions(*keys)
            .withColumn("_pid", F.spark_partition_id())
            .withColumn("_mid", F.monotonically_increasing_id()))
+    s = materialize(s, "rank-within-group")
     stats = s.groupBy("_pid", *group_cols).agg(F.count(F.lit(1)).alias("_cnt"), F.min("_mid").alias("_first"))
     before = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     stats = stats.withColumn("_off", F.coalesce(F.sum("_cnt").over(before), F.lit(0)))
@@ -96,8 +101,8 @@ def running_totals(df: DataFrame, order_cols: list[Column], sum_cols: list[str],
                 prev[c] = float(cs.iloc[-1])
             yield pdf
 
-    local = s.mapInPandas(local_cumsum, schema)
-    totals = s.groupBy("_pid").agg(*[F.sum(F.col(c).cast("double")).alias(f"_tot_{c}") for c in sum_cols])
+    local = materialize(s.mapInPandas(local_cumsum, schema), "running-totals")
+    totals = local.groupBy("_pid").agg(*[F.sum(F.col(c).cast("double")).alias(f"_tot_{c}") for c in sum_cols])
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_pid", *[F.coalesce(F.sum(f"_tot_{c}").over(before), F.lit(0.0)).alias(f"_off_{c}")
                                       for c in sum_cols])
