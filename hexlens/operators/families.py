@@ -21,6 +21,7 @@ from hexlens.operators.ranking import group_quantile, rank_within_group
 
 # model parameters above this size are not broadcast in one piece
 BROADCAST_MODEL_BYTES = 256 * 1024 * 1024
+BROADCAST_META_ROWS = 1_000_000
 
 
 # ---------------------------------------------------------------------------
@@ -152,8 +153,11 @@ def nearest_centroid(df: DataFrame, x: str, model: DataFrame, id_col: str) -> Da
             u = u.unionByName(r)
         best = u.groupBy(id_col).agg(F.min(F.struct("distance", "nearest_cluster_id")).alias("_b")) \
                 .select(id_col, "_b.nearest_cluster_id", "_b.distance")
-    out = df.join(best, id_col).join(
-        F.broadcast(meta.withColumnRenamed("cluster_id", "nearest_cluster_id")), "nearest_cluster_id", "left")
+    meta = meta.withColumnRenamed("cluster_id", "nearest_cluster_id")
+    # k rows of (id, threshold, name): broadcast while k is within the model bound, else a plain join
+    if k <= BROADCAST_META_ROWS:
+        meta = F.broadcast(meta)
+    out = df.join(best, id_col).join(meta, "nearest_cluster_id", "left")
     known = F.col("distance") <= F.col("threshold")
     return (out.withColumn("cluster_id", F.when(known, F.col("nearest_cluster_id")))
                .withColumn("family_name", F.when(known, F.col("family_name")).otherwise(F.lit(C.NEW_FAMILY_NAME)))
