@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from hexlens import config as C
 from hexlens.functions.vectors import l2_distance, standardise
 from hexlens.operators.ranking import group_quantile, rank_within_group
+from hexlens.session import materialize
 
 # model parameters above this size are not broadcast in one piece
 BROADCAST_MODEL_BYTES = 256 * 1024 * 1024
@@ -80,7 +81,9 @@ def family_fit(df: DataFrame, vec: str, cluster: str, names: DataFrame | None =
         model = model.join(names.select(F.col("cluster_id").cast("int"), "family_name"), "cluster_id", "left")
     else:
         model = model.withColumn("family_name", F.format_string(C.FAMILY_NAME_FORMAT, "cluster_id", "n"))
-    return model.select("cluster_id", "centroid", "threshold", "family_name", "n"), scaler
+    # both are small parameter tables reused by every consumer: write them once
+    model = materialize(model.select("cluster_id", "centroid", "threshold", "family_name", "n"), "family-model")
+    return model, materialize(scaler, "family-scaler")
 
 
 # ---------------------------------------------------------------------------
@@ -93,23 +96,24 @@ NEAREST_SCHEMA = T.StructType([
 ])
 
 
-def _nearest_udf(ids: np.ndarray, cents: np.ndarray):
+def _nearest_udf(bc):
     """Arrow UDF: argmin Euclidean distance against a broadcast centroid block.
 
-    Ties go to the smallest cluster id (ids are sorted ascending and argmin
-    returns the first minimum).
+    ``bc`` is a Spark broadcast of ``(ids, centroids)``: executors fetch it
+    once, the UDF closure only carries the handle.  Ties go to the smallest
+    cluster id (ids are sorted ascending and argmin returns the first minimum).
     """
-    bc_norm = (cents * cents).sum(axis=1)
 
     @F.pandas_udf(NEAREST_SCHEMA)
     def nearest(x: pd.Series) -> pd.DataFrame:
+        ids, cents = bc.value
         if len(x) == 0:
             return pd.DataFrame({"nearest_cluster_id": pd.Series([], dtype="int32"),
                                  "distance": pd.Series([], dtype="float64")})
         X = np.stack(x.to_numpy()).astype(np.float64)
         if X.shape[1] != cents.shape[1]:
             raise ValueError(f"dimension mismatch: rows {X.shape[1]} vs centroids {cents.shape[1]}")
-        d2 = (X * X).sum(axis=1)[:, None] - 2.0 * X @ cents.T + bc_norm[None, :]
+        d2 = (X * X).sum(axis=1)[:, None] - 2.0 * X @ cents.T + (cents * cents).sum(axis=1)[None, :]
         j = np.argmin(d2, axis=1)
         # exact distance for the winner (the expansion above is only used to rank)
         best = np.sqrt(((X - cents[j]) ** 2).sum(axis=1))
@@ -140,8 +144,7 @@ def nearest_centroid(df: DataFrame, x: str, model: DataFrame, id_col: str) -> Da
         block = ordered.offset(start).limit(rows_per_block).collect() if k > rows_per_block else ordered.collect()
         ids = np.array([r[0] for r in block], dtype=np.int64)
         cents = np.array([r[1] for r in block], dtype=np.float64)
-        bc = spark.sparkContext.broadcast((ids, cents))
-        udf = _nearest_udf(*bc.value)
+        udf = _nearest_udf(spark.sparkContext.broadcast((ids, cents)))
         results.append(df.select(id_col, udf(F.col(x)).alias("_nn")).select(id_col, "_nn.*"))
         if k <= rows_per_block:
             break
