@@ -56,6 +56,33 @@ def _named_value(name: str, col: Column, profile: str) -> Column:
     return F.coalesce(v, F.lit(0.0)) * C.NAMED_SLOT_SCALE
 
 
+def _named_value_sql(name: str, present: bool, profile: str) -> str:
+    """SQL text of :func:`_named_value` (one parse for all 128 slots instead of many
+    Column round trips while building the plan)."""
+    if not present:
+        return "0.0D"
+    v = f"CAST(`{name}` AS DOUBLE)"
+    if profile == "compat":
+        if name in D.NUMPY_INT_SLOTS:
+            v = "0.0D"
+        elif "size" in name:
+            v = f"({v} / {C.SIZE_NORM_MAX}D)"
+        elif name == "timestamp":
+            v = f"({v} / {C.TIMESTAMP_MAX}D)"
+        elif name == "timestamp_year":
+            v = f"(({v} - {C.TIMESTAMP_YEAR_BASE}D) / {C.TIMESTAMP_YEAR_SPAN}D)"
+    else:
+        if name in D.SIZE_SLOTS:
+            v = f"({v} / {C.SIZE_NORM_MAX}D)"
+        elif name == "log_size":
+            v = f"({v} / {math.log(C.SIZE_NORM_MAX)!r}D)"
+        elif name == "timestamp":
+            v = f"({v} / {C.TIMESTAMP_MAX}D)"
+        elif name == "timestamp_year":
+            v = f"(({v} - {C.TIMESTAMP_YEAR_BASE}D) / {C.TIMESTAMP_YEAR_SPAN}D)"
+    return f"(coalesce({v}, 0.0D) * {C.NAMED_SLOT_SCALE}D)"
+
+
 def _with_l2_normalised(df: DataFrame, src: str, out: str, norm_out: str | None = None) -> DataFrame:
     """F3 as two projections: the norm is a column, so the division does not
     re-evaluate the sum for every element."""
@@ -162,11 +189,8 @@ def featurise(files: DataFrame, key: str = "path", max_file_size: int = C.DEFAUL
     imp_feats = PF.import_features(imp_rows, key)
     f = f.join(sec_feats, key, "left").join(mism, key, "left").join(imp_feats, key, "left")
     # named slots (missing -> 0) and the vectors
-    named = []
-    for name in D.NAMED_SLOTS:
-        col = F.col(f"`{name}`") if name in f.columns else F.lit(0.0)
-        named.append(_named_value(name, col, profile))
-    pe_raw = F.concat(F.transform("_hash", lambda x: x * C.HASH_SLOT_SCALE), F.array(*named),
+    named = F.expr("array(" + ", ".join(_named_value_sql(n, n in f.columns, profile) for n in D.NAMED_SLOTS) + ")")
+    pe_raw = F.concat(F.transform("_hash", lambda x: x * C.HASH_SLOT_SCALE), named,
                       F.array_repeat(F.lit(0.0), C.PE_FEATURE_VECTOR_DIM - C.HASH_SLOT_DIM - len(D.NAMED_SLOTS)))
     f = _with_l2_normalised(f.withColumn("_pe_raw", pe_raw), "_pe_raw", "_pe_unit", norm_out="pe_norm")
     f = f.withColumn("pe_vector", F.col("_pe_unit").cast("array<float>"))

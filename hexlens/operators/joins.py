@@ -59,6 +59,15 @@ def keyword_hits(text, keywords: list[str]) -> Column:
     return sum(F.when(F.instr(t, kw.lower()) > 0, 1).otherwise(0) for kw in keywords)
 
 
+def keyword_hits_sql(text_sql: str, keywords: list[str]) -> Column:
+    """J6 as one SQL expression over a SQL text expression (cheap to plan for long lists)."""
+    if not keywords:
+        return F.lit(0)
+    t = f"lower({text_sql})"
+    body = " + ".join(f"CASE WHEN instr({t}, '{kw.lower()}') > 0 THEN 1 ELSE 0 END" for kw in keywords)
+    return F.expr(f"({body})")
+
+
 def any_keyword(text, keywords: list[str]) -> Column:
     return keyword_hits(text, keywords) > 0
 

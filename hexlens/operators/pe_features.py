@@ -189,7 +189,7 @@ def import_features(imports: DataFrame, file_key: str, system_dlls: list[str] =
     expressions over the fixed lists; the system-DLL semi join (J7) is an
     ``isin`` over the fixed list.
     """
-    from hexlens.operators.joins import keyword_hits
+    from hexlens.operators.joins import keyword_hits_sql
     cats = categories or {"network": C.API_CATEGORY_NETWORK, "process": C.API_CATEGORY_PROCESS,
                           "filesystem": C.API_CATEGORY_FILESYSTEM, "registry": C.API_CATEGORY_REGISTRY}
     named = F.col("api").isNotNull()
@@ -201,7 +201,7 @@ def import_features(imports: DataFrame, file_key: str, system_dlls: list[str] =
         F.sum(F.when(ordinal_only, 1.0).otherwise(0.0)).alias("import_ordinal_only_count"),
         F.sum(F.when(named & (F.lower("api").startswith("nt") | F.lower("api").startswith("zw")), 1.0)
                .otherwise(0.0)).alias("_syscall"),
-        *[F.sum(F.when(named & ((keyword_hits(F.concat_ws(" ", F.lower("dll"), F.lower("api")), kws) > 0)), 1.0)
+        *[F.sum(F.when(named & (keyword_hits_sql("concat_ws(' ', dll, api)", kws) > 0), 1.0)
                 .otherwise(0.0)).alias(f"_cat_{c}") for c, kws in cats.items()])
     desc = imports.select(file_key, "entry_pos", "dll").dropDuplicates([file_key, "entry_pos"])
     stem = F.split(F.col("dll"), r"\.")[0]
