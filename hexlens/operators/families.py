@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -208,6 +208,11 @@ def noise_ids(df: DataFrame, cluster: str, order_col: str, out: str = "family_id
 
 
 def first_n_per_class(df: DataFrame, label: str, order_col: str, n: int = C.FAST_DEV_PER_CLASS) -> DataFrame:
-    """First n rows of each label in ``order_col`` order (WindowGroupLimit)."""
-    w = Window.partitionBy(label).orderBy(order_col)
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+    """First n rows of each label in ``order_col`` order.
+
+    A ``row_number`` window would put a whole label in one task (Spark only
+    pre-limits per partition for n <= 1000), and one label may hold a third of
+    all rows; the two-pass rank splits every label across partitions instead.
+    """
+    ranked = rank_within_group(df, [label], [order_col], out="_rn")
+    return ranked.where(F.col("_rn") < n).drop("_rn")

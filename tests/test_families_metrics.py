@@ -114,3 +114,11 @@ def test_confusion_and_report(spark):
     assert rep["Malicious"].recall == pytest.approx(1 / 3)
     one = {r.class_name: r for r in M.classification_report(_scored(spark, [(0, 0.1), (0, 0.2)])).collect()}
     assert one["Malicious"].precision == 0.0 and one["Malicious"].f1 == 0.0
+
+
+def test_first_n_per_class_with_hot_label(spark):
+    rows = [(i, 0 if i % 10 else 1) for i in range(1000)]   # label 0 holds 90 % of rows
+    df = spark.createDataFrame(rows, "id long, label int")
+    got = FM.first_n_per_class(df, "label", "id", n=5).collect()
+    assert sorted(r.id for r in got if r.label == 0) == [1, 2, 3, 4, 5]
+    assert sorted(r.id for r in got if r.label == 1) == [0, 10, 20, 30, 40]
