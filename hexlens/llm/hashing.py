@@ -130,3 +130,35 @@ def window_valid(first: np.ndarray, k: int) -> np.ndarray:
     np.add.at(bad, lo, 1)
     np.add.at(bad, first[1:], -1)
     return np.cumsum(bad)[: n - k + 1] == 0
+
+
+@lru_cache(4)
+def token_classes() -> np.ndarray:
+    """0 for white space, 1 for letters and digits, 2 for everything else."""
+    t = np.where(letter_table(), 1, 2).astype(np.uint8)
+    t[~space_table()] = 0
+    return t
+
+
+def tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Like ``spans``, with runs of letters and runs of marks as tokens of their own."""
+    kind = token_classes()[buf]
+    n = len(buf)
+    edge = np.zeros(n + 1, bool)
+    edge[off] = True
+    if n > 1:
+        edge[1:n] |= kind[1:] != kind[:-1]
+    inside = kind != 0
+    starts = np.flatnonzero(inside & edge[:n])
+    ends = np.flatnonzero(inside & edge[1:]) + 1
+    return starts, ends, np.searchsorted(starts, off)
+
+
+def row_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the values of each row; rows without values get zeros."""
+    n = len(first) - 1
+    out = np.zeros((n, *values.shape[1:]), np.float64)
+    full = np.flatnonzero(np.diff(first))
+    if len(full):
+        out[full] = np.add.reduceat(values, first[:-1][full], axis=0, dtype=np.float64)
+    return out

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hexlens.llm import packing, token_counts
+from hexlens.llm import packing, quality, token_counts, toxicity
 from hexlens.llm.common import prepare, table
 
 
@@ -13,10 +13,21 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op5_token_counts": op5_token_counts, "op7_packing": op7_packing}
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op5_token_counts": op5_token_counts, "op6_quality": op6_quality, "op7_packing": op7_packing,
+           "op8_toxicity": op8_toxicity}
 SQL: dict[str, str] = {}
