@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hexlens.llm import packing, quality, token_counts, toxicity
+from hexlens.llm import language, neighbours, packing, quality, token_counts, toxicity, urls
 from hexlens.llm.common import prepare, table
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
@@ -28,6 +38,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op5_token_counts": op5_token_counts, "op6_quality": op6_quality, "op7_packing": op7_packing,
-           "op8_toxicity": op8_toxicity}
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op3_neighbours": op3_neighbours, "op4_language": op4_language, "op5_token_counts": op5_token_counts, "op6_quality": op6_quality, "op7_packing": op7_packing,
+           "op8_toxicity": op8_toxicity, "op9_urls": op9_urls}
 SQL: dict[str, str] = {}
