@@ -3,11 +3,30 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hexlens.llm import language, neighbours, packing, quality, token_counts, toxicity, urls
+from hexlens.llm import language, neighbours, packing, quality, substring, token_counts, toxicity, urls
 from hexlens.llm.common import prepare, table
 
 
+def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return substring.dedup(table(spark, sf_dir, "documents")).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("ss_n_words").alias("n_words"), F.col("ss_n_removed").alias("n_removed"),
+        F.sha2("ss_kept", 256).alias("kept_sha256"))
+
+
+OP1_SQL = r"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT r, i, array_to_string(ws[i:i + 34], ' ') AS k FROM (SELECT r, ws, unnest(range(1, len(ws) - 33)) AS i FROM w WHERE len(ws) >= 35)),
+d AS (SELECT sha256(k) AS h FROM s GROUP BY 1 HAVING count(*) > 1),
+g AS (SELECT r, list(DISTINCT p) AS gone FROM (SELECT r, unnest(range(i, i + 35)) AS p FROM s WHERE sha256(k) IN (SELECT h FROM d)) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+  sha256(coalesce(array_to_string(CASE WHEN gone IS NULL THEN ws ELSE list_filter(ws, lambda x, i: NOT list_contains(gone, i)) END, ' '), '')) AS kept_sha256
+FROM w LEFT JOIN g USING (r)
+"""
+
+
 def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return neighbours.nearest(table(spark, sf_dir, "embeddings"))
@@ -43,6 +62,6 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op3_neighbours": op3_neighbours, "op4_language": op4_language, "op5_token_counts": op5_token_counts, "op6_quality": op6_quality, "op7_packing": op7_packing,
+QUERIES = {"op1_substring": op1_substring, "op3_neighbours": op3_neighbours, "op4_language": op4_language, "op5_token_counts": op5_token_counts, "op6_quality": op6_quality, "op7_packing": op7_packing,
            "op8_toxicity": op8_toxicity, "op9_urls": op9_urls}
-SQL: dict[str, str] = {}
+SQL = {"op1_substring": OP1_SQL}
