@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hexlens.llm import language, neighbours, packing, quality, substring, token_counts, toxicity, urls
+from hexlens.llm import jaccard, language, neighbours, packing, quality, substring, token_counts, toxicity, urls
 from hexlens.llm.common import prepare, table
 
 
@@ -27,6 +27,25 @@ FROM w LEFT JOIN g USING (r)
 """
 
 
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
+OP2_SQL = r"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT DISTINCT r, k FROM (SELECT r, array_to_string(ws[i:i + 4], ' ') AS k FROM (SELECT r, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0))),
+n AS (SELECT r, count(*) AS n FROM g GROUP BY r),
+p AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM g a JOIN g b ON a.k = b.k AND a.r <> b.r GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN n a ON a.r = x JOIN n b ON b.r = y WHERE 5 * c >= 4 * (a.n + b.n - c)),
+t(x, y) AS (SELECT x, y FROM e UNION SELECT t.x, e.y FROM t JOIN e ON t.y = e.x),
+c AS (SELECT x AS r, min(doc_id) AS d FROM t JOIN w ON w.r = t.y GROUP BY x),
+l AS (SELECT x AS r, count(*) AS n_links FROM e GROUP BY x)
+SELECT doc_id, CASE WHEN c.d IS NULL THEN doc_id ELSE least(c.d, doc_id) END AS class_id, coalesce(n_links, 0)::BIGINT AS n_links
+FROM w LEFT JOIN c USING (r) LEFT JOIN l USING (r)
+"""
+
+
 def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return neighbours.nearest(table(spark, sf_dir, "embeddings"))
@@ -62,6 +81,6 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op1_substring": op1_substring, "op3_neighbours": op3_neighbours, "op4_language": op4_language, "op5_token_counts": op5_token_counts, "op6_quality": op6_quality, "op7_packing": op7_packing,
+QUERIES = {"op1_substring": op1_substring, "op2_jaccard": op2_jaccard, "op3_neighbours": op3_neighbours, "op4_language": op4_language, "op5_token_counts": op5_token_counts, "op6_quality": op6_quality, "op7_packing": op7_packing,
            "op8_toxicity": op8_toxicity, "op9_urls": op9_urls}
-SQL = {"op1_substring": OP1_SQL}
+SQL = {"op1_substring": OP1_SQL, "op2_jaccard": OP2_SQL}
