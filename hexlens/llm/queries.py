@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hexlens.llm import jaccard, language, neighbours, packing, quality, substring, token_counts, toxicity, urls
+from hexlens.llm import decontam, jaccard, language, neighbours, packing, quality, substring, token_counts, toxicity, urls
 from hexlens.llm.common import prepare, table
 
 
@@ -81,6 +81,11 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {"op1_substring": op1_substring, "op2_jaccard": op2_jaccard, "op3_neighbours": op3_neighbours, "op4_language": op4_language, "op5_token_counts": op5_token_counts, "op6_quality": op6_quality, "op7_packing": op7_packing,
-           "op8_toxicity": op8_toxicity, "op9_urls": op9_urls}
+           "op8_toxicity": op8_toxicity, "op9_urls": op9_urls, "op10_decontamination": op10_decontamination}
 SQL = {"op1_substring": OP1_SQL, "op2_jaccard": OP2_SQL}
