@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hexlens.llm import hashing
@@ -29,6 +29,7 @@ BLOCK, BIN_NODES, BIN_BYTES = 256, 20_000, 6 << 20
 #: Most candidate nodes whose ids are broadcast to the scan of the texts (16 bytes each); more are joined by a shuffle.
 BROADCAST_NODES = 500_000
 U = np.uint64
+ROW = "jc_row"
 NODES = "doc_id long, node long, n_grams long, bands array<long>"
 
 
@@ -271,18 +272,19 @@ def join(docs: DataFrame, num: int = 4, den: int = 5, id_col: str = "doc_id", te
 
 
 def first_of_class(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without near copies: of each class the row with its smallest doc_id.
+    """The rows of ``docs``, all columns, without near copies: one row of each class stays.
 
-    Every column is kept.  Rows that share that id and belong to one class by
-    their links are one row (the first by text); rows without links all stay.
+    It is the one with the smallest doc_id (null ids last, repeated ids in the
+    order read); rows without links all stay.
     """
-    of = join(docs).filter("n_links > 0").groupBy("doc_id", "class_id").count()
-    marks = [c for c in ("jc_class", "jc_rank", "jc_node") if c in docs.columns]
-    if marks:
-        raise ValueError(f"columns {marks} are taken")
-    near = of.select(F.col("doc_id").alias("jc_id"), F.col("class_id").alias("jc_class"))
-    tied = docs.join(near, docs.doc_id.eqNullSafe(near.jc_id), "left")
-    alone = tied.filter("jc_class is null and jc_id is null")
-    chosen = tied.filter("jc_class <=> doc_id and jc_class is not null").withColumn(
-        "jc_rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).filter("jc_rank = 1")
-    return alone.unionByName(chosen.drop("jc_rank")).select(*docs.columns)
+    if ROW in docs.columns:
+        raise ValueError(f"column {ROW} is taken")
+    spark = docs.sparkSession
+    rows, _ = write_step(docs.withColumn(ROW, F.monotonically_increasing_id()), "jaccard-rows")  # numbers that stay as written
+    linked = join(rows, id_col=ROW).filter("n_links > 0").select(F.col("doc_id").alias(ROW), "class_id").join(rows.select(ROW, "doc_id"), ROW)
+    linked, at = write_step(linked, "jaccard-linked")
+    first = linked.groupBy("class_id").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", ROW)).alias("f")).select(F.col(f"f.{ROW}").alias(ROW))
+    others, _ = write_step(linked.select(ROW).join(first, ROW, "left_anti"), "jaccard-others")
+    release(spark, at)
+    others = F.broadcast(others) if others.count() <= BROADCAST_NODES else others
+    return rows.join(others, ROW, "left_anti").select(*docs.columns)

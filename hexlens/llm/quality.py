@@ -178,6 +178,24 @@ def score(docs: DataFrame, words: np.ndarray, net: Network | None, cut: float =
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
 
 
+def keep(docs: DataFrame, words: np.ndarray, net: Network | None, cut: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that score ``cut`` or more; without a network all of them."""
+    if net is None:
+        return docs
+    index, at = index_vectors(), docs.columns.index(text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches):
+        for b in batches:
+            buf, off = string_buffer(b.column(at))
+            ok = np.ones(b.num_rows, bool)
+            for i, j in passes(off):
+                ok[i:j] = net.probability(pooled(buf[off[i] : off[j]], off[i : j + 1] - off[i], shared.value, index)) >= cut
+            yield b.filter(pa.array(ok))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held_fold: int = 2, sample: int = SAMPLE) -> tuple[np.ndarray, Network | None]:
     """Word vectors from all texts; a network from labels outside the held fold of crc32(doc_id)."""
     words = word_vectors(docs)
