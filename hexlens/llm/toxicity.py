@@ -9,6 +9,8 @@ way, so that a flexible model can't drive it below zero.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,6 +24,8 @@ from hexlens.llm.learning import sample_ids, sigmoid
 BITS = 18
 #: Most rows of either kind that the classifier is fitted on (a bounded sample of labelled rows).
 POSITIVES, UNLABELLED = 2000, 8000
+#: Penalties on the weights that are tried.
+PENALTIES = (1e-4, 3e-4, 1e-3, 3e-3)
 
 
 def distinct_slots(buf: np.ndarray, off: np.ndarray, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -36,19 +40,17 @@ def distinct_slots(buf: np.ndarray, off: np.ndarray, keep: np.ndarray | None = N
     return key >> BITS, key & ((1 << BITS) - 1)
 
 
-def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, epochs: int = 200, rate: float = 0.1,
-             l1: float | None = None, least_df: int = 3) -> tuple[np.ndarray, float]:
-    """Weights of the slots and the bias; ``pos`` and ``unl`` hold each row's slots.
-
-    ``l1`` is the penalty on weights; the fewer positives, the larger by default.
-    """
-    l1 = l1 or max(1e-4, 0.03 / max(len(pos), 1))
-    first = [np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int64) for rows in (pos, unl)]
+def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, l1: float, epochs: int = 200, rate: float = 0.1,
+             least_df: int = 3) -> tuple[np.ndarray, float]:
+    """Weights of the slots and the bias; ``pos`` and ``unl`` hold each row's slots, ``l1`` penalises weights."""
     flat = [np.concatenate([np.zeros(0, np.int64), *rows]) for rows in (pos, unl)]
-    slots, at = np.unique(np.concatenate(flat), return_inverse=True)
-    seen = np.bincount(at, minlength=len(slots)) >= least_df
-    ip, iu = at[: len(flat[0])], at[len(flat[0]) :]
-    rp, ru = (np.repeat(np.arange(len(f) - 1), np.diff(f)) for f in first)
+    rows = [np.repeat(np.arange(len(r)), [len(x) for x in r]) for r in (pos, unl)]
+    slots, at, n = np.unique(np.concatenate(flat), return_inverse=True, return_counts=True)
+    place = np.cumsum(n >= least_df) - 1  # slots that too few rows hold get no weight
+    keep = (n >= least_df)[at]
+    slots, at = slots[n >= least_df], place[at]
+    kp, ku = keep[: len(flat[0])], keep[len(flat[0]) :]
+    (ip, iu), (rp, ru) = (at[: len(kp)][kp], at[len(kp) :][ku]), (rows[0][kp], rows[1][ku])
     n_p, n_u = max(len(pos), 1), max(len(unl), 1)
     w, b = np.zeros(len(slots)), -2.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
@@ -67,13 +69,30 @@ def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, epochs:
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         step = np.sqrt(v / (1 - 0.999**t)) + 1e-8
         w = w - rate * (m / (1 - 0.9**t)) / step
-        w = np.where(seen, np.sign(w) * np.maximum(np.abs(w) - rate * l1 / step, 0), 0)
+        w = np.sign(w) * np.maximum(np.abs(w) - rate * l1 / step, 0)
         b -= rate * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.999**t)) + 1e-8)
     out = np.zeros(1 << BITS, np.float32)
     out[slots] = w
     return out, float(b)
 
 
+def fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, penalties: tuple[float, ...] = PENALTIES) -> tuple[np.ndarray, float]:
+    """``fit_nnpu`` with the penalty that best ranks left-out positives above left-out unlabelled rows.
+
+    That ranking needs no clean labels and orders penalties as the true one does.
+    """
+    late = lambda rows, k: [r for n, r in enumerate(rows) if (n % 4 == 3) == k]
+    p, u = late(pos, True), late(unl, True)
+    best, chosen = -1.0, penalties[0]
+    for l1 in penalties if p and u else ():
+        w, _ = fit_nnpu(late(pos, False), late(unl, False), prior, l1, epochs=100)
+        s, t = np.array([w[r].sum() for r in p]), np.sort([w[r].sum() for r in u])
+        rank = (np.searchsorted(t, s, side="left") + np.searchsorted(t, s, side="right")).mean()
+        if rank > best + 1e-9:
+            best, chosen = rank, l1
+    return fit_nnpu(pos, unl, prior, chosen)
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
           positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> tuple[np.ndarray, float]:
     """Fit on a bounded sample of the rows given (they should be training rows only).
@@ -102,8 +121,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     got = rows.mapInArrow(features, "kind int, slots array<int>").toArrow()
     kind, slots = got["kind"].to_numpy(), [np.asarray(x.values, np.int64) for x in got["slots"]]
-    order = sorted(range(len(slots)), key=lambda k: (kind[k], len(slots[k]), slots[k].tobytes()))  # the same fit in any task order
-    return fit_nnpu([slots[k] for k in order if kind[k] == 1], [slots[k] for k in order if kind[k] == 0], n_pos / n)
+    order = sorted(range(len(slots)), key=lambda k: (kind[k], zlib.crc32(slots[k].tobytes()), slots[k].tobytes()))  # the same fit in any task order
+    return fit([slots[k] for k in order if kind[k] == 1], [slots[k] for k in order if kind[k] == 0], n_pos / n)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], cut: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
