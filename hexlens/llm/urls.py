@@ -141,8 +141,10 @@ def calibrate(scored: DataFrame) -> float:
     wide = bins.pivot_table(index="bin", columns="verdict", values="count", fill_value=0).sort_index()
     good, bad = wide["allow"] / wide["allow"].sum(), wide["block"] / wide["block"].sum()
     balanced = bad.cumsum().shift(fill_value=0) + good[::-1].cumsum()[::-1]  # cut at the lower edge of each bin
-    best = balanced.index[np.isclose(balanced, balanced.max())]
-    return float((best.min() + best.max()) / 2 * BIN)
+    edges = balanced.index.to_numpy()
+    best = np.flatnonzero(np.isclose(balanced, balanced.max()))
+    low = edges[best[0] - 1] + 1 if best[0] else edges[0]  # no row lies between that bin and the first best one
+    return float((low + edges[best[-1]]) / 2 * BIN)
 
 
 def judge(pages: DataFrame, rules=RULES, fold: int = 5) -> DataFrame:
