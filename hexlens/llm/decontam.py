@@ -67,7 +67,8 @@ def entries_of(items: DataFrame) -> DataFrame:
                 for part in split_item(text or ""):
                     raw = np.frombuffer(part.encode(), np.uint8)
                     parts.append(words_of(raw, np.array([0, len(raw)]))[0])
-                words, n_q = np.concatenate(parts), len(parts[0])
+                words = np.concatenate(parts)
+                n_q = len(parts[0]) if len(words) >= WORDS else len(words)  # a shorter item is all question
                 for a in range(0, len(words), STRIDE):
                     own = words[a : a + STRIDE]
                     rows.append((item, own.view(np.int64), min(max(n_q - a, 0), len(own))))
