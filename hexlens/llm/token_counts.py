@@ -77,10 +77,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str | None = None, rule: str =
                     bounds = line_starts(buf)
                 else:
                     at = np.unique([0, *(int(x) for x in cut if x is not None and 0 < x < len(text or ""))]).astype(np.int64)
-                    bounds = np.searchsorted(chars[:-1], at, side="left") if wide else at
-                    if wide:  # the byte at which each of these characters begins
-                        lead = np.flatnonzero((buf & 0xC0) != 0x80)
-                        bounds = lead[at] if len(lead) else at
+                    bounds = np.flatnonzero((buf & 0xC0) != 0x80)[at] if wide else at  # bytes at which these characters begin
                 n = len(bounds)
                 if raw:
                     ends = np.cumsum(enc.widths[np.array(enc.ids(text), np.int64)])
