@@ -65,13 +65,12 @@ def fit_dim(v, n: int, dtype: str = "float") -> tuple[Column, Column]:
     return fixed, status
 
 
-def concat_features(stats, pe) -> Column:
-    """49 statistics ++ 1500 PE values, float32."""
-    return F.concat(_c(stats).cast("array<float>"), _c(pe).cast("array<float>"))
+def align_ragged(df, col: str, out: str = "aligned"):
+    """Rows of different lengths as vectors of the longest row's width (one scalar aggregate).
 
-
-def align_ragged(df, col: str, out: str = "aligned", dtype: str = "double"):
-    """Pad every row's array to the longest one in the table (one scalar aggregate)."""
+    The vectors are sparse: a struct of the width and the row's own values,
+    all further ones being zero, so that one long row does not inflate others.
+    """
     n = df.agg(F.max(F.size(col))).first()[0] or 0
-    fixed, status = fit_dim(col, n, dtype)
-    return df.withColumn(out, fixed).withColumn(out + "_status", status), n
+    status = F.when(F.size(col) < n, "padded").otherwise("ok")
+    return df.withColumn(out, F.struct(F.lit(n).alias("width"), F.col(col).alias("values"))).withColumn(out + "_status", status), n

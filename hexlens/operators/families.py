@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,11 +68,14 @@ def family_fit(df: DataFrame, vec: str, cluster: str, names: DataFrame | None =
     base = df.select(F.col(cluster).cast("int").alias("cluster_id"), F.col(vec).alias("_vec"))
     scaler = scaler_fit(base, "_vec")
     scaled = scaler_apply(base, "_vec", scaler, "_x").where(F.col("cluster_id") != -1)
-    cents = (scaled.groupBy("cluster_id")
-                   .agg(Summarizer.mean(array_to_vector("_x")).alias("_c"), F.count(F.lit(1)).alias("n"))
-                   .select("cluster_id", vector_to_array("_c", "float64").alias("centroid"), "n"))
-    dist = scaled.join(cents.select("cluster_id", "centroid"), "cluster_id") \
-                 .select("cluster_id", l2_distance("_x", "centroid").alias("dist"))
+    cents = materialize(scaled.groupBy("cluster_id")
+                        .agg(Summarizer.mean(array_to_vector("_x")).alias("_c"), F.count(F.lit(1)).alias("n"))
+                        .select("cluster_id", vector_to_array("_c", "float64").alias("centroid"), "n"), "family-centroids")
+    # k centroids within the model bound go to the rows, so that no cluster's rows meet in one task
+    k, d = cents.select(F.count(F.lit(1)), F.max(F.size("centroid"))).first()
+    side = cents.select("cluster_id", "centroid")
+    side = F.broadcast(side) if (k or 0) * (d or 0) * 8 <= BROADCAST_MODEL_BYTES else side
+    dist = materialize(scaled.join(side, "cluster_id").select("cluster_id", l2_distance("_x", "centroid").alias("dist")), "family-distances")
     thr = group_quantile(dist, ["cluster_id"], "dist", percentile / 100.0, "_q")
     model = cents.join(thr, "cluster_id", "left").withColumn(
         "threshold", F.when(F.coalesce(F.col("_q"), F.lit(0.0)) * multiplier == 0, F.lit(1.0))
@@ -122,15 +125,15 @@ def _nearest_udf(bc):
     return nearest
 
 
-def nearest_centroid(df: DataFrame, x: str, model: DataFrame, id_col: str) -> DataFrame:
+def nearest_centroid(df: DataFrame, x: str, model: DataFrame) -> DataFrame:
     """Assign every row to its nearest family; ``<= threshold`` is a known family.
 
     Adds ``nearest_cluster_id, distance, cluster_id (null when new),
-    family_name ('New_Unknown_Family' when new), is_new_family``.  The model
-    (k x d) is collected in blocks of at most BROADCAST_MODEL_BYTES; with one
-    block (the normal case) this is a single narrow pass.  With more blocks
-    every block is one narrow pass and the per-row minimum is taken by a
-    partial-aggregated groupBy.
+    family_name ('New_Unknown_Family' when new), is_new_family``.  The rows
+    stay where they are: the model goes to them in blocks of at most
+    BROADCAST_MODEL_BYTES, and a running minimum keeps the best of the blocks
+    seen (written to the shared folder between blocks, so that only one is in
+    memory).  Ties go to the smallest cluster id.
     """
     spark = df.sparkSession
     meta = model.select("cluster_id", "threshold", "family_name")
@@ -139,28 +142,23 @@ def nearest_centroid(df: DataFrame, x: str, model: DataFrame, id_col: str) -> Da
         raise ValueError("empty family model")
     rows_per_block = max(1, BROADCAST_MODEL_BYTES // (8 * max(d, 1)))
     ordered = model.select("cluster_id", "centroid").orderBy("cluster_id")
-    results = []
+    out = df
     for start in range(0, k, rows_per_block):
-        block = ordered.offset(start).limit(rows_per_block).collect() if k > rows_per_block else ordered.collect()
+        block = ordered.offset(start).limit(rows_per_block).collect()  # at most BROADCAST_MODEL_BYTES
         ids = np.array([r[0] for r in block], dtype=np.int64)
         cents = np.array([r[1] for r in block], dtype=np.float64)
-        udf = _nearest_udf(spark.sparkContext.broadcast((ids, cents)))
-        results.append(df.select(id_col, udf(F.col(x)).alias("_nn")).select(id_col, "_nn.*"))
-        if k <= rows_per_block:
-            break
-    if len(results) == 1:
-        best = results[0]
-    else:
-        u = results[0]
-        for r in results[1:]:
-            u = u.unionByName(r)
-        best = u.groupBy(id_col).agg(F.min(F.struct("distance", "nearest_cluster_id")).alias("_b")) \
-                .select(id_col, "_b.nearest_cluster_id", "_b.distance")
+        nn = _nearest_udf(spark.sparkContext.broadcast((ids, cents)))(F.col(x))
+        out = out.withColumn("_nn", nn)
+        own = F.struct(F.col("_nn.distance").alias("distance"), F.col("_nn.nearest_cluster_id").alias("nearest_cluster_id"))
+        out = out.withColumn("_best", F.least("_best", own) if start else own).drop("_nn")
+        if start + rows_per_block < k:
+            out = materialize(out, "nearest-centroid")
+    out = out.select("*", "_best.nearest_cluster_id", "_best.distance").drop("_best")
     meta = meta.withColumnRenamed("cluster_id", "nearest_cluster_id")
     # k rows of (id, threshold, name): broadcast while k is within the model bound, else a plain join
     if k <= BROADCAST_META_ROWS:
         meta = F.broadcast(meta)
-    out = df.join(best, id_col).join(meta, "nearest_cluster_id", "left")
+    out = out.join(meta, "nearest_cluster_id", "left")
     known = F.col("distance") <= F.col("threshold")
     return (out.withColumn("cluster_id", F.when(known, F.col("nearest_cluster_id")))
                .withColumn("family_name", F.when(known, F.col("family_name")).otherwise(F.lit(C.NEW_FAMILY_NAME)))
@@ -168,6 +166,24 @@ def nearest_centroid(df: DataFrame, x: str, model: DataFrame, id_col: str) -> Da
                .drop("threshold"))
 
 
+def intra_inter_distance(df: DataFrame, key: str, x: str, cluster: str, samples: int = 5, others: int = 100) -> DataFrame:
+    """Mean distance of sampled rows to all rows of their cluster, and to ``others`` rows of other clusters.
+
+    Samples are the first rows by a hash of the key (stand-in for the seeded
+    random choice), written once; every row meets ``samples`` rows at most.
+    """
+    chosen = materialize(df.where(F.col(cluster) != -1).orderBy(F.sha2(F.col(key).cast("string"), 256), key).limit(samples)
+                           .select(F.col(key).alias("sid"), F.col(cluster).alias("slabel"), F.col(x).alias("sx")), "intra-inter-samples")
+    pairs = (df.join(F.broadcast(chosen), F.col(key) != F.col("sid"))
+               .select("sid", "slabel", key, cluster, l2_distance(x, "sx").alias("dist")))
+    intra = pairs.where(F.col(cluster) == F.col("slabel")).groupBy("sid").agg(F.avg("dist").alias("intra_distance"))
+    w = Window.partitionBy("sid").orderBy(key)
+    inter = (pairs.where(F.col(cluster) != F.col("slabel")).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= others)
+                  .groupBy("sid").agg(F.avg("dist").alias("inter_distance")))
+    return chosen.join(intra, "sid", "left").join(inter, "sid", "left").select(
+        F.col("sid").alias(key), F.col("slabel").alias("cluster_id"), "intra_distance", "inter_distance")
+
+
 # ---------------------------------------------------------------------------
 # A24-A26, W7 cluster bookkeeping
 # ---------------------------------------------------------------------------
@@ -210,9 +226,20 @@ def noise_ids(df: DataFrame, cluster: str, order_col: str, out: str = "family_id
 def first_n_per_class(df: DataFrame, label: str, order_col: str, n: int = C.FAST_DEV_PER_CLASS) -> DataFrame:
     """First n rows of each label in ``order_col`` order.
 
-    A ``row_number`` window would put a whole label in one task (Spark only
-    pre-limits per partition for n <= 1000), and one label may hold a third of
-    all rows; the two-pass rank splits every label across partitions instead.
+    Every task first keeps the first n rows of each label that it holds, so at
+    most n rows a label and task go on; the two-pass rank then picks the first
+    n of all without putting one label in one task.
     """
-    ranked = rank_within_group(df, [label], [order_col], out="_rn")
+    keep = df.schema
+
+    def head(batches):
+        seen: dict = {}
+        for pdf in batches:
+            at = pdf.groupby(label, sort=False, dropna=False).cumcount() + pdf[label].map(lambda v: seen.get(v, 0))
+            for v, c in pdf[label].value_counts(dropna=False).items():
+                seen[v] = seen.get(v, 0) + int(c)
+            yield pdf[at < n]
+
+    local = df.sortWithinPartitions(label, order_col).mapInPandas(head, keep)
+    ranked = rank_within_group(local, [label], [order_col], out="_rn")
     return ranked.where(F.col("_rn") < n).drop("_rn")

@@ -15,26 +15,27 @@ from pyspark.sql import functions as F
 from hexlens import config as C
 
 
-def cache_lookup(files: DataFrame, cache: DataFrame, key: str = "sha256") -> tuple[DataFrame, DataFrame]:
-    """``(hits, misses)``.  Hits carry the cached verdict columns; misses are the work set.
+def cache_lookup(files: DataFrame, cache: DataFrame, key: str = "sha256", hit: str = "cache_hit") -> DataFrame:
+    """Every file with the cached verdict columns (null on a miss) and the marker ``hit``.
 
-    Only the verdict is reused; the current path is kept (quirk Q7 fixed).
+    One left join on key rows: hits reuse the verdict (the current path is
+    kept, quirk Q7 fixed), misses are the work set.  Keys of one very common
+    content are split by AQE's skew join.
     """
-    c = cache.dropDuplicates([key]) if key in cache.columns else cache
-    hits = files.join(c, key, "left_semi").join(c, key, "inner")
-    misses = files.join(c.select(key), key, "left_anti")
-    return hits, misses
+    c = cache.dropDuplicates([key]).withColumn(hit, F.lit(True))
+    return files.join(c, key, "left").withColumn(hit, F.coalesce(hit, F.lit(False)))
 
 
-def dedupe_content(df: DataFrame, key: str = "sha256", order: str = "path") -> DataFrame:
-    """One row per content key, the representative is the smallest ``order`` value.
+def dedupe_content(df: DataFrame, key: str = "sha256", order: str = "path", copies: str | None = None) -> DataFrame:
+    """One row per content key, the representative is the smallest ``order`` value; ``copies`` names a count.
 
     Use on compact rows (features, verdicts): equal content gives equal
     features, so bytes never need to be shuffled for deduplication.
     """
     others = [c for c in df.columns if c != key]
-    return (df.groupBy(key).agg(F.min_by(F.struct(*others), F.col(order)).alias("_r"))
-              .select(key, "_r.*"))
+    count = [F.count(F.lit(1)).alias(copies)] if copies else []
+    return (df.groupBy(key).agg(F.min_by(F.struct(*others), F.col(order)).alias("_r"), *count)
+              .select(key, "_r.*", *([copies] if copies else [])))
 
 
 def fp_weight(train: DataFrame, false_pos: DataFrame, key: str, iteration: int = 0,
@@ -72,13 +73,6 @@ def any_keyword(text, keywords: list[str]) -> Column:
     return keyword_hits(text, keywords) > 0
 
 
-def system_dll_count(imports: DataFrame, file_key: str, dll: str, system_dlls: list[str] = C.SYSTEM_DLLS) -> DataFrame:
-    """Distinct dll stems (lower, no '.dll') that are in the system list, per file."""
-    stem = F.regexp_replace(F.lower(F.col(dll)), r"\.dll$", "")
-    return (imports.select(file_key, stem.alias("_stem")).where(F.col("_stem").isin(system_dlls))
-                   .groupBy(file_key).agg(F.countDistinct("_stem").alias("imported_system_dlls_count")))
-
-
 def key_intersect(*tables: DataFrame, key: str = "cluster_id") -> DataFrame:
     """Keys present in every table (inner joins on distinct keys)."""
     out = tables[0].select(key).distinct()

@@ -148,8 +148,8 @@ def routing_stats(df: DataFrame, route: str = "route") -> DataFrame:
 
 
 def false_positives(df: DataFrame, key: str, label: str = "label", score: str = "score",
-                    threshold: float = C.PREDICTION_THRESHOLD, first: int = 10) -> DataFrame:
-    """False positives (label 0, predicted 1): the first ``first`` by key, with the total."""
+                    threshold: float = C.PREDICTION_THRESHOLD) -> DataFrame:
+    """All false positives (label 0, predicted 1) with their total."""
     fp = df.where((F.col(label) == 0) & (F.col(score) > threshold))
-    total = fp.agg(F.count(F.lit(1)).alias("fp_total"))
-    return fp.select(key, score).orderBy(key).limit(first).crossJoin(F.broadcast(total))
+    total = fp.agg(F.count(F.lit(1)).alias("fp_total"))  # one row
+    return fp.select(key, score).crossJoin(F.broadcast(total))

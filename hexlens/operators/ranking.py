@@ -19,7 +19,6 @@ quantiles (A27), ROC cumulative counts (W6) and noise-id numbering (W7).
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,27 +50,57 @@ def rank_within_group(df: DataFrame, group_cols: list[str], order_cols: list[Col
         "_pid", "_mid", "_off", "_first")
 
 
+def counted_values(df: DataFrame, group_cols: list[str], value: str, num_partitions: int | None = None) -> DataFrame:
+    """Distinct values of each group with their count ``_c`` and the cumulative count ``_cum`` in ascending order.
+
+    Rows are aggregated to (group, value, count) before they are ranged, so a
+    group of many equal values is one row; the cumulative counts of a group
+    that spans partitions are local sums plus the offsets of earlier ones.
+    """
+    per = df.groupBy(*group_cols, value).agg(F.count(F.lit(1)).alias("_c"))
+    keys = [*group_cols, value]
+    s = (per.repartitionByRange(_partitions(df, num_partitions), *keys).sortWithinPartitions(*keys)
+            .withColumn("_pid", F.spark_partition_id()))
+    schema = T.StructType([*s.schema.fields, T.StructField("_cum", T.LongType())])
+
+    def local(batches):
+        last, carry = None, 0
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            own = pdf.groupby(group_cols, sort=False, dropna=False)
+            pdf["_cum"] = own["_c"].cumsum()
+            ids = list(pdf[group_cols].itertuples(index=False, name=None))
+            if ids[0] == last:  # the group goes on from the batch before
+                pdf.loc[own.ngroup() == 0, "_cum"] += carry
+            last, carry = ids[-1], int(pdf["_cum"].iloc[-1])
+            yield pdf
+
+    s = materialize(s.mapInPandas(local, schema), "counted-values")
+    totals = s.groupBy("_pid", *group_cols).agg(F.sum("_c").alias("_t"))
+    before = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn("_off", F.coalesce(F.sum("_t").over(before), F.lit(0)))
+    return s.join(totals.select("_pid", *group_cols, "_off"), ["_pid", *group_cols]).withColumn(
+        "_cum", F.col("_cum") + F.col("_off")).drop("_pid", "_off")
+
+
 def group_quantile(df: DataFrame, group_cols: list[str], value: str, q: float, out: str) -> DataFrame:
     """Exact numpy-style (linear) quantile of ``value`` per group.
 
     Equivalent to ``percentile(value, q)`` but with bounded memory per task:
-    a hot group is ranked across partitions, and only the two rows at the
+    a hot group is counted across partitions, and only the values at the two
     interpolation ranks survive the filter.
     """
     base = df.select(*group_cols, value).where(F.col(value).isNotNull())
-    counts = base.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = rank_within_group(base, group_cols, [value])
-    pos = (F.col("_n") - 1) * F.lit(q)
-    sel = (ranked.join(counts, group_cols)
-                 .withColumn("_pos", pos)
-                 .withColumn("_k0", F.floor("_pos"))
-                 .where((F.col("rank") == F.col("_k0")) | (F.col("rank") == F.col("_k0") + 1)))
-    agg = sel.groupBy(*group_cols).agg(
-        F.max(F.when(F.col("rank") == F.col("_k0"), F.col(value))).alias("_v0"),
-        F.max(F.when(F.col("rank") == F.col("_k0") + 1, F.col(value))).alias("_v1"),
-        F.first("_pos").alias("_pos"), F.first("_k0").alias("_k0"))
-    v1 = F.coalesce(F.col("_v1"), F.col("_v0"))
-    return agg.select(*group_cols, (F.col("_v0") + (v1 - F.col("_v0")) * (F.col("_pos") - F.col("_k0"))).alias(out))
+    ranked = counted_values(base, group_cols, value)
+    counts = ranked.groupBy(*group_cols).agg(F.sum("_c").alias("_n"))
+    at = lambda k: (F.col("_cum") - F.col("_c") <= F.col(k)) & (F.col(k) < F.col("_cum"))
+    sel = (ranked.join(counts, group_cols).withColumn("_pos", (F.col("_n") - 1) * F.lit(q))
+                 .withColumn("_k0", F.floor("_pos")).withColumn("_k1", F.least(F.col("_k0") + 1, F.col("_n") - 1))
+                 .where(at("_k0") | at("_k1")))
+    agg = sel.groupBy(*group_cols).agg(F.max(F.when(at("_k0"), F.col(value))).alias("_v0"), F.max(F.when(at("_k1"), F.col(value))).alias("_v1"),
+                                       F.first("_pos").alias("_pos"), F.first("_k0").alias("_k0"))
+    return agg.select(*group_cols, (F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (F.col("_pos") - F.col("_k0"))).alias(out))
 
 
 def running_totals(df: DataFrame, order_cols: list[Column], sum_cols: list[str],
@@ -111,5 +140,3 @@ def running_totals(df: DataFrame, order_cols: list[Column], sum_cols: list[str],
         joined = joined.withColumn(f"cum_{c}", F.col(f"_cum_{c}") + F.col(f"_off_{c}"))
     return joined.drop("_pid", *[f"_cum_{c}" for c in sum_cols], *[f"_off_{c}" for c in sum_cols])
 
-
-_ = pd  # pandas is used inside mapInPandas batches

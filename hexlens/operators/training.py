@@ -126,11 +126,6 @@ def kmeans_clusters(df: DataFrame, features: str, k: int = C.KMEANS_N_CLUSTERS,
     return km.fit(df).transform(df)
 
 
-def choose_backend(n_rows: int, density_max_rows: int = C.DENSITY_MAX_ROWS) -> str:
-    """M17: 'density' up to 50,000 rows else 'kmeans' (density clustering is not built: see README)."""
-    return "density" if n_rows <= density_max_rows else "kmeans"
-
-
 # ---------------------------------------------------------------------------
 # M9 gating MLP, M10 cross-validated score, M11 sampled search, M13 feature gating
 # ---------------------------------------------------------------------------

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hexlens import config as C
 from hexlens.catalog import register
-from hexlens.functions.vectors import fit_dim, hash_slot, l2_distance, l2_norm, l2_normalize
+from hexlens.functions.vectors import fit_dim, hash_slot, l2_norm, l2_normalize
 from hexlens.operators import families as FM
 from hexlens.plans.corpus import round6
 from hexlens.plans.sqlparts import r6
@@ -78,7 +78,7 @@ def q_nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _emb(spark, sf_dir)
     model, scaler = FM.family_fit(e, "embedding", "label")
     x = FM.scaler_apply(e.select("vec_id", "embedding"), "embedding", scaler, "x").select("vec_id", "x")
-    out = FM.nearest_centroid(x, "x", model, "vec_id")
+    out = FM.nearest_centroid(x, "x", model)
     out = out.select("vec_id", "nearest_cluster_id", "distance", "cluster_id", "family_name", "is_new_family")
     return round6(out, ["distance"])
 
@@ -147,23 +147,10 @@ SELECT s.sid AS vec_id, CAST(s.slabel AS INTEGER) AS cluster_id, {r6('intra.d')}
 FROM samples s LEFT JOIN intra USING (sid) LEFT JOIN inter USING (sid)
 """)
 def q_intra_inter_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sample rows are chosen by a seeded hash (stand-in for the random choice)."""
     e = _emb(spark, sf_dir)
     scaler = FM.scaler_fit(e, "embedding")
     x = FM.scaler_apply(e.select("vec_id", "label", "embedding"), "embedding", scaler, "x").select("vec_id", "label", "x")
-    samples = (x.where(F.col("label") != -1)
-                .orderBy(F.sha2(F.col("vec_id").cast("string"), 256), "vec_id").limit(5)
-                .select(F.col("vec_id").alias("sid"), F.col("label").alias("slabel"), F.col("x").alias("sx")))
-    # samples: at most 5 rows - a proven broadcast bound; each row meets <= 5 samples
-    pairs = (x.join(F.broadcast(samples), F.col("vec_id") != F.col("sid"))
-              .select("sid", "slabel", "vec_id", "label", l2_distance("x", "sx").alias("dist")))
-    intra = pairs.where(F.col("label") == F.col("slabel")).groupBy("sid").agg(F.avg("dist").alias("intra_distance"))
-    w = Window.partitionBy("sid").orderBy("vec_id")
-    inter = (pairs.where(F.col("label") != F.col("slabel"))
-                  .withColumn("rn", F.row_number().over(w)).where("rn <= 100")
-                  .groupBy("sid").agg(F.avg("dist").alias("inter_distance")))
-    out = samples.join(intra, "sid", "left").join(inter, "sid", "left").select(
-        F.col("sid").alias("vec_id"), F.col("slabel").cast("int").alias("cluster_id"), "intra_distance", "inter_distance")
+    out = FM.intra_inter_distance(x, "vec_id", "x", "label").withColumn("cluster_id", F.col("cluster_id").cast("int"))
     return round6(out, ["intra_distance", "inter_distance"])
 
 
@@ -242,5 +229,5 @@ def q_align_ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", "turn", F.transform(F.split("text", " "), lambda w: F.length(w).cast("double")).alias("v"))
     a, width = align_ragged(c, "v")
     return a.groupBy(F.col("aligned_status").alias("status")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.aggregate("aligned", F.lit(0.0), lambda s, x: s + x)).alias("total"),
+        F.count(F.lit(1)).alias("n"), F.sum(F.aggregate("aligned.values", F.lit(0.0), lambda s, x: s + x)).alias("total"),
         F.lit(width).cast("int").alias("width"))

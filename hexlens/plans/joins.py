@@ -60,11 +60,7 @@ FROM files f LEFT JOIN cache c USING (sha256)
 """)
 def q_cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = documents_as_files(spark, sf_dir).select("doc_id", F.sha2("content", 256).alias("sha256"))
-    cache = _cache(spark, sf_dir)
-    hits, misses = J.cache_lookup(f, cache)
-    return (hits.select("doc_id", "sha256", F.lit(True).alias("cache_hit"), "is_malware")
-                .unionByName(misses.select("doc_id", "sha256", F.lit(False).alias("cache_hit"),
-                                           F.lit(None).cast("boolean").alias("is_malware"))))
+    return J.cache_lookup(f, _cache(spark, sf_dir)).select("doc_id", "sha256", "cache_hit", "is_malware")
 
 
 @register("skip_existing", operators=("J9", "S16"), sql=f"""
@@ -84,8 +80,7 @@ SELECT sha256, min(path) AS path, count(*)::BIGINT AS copies FROM files GROUP BY
 """)
 def q_dedupe_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = documents_as_files(spark, sf_dir).select("path", F.sha2("content", 256).alias("sha256"))
-    counts = f.groupBy("sha256").agg(F.count(F.lit(1)).alias("copies"))
-    return J.dedupe_content(f, "sha256", "path").join(counts, "sha256")
+    return J.dedupe_content(f, "sha256", "path", copies="copies")
 
 
 @register("label_join", operators=("J2", "P7", "P6"), sql=f"""

@@ -70,7 +70,7 @@ def q_classification_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {SCORED_CTE},
 fp AS (SELECT path, score FROM scored WHERE label = 0 AND score > 0.98)
 SELECT path, {r6('score')} AS score, (SELECT count(*) FROM fp)::BIGINT AS fp_total
-FROM fp ORDER BY path LIMIT 10
+FROM fp
 """)
 def q_false_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round6(M.false_positives(scored(spark, sf_dir), "path"), ["score"])

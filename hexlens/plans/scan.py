@@ -67,7 +67,7 @@ def scan_corpus(files: DataFrame, experts: dict, family_model: DataFrame | None
     if family_model is not None and family_scaler is not None:
         mal = res.where("is_malware").select("path", "features")
         z = FM.scaler_apply(mal, "features", family_scaler, "z").select("path", "z")
-        fam = FM.nearest_centroid(z, "z", family_model, "path").select(
+        fam = FM.nearest_centroid(z, "z", family_model).select(
             "path", F.struct(F.col("cluster_id").cast("int").alias("cluster_id"), "family_name",
                              "is_new_family").alias("malware_family"))
         res = res.join(fam, "path", "left")
@@ -109,7 +109,7 @@ def q_scan_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     res = scored.select("path", "length", "features", is_mal.alias("is_malware"), conf.alias("confidence"))
     mal = res.where("is_malware").select("path", "features")
     z = FM.scaler_apply(mal, "features", scaler, "z").select("path", "z")
-    fam = FM.nearest_centroid(z, "z", model, "path").select("path", "cluster_id", "family_name", "is_new_family")
+    fam = FM.nearest_centroid(z, "z", model).select("path", "cluster_id", "family_name", "is_new_family")
     out = res.join(fam, "path", "left")
     return out.groupBy("is_malware", "is_new_family").agg(F.count(F.lit(1)).alias("files"),
                                                           F.countDistinct("cluster_id").alias("families"))

@@ -6,7 +6,10 @@ settings that are unset, so the cluster's configuration always wins.
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -46,8 +49,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this is set by the deployment to shared storage and is used
-    as is. Only when it is unset (local runs, tests) a fresh scratch folder is
-    created and registered.
+    as is. Only a local master, whose executors are this process, may do without:
+    a fresh scratch folder is then created and registered.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
@@ -58,6 +61,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
+    if not re.match(r"local(\[|$)", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="hexlens-ckpt-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", local)
     sc.setCheckpointDir(local)
@@ -82,7 +87,29 @@ def materialize(df, name: str):
     spark = df.sparkSession
     path = scratch_table_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    _MATERIALIZED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_MATERIALIZED: dict[str, list[str]] = {}
+
+
+def table_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder exists in whatever store the path names (errors of the store are raised)."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def release_materialized(spark: SparkSession) -> int:
+    """Delete the tables that ``materialize`` wrote for this application; returns how many.
+
+    Call it when no DataFrame built on them is used any more.
+    """
+    paths = _MATERIALIZED.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    return len(paths)
 
 
 _SHIPPED: set[str] = set()
@@ -103,7 +130,8 @@ def ship_package(spark: SparkSession) -> None:
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg_dir)
-    staging = tempfile.mkdtemp(prefix="hexlens-pyfiles-")
+    staging = tempfile.mkdtemp(prefix="hexlens-pyfiles-")  # code only; addPyFile copies it to the executors
+    atexit.register(shutil.rmtree, staging, ignore_errors=True)
     zpath = os.path.join(staging, "hexlens.zip")
     with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
         for dirpath, _dirs, files in os.walk(pkg_dir):

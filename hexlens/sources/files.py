@@ -69,11 +69,6 @@ def extension(path) -> Column:
     return F.lower(F.regexp_extract(name, r"(?<=.)(\.[^.]*)$", 1))
 
 
-def relative_path(path, root: str) -> Column:
-    r = root.rstrip("/") + "/"
-    return F.when(F.startswith(_c(path), F.lit(r)), F.substring(_c(path), len(r) + 1, 1 << 30)).otherwise(_c(path))
-
-
 def ext_filter(df: DataFrame, extensions: list[str] | None, path: str = "path") -> DataFrame:
     """Keep files whose lowered extension (with dot) is listed; None keeps all."""
     if not extensions:

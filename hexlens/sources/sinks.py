@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hexlens.session import materialize, table_exists
+
 RESULT_CSV_COLUMNS = ["file_path", "file_name", "file_size", "is_malware", "confidence"]
 
 
@@ -53,12 +55,14 @@ def write_cluster_outputs(assign: DataFrame, families: DataFrame, path: str) ->
 
 
 def append_cache(spark: SparkSession, verdicts: DataFrame, path: str, key: str = "sha256") -> int:
-    """Append only verdicts whose key is not yet in the cache table; returns rows added."""
-    try:
-        known = spark.read.parquet(path).select(key)
-        new = verdicts.dropDuplicates([key]).join(known, key, "left_anti")
-    except Exception:  # noqa: BLE001 - first write: no table yet
-        new = verdicts.dropDuplicates([key])
+    """Append only verdicts whose key is not yet in the cache table; returns rows added.
+
+    A table that can't be read is an error, not a first write.
+    """
+    new = verdicts.dropDuplicates([key])
+    if table_exists(spark, path):
+        new = new.join(spark.read.parquet(path).select(key), key, "left_anti")
+    new = materialize(new, "cache-append")  # what is counted is what is written
     n = new.count()
     if n:
         new.write.mode("append").parquet(path)
@@ -66,28 +70,21 @@ def append_cache(spark: SparkSession, verdicts: DataFrame, path: str, key: str =
 
 
 def write_family_model(model: DataFrame, scaler: DataFrame, path: str) -> None:
-    """Family model as Parquet, plus the aligned-array JSON form ordered by cluster id.
-
-    The JSON export gathers the model (k rows of model parameters) into one
-    document, as the native scorer expects; the Parquet table is the
-    distributed form every Spark consumer reads.
-    """
+    """Family model as Parquet, and as JSON lines in order of the cluster id (one family a line)."""
     model.write.mode("overwrite").parquet(f"{path}/model")
     scaler.write.mode("overwrite").parquet(f"{path}/scaler")
-    arrays = model.agg(F.sort_array(F.collect_list(F.struct("cluster_id", "centroid", "threshold", "family_name")))
-                       .alias("m"))
-    arrays.select(F.transform("m", lambda x: x["cluster_id"]).alias("cluster_ids"),
-                  F.transform("m", lambda x: x["centroid"]).alias("centroids"),
-                  F.transform("m", lambda x: x["threshold"]).alias("thresholds"),
-                  F.transform("m", lambda x: x["family_name"]).alias("family_names")) \
-        .write.mode("overwrite").json(f"{path}/json")
+    (model.select("cluster_id", "centroid", "threshold", "family_name").orderBy("cluster_id")
+          .write.mode("overwrite").json(f"{path}/json"))
 
 
 def load_family_model(spark: SparkSession, path: str) -> DataFrame:
-    """S15 load with validation: drop rows whose centroid length differs from the majority."""
+    """S15 load with validation: a model whose centroids differ in length, or from the scaler, is rejected."""
     m = spark.read.parquet(f"{path}/model")
-    dims = m.groupBy(F.size("centroid").alias("d")).count().orderBy(F.desc("count")).first()
-    return m.where(F.size("centroid") == dims["d"]) if dims else m
+    dims = {r[0] for r in m.select(F.size("centroid")).distinct().limit(2).collect()}
+    dims |= {r[0] for r in spark.read.parquet(f"{path}/scaler").select(F.size("mean")).distinct().limit(2).collect()}
+    if len(dims) != 1:
+        raise ValueError(f"family model at {path}: vectors of lengths {sorted(dims)}")
+    return m
 
 
 def write_report(df: DataFrame, path: str) -> None:

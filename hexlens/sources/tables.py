@@ -9,34 +9,13 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
-# tables whose rows carry enough work (text bytes, many rows) to be worth spreading
-_HEAVY = {"documents", "pages", "lineitem", "orders", "events", "conversations"}
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Spread an under-partitioned scan over the cluster's cores.
-
-    A single parquet row group is one input split; per-row byte work on it
-    would run in one task.  When the scan has fewer splits than the default
-    parallelism, rows are round-robined (a small shuffle at small scale).  A
-    large input already has many splits and is left untouched, so at scale
-    this adds no shuffle.  Filters and column pruning still reach the scan.
-    """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read one driver table; Catalyst prunes columns / pushes filters into the scan."""
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df) if name in _HEAVY else df
+    """Read one driver table; Catalyst prunes columns / pushes filters into the scan.
 
-
-def register_views(spark: SparkSession, sf_dir: str) -> None:
-    for name in TABLES:
-        table(spark, sf_dir, name).createOrReplaceTempView(name)
+    Rows stay where the scan's splits put them: file bytes and texts are never
+    dealt out again (``spark.sql.files.maxPartitionBytes`` sets the splits).
+    """
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def documents_as_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,7 +57,7 @@ def test_family_fit_and_nearest_centroid_vs_brute_force(spark):
         assert m[c].threshold == pytest.approx(float(np.percentile(d, 90)))
         assert m[c].family_name == f"Malware_Family_{c}_Size30"
     x = FM.scaler_apply(df, "v", scaler, "x")
-    out = {r.id: r for r in FM.nearest_centroid(x, "x", model, "id").collect()}
+    out = {r.id: r for r in FM.nearest_centroid(x, "x", model).collect()}
     C_ = np.array([m[c].centroid for c in range(4)])
     for i in range(len(X)):
         dist = np.linalg.norm(C_ - Z[i], axis=1)
