@@ -20,7 +20,7 @@ from hexlens.llm.common import crc_mod
 from hexlens.llm.learning import fit_temperature, softmax
 
 #: Longest n-gram, slots that n-grams are hashed to, most labelled rows of a language that the fit takes.
-LONGEST, BITS, SAMPLE = 3, 15, 1500
+LONGEST, BITS, SAMPLE = 3, 15, 1000  # Spark prunes a ranking of 1000 at most before the shuffle
 #: Characters of one numpy pass.
 PASS_CHARS = 1 << 19
 #: Scale of the features, for the learning rate.
