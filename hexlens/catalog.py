@@ -36,5 +36,5 @@ def register(name: str, sql: str | None = None, operators: tuple[str, ...] = ())
 
 def load_all() -> dict[str, Query]:
     # importing the plan modules fills the registry
-    from hexlens.plans import corpus, families, joins, metrics, pe, scan, training  # noqa: F401
+    from hexlens.plans import corpus, families, joins, metrics, pe, pe_corpus, scan, training  # noqa: F401
     return REGISTRY

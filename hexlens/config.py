@@ -97,6 +97,32 @@ NATIVE_COMMON_SECTIONS = [".text", ".data", ".rdata", ".rsrc", ".reloc", ".tls",
 NATIVE_PACKER_SECTION_KEYWORDS = ["upx", "aspack", "fsg", "mpress", "petite", "pec2to", "nspack",
                                   "telock", "themida", "vmp", "vmprotect", "enigma"]
 
+NATIVE_API_CATEGORY_NETWORK = ["internet", "http", "url", "socket", "connect", "send", "recv", "wsastartup",
+                               "wininet", "ws2_32", "dns", "wget"]
+NATIVE_API_CATEGORY_PROCESS = ["createprocess", "openprocess", "terminateprocess", "writeprocessmemory",
+                               "readprocessmemory", "virtualallocex", "createremotethread", "getprocaddress",
+                               "loadlibrary", "winexec", "shellexecute", "rtlcreateuserthread", "ntcreateprocess"]
+NATIVE_API_CATEGORY_FILESYSTEM = ["createfile", "readfile", "writefile", "deletefile", "movefile", "copyfile",
+                                  "setfileattributes", "getfileattributes", "findfirstfile", "findnextfile",
+                                  "createdirectory", "removedirectory"]
+NATIVE_API_CATEGORY_REGISTRY = ["regopenkey", "regcreatekey", "regsetvalue", "regqueryvalue", "regdeletevalue",
+                                "regdeletekey", "regclosekey", "regenumkey", "regenumvalue", "regconnectregistry",
+                                "regloadkey", "regsavekey"]
+NATIVE_OVERLAY_ENTROPY_MIN_SIZE = 512
+
+
+def keyword_lists(native: bool) -> dict:
+    """The keyword lists of one profile."""
+    if native:
+        return {"system_dlls": NATIVE_SYSTEM_DLLS, "common_sections": NATIVE_COMMON_SECTIONS,
+                "packer_sections": NATIVE_PACKER_SECTION_KEYWORDS,
+                "api": {"network": NATIVE_API_CATEGORY_NETWORK, "process": NATIVE_API_CATEGORY_PROCESS,
+                        "filesystem": NATIVE_API_CATEGORY_FILESYSTEM, "registry": NATIVE_API_CATEGORY_REGISTRY}}
+    return {"system_dlls": SYSTEM_DLLS, "common_sections": COMMON_SECTIONS, "packer_sections": PACKER_SECTION_KEYWORDS,
+            "api": {"network": API_CATEGORY_NETWORK, "process": API_CATEGORY_PROCESS,
+                    "filesystem": API_CATEGORY_FILESYSTEM, "registry": API_CATEGORY_REGISTRY}}
+
+
 # ---------------------------------------------------------------------------
 # PE header flags
 # ---------------------------------------------------------------------------

@@ -48,7 +48,8 @@ PROFILE_FIELDS = [
 PROFILE_TYPE = T.ArrayType(T.StructType([T.StructField(n, t) for n, t in PROFILE_FIELDS]))
 HIST_TYPE = T.ArrayType(T.ArrayType(T.LongType()))
 
-_ROWS_PER_GROUP = 64          # bounds the temporary arrays to a few MB per group
+_GROUP_BYTES = 1 << 20         # content bytes, and 8-byte segment numbers, that one step works on
+_GROUP_ROWS = 256
 _IDX = np.arange(256, dtype=np.float64)
 
 
@@ -76,10 +77,11 @@ def _list_parts(arr: pa.Array, n_rows: int):
 def iter_slice_hists(offs, data, valid, counts, starts, lens):
     """Yield ``(a, b, hist)``: byte counts (b-a, 256) of slices a..b-1.
 
-    Rows are handled in groups so temporaries stay a few MB: inside a group
-    the union of all slice bounds splits the bytes into disjoint segments,
-    one ``bincount`` counts every segment, and each slice is a difference of
-    cumulative segment counts (slices may overlap freely).
+    Rows are handled in groups of about ``_GROUP_BYTES``, and a larger row in
+    steps of as many, so temporaries stay small whatever the files' sizes:
+    inside a group the union of all slice bounds splits the bytes into
+    disjoint segments, ``bincount`` counts every segment, and each slice is a
+    difference of cumulative segment counts (slices may overlap freely).
     """
     n_rows = len(offs) - 1
     row_len = np.where(valid, offs[1:] - offs[:-1], 0)
@@ -92,17 +94,26 @@ def iter_slice_hists(offs, data, valid, counts, starts, lens):
     base = offs[:-1][row_of]
     gs, ge = base + s, base + e
     first_slice = np.concatenate([[0], np.cumsum(counts)])
-    for r0 in range(0, n_rows, _ROWS_PER_GROUP):
-        r1 = min(n_rows, r0 + _ROWS_PER_GROUP)
+    r0 = 0
+    while r0 < n_rows:
+        r1 = int(np.searchsorted(offs, offs[r0] + _GROUP_BYTES, side="right")) - 1
+        r1 = min(max(r1, r0 + 1), r0 + _GROUP_ROWS, n_rows)
         a, b = first_slice[r0], first_slice[r1]
+        lo, hi = offs[r0], offs[r1]
+        r0 = r1
         if a == b:
             continue
-        lo, hi = offs[r0], offs[r1]
         bounds = np.unique(np.concatenate([gs[a:b], ge[a:b], [lo, hi]]))
-        seg = np.repeat(np.arange(len(bounds) - 1, dtype=np.int64), np.diff(bounds))
-        hist = np.bincount(seg * 256 + data[lo:hi], minlength=(len(bounds) - 1) * 256)
+        hist = np.zeros((len(bounds) - 1, 256), np.int64)
+        for at in range(lo, hi, _GROUP_BYTES):
+            end = min(hi, at + _GROUP_BYTES)
+            f = int(np.searchsorted(bounds, at, side="right")) - 1
+            l = int(np.searchsorted(bounds, end, side="left"))
+            cuts = np.clip(bounds[f:l + 1], at, end)
+            seg = np.repeat(np.arange(l - f, dtype=np.int64), np.diff(cuts))
+            hist[f:l] += np.bincount(seg * 256 + data[at:end], minlength=(l - f) * 256).reshape(-1, 256)
         cum = np.zeros((len(bounds), 256), dtype=np.int64)
-        np.cumsum(hist.reshape(-1, 256), axis=0, out=cum[1:])
+        np.cumsum(hist, axis=0, out=cum[1:])
         yield a, b, cum[np.searchsorted(bounds, ge[a:b])] - cum[np.searchsorted(bounds, gs[a:b])]
 
 

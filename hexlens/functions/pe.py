@@ -1,10 +1,12 @@
-"""PE header parsing (the ``pe_headers`` Arrow UDF) and header scalars.
-
-The UDF reads the bounds-checked DOS/COFF/optional headers, the section
-table, and the import / export / relocation / TLS / resource directories of
-each file and returns one struct; all features over it are Catalyst
-expressions or grouped aggregations.  Files that are not
-PE (P2) or are truncated give a null struct, never a task failure.
+"""PE headers as Catalyst expressions, pointer tables by a small UDF, header scalars.
+
+The fixed-offset fields of the DOS, COFF and optional headers and the section
+table are little-endian integers cut out of the content by Catalyst.  Only the
+tables that must be chased by pointers (imports, exports, relocations, TLS,
+resources) go through Python, and only for rows that are PE files: the UDF
+gets a null for all others.  Tables are followed as far as the file reaches;
+every offset is visited once, and what is malformed is named in ``error``
+instead of being cut or failing the task.
 """
 
 from __future__ import annotations
@@ -12,245 +14,239 @@ from __future__ import annotations
 import struct
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hexlens import config as C
-
-SECTION_TYPE = T.StructType([
-    T.StructField("pos", T.IntegerType()),
-    T.StructField("name", T.StringType()),
-    T.StructField("virtual_size", T.LongType()),
-    T.StructField("va", T.LongType()),
-    T.StructField("raw_size", T.LongType()),
-    T.StructField("raw_ptr", T.LongType()),
-    T.StructField("characteristics", T.LongType()),
-])
-IMPORT_TYPE = T.StructType([
-    T.StructField("entry_pos", T.IntegerType()),
-    T.StructField("dll", T.StringType()),
-    T.StructField("api", T.StringType()),
-    T.StructField("ordinal", T.LongType()),
-])
-HEADER_TYPE = T.StructType([
-    T.StructField("machine", T.IntegerType()),
-    T.StructField("time_date_stamp", T.LongType()),
-    T.StructField("symbols_count", T.LongType()),
-    T.StructField("entry_rva", T.LongType()),
-    T.StructField("file_alignment", T.LongType()),
-    T.StructField("section_alignment", T.LongType()),
-    T.StructField("subsystem", T.IntegerType()),
-    T.StructField("dll_characteristics", T.IntegerType()),
-    T.StructField("size_of_headers", T.LongType()),
-    T.StructField("checksum", T.LongType()),
-    T.StructField("export_size", T.LongType()),
-    T.StructField("import_size", T.LongType()),
-    T.StructField("resource_size", T.LongType()),
-    T.StructField("exception_size", T.LongType()),
-    T.StructField("security_va", T.LongType()),
-    T.StructField("security_size", T.LongType()),
-    T.StructField("reloc_size", T.LongType()),
-    T.StructField("debug_size", T.LongType()),
-    T.StructField("tls_size", T.LongType()),
-    T.StructField("tls_callbacks", T.IntegerType()),
-    T.StructField("reloc_blocks", T.LongType()),
-    T.StructField("reloc_entries", T.LongType()),
-    T.StructField("resources_count", T.LongType()),
-    T.StructField("sections", T.ArrayType(SECTION_TYPE)),
+from hexlens.sources.files import is_pe, le_uint
+
+_L, _I, _S = T.LongType(), T.IntegerType(), T.StringType()
+SECTION_FIELDS = [("pos", _I), ("name", _S), ("virtual_size", _L), ("va", _L), ("raw_size", _L), ("raw_ptr", _L),
+                  ("characteristics", _L)]
+SECTION_TYPE = T.StructType([T.StructField(n, t) for n, t in SECTION_FIELDS])
+IMPORT_TYPE = T.StructType([T.StructField(n, t) for n, t in
+                            (("entry_pos", _I), ("dll", _S), ("api", _S), ("ordinal", _L))])
+TABLES_TYPE = T.StructType([
     T.StructField("imports", T.ArrayType(IMPORT_TYPE)),
-    T.StructField("exports_count", T.LongType()),
-    T.StructField("export_names", T.ArrayType(T.StringType())),
+    T.StructField("exports_count", _L),
+    T.StructField("export_names", T.ArrayType(_S)),
+    T.StructField("tls_callbacks", _I),
+    T.StructField("reloc_blocks", _L),
+    T.StructField("reloc_entries", _L),
+    T.StructField("resources_count", _L),
+    T.StructField("error", _S),
 ])
+# Data directory entries
+DIR_EXPORT, DIR_IMPORT, DIR_RESOURCE, DIR_EXCEPTION, DIR_SECURITY, DIR_RELOC, DIR_DEBUG, DIR_TLS = 0, 1, 2, 3, 4, 5, 6, 9
 
-_MAX_SECTIONS = 96  # PE loader limit
-# guards against malformed (looping) tables; far above any real image
-_MAX_TABLE_ENTRIES = 1 << 16
-_MAX_NAME = 512
 
+class Image:
+    """One file's bytes with its sections; what is wrong with its tables is noted once."""
 
-def _rva_to_off(rva: int, sections: list[dict]) -> int | None:
-    for sec in sections:
-        extent = max(sec["virtual_size"], sec["raw_size"])
-        if sec["va"] <= rva < sec["va"] + extent:
-            off = rva - sec["va"] + sec["raw_ptr"]
-            return off
-    return None
+    def __init__(self, buf: bytes, sections, plus: bool):
+        self.buf, self.sections, self.plus = buf, sections, plus
+        self.problems: list[str] = []
+        self.names_left = len(buf)  # names may share bytes, but never add up to more than the file
 
+    def note(self, problem: str) -> None:
+        if problem not in self.problems:
+            self.problems.append(problem)
 
-def _cstr(buf: bytes, off: int | None) -> str | None:
-    if off is None or off < 0 or off >= len(buf):
+    def offset(self, rva: int) -> int | None:
+        for s in self.sections:
+            if s["va"] <= rva < s["va"] + max(s["virtual_size"], s["raw_size"]):
+                return rva - s["va"] + s["raw_ptr"]
         return None
-    end = buf.find(b"\x00", off, off + _MAX_NAME)
-    raw = buf[off:end if end >= 0 else off + _MAX_NAME]
-    return raw.decode("utf-8", "ignore")
-
-
-def _imports(buf, rva, size, sections, plus):
-    out = []
-    off = _rva_to_off(rva, sections) if rva and size else None
-    if off is None:
-        return out
-    tsize, flag = (8, 1 << 63) if plus else (4, 1 << 31)
-    fmt = "<Q" if plus else "<I"
-    for e in range(_MAX_TABLE_ENTRIES):
-        d = off + 20 * e
-        if d + 20 > len(buf):
+
+    def read(self, fmt: str, at: int | None):
+        """The unpacked fields at an offset, or None if they aren't in the file."""
+        if at is None or at < 0 or at + struct.calcsize(fmt) > len(self.buf):
+            return None
+        return struct.unpack_from(fmt, self.buf, at)
+
+    def name(self, at: int | None) -> str | None:
+        if at is None or not 0 <= at < len(self.buf):
+            return None
+        end = self.buf.find(b"\x00", at)
+        end = len(self.buf) if end < 0 else end
+        if end - at > self.names_left:
+            self.note("names larger than the file")
+            return None
+        self.names_left -= end - at
+        return self.buf[at:end].decode("utf-8", "ignore")
+
+    def start(self, directory) -> int | None:
+        rva, size = directory["rva"], directory["size"]
+        if not rva or not size:
+            return None
+        at = self.offset(rva)
+        if at is None:
+            self.note("directory outside the sections")
+        return at
+
+
+def read_imports(im: Image, directory) -> list[dict]:
+    out, seen, at, entry = [], set(), im.start(directory), 0
+    fmt, width, flag = ("<Q", 8, 1 << 63) if im.plus else ("<I", 4, 1 << 31)
+    while at is not None:
+        d = im.read("<IIIII", at)
+        if d is None:
+            im.note("imports run out of the file")
             break
-        oft, _ts, _fc, name_rva, ft = struct.unpack_from("<IIIII", buf, d)
-        if not (oft or name_rva or ft):
+        lookup, _, _, name_rva, thunks = d
+        if not (lookup or name_rva or thunks):
             break
-        dll = (_cstr(buf, _rva_to_off(name_rva, sections)) or "").lower()
-        t = _rva_to_off(oft or ft, sections)
-        for k in range(_MAX_TABLE_ENTRIES if t is not None else 0):
-            o = t + tsize * k
-            if o + tsize > len(buf):
+        dll, any_ = (im.name(im.offset(name_rva)) or "").lower(), False
+        t = im.offset(lookup or thunks)
+        while t is not None:
+            if t in seen:
+                im.note("import tables overlap")
+                break
+            seen.add(t)
+            v = im.read(fmt, t)
+            if v is None:
+                im.note("imports run out of the file")
                 break
-            (v,) = struct.unpack_from(fmt, buf, o)
-            if v == 0:
+            if not v[0]:
                 break
-            if v & flag:
-                out.append({"entry_pos": e, "dll": dll, "api": None, "ordinal": v & 0xFFFF})
+            any_ = True
+            if v[0] & flag:
+                out.append({"entry_pos": entry, "dll": dll, "api": None, "ordinal": v[0] & 0xFFFF})
             else:
-                h = _rva_to_off(v & 0x7FFFFFFF, sections)
-                out.append({"entry_pos": e, "dll": dll, "api": _cstr(buf, None if h is None else h + 2),
-                            "ordinal": None})
-        if t is None:
-            out.append({"entry_pos": e, "dll": dll, "api": None, "ordinal": None})
+                hint = im.offset(v[0] & 0x7FFFFFFF)
+                out.append({"entry_pos": entry, "dll": dll, "api": im.name(None if hint is None else hint + 2), "ordinal": None})
+            t += width
+        if not any_:
+            out.append({"entry_pos": entry, "dll": dll, "api": None, "ordinal": None})
+        at, entry = at + 20, entry + 1
     return out
 
 
-def _exports(buf, rva, size, sections):
-    off = _rva_to_off(rva, sections) if rva and size else None
-    if off is None or off + 40 > len(buf):
+def read_exports(im: Image, directory) -> tuple[int, list[str]]:
+    at = im.start(directory)
+    d = im.read("<IIII", None if at is None else at + 20)
+    if d is None:
         return 0, []
-    nfun, nnames, _af, anames = struct.unpack_from("<IIII", buf, off + 20)
-    names = []
-    t = _rva_to_off(anames, sections)
-    for k in range(min(nnames, _MAX_TABLE_ENTRIES) if t is not None else 0):
-        o = t + 4 * k
-        if o + 4 > len(buf):
+    functions, count, _, table = d
+    names, t = [], im.offset(table)
+    for k in range(count if t is not None else 0):
+        v = im.read("<I", t + 4 * k)
+        if v is None:
+            im.note("exports run out of the file")
             break
-        nm = _cstr(buf, _rva_to_off(struct.unpack_from("<I", buf, o)[0], sections))
-        if nm:
-            names.append(nm)
-    return min(nfun, _MAX_TABLE_ENTRIES), names
-
-
-def _relocs(buf, rva, size, sections):
-    off = _rva_to_off(rva, sections) if rva and size else None
-    blocks = entries = 0
-    pos = 0
-    while off is not None and pos + 8 <= size and off + pos + 8 <= len(buf) and blocks < _MAX_TABLE_ENTRIES:
-        _va, bsize = struct.unpack_from("<II", buf, off + pos)
-        if bsize < 8:
+        n = im.name(im.offset(v[0]))
+        if n:
+            names.append(n)
+    return functions, names
+
+
+def read_relocations(im: Image, directory) -> tuple[int, int]:
+    at, size, blocks, entries, pos = im.start(directory), directory["size"], 0, 0, 0
+    while at is not None and pos + 8 <= size:
+        d = im.read("<II", at + pos)
+        if d is None or d[1] < 8:
+            im.note("relocations run out of the file" if d is None else "relocation block too short")
             break
-        blocks += 1
-        entries += (bsize - 8) // 2
-        pos += bsize
+        blocks, entries, pos = blocks + 1, entries + (d[1] - 8) // 2, pos + d[1]
     return blocks, entries
 
 
-def _tls_callbacks(buf, rva, size, sections, plus):
-    off = _rva_to_off(rva, sections) if rva and size else None
-    at = (off + 24) if plus else (off + 12) if off is not None else None
-    w = 8 if plus else 4
-    if at is None or at + w > len(buf):
-        return 0
-    (addr,) = struct.unpack_from("<Q" if plus else "<I", buf, at)
-    return 1 if addr else 0
-
-
-def _resource_leaves(buf, rva, size, sections):
-    base = _rva_to_off(rva, sections) if rva and size else None
-    if base is None:
-        return 0
-    count, seen, stack = 0, 0, [(base, 0)]
-    while stack and seen < _MAX_TABLE_ENTRIES:
-        d, depth = stack.pop()
-        if d + 16 > len(buf) or depth > 8:
+def count_resources(im: Image, directory) -> int:
+    base = im.start(directory)
+    count, seen, todo = 0, set(), [base] if base is not None else []
+    while todo:
+        at = todo.pop()
+        if at in seen:
+            im.note("resource directories overlap")
             continue
-        n_named, n_id = struct.unpack_from("<HH", buf, d + 12)
-        for i in range(n_named + n_id):
-            e = d + 16 + 8 * i
-            seen += 1
-            if e + 8 > len(buf) or seen >= _MAX_TABLE_ENTRIES:
+        seen.add(at)
+        d = im.read("<HH", at + 12)
+        for k in range(sum(d) if d else 0):
+            e = im.read("<II", at + 16 + 8 * k)
+            if e is None:
+                im.note("resources run out of the file")
                 break
-            _name, target = struct.unpack_from("<II", buf, e)
-            if target & 0x80000000:
-                stack.append((base + (target & 0x7FFFFFFF), depth + 1))
+            if e[1] & 0x80000000:
+                todo.append(base + (e[1] & 0x7FFFFFFF))
             else:
                 count += 1
     return count
 
 
-def parse_pe_header(buf: bytes) -> dict | None:
-    """Parse the headers of one file; None when it is not a well-formed PE."""
-    n = len(buf)
-    if n < 0x40 or buf[:2] != b"MZ":
-        return None
-    (lfanew,) = struct.unpack_from("<I", buf, 0x3C)
-    if lfanew + 24 > n or buf[lfanew:lfanew + 4] != b"PE\x00\x00":
-        return None
-    machine, nsec, stamp, _symptr, nsym, opt_size, _chars = struct.unpack_from("<HHIIIHH", buf, lfanew + 4)
-    opt = lfanew + 24
-    if opt + 2 > n:
-        return None
-    (magic,) = struct.unpack_from("<H", buf, opt)
-    plus = magic == 0x20B
-    if opt + (112 if plus else 96) > n:
-        return None
-    entry = struct.unpack_from("<I", buf, opt + 16)[0]
-    sect_align, file_align = struct.unpack_from("<II", buf, opt + 32)
-    size_headers, checksum, subsystem, dllch = struct.unpack_from("<IIHH", buf, opt + 60)
-    ndir_off = opt + (108 if plus else 92)
-    ndir = struct.unpack_from("<I", buf, ndir_off)[0] if ndir_off + 4 <= n else 0
-    dirs = []
-    for i in range(min(ndir, 16)):
-        o = ndir_off + 4 + 8 * i
-        dirs.append(struct.unpack_from("<II", buf, o) if o + 8 <= n else (0, 0))
-    dirs += [(0, 0)] * (16 - len(dirs))
-    sections = []
-    sec_off = opt + opt_size
-    for i in range(min(nsec, _MAX_SECTIONS)):
-        o = sec_off + 40 * i
-        if o + 40 > n:
-            break
-        name = buf[o:o + 8].split(b"\x00", 1)[0].decode("utf-8", "ignore")
-        vsize, va, rsize, rptr = struct.unpack_from("<IIII", buf, o + 8)
-        (ch,) = struct.unpack_from("<I", buf, o + 36)
-        sections.append({"pos": i, "name": name, "virtual_size": vsize, "va": va, "raw_size": rsize,
-                         "raw_ptr": rptr, "characteristics": ch})
-    imp_rva, imp_size = dirs[1]
-    exp_count, exp_names = _exports(buf, dirs[0][0], dirs[0][1], sections)
-    r_blocks, r_entries = _relocs(buf, dirs[5][0], dirs[5][1], sections)
-    return {
-        "tls_callbacks": _tls_callbacks(buf, dirs[9][0], dirs[9][1], sections, plus),
-        "reloc_blocks": r_blocks, "reloc_entries": r_entries,
-        "resources_count": _resource_leaves(buf, dirs[2][0], dirs[2][1], sections),
-        "imports": _imports(buf, imp_rva, imp_size, sections, plus),
-        "exports_count": exp_count, "export_names": exp_names,
-        "machine": machine, "time_date_stamp": stamp, "symbols_count": nsym, "entry_rva": entry,
-        "file_alignment": file_align, "section_alignment": sect_align, "subsystem": subsystem,
-        "dll_characteristics": dllch, "size_of_headers": size_headers, "checksum": checksum,
-        "export_size": dirs[0][1], "import_size": dirs[1][1], "resource_size": dirs[2][1],
-        "exception_size": dirs[3][1], "security_va": dirs[4][0], "security_size": dirs[4][1],
-        "reloc_size": dirs[5][1], "debug_size": dirs[6][1], "tls_size": dirs[9][1],
-        "sections": sections,
-    }
+def read_tables(buf: bytes, sections, dirs, plus: bool) -> dict:
+    """The pointer tables of one PE file; dirs: its sixteen (rva, size) entries."""
+    im = Image(buf, sections, plus)
+    tls = im.start(dirs[DIR_TLS])
+    callbacks = None if tls is None else im.read("<Q" if plus else "<I", tls + (24 if plus else 12))
+    functions, names = read_exports(im, dirs[DIR_EXPORT])
+    blocks, entries = read_relocations(im, dirs[DIR_RELOC])
+    return {"imports": read_imports(im, dirs[DIR_IMPORT]), "exports_count": functions, "export_names": names,
+            "tls_callbacks": int(bool(callbacks and callbacks[0])), "reloc_blocks": blocks, "reloc_entries": entries,
+            "resources_count": count_resources(im, dirs[DIR_RESOURCE]), "error": "; ".join(im.problems) or None}
 
 
-@F.pandas_udf(HEADER_TYPE)
-def pe_headers(content: pd.Series) -> pd.DataFrame:
+@F.pandas_udf(TABLES_TYPE)
+def pe_tables(content: pd.Series, sections: pd.Series, dirs: pd.Series, plus: pd.Series) -> pd.DataFrame:
     rows = []
-    for b in content:
+    for b, s, d, p in zip(content, sections, dirs, plus):
+        if b is None:
+            rows.append({})
+            continue
         try:
-            h = parse_pe_header(bytes(b)) if b is not None else None
-        except struct.error:
-            h = None
-        rows.append(h)
-    cols = {f.name: [r[f.name] if r else None for r in rows] for f in HEADER_TYPE.fields}
-    return pd.DataFrame(cols)
+            rows.append(read_tables(bytes(b), s, d, bool(p)))
+        except Exception as e:  # noqa: BLE001 - one hostile file must not end the job; it is reported
+            rows.append({"error": f"{type(e).__name__}: {e}"})
+    return pd.DataFrame({f.name: [r.get(f.name) for r in rows] for f in TABLES_TYPE.fields})
+
+
+def _header(c: Column, base: Column, fields: dict[str, tuple[int, int]]) -> list[Column]:
+    return [le_uint(c, base + at, width).alias(name) for name, (at, width) in fields.items()]
+
+
+def with_pe_headers(df: DataFrame, content: str = "content", out: str = "h") -> DataFrame:
+    """Adds ``out``: null unless the file is PE (P2) with a whole optional header, else its parsed headers."""
+    c, n = F.col(content), F.length(content).cast("bigint")
+    df = df.withColumn("_nt", F.when(is_pe(c), le_uint(c, 0x3C, 4)))
+    df = df.withColumn("_plus", le_uint(c, F.col("_nt") + 24, 2) == 0x20B)
+    opt = F.col("_nt") + 24
+    df = df.withColumn("_nt", F.when(opt + F.when(F.col("_plus"), 112).otherwise(96) <= n, F.col("_nt")))
+    count_at = opt + F.when(F.col("_plus"), 108).otherwise(92)
+    # Offsets and widths of the header fields
+    coff = {"machine": (4, 2), "n_sections": (6, 2), "time_date_stamp": (8, 4), "symbols_count": (16, 4), "optional_size": (20, 2)}
+    optional = {"entry_rva": (16, 4), "section_alignment": (32, 4), "file_alignment": (36, 4), "size_of_headers": (60, 4),
+                "checksum": (64, 4), "subsystem": (68, 2), "dll_characteristics": (70, 2)}
+    df = df.withColumn("_hd", F.when(F.col("_nt").isNotNull(), F.struct(
+        *_header(c, F.col("_nt"), coff), *_header(c, opt, optional), le_uint(c, count_at, 4).alias("n_dirs"))))
+    df = df.withColumn("_dirs", F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.struct(*(
+        F.when(i < F.col("_hd.n_dirs"), F.coalesce(le_uint(c, count_at + 4 + 8 * i + k, 4), F.lit(0))).otherwise(F.lit(0)).cast("bigint").alias(x)
+        for k, x in ((0, "rva"), (4, "size"))))))
+    table = opt + F.col("_hd.optional_size")
+    fits = F.least(F.col("_hd.n_sections"), F.greatest(F.floor((n - table) / 40), F.lit(0)))  # as many as the file holds
+    places = F.when(fits > 0, F.transform(F.sequence(F.lit(0), (fits - 1).cast("int")), lambda i: F.struct(i.alias("pos"), (table + 40 * i).alias("at"))))
+
+    def section(p):
+        raw = F.substring(c, (p["at"] + 1).cast("int"), 8)
+        bare = F.unhex(F.regexp_extract(F.hex(raw), r"^((?:(?!00)..)*)", 1))  # up to the first zero byte
+        name = F.regexp_replace(F.make_valid_utf8(bare.cast("string")), "\ufffd", "")
+        return F.struct(p["pos"].alias("pos"), name.alias("name"),
+                        *(le_uint(c, p["at"] + k, 4).alias(x) for k, x in
+                          ((8, "virtual_size"), (12, "va"), (16, "raw_size"), (20, "raw_ptr"), (36, "characteristics"))))
+
+    empty = F.array().cast(T.ArrayType(SECTION_TYPE))
+    df = df.withColumn("_sec", F.coalesce(F.transform(places, section), empty))
+    ok = F.col("_nt").isNotNull()
+    df = df.withColumn("_tab", pe_tables(F.when(ok, c), F.when(ok, F.col("_sec")), F.when(ok, F.col("_dirs")), F.when(ok, F.col("_plus"))))
+    d = lambda k, x: F.col("_dirs")[k][x]
+    short = F.when(F.size("_sec") < F.col("_hd.n_sections"), "section table runs out of the file")
+    fields = [*(F.col(f"_hd.{x}").alias(x) for x in (*coff, *optional) if x not in ("n_sections", "optional_size")),
+              F.col("_plus").alias("pe32_plus"), d(DIR_EXPORT, "size").alias("export_size"), d(DIR_IMPORT, "size").alias("import_size"),
+              d(DIR_RESOURCE, "size").alias("resource_size"), d(DIR_EXCEPTION, "size").alias("exception_size"),
+              d(DIR_SECURITY, "rva").alias("security_va"), d(DIR_SECURITY, "size").alias("security_size"),
+              d(DIR_RELOC, "size").alias("reloc_size"), d(DIR_DEBUG, "size").alias("debug_size"), d(DIR_TLS, "size").alias("tls_size"),
+              F.col("_sec").alias("sections"), *(F.col(f"_tab.{f.name}").alias(f.name) for f in TABLES_TYPE.fields if f.name != "error"),
+              F.when(F.concat_ws("; ", short, "_tab.error") != "", F.concat_ws("; ", short, "_tab.error")).alias("error")]
+    return df.withColumn(out, F.when(ok, F.struct(*fields))).drop("_nt", "_plus", "_hd", "_dirs", "_sec", "_tab")
 
 
 # ---------------------------------------------------------------------------
@@ -281,9 +277,11 @@ def pe_timestamp(stamp) -> tuple[Column, Column]:
 
 def signature_probe(content, security_va, security_size) -> dict[str, Column]:
     """signature present, size, and whether it mentions signingTime (text or OID)."""
-    size = F.coalesce(_c(security_size), F.lit(0))
-    blob = F.substring(_c(content), (F.coalesce(_c(security_va), F.lit(0)) + 1).cast("int"), size.cast("int"))
-    has = (size > 0) & (F.coalesce(_c(security_va), F.lit(0)) > 0)
+    size = F.coalesce(_c(security_size), F.lit(0)).cast("bigint")
+    at = F.coalesce(_c(security_va), F.lit(0)).cast("bigint")
+    n = F.length(_c(content)).cast("bigint")  # hostile headers point beyond the file: clip before the int cast
+    blob = F.substring(_c(content), (F.least(at, n) + 1).cast("int"), F.least(size, n).cast("int"))
+    has = (size > 0) & (at > 0)
     # OID 1.2.840.113549.1.9.5 (signingTime) DER bytes, and the attribute name as text
     oid = F.unhex(F.lit("2A864886F70D010905"))
     latin = F.decode(blob, "ISO-8859-1")  # one char per byte: byte-exact substring search

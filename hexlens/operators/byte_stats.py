@@ -40,15 +40,17 @@ def _col(c):
 # S3 byte window
 # ---------------------------------------------------------------------------
 
-def byte_window(df: DataFrame, content: str = "content", max_file_size: int = C.DEFAULT_MAX_FILE_SIZE,
+def byte_window(df: DataFrame, content: str = "content", max_file_size: int | None = None,
                 pad: bool = False) -> DataFrame:
-    """Skip the first 8 bytes, keep at most ``max_file_size - 8`` bytes.
+    """Skip the first 8 bytes; keep all others, or at most ``max_file_size - 8`` of them.
 
     Adds ``window binary`` and ``orig_length int`` (real bytes kept).  With
     ``pad=True`` the window is zero padded to ``max_file_size`` like the
     stored samples; statistics always use the unpadded window.
     """
-    keep = max_file_size - C.HEADER_SKIP
+    if pad and max_file_size is None:
+        raise ValueError("padding needs max_file_size")
+    keep = (1 << 31) - 1 if max_file_size is None else max_file_size - C.HEADER_SKIP
     w = F.substring(_col(content), C.HEADER_SKIP + 1, keep)
     out = df.withColumn("window", F.coalesce(w, F.lit(b"").cast("binary")))
     out = out.withColumn("orig_length", F.length("window").cast("int"))
@@ -160,16 +162,17 @@ def _quantile_sorted(sorted_arr: Column, k: Column, q: float) -> Column:
     return v0 + (v1 - v0) * (pos - lo)
 
 
-def block_layout(m: Column, block_size: int = C.ENTROPY_BLOCK_SIZE, max_blocks: int = C.ENTROPY_MAX_BLOCKS,
+def block_layout(m: Column, block_size: int = C.ENTROPY_BLOCK_SIZE, max_blocks: int | None = C.ENTROPY_MAX_BLOCKS,
                  stride: bool = False):
     """(starts, lens, count) of the entropy blocks of an m-byte sample.
 
     Python profile (W2): ``k = min(10, max(1, m // 2048))`` equal blocks of
     ``m // k`` bytes, the last taking the remainder.  Native profile (W3):
-    fixed 2048-byte stride blocks, at most 10.
+    fixed 2048-byte stride blocks, all of them or at most ``max_blocks``.
     """
     if stride:
-        k = F.least(F.lit(max_blocks), F.ceil(m / block_size).cast("int"))
+        k = F.ceil(m / block_size).cast("int")
+        k = k if max_blocks is None else F.least(F.lit(max_blocks), k)
         idx = F.when(k > 0, F.sequence(F.lit(0), k - 1)).otherwise(F.array().cast("array<int>"))
         starts = F.transform(idx, lambda i: i * block_size)
         lens = F.transform(idx, lambda i: F.least(F.lit(block_size), m - i * block_size))
@@ -182,21 +185,16 @@ def block_layout(m: Column, block_size: int = C.ENTROPY_BLOCK_SIZE, max_blocks:
     return starts, lens, k
 
 
-ATTR_SLICES = 1 + C.ENTROPY_MAX_BLOCKS
+def attr_slices(content: Column, sample_size: int | None = None, stride_blocks: bool = False):
+    """(starts, lens, k): the whole content (or its first ``sample_size`` bytes), then its k blocks."""
+    m = F.length(content)
+    m = (m if sample_size is None else F.least(m, F.lit(sample_size))).cast("int")
+    b_starts, b_lens, k = block_layout(m, stride=stride_blocks, max_blocks=None if stride_blocks and sample_size is None else C.ENTROPY_MAX_BLOCKS)
+    return F.concat(F.array(F.lit(0)), b_starts), F.concat(F.array(m), b_lens), k
 
 
-def attr_slices(content: Column, sample_size: int = C.ENTROPY_SAMPLE_SIZE, stride_blocks: bool = False):
-    """(starts, lens, k): whole prefix then its blocks, padded with empty slices to 11 entries."""
-    m = F.least(F.length(content), F.lit(sample_size)).cast("int")
-    b_starts, b_lens, k = block_layout(m, stride=stride_blocks)
-    pad = F.array_repeat(F.lit(0), F.lit(C.ENTROPY_MAX_BLOCKS) - k)
-    starts = F.concat(F.array(F.lit(0)), b_starts, pad)
-    lens = F.concat(F.array(m), b_lens, pad)
-    return starts, lens, k
-
-
-def attrs_from_profiles(df: DataFrame, prof_col: str, first: int, k: Column, size: str = "length") -> DataFrame:
-    """size, log_size and the 14 entropy/ratio features from 11 profiles at ``first``."""
+def attrs_from_profiles(df: DataFrame, prof_col: str, first: int | Column, k: Column, size: str = "length") -> DataFrame:
+    """size, log_size and the 14 entropy/ratio features from 1 + k profiles at ``first``."""
     prof = F.col(prof_col)
     kk = F.col("_fa_k")
     out = df.withColumn("_fa_k", k)
@@ -243,10 +241,10 @@ def attrs_from_profiles(df: DataFrame, prof_col: str, first: int, k: Column, siz
 
 
 def file_attributes(df: DataFrame, content: str = "content", size: str = "length",
-                    sample_size: int = C.ENTROPY_SAMPLE_SIZE, stride_blocks: bool = False) -> DataFrame:
-    """size, log_size and the 14 entropy/ratio features of the file prefix."""
+                    sample_size: int | None = None, stride_blocks: bool = False) -> DataFrame:
+    """size, log_size and the 14 entropy/ratio features of the whole file, or of its first ``sample_size`` bytes."""
     starts, lens, k = attr_slices(_col(content), sample_size, stride_blocks)
-    sample = F.substring(_col(content), 1, sample_size)
+    sample = _col(content) if sample_size is None else F.substring(_col(content), 1, sample_size)
     out = df.withColumn("_fa_prof", slice_profiles(sample, starts, lens))
     return attrs_from_profiles(out, "_fa_prof", 0, k, size).drop("_fa_prof")
 

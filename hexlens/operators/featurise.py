@@ -1,18 +1,19 @@
 """C3 featurise: files -> 49 byte statistics + 1500-wide PE vector = 1549 row.
 
-Plan per file (narrow except two compact aggregations keyed by file):
-
-* ``pe_headers`` parses headers, sections, imports, exports (Arrow UDF 1);
-* byte slices: window statistics, file-prefix blocks, section bodies and the
-  overlay are counted by the histogram UDF;
-* section and import statistics are grouped aggregations over exploded
-  section / import rows (compact rows, shuffled by file key), joined back;
-* hash slots (F2) are per-row array expressions over the file's own names;
+One narrow plan per file, without any shuffle:
+
+* the headers and the section table are Catalyst expressions, pointer tables
+  (imports, exports, ...) a UDF that only sees PE files;
+* the histogram UDF counts all byte slices of a file in one call: window
+  statistics, section bodies, overlay, prefix blocks;
+* section and import statistics are array expressions over the file's own
+  tables; hash slots (F2) too;
 * named slots are normalised by name (F4), scaled, padded, L2-normalised (F3,
   F5) and concatenated with the statistics (F6).
 
-``profile="compat"`` reproduces the reference's vector exactly (quirks Q1 and
-Q2); ``"default"`` normalises sizes by exact name and keeps integer maxima.
+``profile="default"`` normalises sizes by exact name and keeps integer maxima;
+``"compat"`` reproduces the reference's vector exactly (quirks Q1 and Q2).
+``native=True`` takes the native extractor's lists and definitions.
 """
 
 from __future__ import annotations
@@ -24,41 +25,15 @@ from pyspark.sql import functions as F
 
 from hexlens import config as C
 from hexlens.functions.bytes import slice_profiles
-from hexlens.functions.pe import pe_headers
+from hexlens.functions.pe import with_pe_headers
 from hexlens.functions.vectors import hash_slot
 from hexlens.operators import byte_stats as B
 from hexlens.operators import pe_features as PF
 from hexlens.plans import dims as D
-from hexlens.session import materialize
 
 
-def _named_value(name: str, col: Column, profile: str) -> Column:
-    """normalise one named slot, then scale by 0.8."""
-    v = col.cast("double")
-    if profile == "compat":
-        if name in D.NUMPY_INT_SLOTS:
-            v = F.lit(0.0)
-        elif "size" in name:
-            v = v / C.SIZE_NORM_MAX
-        elif name == "timestamp":
-            v = v / C.TIMESTAMP_MAX
-        elif name == "timestamp_year":
-            v = (v - C.TIMESTAMP_YEAR_BASE) / C.TIMESTAMP_YEAR_SPAN
-    else:
-        if name in D.SIZE_SLOTS:
-            v = v / C.SIZE_NORM_MAX
-        elif name == "log_size":
-            v = v / math.log(C.SIZE_NORM_MAX)
-        elif name == "timestamp":
-            v = v / C.TIMESTAMP_MAX
-        elif name == "timestamp_year":
-            v = (v - C.TIMESTAMP_YEAR_BASE) / C.TIMESTAMP_YEAR_SPAN
-    return F.coalesce(v, F.lit(0.0)) * C.NAMED_SLOT_SCALE
-
-
-def _named_value_sql(name: str, present: bool, profile: str) -> str:
-    """SQL text of :func:`_named_value` (one parse for all 128 slots instead of many
-    Column round trips while building the plan)."""
+def named_value_sql(name: str, present: bool, profile: str) -> str:
+    """F4 as SQL text: one named slot normalised, then scaled by 0.8 (one parse for all 128 slots)."""
     if not present:
         return "0.0D"
     v = f"CAST(`{name}` AS DOUBLE)"
@@ -108,97 +83,83 @@ def hash_vector_raw(slots: Column) -> Column:
                        lambda i: F.when(F.array_contains(slots, i), F.lit(1.0)).otherwise(F.lit(0.0)))
 
 
-def featurise(files: DataFrame, key: str = "path", max_file_size: int = C.DEFAULT_MAX_FILE_SIZE,
-              profile: str = "compat") -> DataFrame:
-    """``files(key, length, content)`` -> key, sha256, is_pe, orig_length, stats, pe_vector, features."""
+def featurise(files: DataFrame, key: str = "path", max_file_size: int | None = None, sample_size: int | None = None,
+              profile: str = "default", native: bool = False) -> DataFrame:
+    """``files(key, length, content)`` -> key, sha256, is_pe, orig_length, stats, pe_vector, features, named slots.
+
+    Every byte of a file counts unless bounds are given: ``max_file_size`` for
+    the window of the 49 statistics, ``sample_size`` for the prefix of the
+    entropy blocks.  ``COMPAT`` holds the reference's bounds and profile.  The
+    plan is narrow: no row is exploded, grouped, joined or shuffled.  ``error``
+    says what was malformed in a PE file.
+    """
     f = files.select(key, F.col("length").cast("bigint").alias("length"), "content")
-    f = f.withColumn("sha256", F.sha2("content", 256)).withColumn("h", pe_headers("content"))
-    f = f.withColumn("is_pe", F.col("h.machine").isNotNull())
-    secs = F.coalesce(F.col("h.sections"), F.array().cast(f.schema["h"].dataType["sections"].dataType))
-    f = f.withColumn("_secs", secs)
+    f = with_pe_headers(f.withColumn("sha256", F.sha2("content", 256)))
+    f = f.withColumn("is_pe", F.col("h").isNotNull())
+    h, content = F.col("h"), F.col("content")
+    n = F.length(content).cast("bigint")
+    f = f.withColumn("_secs", F.coalesce(h["sections"], F.array().cast(f.schema["h"].dataType["sections"].dataType)))
+    f = f.withColumn("_imports", F.coalesce(h["imports"], F.array().cast(f.schema["h"].dataType["imports"].dataType)))
     # ONE histogram call per file for every byte statistic: the 14 window
-    # slices (shifted past the 8 skipped bytes), the prefix and its entropy
-    # blocks, every section body and the overlay
-    content = F.col("content")
-    n_win = F.least(F.greatest(F.col("length") - C.HEADER_SKIP, F.lit(0)),
-                    F.lit(max_file_size - C.HEADER_SKIP)).cast("int")
+    # slices (shifted past the 8 skipped bytes), every section body, the
+    # overlay, and the prefix with its entropy blocks
+    n_win = F.greatest(n - C.HEADER_SKIP, F.lit(0))
+    n_win = (n_win if max_file_size is None else F.least(n_win, F.lit(max_file_size - C.HEADER_SKIP))).cast("int")
     w_starts, w_lens = B.window_slices(n_win)
-    w_starts = F.transform(w_starts, lambda x: x + C.HEADER_SKIP)
-    a_starts, a_lens, k = B.attr_slices(content)
+    a_starts, a_lens, k = B.attr_slices(content, sample_size, stride_blocks=native)
+    clip = lambda x: F.least(x, n).cast("int")  # noqa: E731 - headers may point beyond 2**31
     ends = F.transform("_secs", lambda x: x["raw_ptr"] + x["raw_size"])
-    ov_start = F.coalesce(F.array_max(ends), F.lit(0)).cast("bigint")
-    ov_len = F.when(F.col("is_pe"), F.greatest(F.col("length") - ov_start, F.lit(0))).otherwise(F.lit(0))
-    starts = F.concat(w_starts, a_starts, F.transform("_secs", lambda x: x["raw_ptr"].cast("int")),
-                      F.array(ov_start.cast("int")))
-    lens = F.concat(w_lens, a_lens, F.transform("_secs", lambda x: x["raw_size"].cast("int")),
-                    F.array(ov_len.cast("int")))
-    f = f.withColumn("_sp", slice_profiles(content, starts, lens)).withColumn("orig_length", n_win)
-    first_sec = B.WINDOW_SLICES + B.ATTR_SLICES
-    f = f.withColumn("_secs_e", F.zip_with("_secs", F.slice("_sp", first_sec + 1, F.size("_secs")), lambda x, p: x.withField(
+    f = f.withColumn("_ov_start", F.coalesce(F.array_max(ends), F.lit(0)).cast("bigint"))
+    ov_len = F.when(F.col("is_pe"), F.greatest(F.col("length") - F.col("_ov_start"), F.lit(0))).otherwise(F.lit(0))
+    f = f.withColumn("_ov_len", ov_len.cast("bigint"))
+    starts = F.concat(F.transform(w_starts, lambda x: x + C.HEADER_SKIP), F.transform("_secs", lambda x: clip(x["raw_ptr"])),
+                      F.array(clip(F.col("_ov_start"))), a_starts)
+    lens = F.concat(w_lens, F.transform("_secs", lambda x: clip(x["raw_size"])), F.array(clip(F.col("_ov_len"))), a_lens)
+    f = f.withColumns({"_starts": starts, "_lens": lens, "orig_length": n_win})
+    f = f.withColumn("_sp", slice_profiles(content, F.col("_starts"), F.col("_lens")))
+    f = f.withColumn("_secs_e", F.zip_with("_secs", F.slice("_sp", B.WINDOW_SLICES + 1, F.size("_secs")), lambda x, p: x.withField(
         "entropy", F.when(p["n"] >= C.SECTION_ENTROPY_MIN_SIZE, p["entropy"]).otherwise(F.lit(0.0)))))
-    ov = F.element_at("_sp", -1)
-    tsize = ov_len.cast("double")
-    oe = F.when(tsize >= C.OVERLAY_ENTROPY_MIN_SIZE, ov["entropy"]).otherwise(0.0)
+    ov = F.get("_sp", F.lit(B.WINDOW_SLICES) + F.size("_secs"))
+    tsize = F.col("_ov_len").cast("double")
+    least = C.NATIVE_OVERLAY_ENTROPY_MIN_SIZE if native else C.OVERLAY_ENTROPY_MIN_SIZE
+    f = f.withColumn("overlay_entropy", F.when(tsize >= least, ov["entropy"]).otherwise(0.0))
     f = f.withColumns({
         "trailing_data_size": tsize,
         "trailing_data_ratio": tsize / (F.col("length").cast("double") + 1),
-        "has_large_trailing_data": (tsize >= C.LARGE_TRAILING_DATA_SIZE).cast("double"),
-        "overlay_entropy": oe,
-        "overlay_high_entropy_flag": (oe > C.ENTROPY_HIGH_THRESHOLD).cast("double")})
-    # byte window statistics (49) and file-prefix attributes (16) from the same profiles
+        "has_large_trailing_data": ((tsize > C.LARGE_TRAILING_DATA_SIZE) if native else (tsize >= C.LARGE_TRAILING_DATA_SIZE)).cast("double"),
+        "overlay_high_entropy_flag": (F.col("overlay_entropy") > C.ENTROPY_HIGH_THRESHOLD).cast("double")})
     f = B.stats_from_profiles(f, "_sp", 0)
-    f = B.attrs_from_profiles(f, "_sp", B.WINDOW_SLICES, k, "length")
-    # header scalars, exports, entry section
-    h = F.col("h")
-    hdr = PF.header_features(h, F.col("length"), F.col("content"))
-    exp = PF.export_features(F.coalesce(h["export_names"], F.array().cast("array<string>")), h["exports_count"],
-                             F.col("length"))
+    f = B.attrs_from_profiles(f, "_sp", F.lit(B.WINDOW_SLICES + 1) + F.size("_secs"), k, "length")
     # a non-PE file has no header features at all: missing (null), which the
     # vector maps to 0 - unlike a present 0 (e.g. timestamp_year 0 of a PE
     # without a time stamp, which is normalised like any other value)
-    f = f.select("*", *[F.when(F.col("is_pe"), c).alias(k) for k, c in {**hdr, **exp}.items()])
+    hdr = PF.header_features(h, F.col("length"), content)
+    exp = PF.export_features(F.coalesce(h["export_names"], F.array().cast("array<string>")), h["exports_count"], F.col("length"))
+    f = f.withColumns({x: F.when(F.col("is_pe"), c) for x, c in {**hdr, **exp}.items()})
     f = f.withColumn("_entry", F.coalesce(h["entry_rva"], F.lit(0)))
-    _, ep_flag = PF.entry_section("_secs", "_entry")
+    _, ep_flag = PF.entry_section("_secs", "_entry", native)
     f = f.withColumn("entry_in_nonstandard_section_flag", F.when(F.col("is_pe"), ep_flag.cast("double")))
-    imports = F.coalesce(h["imports"], F.array().cast(f.schema["h"].dataType["imports"].dataType))
-    f = f.withColumn("_slots", hash_slots(F.transform(imports, lambda x: x["dll"]),
-                                          F.transform(imports, lambda x: x["api"]),
+    f = f.withColumn("_slots", hash_slots(F.transform("_imports", lambda x: x["dll"]), F.transform("_imports", lambda x: x["api"]),
                                           F.transform("_secs", lambda x: x["name"])))
     f = _with_l2_normalised(f.withColumn("_hash_raw", hash_vector_raw(F.col("_slots"))), "_hash_raw", "_hash")
-    # The per-file row is now complete except for grouped statistics.  It is
-    # used by three aggregation branches and the final join: materialise it
-    # once (without the file bytes) in the shared checkpoint folder, so the
-    # UDF stages run exactly once and lineage is cut.
-    drop = ["content", "_sp"]
-    f = materialize(f.withColumn("_imports", imports).drop(*drop), "featurise-files")
-    imports = F.col("_imports")
-    # grouped section and import statistics (compact rows keyed by file)
-    sec_rows = f.select(key, F.explode("_secs_e").alias("_s")).select(key, "_s.*")
-    sec_feats = PF.section_features(sec_rows, key, file_align=None, sect_align=None)
-    sec_align = f.select(key, F.explode("_secs").alias("_s"), F.col("h.file_alignment").alias("_fa"),
-                         F.col("h.section_alignment").alias("_sa"))
-    mism = sec_align.groupBy(key).agg(
-        (F.sum(F.when((F.col("_fa") > 0) & (F.pmod(F.col("_s.raw_size"), F.greatest(F.col("_fa"), F.lit(1))) != 0), 1.0)
-               .otherwise(0.0))
-         + F.sum(F.when((F.col("_sa") > 0) & (F.pmod(F.col("_s.virtual_size"), F.greatest(F.col("_sa"), F.lit(1))) != 0),
-                        1.0).otherwise(0.0))).alias("alignment_mismatch_count"),
-        F.count(F.lit(1)).alias("_n"))
-    mism = mism.select(key, "alignment_mismatch_count",
-                       (F.col("alignment_mismatch_count") / (2 * F.col("_n") + 1)).alias("alignment_mismatch_ratio"))
-    imp_rows = f.select(key, F.explode(imports).alias("_i")).select(key, "_i.*")
-    imp_feats = PF.import_features(imp_rows, key)
-    f = f.join(sec_feats, key, "left").join(mism, key, "left").join(imp_feats, key, "left")
+    f = f.withColumn("error", h["error"])
+    f = PF.add_section_features(f, "_secs_e", "length", F.coalesce(h["file_alignment"], F.lit(0)), F.coalesce(h["section_alignment"], F.lit(0)), native)
+    f = PF.add_import_features(f, "_imports", native)
     # named slots (missing -> 0) and the vectors
-    named = F.expr("array(" + ", ".join(_named_value_sql(n, n in f.columns, profile) for n in D.NAMED_SLOTS) + ")")
+    named = F.expr("array(" + ", ".join(named_value_sql(x, x in f.columns, profile) for x in D.NAMED_SLOTS) + ")")
     pe_raw = F.concat(F.transform("_hash", lambda x: x * C.HASH_SLOT_SCALE), named,
                       F.array_repeat(F.lit(0.0), C.PE_FEATURE_VECTOR_DIM - C.HASH_SLOT_DIM - len(D.NAMED_SLOTS)))
     f = _with_l2_normalised(f.withColumn("_pe_raw", pe_raw), "_pe_raw", "_pe_unit", norm_out="pe_norm")
     f = f.withColumn("pe_vector", F.col("_pe_unit").cast("array<float>"))
     f = f.withColumn("features", F.concat(F.col("stats").cast("array<float>"), F.col("pe_vector")))
-    keep = [key, "sha256", "is_pe", "length", "orig_length", "stats", "pe_norm", "pe_vector", "features"]
+    keep = [key, "sha256", "is_pe", "length", "orig_length", "stats", "pe_norm", "pe_vector", "features", "error"]
     return f.select(*keep, *[F.col(f"`{c}`") for c in D.NAMED_SLOTS if c in f.columns and c not in keep])
 
 
+#: The reference's bounds and vector quirks (Q1, Q2).
+COMPAT = {"max_file_size": C.DEFAULT_MAX_FILE_SIZE, "sample_size": C.ENTROPY_SAMPLE_SIZE, "profile": "compat"}
+
+
 def outcome_status(features: DataFrame) -> F.Column:
     """A39 status per file: success (PE features), skipped (not a PE file), failed (no bytes)."""
     return (F.when(F.col("length").isNull() | (F.col("length") == 0), F.lit("failed"))

@@ -1,52 +1,34 @@
 """PE section / overlay / entry-point features.
 
-Section statistics are a grouped aggregation over one row per section
-(codegen'd conditional sums, partial aggregation).  Entropy of section bytes
-and the overlay come from the per-file byte UDF; the entry-section lookup is
-a filter over the file's (format-bounded, <= 96) section array.
+A file's own section and import arrays are reduced in place (array
+expressions, no rows, no shuffle); section tables that come as rows are a
+grouped aggregation with partial sums.  Entropy of section bytes and the
+overlay come from the per-file byte UDF.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hexlens import config as C
-from hexlens.functions.bytes import slice_profiles
 
 # Python profile: sections named like these are standard executable sections
 STANDARD_EXEC_SECTIONS = [".text", "text", ".code"]
 
 
-def with_section_entropy(df: DataFrame, content: str, sections: str, out: str = "sections_e") -> DataFrame:
-    """A17 input: entropy of every section's raw bytes (0 when < 256 bytes)."""
-    s = F.col(sections)
-    starts = F.transform(s, lambda x: x["raw_ptr"].cast("int"))
-    lens = F.transform(s, lambda x: x["raw_size"].cast("int"))
-    df = df.withColumn("_sprof", slice_profiles(F.col(content), starts, lens))
-    ent = F.zip_with(s, F.col("_sprof"), lambda x, p: x.withField(
-        "entropy", F.when(p["n"] >= C.SECTION_ENTROPY_MIN_SIZE, p["entropy"]).otherwise(F.lit(0.0))))
-    return df.withColumn(out, ent).drop("_sprof")
-
-
-def explode_sections(df: DataFrame, file_key: str, sections: str) -> DataFrame:
-    """One row per section: ``file_key`` + the section struct's fields (narrow)."""
-    return df.select(file_key, F.explode(sections).alias("_s")).select(file_key, "_s.*")
-
-
 def section_features(sections: DataFrame, file_key: str, file_size: Column | None = None,
                      file_align: Column | None = None, sect_align: Column | None = None,
-                     common_sections: list[str] = C.COMMON_SECTIONS,
-                     packer_keywords: list[str] = C.PACKER_SECTION_KEYWORDS,
                      native: bool = False) -> DataFrame:
     """A16, A17 (when an ``entropy`` column exists), A18, A19, A21 per file.
 
-    Input: one row per section (``explode_sections``).  One hash aggregation
+    Input: one row per section.  One hash aggregation
     with codegen'd conditional sums; the shuffle moves compact section rows
     keyed by file (partial aggregation first).  Files with no sections are
     absent here and get zeros when joined back (ratios 0, as in the reference).
     Python profile by default; ``native=True`` switches the §1.3 differences.
     """
+    common_sections, packer_keywords = (C.keyword_lists(native)[k] for k in ("common_sections", "packer_sections"))
     raw = F.col("raw_size").cast("double")
     vs = F.col("virtual_size").cast("double")
     ch = F.col("characteristics").cast("bigint")
@@ -61,6 +43,7 @@ def section_features(sections: DataFrame, file_key: str, file_size: Column | Non
     cnt = lambda c: F.sum(F.when(c, 1.0).otherwise(0.0))
     aggs = [
         F.count(F.lit(1)).cast("double").alias("sections_count"),
+        F.countDistinct(name).cast("double").alias("section_names_count"),
         F.sum(raw).alias("section_total_size"), F.sum(vs).alias("section_total_vsize"),
         F.avg(raw).alias("avg_section_size"), F.avg(vs).alias("avg_section_vsize"),
         F.max(raw).alias("max_section_size"), F.min(raw).alias("min_section_size"),
@@ -112,7 +95,7 @@ def section_features(sections: DataFrame, file_key: str, file_size: Column | Non
         "short_sections_ratio": c("short_sections_count") / n1,
         "packer_keyword_hits_ratio": c("packer_keyword_hits_count") / n1,
         "special_char_ratio": c("_special") / (c("_chars") + 1),
-        "section_size_cv": (c("section_size_std") / c("avg_section_size")) if native
+        "section_size_cv": F.when(c("avg_section_size") > 0, c("section_size_std") / c("avg_section_size")).otherwise(0.0) if native
         else c("section_size_std") / (c("avg_section_size") + 1e-8),
         "executable_code_density": c("_code") / ((c("_fsize") if native and file_size is not None
                                                  else c("section_total_size")) + 1),
@@ -126,23 +109,6 @@ def section_features(sections: DataFrame, file_key: str, file_size: Column | Non
                       if x in out.columns])
 
 
-def trailing_overlay(df: DataFrame, content: str, sections: str, file_size: str) -> DataFrame:
-    """Bytes after the furthest section end; ratio, large flag, entropy (>= 1024 bytes)."""
-    ends = F.transform(F.col(sections), lambda x: x["raw_ptr"] + x["raw_size"])
-    end = F.coalesce(F.array_max(ends), F.lit(0)).cast("bigint")
-    size = F.col(file_size).cast("bigint")
-    trailing = F.greatest(size - end, F.lit(0))
-    out = df.withColumn("_ov_end", end).withColumn("trailing_data_size", trailing.cast("double"))
-    out = out.withColumn("_ov", slice_profiles(F.col(content), F.array(F.col("_ov_end").cast("int")),
-                                               F.array(F.col("trailing_data_size").cast("int"))))
-    oe = F.when(F.col("trailing_data_size") >= C.OVERLAY_ENTROPY_MIN_SIZE, F.col("_ov")[0]["entropy"]).otherwise(0.0)
-    return (out.withColumn("trailing_data_ratio", F.col("trailing_data_size") / (size + 1))
-               .withColumn("has_large_trailing_data", (F.col("trailing_data_size") >= C.LARGE_TRAILING_DATA_SIZE).cast("int"))
-               .withColumn("overlay_entropy", oe)
-               .withColumn("overlay_high_entropy_flag", (oe > C.ENTROPY_HIGH_THRESHOLD).cast("int"))
-               .drop("_ov", "_ov_end"))
-
-
 def entry_section(sections: str, entry_rva: str, native: bool = False) -> tuple[Column, Column]:
     """First section (table order) with va <= entry < va + extent; flag when nonstandard.
 
@@ -161,7 +127,93 @@ def entry_section(sections: str, entry_rva: str, native: bool = False) -> tuple[
 
 
 # ---------------------------------------------------------------------------
-# A11-A14, J6, J7 imports (one row per imported function)
+# A16-A19, A21 from one file's own section array (narrow)
+# ---------------------------------------------------------------------------
+
+def _sum(arr: Column, f) -> Column:
+    return F.aggregate(F.transform(arr, f), F.lit(0.0), lambda a, x: a + x)
+
+
+def _count(arr: Column, f) -> Column:
+    return F.size(F.filter(arr, f)).cast("double")
+
+
+def _std(arr: Column, n: Column, mean: Column, f) -> Column:
+    return F.sqrt(_sum(arr, lambda x: (f(x) - mean) * (f(x) - mean)) / n)
+
+
+def add_section_features(df: DataFrame, sections: str, file_size: str, file_align: Column, sect_align: Column,
+                         native: bool = False) -> DataFrame:
+    """A16-A19, A21 per file from the array ``sections`` (structs with ``entropy``): no rows, no shuffle.
+
+    The same features as :func:`section_features`, which aggregates section
+    rows; null for a file without sections.
+    """
+    lists = C.keyword_lists(native)
+    s, n = F.col(sections), F.size(sections).cast("double")
+    raw = lambda x: x["raw_size"].cast("double")
+    vs = lambda x: x["virtual_size"].cast("double")
+    flag = lambda bit: lambda x: x["characteristics"].bitwiseAND(F.lit(bit)) != 0
+    ex, rd, wr = flag(C.SCN_MEM_EXECUTE), flag(C.SCN_MEM_READ), flag(C.SCN_MEM_WRITE)
+    data = (lambda x: ~ex(x)) if native else rd
+    rwx = (lambda x: ex(x) & wr(x) & rd(x)) if native else (lambda x: ex(x) & wr(x))
+    low = lambda x: F.lower(x["name"])
+    nlen = lambda x: F.length(x["name"]).cast("double")
+    ent = lambda x: x["entropy"]
+    has = lambda pred: F.exists(s, pred).cast("int")
+    holds = lambda word: lambda x: F.contains(low(x), F.lit(word))
+    is_called = lambda name: lambda x: low(x) == name.lower()
+    first = {
+        "sections_count": n, "section_names_count": F.size(F.array_distinct(F.transform(s, lambda x: x["name"]))).cast("double"),
+        "section_total_size": _sum(s, raw), "section_total_vsize": _sum(s, vs),
+        "max_section_size": F.array_max(F.transform(s, raw)), "min_section_size": F.array_min(F.transform(s, raw)),
+        "executable_sections_count": _count(s, ex), "writable_sections_count": _count(s, wr),
+        "readable_sections_count": _count(s, rd), "rwx_sections_count": _count(s, rwx),
+        "_code": _sum(F.filter(s, ex), raw), "_data": _sum(F.filter(s, data), raw),
+        "_codev": _sum(F.filter(s, ex), vs), "_datav": _sum(F.filter(s, data), vs),
+        "non_standard_executable_sections_count": _count(s, lambda x: ex(x) & ~low(x).isin(STANDARD_EXEC_SECTIONS)),
+        "section_name_avg_length": _sum(s, nlen) / n, "section_name_max_length": F.array_max(F.transform(s, nlen)),
+        "section_name_min_length": F.array_min(F.transform(s, nlen)),
+        "_special": _sum(s, lambda x: F.length(F.regexp_replace(x["name"], r"[\p{L}\p{N}_.]", "")).cast("double")),
+        "_chars": _sum(s, nlen), "long_sections_count": _count(s, lambda x: nlen(x) > 6),
+        "short_sections_count": _count(s, lambda x: nlen(x) < 3),
+        "packer_keyword_hits_count": sum((F.exists(s, holds(k)).cast("double") for k in lists["packer_sections"]), F.lit(0.0)),
+        "alignment_mismatch_count": F.when(file_align > 0, _count(s, lambda x: F.pmod(x["raw_size"], file_align) != 0)).otherwise(0.0)
+        + F.when(sect_align > 0, _count(s, lambda x: F.pmod(x["virtual_size"], sect_align) != 0)).otherwise(0.0),
+        "section_entropy_avg": _sum(s, ent) / n, "section_entropy_min": F.array_min(F.transform(s, ent)),
+        "section_entropy_max": F.array_max(F.transform(s, ent)), "_high": _count(s, lambda x: ent(x) > C.ENTROPY_HIGH_THRESHOLD),
+    }
+    first |= {f"has_{sec}_section": has(is_called(sec)) for sec in lists["common_sections"]}
+    first |= {f"has_{k}_section": has(holds(k)) for k in ("upx", "mpress", "aspack", "themida")}
+    some = F.size(sections) > 0
+    out = df.withColumns({k: F.when(some, v) for k, v in first.items()})
+    c, n1 = F.col, F.col("sections_count") + 1
+    total, vtotal = c("section_total_size"), c("section_total_vsize")
+    second = {"avg_section_size": total / c("sections_count"), "avg_section_vsize": vtotal / c("sections_count")}
+    out = out.withColumns(second)
+    third = {
+        "section_size_std": F.when(some, _std(s, n, c("avg_section_size"), raw)),
+        "section_entropy_std": F.when(some, _std(s, n, c("section_entropy_avg"), ent)),
+        "code_section_ratio": c("_code") / (total + 1), "data_section_ratio": c("_data") / (total + 1),
+        "code_vsize_ratio": c("_codev") / (vtotal + 1), "data_vsize_ratio": c("_datav") / (vtotal + 1),
+        "executable_sections_ratio": c("executable_sections_count") / n1, "writable_sections_ratio": c("writable_sections_count") / n1,
+        "readable_sections_ratio": c("readable_sections_count") / n1, "rwx_sections_ratio": c("rwx_sections_count") / n1,
+        "executable_writable_sections": c("rwx_sections_count"), "long_sections_ratio": c("long_sections_count") / n1,
+        "short_sections_ratio": c("short_sections_count") / n1, "packer_keyword_hits_ratio": c("packer_keyword_hits_count") / n1,
+        "special_char_ratio": c("_special") / (c("_chars") + 1),
+        "executable_code_density": c("_code") / ((c(file_size).cast("double") if native else total) + 1),
+        "alignment_mismatch_ratio": c("alignment_mismatch_count") / (2 * c("sections_count") + 1),
+        "packed_sections_ratio": c("_high") / (c("sections_count") if native else n1),
+    }
+    out = out.withColumns(third)
+    mean = c("avg_section_size")
+    out = out.withColumn("section_size_cv", F.when(mean > 0, c("section_size_std") / mean).otherwise(F.when(some, 0.0)) if native
+                         else c("section_size_std") / (mean + 1e-8))
+    return out.drop("_code", "_data", "_codev", "_datav", "_special", "_chars", "_high")
+
+
+# ---------------------------------------------------------------------------
+# A11-A14, J6, J7 imports from one file's own import array (narrow)
 # ---------------------------------------------------------------------------
 
 IMPORT_FEATURES = ["imports_count", "unique_imports", "unique_dlls", "unique_apis", "dll_name_avg_length",
@@ -171,66 +223,70 @@ IMPORT_FEATURES = ["imports_count", "unique_imports", "unique_dlls", "unique_api
                    "api_network_ratio", "api_process_ratio", "api_filesystem_ratio", "api_registry_ratio"]
 
 
-def _entropy_of_counts(df: DataFrame, keys: list[str], item: Column, out: str) -> DataFrame:
-    """Entropy/8 of the item-name distribution per key (two-level aggregation)."""
-    per = df.where(item.isNotNull() & (item != "")).groupBy(*keys, item.alias("_it")).agg(F.count(F.lit(1)).alias("_c"))
-    tot = F.sum("_c").over(Window.partitionBy(*keys))
-    per = per.withColumn("_t", tot)
-    return per.groupBy(*keys).agg((-F.sum((F.col("_c") / F.col("_t")) * F.log2(F.col("_c") / F.col("_t"))) / 8.0 + 0.0)
-                                  .alias(out))
+def _with_item_entropies(df: DataFrame, items: dict[str, Column]) -> DataFrame:
+    """Entropy/8 of the distribution of each array's values: sorted, then run lengths (n log n, per row)."""
+    def edge(out):  # positions at which a run begins, and the end
+        a, n = F.col(f"_{out}_s"), F.size(f"_{out}_s")
+        return lambda i: (i == 0) | (i == n) | (F.get(a, i) != F.get(a, i - 1))
 
+    def term(out):
+        n = F.size(f"_{out}_s").cast("double")
+        return lambda acc, c: acc - (c / n) * F.log2(c / n)
 
-def import_features(imports: DataFrame, file_key: str, system_dlls: list[str] = C.SYSTEM_DLLS,
-                    categories: dict[str, list[str]] | None = None) -> DataFrame:
-    """Per-file import statistics from ``(file_key, entry_pos, dll, api, ordinal)`` rows.
+    df = df.withColumns({f"_{o}_s": F.array_sort(v) for o, v in items.items()})
+    df = df.withColumns({f"_{o}_e": F.filter(F.sequence(F.lit(0), F.size(f"_{o}_s")), edge(o)) for o in items})
+    df = df.withColumns({f"_{o}_c": F.zip_with(F.slice(f"_{o}_e", 2, F.greatest(F.size(f"_{o}_e") - 1, F.lit(0))),
+                                                F.slice(f"_{o}_e", 1, F.greatest(F.size(f"_{o}_e") - 1, F.lit(0))), lambda x, y: (x - y).cast("double"))
+                         for o in items})
+    ent = {o: F.when(F.size(f"_{o}_s") > 0, F.aggregate(f"_{o}_c", F.lit(0.0), term(o)) / 8.0 + 0.0).otherwise(0.0) for o in items}
+    return df.withColumns(ent).drop(*[f"_{o}{x}" for o in items for x in ("_s", "_e", "_c")])
 
-    Descriptor-level values (dll names) use one row per descriptor; function
-    level values use one row per import.  Keyword categories (J6) are
-    expressions over the fixed lists; the system-DLL semi join (J7) is an
-    ``isin`` over the fixed list.
+
+def add_import_features(df: DataFrame, imports: str, native: bool = False) -> DataFrame:
+    """A11-A14, J6, J7 per file from the array ``imports`` (entry_pos, dll, api, ordinal): no rows, no shuffle.
+
+    Null for a file without imports.  Descriptor-level values (dll names) use
+    one value a descriptor; function-level ones every import.  Keyword
+    categories are expressions over the profile's fixed lists; a system DLL is
+    a listed name before the first dot.
     """
-    from hexlens.operators.joins import keyword_hits_sql
-    cats = categories or {"network": C.API_CATEGORY_NETWORK, "process": C.API_CATEGORY_PROCESS,
-                          "filesystem": C.API_CATEGORY_FILESYSTEM, "registry": C.API_CATEGORY_REGISTRY}
-    named = F.col("api").isNotNull()
-    ordinal_only = ~named & F.col("ordinal").isNotNull()
-    funcs = imports.groupBy(file_key).agg(
-        F.countDistinct(F.when(named, F.struct("dll", "api"))).cast("double").alias("unique_imports"),
-        F.countDistinct(F.when(named, F.col("api"))).cast("double").alias("unique_apis"),
-        F.sum(F.when(named, 1.0).otherwise(0.0)).alias("_named"),
-        F.sum(F.when(ordinal_only, 1.0).otherwise(0.0)).alias("import_ordinal_only_count"),
-        F.sum(F.when(named & (F.lower("api").startswith("nt") | F.lower("api").startswith("zw")), 1.0)
-               .otherwise(0.0)).alias("_syscall"),
-        *[F.sum(F.when(named & (keyword_hits_sql("concat_ws(' ', dll, api)", kws) > 0), 1.0)
-                .otherwise(0.0)).alias(f"_cat_{c}") for c, kws in cats.items()])
-    desc = imports.select(file_key, "entry_pos", "dll").dropDuplicates([file_key, "entry_pos"])
-    stem = F.split(F.col("dll"), r"\.")[0]
-    dl = F.length("dll").cast("double")
-    dlls = desc.groupBy(file_key).agg(
-        F.count(F.lit(1)).cast("double").alias("imports_count"),
-        F.countDistinct("dll").cast("double").alias("unique_dlls"),
-        F.avg(F.when(dl > 0, dl)).alias("dll_name_avg_length"),
-        F.max(F.when(dl > 0, dl)).alias("dll_name_max_length"),
-        F.min(F.when(dl > 0, dl)).alias("dll_name_min_length"),
-        F.countDistinct(F.when(stem.isin(system_dlls), stem)).cast("double").alias("imported_system_dlls_count"))
-    dll_ent = _entropy_of_counts(desc, [file_key], F.col("dll"), "dll_imports_entropy")
-    api_ent = _entropy_of_counts(imports.where(named), [file_key], F.col("api"), "api_imports_entropy")
-    j = (dlls.join(funcs, file_key, "left").join(dll_ent, file_key, "left").join(api_ent, file_key, "left"))
-    total = F.col("_named") + F.col("import_ordinal_only_count")
-    out = j.select(
-        file_key, "imports_count", "unique_imports", "unique_dlls", "unique_apis",
-        *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in ("dll_name_avg_length", "dll_name_max_length",
-                                                            "dll_name_min_length", "dll_imports_entropy",
-                                                            "api_imports_entropy")],
-        "imported_system_dlls_count",
-        (F.col("imported_system_dlls_count") / (F.col("unique_dlls") + 1)).alias("imported_system_dlls_ratio"),
-        F.when(F.col("_named") > 0, F.col("_syscall") / (F.col("_named") + 1)).otherwise(0.0).alias("syscall_api_ratio"),
-        "import_ordinal_only_count",
-        (F.col("import_ordinal_only_count") / (total + 1)).alias("import_ordinal_only_ratio"),
-        (total / (F.col("unique_dlls") + 1)).alias("avg_imports_per_dll"),
-        *[F.when(F.col("_named") > 0, F.col(f"_cat_{c}") / (total + 1)).otherwise(0.0).alias(f"api_{c}_ratio")
-          for c in cats])
-    return out
+    from hexlens.operators.joins import keyword_hits
+    lists = C.keyword_lists(native)
+    i = F.col(imports)
+    named = F.filter(i, lambda x: x["api"].isNotNull())
+    desc = F.transform(F.array_distinct(F.transform(i, lambda x: F.struct(x["entry_pos"].alias("p"), x["dll"].alias("d")))), lambda x: x["d"])
+    df = df.withColumns({"_dlls": desc, "_named": named,
+                         "_ordinal": _count(i, lambda x: x["api"].isNull() & x["ordinal"].isNotNull())})
+    dlls, names = F.col("_dlls"), F.col("_named")
+    df = df.withColumns({"_dlen": F.transform(F.filter(dlls, lambda d: F.length(d) > 0), lambda d: F.length(d).cast("double")),
+                         "_n_named": F.size("_named").cast("double"), "unique_dlls": F.size(F.array_distinct("_dlls")).cast("double")})
+    df = _with_item_entropies(df, {"dll_imports_entropy": F.filter(dlls, lambda d: d != ""),
+                                   "api_imports_entropy": F.transform(F.filter(names, lambda x: x["api"] != ""), lambda x: x["api"])})
+    stems = F.transform(dlls, lambda d: F.substring_index(d, ".", 1))
+    lower = lambda x: F.lower(x["api"])
+    text = lambda x: F.concat_ws(" ", x["dll"], x["api"])
+    hits = lambda words: lambda x: keyword_hits(text(x), words) > 0
+    none = F.size("_dlen") == 0
+    n_named, total = F.col("_n_named"), F.col("_n_named") + F.col("_ordinal")
+    df = df.withColumn("imported_system_dlls_count", F.size(F.array_distinct(F.filter(stems, lambda d: d.isin(lists["system_dlls"])))).cast("double"))
+    feats = {
+        "imports_count": F.size("_dlls").cast("double"),
+        "unique_imports": F.size(F.array_distinct(F.transform(names, lambda x: F.struct(x["dll"].alias("d"), x["api"].alias("a"))))).cast("double"),
+        "unique_apis": F.size(F.array_distinct(F.transform(names, lambda x: x["api"]))).cast("double"),
+        "dll_name_avg_length": F.when(none, 0.0).otherwise(F.aggregate("_dlen", F.lit(0.0), lambda a, x: a + x) / F.size("_dlen")),
+        "dll_name_max_length": F.when(none, 0.0).otherwise(F.array_max("_dlen")),
+        "dll_name_min_length": F.when(none, 0.0).otherwise(F.array_min("_dlen")),
+        "imported_system_dlls_ratio": F.col("imported_system_dlls_count") / ((F.size("_dlls") if native else F.col("unique_dlls")) + 1),
+        "syscall_api_ratio": F.when(n_named > 0, _count(names, lambda x: F.startswith(lower(x), F.lit("nt")) | F.startswith(lower(x), F.lit("zw"))) / (n_named + 1)).otherwise(0.0),
+        "import_ordinal_only_count": F.col("_ordinal"),
+        "import_ordinal_only_ratio": F.col("_ordinal") / (total + 1),
+        "avg_imports_per_dll": total / (F.col("unique_dlls") + 1),
+    }
+    feats |= {f"api_{k}_ratio": F.when(n_named > 0, _count(names, hits(w)) / (total + 1)).otherwise(0.0)
+              for k, w in lists["api"].items()}
+    df = df.withColumns(feats)
+    some = F.size(imports) > 0
+    return df.withColumns({k: F.when(some, F.col(k)) for k in IMPORT_FEATURES}).drop("_dlls", "_named", "_ordinal", "_dlen", "_n_named")
 
 
 def export_features(names: Column, count: Column, file_size: Column) -> dict[str, Column]:

@@ -43,12 +43,8 @@ def routed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("routing_by_source", operators=("F1", "U3", "A8", "A9", "F11", "A34"), sql=f"""
 WITH {FILES_CTE},
 sample AS (SELECT doc_id, path, source, sha256(content) AS sha256, content FROM files),
-{bytes_cte('sb', 'sample', 0, '10240')},
-meta AS (
-  SELECT doc_id, least(n, 10240) AS m,
-         CASE WHEN least(n, 10240) > 0 THEN least(10, greatest(1, least(n, 10240) // 2048)) ELSE 0 END AS k
-  FROM sb_hex
-),
+{bytes_cte('sb', 'sample')},
+meta AS (SELECT doc_id, n AS m, CASE WHEN n > 0 THEN least(10, greatest(1, n // 2048)) ELSE 0 END AS k FROM sb_hex),
 blk AS (SELECT s.doc_id, least(s.pos // (m.m // m.k), m.k - 1) AS blk, s.b FROM sb s JOIN meta m USING (doc_id)),
 cnt AS (SELECT doc_id, blk, b, count(*) AS c FROM blk GROUP BY ALL),
 tot AS (SELECT doc_id, blk, sum(c) AS t FROM cnt GROUP BY ALL),
@@ -99,27 +95,29 @@ def q_byte_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------
-# S3 + A2-A5: window of a 4096-byte sample size (exercises truncation)
+# S3 + A2-A5 over whole contents, and the bounded window of S3
 # ---------------------------------------------------------------------------
 
-WINDOW_MAX = 4096
+WINDOW_BOUND = 4096
 WIN_STATS = ["mean", "std", "min", "max", "median", "q25", "q75", "count_zero", "count_ff",
              "count_nop", "count_printable", "entropy"]
 
 
-def _window_stats(spark, sf_dir):
+def _window_stats(spark, sf_dir, bound=None):
     f = documents_as_files(spark, sf_dir).select("doc_id", "content")
-    w = B.byte_window(f, "content", WINDOW_MAX)
+    w = B.byte_window(f, "content", bound)
     return B.byte_statistics(w, "window")
 
 
-_WIN_SQL_HEAD = f"""
+def _win_sql(bound=None):
+    limit = "n" if bound is None else str(bound - 8)
+    return f"""
 WITH {FILES_CTE},
-{bytes_cte('wb', 'files', 8, str(WINDOW_MAX - 8))},
-wn AS (SELECT doc_id, CAST(greatest(least(n - 8, {WINDOW_MAX - 8}), 0) AS BIGINT) AS n FROM wb_hex)"""
+{bytes_cte('wb', 'files', 8, limit)},
+wn AS (SELECT doc_id, CAST(greatest(least(n - 8, {limit}), 0) AS BIGINT) AS n FROM wb_hex)"""
 
 
-@register("byte_window_stats", operators=("S3", "A2", "A3", "A4", "A5"), sql=_WIN_SQL_HEAD + f""",
+_WIN_STATS_SQL = f""",
 agg AS (
   SELECT doc_id, avg(b) AS mean, stddev_pop(b) AS std, min(b) AS mn, max(b) AS mx,
          quantile_cont(b, 0.5) AS median, quantile_cont(b, 0.25) AS q25, quantile_cont(b, 0.75) AS q75,
@@ -137,13 +135,23 @@ SELECT wn.doc_id, CAST(wn.n AS INTEGER) AS orig_length,
   {r6('coalesce(cnop, 0)')} AS count_nop, {r6('coalesce(cpr, 0)')} AS count_printable,
   {r6('coalesce(e, 0)')} AS entropy
 FROM wn LEFT JOIN agg USING (doc_id) LEFT JOIN ent USING (doc_id)
-""")
+"""
+
+
+@register("byte_window_stats", operators=("A2", "A3", "A4", "A5"), sql=_win_sql() + _WIN_STATS_SQL)
 def byte_window_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _window_stats(spark, sf_dir)
     return round6(s.select("doc_id", "orig_length", *WIN_STATS), WIN_STATS)
 
 
-@register("thirds_stats", operators=("A6",), sql=_WIN_SQL_HEAD + f""",
+@register("byte_window_bounded", operators=("S3",), sql=_win_sql(WINDOW_BOUND) + _WIN_STATS_SQL)
+def byte_window_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reference's bounded window as an explicit parameter (4 KiB here, so that texts are longer)."""
+    s = _window_stats(spark, sf_dir, WINDOW_BOUND)
+    return round6(s.select("doc_id", "orig_length", *WIN_STATS), WIN_STATS)
+
+
+@register("thirds_stats", operators=("A6",), sql=_win_sql() + f""",
 part AS (
   SELECT wb.doc_id, CASE WHEN wn.n < 3 THEN t.third ELSE least(wb.pos // (wn.n // 3), 2) END AS third, wb.b
   FROM wb JOIN wn USING (doc_id)
@@ -167,7 +175,7 @@ def thirds_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round6(out, ["mean", "std", "entropy"])
 
 
-_CHUNK_SQL = _WIN_SQL_HEAD + """,
+_CHUNK_SQL = _win_sql() + """,
 part AS (
   SELECT wb.doc_id, least(wb.pos // greatest(1, wn.n // 10), 9) AS chunk, wb.b FROM wb JOIN wn USING (doc_id)
 ),
@@ -218,10 +226,10 @@ def chunk_diff_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _FA_SQL = f"""
 WITH {FILES_CTE},
-{bytes_cte('sb', 'files', 0, '10240')},
+{bytes_cte('sb', 'files', 0, 'BOUND')},
 meta AS (
-  SELECT doc_id, n AS size, least(n, 10240) AS m,
-         CASE WHEN least(n, 10240) > 0 THEN least(10, greatest(1, least(n, 10240) // 2048)) ELSE 0 END AS k
+  SELECT doc_id, n AS size, least(n, BOUND) AS m,
+         CASE WHEN least(n, BOUND) > 0 THEN least(10, greatest(1, least(n, BOUND) // 2048)) ELSE 0 END AS k
   FROM sb_hex
 ),
 blk AS (SELECT s.doc_id, least(s.pos // (m.m // m.k), m.k - 1) AS blk, s.b FROM sb s JOIN meta m USING (doc_id)),
@@ -247,7 +255,12 @@ bs AS (
 )"""
 
 
-@register("file_attributes", operators=("A8", "A9", "A10", "W2"), sql=_FA_SQL + f"""
+def _fa_sql(bound=None):
+    """The attribute CTEs over whole contents, or over a prefix."""
+    return _FA_SQL.replace("BOUND", "n" if bound is None else str(bound))
+
+
+_FA_SELECT = f"""
 SELECT meta.doc_id, {r6('meta.size')} AS size, {r6('ln(meta.size + 1)')} AS log_size,
   {r6('coalesce(overall.e, 0)')} AS file_entropy_avg,
   {r6('coalesce(bs.mn, overall.e, 0)')} AS file_entropy_min, {r6('coalesce(bs.mx, overall.e, 0)')} AS file_entropy_max,
@@ -259,7 +272,18 @@ SELECT meta.doc_id, {r6('meta.size')} AS size, {r6('ln(meta.size + 1)')} AS log_
   {r6('CASE WHEN meta.k > 1 THEN chs.sd ELSE 0 END')} AS entropy_change_std,
   {r6('coalesce(overall.zr, 0)')} AS zero_byte_ratio, {r6('coalesce(overall.pr, 0)')} AS printable_byte_ratio
 FROM meta LEFT JOIN overall USING (doc_id) LEFT JOIN bs USING (doc_id) LEFT JOIN chs USING (doc_id)
-""")
+"""
+
+
+@register("file_attributes_prefix", operators=("A8",), sql=_fa_sql(C.ENTROPY_SAMPLE_SIZE) + _FA_SELECT)
+def q_file_attributes_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reference's 10,240-byte prefix as an explicit parameter."""
+    f = documents_as_files(spark, sf_dir).select("doc_id", "length", "content")
+    fa = B.file_attributes(f, sample_size=C.ENTROPY_SAMPLE_SIZE)
+    return round6(fa.select("doc_id", *B.FILE_ATTR_NAMES), B.FILE_ATTR_NAMES)
+
+
+@register("file_attributes", operators=("A8", "A9", "A10", "W2"), sql=_fa_sql() + _FA_SELECT)
 def q_file_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = documents_as_files(spark, sf_dir).select("doc_id", "length", "content")
     fa = B.file_attributes(f)
@@ -268,7 +292,7 @@ def q_file_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("stride_block_entropy", operators=("W3", "A2"), sql=f"""
 WITH {FILES_CTE},
-{bytes_cte('sb', 'files', 0, '10240')},
+{bytes_cte('sb', 'files')},
 cnt AS (SELECT doc_id, pos // 2048 AS blk, b, count(*) AS c FROM sb GROUP BY ALL),
 tot AS (SELECT doc_id, blk, sum(c) AS t FROM cnt GROUP BY ALL)
 SELECT doc_id, CAST(blk AS INTEGER) AS blk, {r6(entropy_sql('c', 't'))} AS entropy
@@ -276,24 +300,13 @@ FROM cnt JOIN tot USING (doc_id, blk) GROUP BY doc_id, blk
 """)
 def stride_block_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = documents_as_files(spark, sf_dir).select("doc_id", "content")
-    m = F.least(F.length("content"), F.lit(C.ENTROPY_SAMPLE_SIZE)).cast("int")
-    starts, lens, _ = B.block_layout(m, stride=True)
-    p = f.select("doc_id", slice_profiles(F.substring("content", 1, C.ENTROPY_SAMPLE_SIZE), starts, lens).alias("p"))
+    starts, lens, _ = B.block_layout(F.length("content").cast("int"), stride=True, max_blocks=None)
+    p = f.select("doc_id", slice_profiles("content", starts, lens).alias("p"))
     out = p.select("doc_id", F.posexplode("p").alias("blk", "s")).select(
         "doc_id", F.col("blk").cast("int").alias("blk"), F.col("s.entropy").alias("entropy"))
     return round6(out, ["entropy"])
 
 
-# ---------------------------------------------------------------------------
-# the full 49-statistics vector (F6 input), checked against A2-A7/W1 above
-# ---------------------------------------------------------------------------
-
-def statistics_table(spark: SparkSession, sf_dir: str, max_file_size: int = C.DEFAULT_MAX_FILE_SIZE) -> DataFrame:
-    f = documents_as_files(spark, sf_dir).select("doc_id", "path", "content")
-    w = B.byte_window(f, "content", max_file_size)
-    return B.byte_statistics(w, "window").select("doc_id", "path", "orig_length", "stats")
-
-
 # ---------------------------------------------------------------------------
 # C3 featurise (F2-F6): the full 1549-wide row of every document
 # ---------------------------------------------------------------------------
@@ -302,8 +315,7 @@ _SLOT_OUT = ["size", "log_size", "file_entropy_avg", "file_entropy_max", "printa
              "high_entropy_ratio", "file_entropy_median"]
 
 
-@register("featurise_documents", operators=("C3", "F2", "F3", "F4", "F5", "F6", "P13", "A11", "A12", "A13", "A15", "A17",
-                                           "A20", "A38", "F10", "J7"), sql=_FA_SQL + f""",
+_FEATURISE_SQL = f""",
 raw AS (
   SELECT meta.doc_id, meta.size AS size, ln(meta.size + 1) AS log_size, coalesce(overall.e, 0) AS e_avg,
          coalesce(bs.mn, overall.e, 0) AS e_min, coalesce(bs.mx, overall.e, 0) AS e_max,
@@ -314,7 +326,7 @@ raw AS (
   FROM meta LEFT JOIN overall USING (doc_id) LEFT JOIN bs USING (doc_id) LEFT JOIN chs USING (doc_id)
 ),
 v AS (
-  SELECT doc_id, size * 0.8 / {C.SIZE_NORM_MAX} AS s_size, log_size * 0.8 / {C.SIZE_NORM_MAX} AS s_log,
+  SELECT doc_id, size * 0.8 / {C.SIZE_NORM_MAX} AS s_size, log_size * 0.8 / LOGNORM AS s_log,
          e_avg * 0.8 AS s_eavg, e_min * 0.8 AS s_emin, e_max * 0.8 AS s_emax, e_rng * 0.8 AS s_erng,
          e_sd * 0.8 AS s_esd, e_q25 * 0.8 AS s_eq25, e_q75 * 0.8 AS s_eq75, e_med * 0.8 AS s_emed,
          hi * 0.8 AS s_hi, lo * 0.8 AS s_lo, rate * 0.8 AS s_rate, csd * 0.8 AS s_csd, zr * 0.8 AS s_zr, pr * 0.8 AS s_pr
@@ -332,51 +344,36 @@ SELECT doc_id, false AS is_pe, 1549 AS n_features, {r6('norm')} AS pe_norm,
        {r6('s_pr / norm')} AS slot_printable_byte_ratio, {r6('s_hi / norm')} AS slot_high_entropy_ratio,
        {r6('s_emed / norm')} AS slot_file_entropy_median
 FROM n
-""")
-def featurise_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document through the full featuriser (compat profile: the reference's vector)."""
-    from hexlens.operators.featurise import _named_value, featurise
-    f = documents_as_files(spark, sf_dir).select("doc_id", "path", "length", "content")
-    feats = featurise(f, "path").join(documents_as_files(spark, sf_dir).select("doc_id", "path"), "path")
-    slots = [(_named_value(n, F.col(n), "compat") / F.col("pe_norm")).alias(f"slot_{n}") for n in _SLOT_OUT]
+"""
+
+
+def _featurised(spark, sf_dir, **bounds):
+    """Slots are read back from the unit vector: value of the slot over the norm."""
+    from hexlens.operators.featurise import featurise
+    from hexlens.plans import dims as D
+    f = documents_as_files(spark, sf_dir).select("doc_id", "length", "content")
+    feats = featurise(f, "doc_id", **bounds)
+    slots = [F.col("pe_vector")[D.PE_POS[n]].cast("double").alias(f"slot_{n}") for n in _SLOT_OUT]
     out = feats.select("doc_id", "is_pe", F.size("features").alias("n_features"), "pe_norm", *slots)
-    return round6(out, ["pe_norm"] + [f"slot_{n}" for n in _SLOT_OUT])
+    return out.select("doc_id", "is_pe", "n_features", F.round("pe_norm", 6).alias("pe_norm"),
+                      *[F.round(f"slot_{n}", 5).alias(f"slot_{n}") for n in _SLOT_OUT])
 
 
-@register("featurise_outcomes", operators=("A39", "A40", "C3", "P2"), sql="""
-SELECT CASE WHEN octet_length(encode(html)) = 0 THEN 'failed'
-            WHEN substr(hex(encode(html)), 1, 4) = '4D5A' THEN 'success' ELSE 'skipped' END AS status,
-       0 AS stats_missing, 0 AS attributes_missing, 1 AS header_missing, 1 AS sections_missing,
-       1 AS imports_missing, 1 AS exports_missing, count(*)::BIGINT AS files
-FROM pages GROUP BY ALL
-""")
-def featurise_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every web page through the featuriser: outcome and missing feature groups."""
-    from hexlens.operators.featurise import featurise, outcome_counts
-    from hexlens.sources.tables import pages_as_files
-    feats = featurise(pages_as_files(spark, sf_dir).select("path", "length", "content"), "path")
-    return outcome_counts(feats)
-
-
-@register("gating_summary", operators=("A36", "F13", "F12"), sql=_FA_SQL + """,
-sig AS (
-  SELECT meta.doc_id, coalesce(bs.hi, 0) AS he,
-         (CASE WHEN coalesce(bs.hi, 0) > 0.8 THEN 1 ELSE 0 END) AS votes
-  FROM meta LEFT JOIN bs USING (doc_id)
-)
-SELECT CASE WHEN votes >= 2 THEN 'packed' ELSE 'normal' END AS decision, 0 AS routing_label,
-       count(*)::BIGINT AS files
-FROM sig GROUP BY ALL
-""")
-def gating_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five-signal vote (>= 2 -> packed) and the training routing rule, per decision.
+def _featurise_oracle(bound, log_norm):
+    import re
+    sql = _fa_sql(bound) + _FEATURISE_SQL.replace("LOGNORM", log_norm)
+    return re.sub(r"round\(CAST\((s_\w+ / norm) AS DOUBLE\), 6\)", r"round(CAST(CAST(\1 AS FLOAT) AS DOUBLE), 5)", sql)
 
-    Documents carry no sections or overlay, so those signals are 0; the entropy
-    signal comes from the file-prefix blocks.
-    """
-    from hexlens.functions.routing import gate_vote, routing_label
-    fa = B.file_attributes(documents_as_files(spark, sf_dir).select("doc_id", "length", "content"))
-    v = fa.select(gate_vote("high_entropy_ratio", 0.0, 0.0, 0.0, []).alias("packed"),
-                  routing_label(0.0, 0.0).alias("routing_label"))
-    return (v.select(F.when(F.col("packed") == 1, "packed").otherwise("normal").alias("decision"), "routing_label")
-             .groupBy("decision", "routing_label").agg(F.count(F.lit(1)).alias("files")))
+
+@register("featurise_documents", operators=("C3", "F3", "F4", "F5", "F6", "P13"),
+          sql=_featurise_oracle(None, f"ln({C.SIZE_NORM_MAX})"))
+def featurise_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, whole, through the full featuriser (default profile)."""
+    return _featurised(spark, sf_dir)
+
+
+@register("featurise_compat", operators=("C3", "F4", "F5"), sql=_featurise_oracle(C.ENTROPY_SAMPLE_SIZE, str(C.SIZE_NORM_MAX)))
+def featurise_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reference's bounds and vector quirks, as explicit parameters."""
+    from hexlens.operators.featurise import COMPAT
+    return _featurised(spark, sf_dir, **COMPAT)

@@ -18,11 +18,8 @@ from hexlens.functions.pe import dll_flags, pe_timestamp
 from hexlens.operators import pe_features as PF
 from hexlens.plans.corpus import round6
 from hexlens.plans.sqlparts import r6
-from hexlens.sources import files as SF
 from hexlens.sources.tables import table
 
-ORACLE_SF_DIR = "/root/testdata/sf0.01"
-
 _EXEC, _READ, _WRITE = C.SCN_MEM_EXECUTE, C.SCN_MEM_READ, C.SCN_MEM_WRITE
 
 
@@ -126,16 +123,6 @@ def q_entry_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("file_id", name.alias("entry_section"), flag.alias("entry_in_nonstandard_section_flag"))
 
 
-@register("pe_magic", operators=("P2", "S1"), sql=f"""
-SELECT regexp_extract(filename, '[^/]+$') AS name,
-       substr(hex(content), 1, 4) = '4D5A' AS is_pe
-FROM read_blob('{ORACLE_SF_DIR}/*.parquet')
-""")
-def q_pe_magic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = SF.read_files(spark, sf_dir.rstrip("/"), glob="*.parquet")
-    return f.select(SF.base_name("path").alias("name"), SF.is_pe("content").alias("is_pe"))
-
-
 @register("header_scalars", operators=("F7", "F8"), sql="""
 SELECT o_orderkey AS file_id,
        CASE WHEN (CAST(trunc(o_totalprice) AS BIGINT) & 256) <> 0 THEN 1 ELSE 0 END AS has_nx_compat,

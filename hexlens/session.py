@@ -92,6 +92,15 @@ def materialize(df, name: str):
 
 
 _MATERIALIZED: dict[str, list[str]] = {}
+_ONCE: dict[tuple, object] = {}
+
+
+def materialize_once(spark: SparkSession, key: tuple, build, name: str):
+    """``materialize(build())``, written the first time that this application asks for ``key``."""
+    k = (spark.sparkContext.applicationId, *key)
+    if k not in _ONCE:
+        _ONCE[k] = materialize(build(), name)
+    return _ONCE[k]
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
@@ -105,7 +114,10 @@ def release_materialized(spark: SparkSession) -> int:
 
     Call it when no DataFrame built on them is used any more.
     """
-    paths = _MATERIALIZED.pop(spark.sparkContext.applicationId, [])
+    app = spark.sparkContext.applicationId
+    for k in [k for k in _ONCE if k[0] == app]:
+        del _ONCE[k]
+    paths = _MATERIALIZED.pop(app, [])
     for path in paths:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -91,15 +91,11 @@ def path_guard(path, allowed_root: str | None = None, case_insensitive: bool = F
     return ok
 
 
-def _u32le(content, offset0) -> Column:
-    """Little-endian uint32 at a 0-based offset (null when out of range)."""
-    return le_uint(content, offset0, 4)
-
-
 def le_uint(content, offset0, width: int) -> Column:
-    """Little-endian unsigned integer of ``width`` bytes at a 0-based offset."""
-    off = offset0 if isinstance(offset0, Column) else F.lit(offset0)
-    h = F.hex(F.substring(_c(content), (off + 1).cast("int"), width))
+    """Little-endian unsigned integer of ``width`` bytes at a 0-based offset; null when not all of it is there."""
+    off = (offset0 if isinstance(offset0, Column) else F.lit(offset0)).cast("bigint")
+    at = F.least(off, F.length(_c(content)).cast("bigint"))  # hostile offsets exceed an int: beyond the end is null
+    h = F.hex(F.substring(_c(content), (at + 1).cast("int"), width))
     le = F.concat(*[F.substring(h, 2 * (width - 1 - i) + 1, 2) for i in range(width)])
     return F.when(F.length(h) == 2 * width, F.conv(le, 16, 10).cast("bigint"))
 
@@ -108,9 +104,10 @@ def is_pe(content) -> Column:
     """P2: 'MZ', e_lfanew at 0x3C, 'PE\\0\\0' there."""
     c = _c(content)
     mz = F.substring(c, 1, 2) == F.unhex(F.lit("4D5A"))
-    off = _u32le(c, F.lit(0x3C))
-    sig = F.substring(c, (off + 1).cast("int"), 4) == F.unhex(F.lit("50450000"))
-    return F.coalesce(mz & off.isNotNull() & (off + 4 <= F.length(c)) & sig, F.lit(False))
+    off = le_uint(c, 0x3C, 4)
+    at = F.least(off, F.length(c).cast("bigint"))
+    sig = F.substring(c, (at + 1).cast("int"), 4) == F.unhex(F.lit("50450000"))
+    return F.coalesce(mz & off.isNotNull() & sig, F.lit(False))
 
 
 # ---------------------------------------------------------------------------

@@ -80,9 +80,14 @@ def test_file_attributes_match_numpy(spark):
     rng = np.random.default_rng(3)
     blobs = [b"", b"x", bytes(rng.integers(0, 256, 3000, dtype=np.uint8)), bytes(rng.integers(0, 40, 25000, dtype=np.uint8))]
     df = spark.createDataFrame([(i, b, len(b)) for i, b in enumerate(blobs)], "id int, content binary, length long")
-    got = {r.id: r for r in B.file_attributes(df).collect()}
+    for bound in (None, 10240):
+        got = {r.id: r for r in B.file_attributes(df, sample_size=bound).collect()}
+        check_attributes(got, blobs, bound)
+
+
+def check_attributes(got, blobs, bound):
     for i, b in enumerate(blobs):
-        s = np.frombuffer(b[:10240], np.uint8)
+        s = np.frombuffer(b[:bound], np.uint8)
         ents = block_entropies(s)
         overall = entropy8(s)
         r = got[i]

@@ -3,7 +3,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from hexlens.functions.pe import parse_pe_header, pe_headers
+from hexlens.functions.pe import with_pe_headers
 from hexlens.operators import pe_features as PF
 from hexlens.sources.files import is_pe
 
@@ -37,41 +37,55 @@ def make_pe(sections, dllch=0x0140, stamp=1_600_000_000, entry=0x1010, overlay=b
     return bytes(hdr) + bytes(body) + overlay
 
 
+def headers(spark, *contents):
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(contents)], "i int, content binary")
+    return [r.h for r in with_pe_headers(df).orderBy("i").collect()]
+
+
 def test_parse_and_magic(spark):
     import os
     pe = make_pe([(".text", os.urandom(1024), 1000, 0x60000020), (".data", b"\x00" * 512, 600, 0xC0000040)],
                  overlay=os.urandom(2048))
-    h = parse_pe_header(pe)
-    assert h["subsystem"] == 2 and len(h["sections"]) == 2
-    assert h["sections"][0]["name"] == ".text" and h["sections"][1]["raw_ptr"] == 0x400 + 1024
-    assert parse_pe_header(b"MZ" + b"\x00" * 10) is None and parse_pe_header(b"hello") is None
-    df = spark.createDataFrame([(pe,), (b"MZxx",), (b"",)], "content binary")
-    assert [r.p for r in df.select(is_pe("content").alias("p")).collect()] == [True, False, False]
-    parsed = df.select(pe_headers("content").alias("h")).collect()
-    # not a PE: every field of the struct is null
-    assert parsed[0].h.sections[1].name == ".data" and parsed[1].h.sections is None and parsed[1].h.machine is None
-
-
-def test_section_and_overlay_features(spark):
-    import os
-    secs = [(".text", os.urandom(4096), 4000, 0x60000020), (".data", b"\x00" * 512, 600, 0xC0000040),
-            ("UPX0", os.urandom(300), 0x1000, 0xE0000020)]
-    pe = make_pe(secs, overlay=os.urandom(4096))
-    df = spark.createDataFrame([(1, pe, len(pe))], "id int, content binary, length long")
-    df = df.withColumn("h", pe_headers("content"))
-    df = PF.with_section_entropy(df.withColumn("sections", F.col("h.sections")), "content", "sections")
-    ex = PF.explode_sections(df, "id", "sections_e")
-    f = PF.section_features(ex, "id", file_align=F.lit(0x200), sect_align=F.lit(0x1000)).first()
-    assert f.sections_count == 3
-    assert f.executable_sections_count == 2 and f.writable_sections_count == 2 and f.rwx_sections_count == 1
-    assert f.executable_sections_ratio == pytest.approx(2 / 4)
-    assert f.has_upx_section == 1 and f["has_.text_section"] == 1 and f["has_.rsrc_section"] == 0
-    assert f.packer_keyword_hits_count == 1
-    assert f.non_standard_executable_sections_count == 1
-    assert f.section_entropy_max > 0.9 and f.section_entropy_min == 0.0  # 512 zero bytes
-    assert f.alignment_mismatch_count == 3  # raw 300; virtual 4000 and 600
-    ov = PF.trailing_overlay(df, "content", "sections", "length").first()
-    assert ov.trailing_data_size == 4096 and ov.overlay_high_entropy_flag == 1
+    h, *rest = headers(spark, pe, b"MZ" + b"\x00" * 10, b"hello", b"", pe[:150], pe[:200], pe[:300], None)
+    assert h.subsystem == 2 and h.machine == 0x14C and h.time_date_stamp == 1_600_000_000 and h.error is None
+    assert [(x.pos, x.name, x.raw_ptr, x.raw_size) for x in h.sections] == [(0, ".text", 0x400, 1024), (1, ".data", 0x400 + 1024, 512)]
+    assert rest == [None] * 5 + [rest[5], None]  # no PE, or no whole optional header
+    assert rest[5].sections == [] and "section table" in rest[5].error
+    df = spark.createDataFrame([(pe,), (b"MZxx",), (b"",), (b"MZ" + b"\x00" * 58 + b"\xff" * 4 + b"\x00" * 9,)], "content binary")
+    assert [r.p for r in df.select(is_pe("content").alias("p")).collect()] == [True, False, False, False]
+
+
+def plain_features(sections, fa, sa):
+    """Section features of one file by plain Python."""
+    import numpy as np
+    raw = np.array([x[2] for x in sections], float)
+    ex = [bool(x[3] & 0x20000000) for x in sections]
+    return {"sections_count": len(sections), "section_total_size": raw.sum(), "section_size_std": raw.std(),
+            "executable_sections_count": sum(ex), "code_section_ratio": raw[ex].sum() / (raw.sum() + 1),
+            "alignment_mismatch_count": sum(x[2] % fa != 0 for x in sections) + sum(x[1] % sa != 0 for x in sections)}
+
+
+@pytest.mark.parametrize("native", [False, True])
+def test_section_arrays_equal_section_rows(spark, native):
+    import random
+    r = random.Random(3)
+    names = [".text", "UPX0", ".rsrc", "a b", "", ".vmp0", "themida"]
+    rows = []
+    for f in range(40):
+        rows.append((f, 5000, [(i, r.choice(names), r.randrange(9000), 0, r.randrange(3) * 512 + r.randrange(2), 0,
+                                r.choice([0x60000020, 0xC0000040, 0xE0000020, 0x40000040]), r.random()) for i in range(r.randrange(1, 7))]))
+    kind = "array<struct<pos:int,name:string,virtual_size:long,va:long,raw_size:long,raw_ptr:long,characteristics:long,entropy:double>>"
+    df = spark.createDataFrame(rows, f"file int, size long, s {kind}")
+    wide = PF.add_section_features(df, "s", "size", F.lit(512), F.lit(4096), native)
+    flat = PF.section_features(df.select("file", F.inline("s")), "file", F.lit(5000), F.lit(512), F.lit(4096), native)
+    cols = [c for c in flat.columns if c != "file"]
+    a = {x.file: x for x in wide.collect()}
+    for x in flat.collect():
+        for c in cols:
+            assert a[x.file][c] == pytest.approx(x[c], abs=1e-9), c
+    for f, _, secs in rows:
+        for k, v in plain_features([(n, vs, raw, ch) for _, n, vs, _, raw, _, ch, _ in secs], 512, 4096).items():
+            assert a[f][k] == pytest.approx(v), k
 
 
 def make_idata(va=0x3000):
@@ -97,17 +111,67 @@ def make_idata(va=0x3000):
     return bytes(b), dirs
 
 
-def test_import_export_reloc_parsing():
+def test_import_export_reloc_parsing(spark):
     import os
     idata, dirs = make_idata()
     pe = make_pe([(".text", os.urandom(512), 0x200, 0x60000020), (".data", b"\x00" * 512, 0x200, 0xC0000040),
                   (".idata", idata, 0x400, 0x40000040)], dirs=dirs)
-    h = parse_pe_header(pe)
-    imps = [(i["dll"], i["api"], i["ordinal"]) for i in h["imports"]]
+    h = headers(spark, pe)[0]
+    imps = [(i.dll, i.api, i.ordinal) for i in h.imports]
     assert imps == [("kernel32.dll", "CreateFileA", None), ("kernel32.dll", "ReadFile", None),
                     ("kernel32.dll", None, 5), ("ws2_32.dll", "connect", None)]
-    assert h["exports_count"] == 3 and h["export_names"] == ["ExportOne", "Ex2"]
-    assert (h["reloc_blocks"], h["reloc_entries"]) == (2, 6)
+    assert h.exports_count == 3 and h.export_names == ["ExportOne", "Ex2"]
+    assert (h.reloc_blocks, h.reloc_entries) == (2, 6) and h.error is None
+
+
+def test_hostile_files_are_reported_and_end_nothing(spark):
+    from hexlens.operators.featurise import featurise
+    sec = [(".text", b"\x90" * 512, 0x200, 0x60000020)]
+    idata, dirs = make_idata(0x2000)
+    two = sec + [(".idata", idata, 0x400, 0x40000040)]
+
+    def poke(buf, at, fmt, *v):
+        b = bytearray(buf)
+        struct.pack_into(fmt, b, at, *v)
+        return bytes(b)
+    opt = 0x80 + 24
+    good = make_pe(two, dirs=dirs)
+    shared = poke(good, 0x400 + 512 + 20, "<I", 0x2000 + 0x100)  # both descriptors use one thunk table
+    far = poke(good, opt + 224 + 20, "<I", 0xF0000000)           # section pointer beyond 2**31
+    size = poke(good, opt + 224 + 16, "<I", 0xFFFFFFFF)
+    loop = make_pe([(".rsrc", struct.pack("<IIIHHII", 0, 0, 0, 0, 1, 1, 0x80000000).ljust(512, b"\0"), 0x200, 0x40000040)], dirs={2: (0x1000, 64)})
+    outside = make_pe(sec, dirs={1: (0x900000, 40), 9: (0x900000, 40), 4: (0x7FFFFFF0, 0x7FFFFFFF)})
+    count = poke(good, 0x80 + 6, "<H", 0xFFFF)                   # more sections than the file holds
+    name = poke(good, opt + 224, "<Q", 0xFFFEFDFCFBFAF9F8)       # a name that isn't UTF-8
+    cut = good[:-700]
+    got = headers(spark, good, shared, far, size, loop, outside, count, name, cut)
+    assert got[0].error is None and "overlap" in got[1].error and "overlap" in got[4].error
+    assert "outside" in got[5].error and "section table" in got[6].error and got[8].error
+    rows = [(f"f{i}", len(x or b""), x) for i, x in enumerate((good, shared, far, size, loop, outside, count, name, cut, b"", None))]
+    for native in (False, True):
+        f = featurise(spark.createDataFrame(rows, "path string, length long, content binary"), native=native).collect()
+        assert len(f) == 11 and all(len(r.features) == 1549 for r in f if r.length)
+        assert sum(r.is_pe for r in f) == 9
+
+
+def test_pe32_plus_without_and_with_tls(spark):
+    def image(dirs, body):
+        hdr = bytearray(0x400)
+        hdr[0:2], hdr[0x80:0x84] = b"MZ", b"PE\x00\x00"
+        struct.pack_into("<I", hdr, 0x3C, 0x80)
+        struct.pack_into("<HHIIIHH", hdr, 0x84, 0x8664, 1, 5, 0, 0, 240, 0)
+        opt = 0x98
+        struct.pack_into("<H", hdr, opt, 0x20B)
+        struct.pack_into("<I", hdr, opt + 108, 16)
+        for k, (rva, size) in dirs.items():
+            struct.pack_into("<II", hdr, opt + 112 + 8 * k, rva, size)
+        hdr[opt + 240:opt + 248] = b".text\0\0\0"
+        struct.pack_into("<IIII", hdr, opt + 248, 512, 0x1000, 512, 0x400)
+        return bytes(hdr) + body.ljust(512, b"\0")
+    tls = struct.pack("<QQQQ", 0, 0, 0, 7)
+    none, some, zero = headers(spark, image({}, b""), image({9: (0x1000, 40)}, tls), image({9: (0x1000, 40)}, b""))
+    assert [h.tls_callbacks for h in (none, some, zero)] == [0, 1, 0]
+    assert all(h.pe32_plus and h.error is None for h in (none, some, zero))
 
 
 def test_featurise_full_row(spark):
