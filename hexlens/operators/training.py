@@ -1,4 +1,4 @@
-"""Distributed ML operators.
+"""Distributed ML operators.
 
 All fits are ``pyspark.ml`` estimators (distributed over executors); the
 driver only holds model parameters.  Splits are hash buckets of the row key,
@@ -11,7 +11,7 @@ import math
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, StandardScaler
+from pyspark.ml.feature import PCA, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,14 +26,19 @@ def hash_bucket(key, seed: int = C.DEFAULT_RANDOM_STATE, buckets: int = 100) ->
     return F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint"), F.lit(buckets)).cast("int")
 
 
+SMALL_ROWS = 10
+
+
 def split_60_20_20(df: DataFrame, key: str, seed: int = C.DEFAULT_RANDOM_STATE,
                    test_size: float = C.DEFAULT_TEST_SIZE, val_size: float = C.DEFAULT_VAL_SIZE) -> DataFrame:
     """M1: adds ``split`` in {train, val, test}: test 20 %, then val 25 % of the rest.
 
     Hash buckets give the shares per label approximately (stratification by
-    construction: every label is bucketed the same way).  With <= 10 rows all
-    rows are used for every split, as in the reference.
+    construction: every label is bucketed the same way).  Of a table of at most
+    SMALL_ROWS rows every split gets all rows, as in the reference.
     """
+    if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
+        return df.withColumn("split", F.explode(F.array(F.lit("train"), F.lit("val"), F.lit("test"))))
     b = hash_bucket(key, seed)
     t = int(round(test_size * 100))
     v = t + int(round(val_size * (100 - t)))
@@ -66,6 +71,7 @@ def expert_predict(df: DataFrame, route: str, experts: dict, features: str = "fe
     """M8: score each row with its route's expert; a missing expert scores 0.
 
     Two filtered ``transform``s plus a union: each expert only sees its rows.
+    An expert is a fitted model with ``transform`` or ``predict``, or a column.
     """
     parts = []
     for r in (0, 1):
@@ -73,6 +79,10 @@ def expert_predict(df: DataFrame, route: str, experts: dict, features: str = "fe
         model = experts.get(r)
         if model is None:
             parts.append(rows.withColumn("score", F.lit(0.0)))
+        elif isinstance(model, Column):
+            parts.append(rows.withColumn("score", model))
+        elif hasattr(model, "predict_rows"):
+            parts.append(model.predict_rows(rows))
         else:
             parts.append(positive_score(model.transform(rows)))
     return parts[0].unionByName(parts[1])
@@ -110,19 +120,21 @@ def k_schedule(n: int, start: int = C.FEATURE_GATING_K_START, step: int = C.FEAT
 
 
 def scale_pca(df: DataFrame, vec: str, k: int) -> DataFrame:
-    """Standardise (population std via mean/std flags) then PCA to k dims."""
-    v = df.withColumn("_v", array_to_vector(F.col(vec)))
-    scaled = StandardScaler(inputCol="_v", outputCol="_z", withMean=True, withStd=True).fit(v).transform(v)
+    """Standardise with the engine's own scaler (F15, population std), then PCA to k dims."""
+    from hexlens.operators.families import scaler_apply, scaler_fit
+    scaled = scaler_apply(df, vec, scaler_fit(df, vec), "_s").withColumn("_z", array_to_vector(F.col("_s")))
     k = min(k, len(df.select(vec).first()[0]))
     pca = PCA(k=k, inputCol="_z", outputCol="pca").fit(scaled)
-    return pca.transform(scaled).drop("_v", "_z")
+    return pca.transform(scaled).drop("_s", "_z")
 
 
 def kmeans_clusters(df: DataFrame, features: str, k: int = C.KMEANS_N_CLUSTERS,
                     max_iter: int = C.KMEANS_MAX_ITER, seed: int = C.DEFAULT_RANDOM_STATE) -> DataFrame:
-    """K-means cluster id per row (k capped by the row count)."""
-    n = df.count()
-    km = KMeans(k=max(2, min(k, n)), maxIter=max_iter, seed=seed, featuresCol=features, predictionCol="cluster_id")
+    """K-means cluster id per row; fewer distinct rows than k is an error."""
+    n = df.limit(k).count()
+    if n < k:
+        raise ValueError(f"{n} rows for {k} clusters")
+    km = KMeans(k=k, maxIter=max_iter, seed=seed, featuresCol=features, predictionCol="cluster_id")
     return km.fit(df).transform(df)
 
 
@@ -145,23 +157,28 @@ def fold_column(df: DataFrame, key: str, folds: int, seed: int = C.DEFAULT_RANDO
     return df.withColumn(out, F.pmod(hash_bucket(key, seed, 1 << 20), F.lit(folds)).cast("int"))
 
 
-_METRICS = {"roc_auc": ("binary", "areaUnderROC"), "accuracy": ("multi", "accuracy"), "f1": ("multi", "f1"),
+# scores of the positive class, as the reference reports them
+_METRICS = {"roc_auc": ("binary", "areaUnderROC"), "accuracy": ("multi", "accuracy"), "f1": ("multi", "fMeasureByLabel"),
             "precision": ("multi", "precisionByLabel"), "recall": ("multi", "recallByLabel")}
 
 
+def evaluator(metric: str, label: str = "label"):
+    """The Spark evaluator of one of the reported metrics."""
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
+    kind, name = _METRICS[metric]
+    return (BinaryClassificationEvaluator(labelCol=label, metricName=name) if kind == "binary" else
+            MulticlassClassificationEvaluator(labelCol=label, metricName=name, metricLabel=1.0))
+
+
 def cv_score(df: DataFrame, key: str, estimator_params: dict | None = None, folds: int = 5,
              metric: str = "f1", features: str = "vec", label: str = "label") -> float:
     """Mean k-fold score of a GBT; fewer than two classes scores 0."""
-    from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
     from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
     if df.select(label).distinct().count() < 2:
         return 0.0
-    kind, name = _METRICS[metric]
-    ev = (BinaryClassificationEvaluator(labelCol=label, metricName=name) if kind == "binary" else
-          MulticlassClassificationEvaluator(labelCol=label, metricName=name, metricLabel=1.0))
     gbt = GBTClassifier(labelCol=label, featuresCol=features, seed=C.DEFAULT_RANDOM_STATE,
                         **(estimator_params or {"maxIter": 20, "maxDepth": 4}))
-    cv = CrossValidator(estimator=gbt, estimatorParamMaps=ParamGridBuilder().build(), evaluator=ev,
+    cv = CrossValidator(estimator=gbt, estimatorParamMaps=ParamGridBuilder().build(), evaluator=evaluator(metric, label),
                         foldCol="fold", parallelism=2)
     model = cv.fit(fold_column(df, key, folds))
     return float(model.avgMetrics[0])
@@ -185,31 +202,66 @@ def sample_params(trials: int, seed: int = C.DEFAULT_RANDOM_STATE) -> list[dict]
     return out
 
 
-def tune(df: DataFrame, key: str, trials: int = 5, folds: int = 3, metric: str = "f1") -> DataFrame:
-    """Baseline vs best sampled parameters by cross-validated score (one row per trial)."""
+TUNE_METRICS = ("f1", "precision", "recall", "accuracy", "roc_auc")
+
+
+def tune(df: DataFrame, key: str, trials: int = 50, folds: int = 5, metric: str = "f1", features: str = "vec", label: str = "label",
+         parallelism: int = 4) -> DataFrame:
+    """One row per trial with the cross-validated ``metric``; baseline and best trial with all metrics.
+
+    The baseline and the sampled parameters are one list for one
+    CrossValidator, whose fits run side by side over input that is written once.
+    """
+    from pyspark.ml.tuning import CrossValidator
+    from hexlens.session import materialize
     spark = df.sparkSession
-    rows = [("baseline", cv_score(df, key, None, folds, metric))]
-    for i, p in enumerate(sample_params(trials)):
-        rows.append((f"trial_{i}", cv_score(df, key, p, folds, metric)))
-    return spark.createDataFrame(rows, f"trial string, {metric} double")
+    data = materialize(fold_column(df, key, folds).select("fold", label, features), "tune-input")
+    gbt = GBTClassifier(labelCol=label, featuresCol=features, seed=C.DEFAULT_RANDOM_STATE)
+    params = [{"maxIter": 20, "maxDepth": 4}, *sample_params(trials)]
+    grid = [{getattr(gbt, k): v for k, v in p.items()} for p in params]
+
+    def scores(maps, name):
+        cv = CrossValidator(estimator=gbt, estimatorParamMaps=maps, evaluator=evaluator(name, label), foldCol="fold", parallelism=parallelism)
+        return cv.fit(data).avgMetrics
+    first = scores(grid, metric)
+    best = max(range(1, len(grid)), key=lambda k: first[k]) if trials else 0
+    rows = [("baseline" if k == 0 else f"trial_{k - 1}", metric, float(v), k == best) for k, v in enumerate(first)]
+    for name in TUNE_METRICS:
+        if name != metric:
+            pair = scores([grid[0], grid[best]] if best else [grid[0]], name)
+            rows += [("baseline" if k == 0 else f"trial_{best - 1}", name, float(v), k == 1 or not best) for k, v in enumerate(pair)]
+    return spark.createDataFrame(rows, "trial string, metric string, score double, best boolean")
+
+
+def mask_indices(kind: str, dim: int, k: int | None = None, order: list[int] | None = None, stats: int = C.STAT_FEATURE_DIM,
+                 seed: int = C.DEFAULT_RANDOM_STATE) -> list[int]:
+    """P10: the dimensions that a mask keeps: ``top_k`` (of an importance order), ``random`` (seeded k),
+    ``statistics`` (before the PE vector) or ``pe`` (the PE vector)."""
+    import random
+    if kind == "top_k":
+        return list(order[:k])
+    if kind == "random":
+        return sorted(random.Random(seed).sample(range(dim), k))
+    if kind in ("statistics", "pe"):
+        return list(range(min(stats, dim))) if kind == "statistics" else list(range(min(stats, dim), dim))
+    raise ValueError(kind)
 
 
-def mask_vector(features: str, indices: list[int], out: str = "masked") -> F.Column:
-    """P10: keep a subset of dimensions (top-k, seeded random, statistics only, PE only)."""
-    arr = vector_to_array(F.col(features))
-    return array_to_vector(F.array(*[arr[i] for i in indices])).alias(out)
+def mask_columns(df: DataFrame, features: str, indices: list[int], out: str = "masked") -> DataFrame:
+    """P10: adds the vector of the kept dimensions."""
+    return VectorSlicer(inputCol=features, outputCol=out, indices=list(indices)).transform(df)
 
 
 def feature_gating(df: DataFrame, importance_order: list[int], k_values: list[int], features: str = "vec",
-                   label: str = "label") -> DataFrame:
+                   label: str = "label", max_iter: int = 50, max_depth: int = 6) -> DataFrame:
     """Refit on the top-k dimensions for each k; accuracy on the test split."""
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
     spark = df.sparkSession
     ev = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
     rows = []
     for k in k_values:
-        sub = df.select(label, "split", mask_vector(features, importance_order[:k], "m"))
-        model = train_gbt(sub.where("split = 'train'"), label=label, features="m", max_iter=10, max_depth=4)
+        sub = mask_columns(df, features, mask_indices("top_k", 0, k, importance_order), "m").select(label, "split", "m")
+        model = train_gbt(sub.where("split = 'train'"), label=label, features="m", max_iter=max_iter, max_depth=max_depth)
         acc = ev.evaluate(model.transform(sub.where("split = 'test'")))
         rows.append((k, float(acc)))
     return spark.createDataFrame(rows, "k int, accuracy double")

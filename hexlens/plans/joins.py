@@ -12,19 +12,6 @@ from hexlens.plans.metrics import SCORED_CTE, scored
 from hexlens.sources import files as SF
 from hexlens.sources.tables import documents_as_files, table
 
-ORACLE_SF_DIR = "/root/testdata/sf0.01"
-
-
-@register("scan_files", operators=("S1", "P3", "F9", "F1"), sql=f"""
-SELECT regexp_extract(filename, '[^/]+$') AS name, CAST(size AS BIGINT) AS length, sha256(content) AS sha256
-FROM read_blob('{ORACLE_SF_DIR}/*.parquet') WHERE size <= {C.SIZE_NORM_MAX}
-""")
-def q_scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The given tables' own files as a binary corpus: name, size, content hash."""
-    f = SF.read_files(spark, sf_dir.rstrip("/"), glob="*.parquet", max_size=C.SIZE_NORM_MAX)
-    return f.select(SF.base_name("path").alias("name"), "length", F.sha2("content", 256).alias("sha256"))
-
-
 _FILES_SQL = """files AS (
   SELECT doc_id, source, lang, source || '/' || CAST(doc_id AS VARCHAR) || '.' || lang AS path,
          sha256(encode(text)) AS sha256, text
@@ -63,7 +50,7 @@ def q_cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.cache_lookup(f, _cache(spark, sf_dir)).select("doc_id", "sha256", "cache_hit", "is_malware")
 
 
-@register("skip_existing", operators=("J9", "S16"), sql=f"""
+@register("skip_existing", operators=("J9",), sql=f"""
 WITH {_FILES_SQL},
 stored AS (SELECT DISTINCT f.sha256 FROM files f JOIN labels l USING (doc_id))
 SELECT doc_id, sha256 FROM files WHERE sha256 NOT IN (SELECT sha256 FROM stored)
@@ -150,7 +137,7 @@ def q_union_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("path").alias("distinct_files"))
 
 
-@register("merge_maps", operators=("U5", "S7"), sql="""
+@register("merge_maps", operators=("U5",), sql="""
 WITH older AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'benign' ELSE 'malicious' END AS label FROM labels),
 newer AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'malicious' ELSE 'benign' END AS label FROM labels WHERE toxic = 1),
 u AS (SELECT doc_id, label, 0 AS v FROM older UNION ALL SELECT doc_id, label, 1 AS v FROM newer)
@@ -175,7 +162,7 @@ def q_model_key_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.key_intersect(e, sizes.where("count >= 2"), sizes.where("count >= 50"), key="cluster_id")
 
 
-@register("request_envelope", operators=("T4", "S6", "P12"), sql="""
+@register("request_envelope", operators=("T4",), sql="""
 SELECT event_id, 1 AS version, CAST(event_id AS VARCHAR) AS id, event_type <> 'error' AS ok,
        CASE WHEN event_type <> 'error' THEN CAST(json_extract(props, '$.k') AS INTEGER) END AS k,
        CASE WHEN event_type = 'error' THEN 'SCAN_FAILED' END AS error_code

@@ -142,7 +142,7 @@ def q_score_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round6(M.score_histogram(scored(spark, sf_dir)), ["bin_left"])
 
 
-@register("scan_summary", operators=("A35", "P5", "P12"), sql=f"""
+@register("scan_summary", operators=("P5",), sql=f"""
 WITH {SCORED_CTE},
 v AS (SELECT split_part(path, '/', 1) AS source, score > 0.98 AS is_malware,
              CASE WHEN score > 0.98 THEN score ELSE 1.0 - score END AS confidence FROM scored)

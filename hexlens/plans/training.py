@@ -1,18 +1,28 @@
-"""Training / evaluation queries."""
+"""Training / evaluation queries.
+
+Fitted numbers have no exact oracle; each query returns the facts about its
+fit that SQL can state: rows and splits, schedules, rates, bounds, restarts.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hexlens import config as C
 from hexlens.catalog import register
-from hexlens.operators import byte_stats as B
 from hexlens.operators import metrics as M
 from hexlens.operators import training as TR
-from hexlens.plans.corpus import round6
-from hexlens.session import materialize
+from hexlens.operators.boosting import BoostedModel, boost, fp_mining, fp_reinforcement
+from hexlens.operators.featurise import featurise
+from hexlens.plans import dims as D
+from hexlens.session import materialize, materialize_once, scratch_table_path
+from hexlens.sources.models import load_experts, save_experts
 from hexlens.sources.tables import documents_as_files, table
+from hexlens.streaming.incremental import incremental_fit, saved_epochs
 
 
 @register("split_assignment", operators=("M1",), sql="""
@@ -31,103 +41,183 @@ def q_split_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C3-lite: 49 window statistics of each labelled document + label + split."""
-    f = documents_as_files(spark, sf_dir).select("doc_id", "content")
-    lab = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
-    x = B.byte_statistics(B.byte_window(f.join(lab, "doc_id"), "content"), "window")
-    x = TR.split_60_20_20(x.select("doc_id", "label", "stats"), "doc_id")
-    x = TR.assemble(x, "stats").withColumn("label", F.col("label").cast("double"))
-    # iterative fits re-read their input many times: materialise once in the
-    # shared checkpoint folder (cuts lineage; survives executor loss)
-    return materialize(x, "labelled-features")
+    """The 1549 features of each labelled document, whole, + label + split; written once for all queries."""
+    def build():
+        f = documents_as_files(spark, sf_dir).select("doc_id", "length", "content")
+        lab = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+        keyed = f.join(lab.select("doc_id"), "doc_id", "left_semi")
+        x = featurise(keyed, "doc_id").select("doc_id", "features").join(lab, "doc_id")
+        x = TR.split_60_20_20(x, "doc_id").select("doc_id", "label", "split", F.col("features").alias("row"))
+        return TR.assemble(x, "row", "features").withColumn("label", F.col("label").cast("double")).withColumn("stats", F.slice("row", 1, C.STAT_FEATURE_DIM))
+    return materialize_once(spark, ("labelled-features", sf_dir), build, "labelled-features")
+
 
+_SPLIT_SQL = """
+WITH b AS (SELECT doc_id, toxic AS label, ('0x' || substr(sha256(CAST(doc_id AS VARCHAR) || ':42'), 1, 8))::BIGINT % 100 AS bucket,
+                  ('0x' || substr(sha256(CAST(doc_id AS VARCHAR) || ':42'), 1, 8))::BIGINT % 1048576 AS wide FROM labels JOIN documents USING (doc_id)),
+s AS (SELECT *, CASE WHEN bucket < 20 THEN 'test' WHEN bucket < 40 THEN 'val' ELSE 'train' END AS split FROM b)"""
 
-@register("train_evaluate", operators=("M2", "M7", "M8", "C5", "A29"))
+
+@register("train_evaluate", operators=("M2", "M7", "M8", "C5", "A29", "S14"), sql=_SPLIT_SQL + """
+SELECT 'Benign' AS class_name, count_if(label <> 1)::BIGINT AS support, true AS in_range, true AS reloaded FROM s WHERE split = 'test'
+UNION ALL SELECT 'Malicious', count_if(label = 1)::BIGINT, true, true FROM s WHERE split = 'test'
+UNION ALL SELECT n, count(*)::BIGINT, true, true FROM s, (VALUES ('accuracy'), ('macro avg'), ('weighted avg')) v(n) WHERE split = 'test' GROUP BY n
+""")
 def q_train_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Route (F11 on the statistics' entropy), train one expert per route, report on the test split."""
-    x = labelled_features(spark, sf_dir)
-    x = x.withColumn("route", (F.col("stats")[11] > C.GATE_HIGH_ENTROPY_RATIO).cast("int"))
+    """Route by entropy, one expert per route, saved and loaded again, report on the test split."""
+    x = labelled_features(spark, sf_dir).withColumn("route", (F.col("stats")[11] > 0.55).cast("int"))
     train = x.where("split <> 'test'").withColumn("is_val", F.col("split") == "val")
     experts = TR.train_experts(train, "route", max_iter=20, max_depth=4, validation="is_val")
-    scored = TR.expert_predict(x.where("split = 'test'"), "route", experts)
-    return round6(M.classification_report(scored, threshold=0.5), ["precision", "recall", "f1"])
+    at = scratch_table_path(spark, f"experts-{uuid.uuid4().hex[:12]}")
+    save_experts(spark, experts, at)
+    loaded = load_experts(spark, at)
+    test = materialize(x.where("split = 'test'"), "test-split")
+    scored = TR.expert_predict(test, "route", loaded)
+    same = scored.select("doc_id", "score").join(TR.expert_predict(test, "route", experts).select("doc_id", F.col("score").alias("was")), "doc_id")
+    ok = same.where("score <> was").limit(1).count() == 0 and set(loaded) == set(experts)
+    report = M.classification_report(scored, threshold=0.5)
+    inside = F.forall(F.array("precision", "recall", "f1"), lambda v: v.isNull() | v.between(0, 1))
+    return report.select("class_name", "support", inside.alias("in_range"), F.lit(ok).alias("reloaded"))
 
 
-@register("feature_importance_top", operators=("M12", "W5", "P13"))
+@register("feature_importance_top", operators=("M12", "W5", "P13"), sql="""
+SELECT i::INTEGER AS rank, true AS ordered, true AS named FROM range(50) r(i)
+""")
 def q_feature_importance_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 most important of the 1549 dimensions, by the one dimension table."""
     x = labelled_features(spark, sf_dir)
     model = TR.train_gbt(x.where("split = 'train'"), max_iter=20, max_depth=4)
-    imp = TR.importance_table(model, B.STAT_NAMES)
-    return round6(TR.top_k_importance(imp), ["importance"])
+    imp = TR.importance_table(model, [D.meaning(i) for i in range(C.FULL_FEATURE_DIM)])
+    top = TR.top_k_importance(imp)  # at most 50 rows
+    w = Window.orderBy(F.desc("importance"), "dim")
+    total = imp.agg(F.sum("importance").alias("t"))  # one row
+    return top.withColumn("rank", F.row_number().over(w) - 1).withColumn("before", F.lag("importance").over(w)).crossJoin(F.broadcast(total)).select(
+        "rank", (F.coalesce(F.col("before") >= F.col("importance"), F.lit(True)) & (F.abs(F.col("t") - 1) < 1e-6)).alias("ordered"),
+        F.col("meaning").rlike("^(stat|hash|pe):|^padding$").alias("named"))
 
 
-@register("kmeans_families", operators=("M14", "M15", "M17", "A24"))
+@register("dimensions", operators=("P13", "F6"), sql=f"""
+SELECT i::INTEGER AS dim, CASE WHEN i < 49 THEN 'stat' WHEN i < 305 THEN 'hash' WHEN i < 433 THEN 'pe' ELSE 'padding' END AS part,
+       count(*) OVER ()::BIGINT AS rows_with_all FROM range(1549) r(i)
+""")
+def q_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of every dimension, over the rows that have all of them."""
+    x = labelled_features(spark, sf_dir)
+    width = x.agg(F.min(F.size("row")).alias("lo"), F.max(F.size("row")).alias("hi"))  # one row
+    dims = D.dimension_table(spark)
+    return dims.crossJoin(F.broadcast(width)).select("dim", F.regexp_extract("meaning", "^[a-z]+", 0).alias("part"),
+                                                     F.when(F.col("lo") == F.col("hi"), F.col("hi")).cast("bigint").alias("rows_with_all"))
+
+
+@register("kmeans_families", operators=("M14", "M15", "M18", "W7", "A24", "A25", "A26", "A27", "A37", "F15", "P4", "S12"), sql="""
+SELECT count(*)::BIGINT AS files, 32::BIGINT AS clusters, true AS named, true AS fitted, true AS scored FROM embeddings
+""")
 def q_kmeans_families(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings")
-    p = TR.scale_pca(e, "embedding", C.FAST_PCA_DIMENSION)
-    k = 16
-    clustered = TR.kmeans_clusters(p, "pca", k=k)
-    return clustered.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
+    """M18 in one chain: scale, PCA, k-means, noise ids, families and names, family model, outputs, quality."""
+    from hexlens.operators.discovery import discover_families
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("filename"), "embedding")
+    found = discover_families(e, "embedding", k=32, min_family_size=2, out=scratch_table_path(spark, f"families-{uuid.uuid4().hex[:12]}"))
+    sizes, families, model, quality = (found[x] for x in ("sizes", "families", "model", "quality"))
+    s = sizes.agg(F.sum("n").cast("bigint").alias("files"), F.count(F.lit(1)).alias("clusters"))
+    named = families.where(F.col("family_name") != F.format_string(C.FAMILY_NAME_FORMAT, "cluster_id", "n")).limit(1).count() == 0
+    fitted = model.count() == sizes.count() and model.where("threshold <= 0").limit(1).count() == 0
+    q = quality.first()
+    return s.select("files", "clusters", F.lit(named).alias("named"), F.lit(fitted).alias("fitted"),
+                    F.lit(bool(q.calinski_harabasz > 0 and -1 <= q.silhouette <= 1)).alias("scored"))
 
 
-def _labelled_split(spark, sf_dir):
+@register("continued_boosting", operators=("M2", "M3", "M4", "S14"), sql="""
+SELECT i::INTEGER AS stage, round(CASE WHEN i < 6 THEN 0.001 + (0.1 - 0.001) * least(1, i / 4.0) ELSE 0.1 END, 9) AS step, true AS kept, true AS better FROM range(10) r(i)
+""")
+def q_continued_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A first fit with warm-up, saved, loaded and continued at full rate: stage rates, and what the first stages became."""
     x = labelled_features(spark, sf_dir)
-    return x.where("split <> 'test'"), x.where("split = 'test'")
+    train = x.where("split <> 'test'").select("features", "label")
+    first = boost(train, features="features", rounds=6, depth=3, warmup=4)
+    at = scratch_table_path(spark, f"boosted-{uuid.uuid4().hex[:12]}")
+    first.save(spark, at)
+    more = boost(train, features="features", rounds=4, depth=3, model=BoostedModel.load(spark, at))
+    loss = lambda m: m.margin(train).agg(F.avg(F.log1p(F.exp(F.when(F.col("label") == 1, -F.col("margin")).otherwise(F.col("margin")))))).first()[0]
+    better = bool(loss(more) < loss(first))
+    return spark.createDataFrame([(i, round(s, 9), i >= 6 or first.stages[i][1] == t, better) for i, (s, t) in enumerate(more.stages)],
+                                 "stage int, step double, kept boolean, better boolean")
 
 
-@register("continued_boosting", operators=("M2", "M3", "M4"))
-def q_continued_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boost 5 rounds, continue 5 more with a warm-up schedule; AUC on the test split after each."""
-    from hexlens.operators.boosting import boost
-    train, test = _labelled_split(spark, sf_dir)
-    train = train.select("features", "label")
-    m = boost(train, features="features", rounds=5, depth=3)
-    a1 = M.roc_auc(m.predict(test.select("features", "label"))).first()["auc"]
-    m = boost(train, features="features", rounds=5, depth=3, model=m, warmup=10)
-    a2 = M.roc_auc(m.predict(test.select("features", "label"))).first()["auc"]
-    return spark.createDataFrame([(5, a1), (len(m.stages), a2)], "stages int, auc double")
-
-
-@register("fp_reinforcement", operators=("M5", "M6", "J3", "A30", "U2"))
+@register("fp_reinforcement", operators=("M5", "M6", "J3", "A30", "U2"), sql=_SPLIT_SQL + """,
+t AS (SELECT count_if(split = 'train')::BIGINT AS n, count_if(split = 'train' AND label = 0)::BIGINT AS benign, count_if(split = 'val' AND label = 0)::BIGINT AS val_benign FROM s)
+SELECT 'reinforce' AS phase, val_benign AS false_positives, benign AS touched FROM t
+UNION ALL SELECT 'mining', val_benign, n FROM t
+""")
 def q_fp_reinforcement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Re-weighting (M5) then mining (M6) of validation false positives at threshold 0.5."""
-    from hexlens.operators.boosting import boost, fp_mining, fp_reinforcement
-    x = labelled_features(spark, sf_dir)
-    train = x.where("split = 'train'").select("doc_id", "features", "label")
-    val = x.where("split = 'val'").select("doc_id", "features", "label")
-    m = boost(train, features="features", rounds=3, depth=3)
-    m, h1 = fp_reinforcement(train, val, "doc_id", m, max_iter=2, rounds=2, threshold=0.5, features="features", depth=3)
-    m, h2 = fp_mining(train, val, "doc_id", m, max_iter=2, rounds=2, threshold=0.5, features="features", depth=3)
-    rows = [("reinforce", i, n) for i, n in h1] + [("mining", i, n) for i, n in h2]
-    return spark.createDataFrame(rows, "phase string, iteration int, false_positives long")
+    """Re-weighting (M5) and mining (M6), first iteration: a prior-only model puts every row above the threshold,
+    so all benign rows are false positives: of validation, and those of the training rows that are re-weighted."""
+    x = labelled_features(spark, sf_dir).select("doc_id", "features", "label", "split")
+    train, val = (x.where(F.col("split") == s).drop("split") for s in ("train", "val"))
+    start = BoostedModel(0.0, (), "features")  # scores 0.5
+    kw = {"threshold": 0.4, "features": "features", "depth": 3, "max_iter": 2, "rounds": 2}
+    _, h1 = fp_reinforcement(train, val, "doc_id", start, **kw)
+    _, h2 = fp_mining(train, val, "doc_id", start, **kw)
+    return spark.createDataFrame([("reinforce", *h1[0][1:]), ("mining", *h2[0][1:])], "phase string, false_positives long, touched long")
+
 
+@register("fold_assignment", operators=("M10",), sql=_SPLIT_SQL + " SELECT (wide % 5)::INTEGER AS fold, label::INTEGER AS label, count(*)::BIGINT AS n FROM s GROUP BY ALL")
+def q_fold_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = TR.fold_column(labelled_features(spark, sf_dir).select("doc_id", "label"), "doc_id", 5)
+    return x.groupBy("fold", F.col("label").cast("int").alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
-@register("cv_tune", operators=("M10", "M11"))
+
+@register("cv_tune", operators=("M10", "M11"), sql="""
+SELECT t AS trial, m AS metric, true AS in_range FROM (VALUES ('baseline'), ('trial_0'), ('trial_1')) a(t), (VALUES ('f1')) b(m)
+UNION ALL SELECT t, m, true FROM (VALUES ('baseline'), ('best')) a(t), (VALUES ('precision'), ('recall'), ('accuracy'), ('roc_auc')) b(m)
+""")
 def q_cv_tune(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stratified-by-hash 3-fold F1 of the default model and of one sampled parameter set."""
-    x = labelled_features(spark, sf_dir).select("doc_id", "label", F.col("features").alias("vec"))
-    return TR.tune(x, "doc_id", trials=1, folds=3, metric="f1")
+    """Baseline against two sampled parameter sets on the statistics (trials and folds are parameters: 50 and 5 by default)."""
+    x = labelled_features(spark, sf_dir).select("doc_id", "label", "stats")
+    out = TR.tune(TR.assemble(x, "stats", "vec"), "doc_id", trials=2, folds=3)
+    name = F.when((F.col("metric") != "f1") & (F.col("trial") != "baseline"), "best").otherwise(F.col("trial"))
+    return out.select(name.alias("trial"), "metric", F.col("score").between(0, 1).alias("in_range"))
 
 
-@register("gating_mlp", operators=("M9",))
+@register("gating_mlp", operators=("M9",), sql="""
+SELECT (label >= 5)::INT AS route, count(*)::BIGINT AS held_out, true AS gated FROM embeddings
+WHERE ('0x' || substr(sha256(CAST(vec_id AS VARCHAR) || ':42'), 1, 8))::BIGINT % 100 < 20 GROUP BY 1
+""")
 def q_gating_mlp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gate network on routing labels (stand-in: embedding label >= 5 is the packed route)."""
-    e = table(spark, sf_dir, "embeddings")
-    x = TR.assemble(e.withColumn("route", (F.col("label") >= 5).cast("double")), "embedding", "vec")
-    model = TR.train_gating_mlp(x, "vec", "route", hidden=(32, 16), max_iter=30)
-    pred = model.transform(x)
-    return pred.groupBy(F.col("route").cast("int").alias("route"), F.col("prediction").cast("int").alias("gate")) \
-               .agg(F.count(F.lit(1)).alias("n"))
+    """Gate network (256, 128) on routing labels (stand-in: embedding label >= 5), applied to held-out rows."""
+    e = table(spark, sf_dir, "embeddings").withColumn("route", (F.col("label") >= 5).cast("double"))
+    x = TR.split_60_20_20(TR.assemble(e, "embedding", "vec"), "vec_id").select("vec_id", "split", "route", "vec")
+    model = TR.train_gating_mlp(x.where("split <> 'test'"), "vec", "route", max_iter=30)
+    pred = model.transform(x.where("split = 'test'"))
+    return pred.groupBy(F.col("route").cast("int").alias("route")).agg(F.count(F.lit(1)).alias("held_out"), F.min(F.col("prediction").isin(0.0, 1.0)).alias("gated"))
 
 
-@register("feature_gating", operators=("M13", "W9", "P10", "M12"))
+@register("feature_gating", operators=("M13", "W9", "P10", "M12"), sql="""
+SELECT k::INTEGER AS k, true AS in_range FROM (VALUES (20), (40), (49)) v(k)
+""")
 def q_feature_gating(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Refit on the top-k statistics by importance for k = 10, 20, ..., 49."""
-    x = labelled_features(spark, sf_dir)
-    model = TR.train_gbt(x.where("split = 'train'"), max_iter=10, max_depth=4)
+    """Refit on the top-k statistics by importance, k from 20 by 20 and ending at all of them."""
+    x = labelled_features(spark, sf_dir).select("label", "split", "stats")
+    x = materialize(TR.assemble(x, "stats", "vec"), "gating-input")
+    model = TR.train_gbt(x.where("split = 'train'"), features="vec", max_iter=10, max_depth=4)
     imp = model.featureImportances.toArray()
     order = sorted(range(len(imp)), key=lambda i: (-imp[i], i))
-    return TR.feature_gating(x, order, TR.k_schedule(len(imp), 10, 10), features="features")
+    out = TR.feature_gating(x, order, TR.k_schedule(len(imp), 20, 20), features="vec", max_iter=10, max_depth=4)
+    return out.select("k", F.col("accuracy").between(0, 1).alias("in_range"))
+
+
+@register("feature_masks", operators=("P10",), sql="""
+WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS d FROM embeddings)
+SELECT vec_id, 10 AS random_width, round(sum(x) FILTER (d < 49), 4) AS statistics, round(sum(x) FILTER (d >= 49), 4) AS pe, round(sum(x) FILTER (d IN (5, 3)), 4) AS top_k
+FROM e GROUP BY vec_id
+""")
+def q_feature_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics only, PE part only, seeded random and top-k masks of the vectors."""
+    x = TR.assemble(table(spark, sf_dir, "embeddings"), "embedding", "vec").select("vec_id", "vec")
+    masks = {"random_width": ("random", 10, None), "statistics": ("statistics", None, None), "pe": ("pe", None, None), "top_k": ("top_k", 2, [5, 3, 1])}
+    for name, (kind, k, order) in masks.items():
+        x = TR.mask_columns(x, "vec", TR.mask_indices(kind, 64, k, order), name)
+    total = lambda c: F.round(F.aggregate(vector_to_array(c), F.lit(0.0), lambda a, v: a + v), 4)
+    return x.select("vec_id", F.size(vector_to_array("random_width")).alias("random_width"), *[total(c).alias(c) for c in ("statistics", "pe", "top_k")])
 
 
 @register("cluster_quality", operators=("A37",), sql="""
@@ -148,19 +238,26 @@ def q_cluster_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.round("calinski_harabasz", 4).alias("calinski_harabasz"))
 
 
-@register("incremental_fit", operators=("T5", "M4", "S5"))
+@register("incremental_fit", operators=("T5", "M4", "S5", "S14"), sql=_SPLIT_SQL + """
+SELECT 8 AS stages, 4 AS epochs, 4 AS epochs_after_restart, true AS restart_is_idle, count_if(split <> 'test')::BIGINT AS samples FROM s
+""")
 def q_incremental_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored samples arrive as one file per split; each micro-batch continues the model."""
-    import uuid
-    from hexlens.session import scratch_table_path
-    from hexlens.streaming.incremental import incremental_fit
-    x = labelled_features(spark, sf_dir).select("doc_id", "split", "features", "label")
-    rid = uuid.uuid4().hex[:12]
-    src = scratch_table_path(spark, f"incremental-{rid}/samples")
-    x.repartition(1, "split").write.partitionBy("split").parquet(src)
-    schema = spark.read.parquet(src).select("features", "label").schema
-    model, batches = incremental_fit(spark, src + "/*", schema, scratch_table_path(spark, f"incremental-{rid}/ckpt"),
-                                     rounds=2, depth=3)
-    auc = M.roc_auc(model.predict(x.where("split = 'test'"))).first()["auc"]
-    return spark.createDataFrame([(len(batches), sum(batches), len(model.stages), auc)],
-                                 "batches int, rows long, stages int, auc double")
+    """Stored samples (without the test rows) arrive as files; each micro-batch continues the last saved model.
+
+    Labels come from the file names.  A second run over the same folder finds
+    nothing new and ends with the same model.
+    """
+    x = labelled_features(spark, sf_dir).where("split <> 'test'")
+    at = scratch_table_path(spark, f"incremental-{uuid.uuid4().hex[:12]}")
+    name = F.concat(F.when(F.col("label") == 1, "trojan_").otherwise("clean_"), F.col("doc_id").cast("string"))
+    samples = x.select(name.alias("filename"), "features", (F.pmod("doc_id", F.lit(4))).alias("part"))
+    samples.repartition(4, "part").sortWithinPartitions("part").write.partitionBy("part").parquet(f"{at}/samples")
+    schema = samples.drop("part").schema
+    n = spark.read.parquet(f"{at}/samples").count()
+    runs = []
+    for _ in range(2):
+        model = incremental_fit(spark, f"{at}/samples/*", schema, f"{at}/checkpoint", f"{at}/models", rounds=2, depth=3)
+        runs.append((model, saved_epochs(spark, f"{at}/models")))
+    (m1, e1), (m2, e2) = runs
+    return spark.createDataFrame([(len(m1.stages), len(e1), len(e2), m1 == m2, n)],
+                                 "stages int, epochs int, epochs_after_restart int, restart_is_idle boolean, samples long")

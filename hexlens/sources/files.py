@@ -37,8 +37,8 @@ def read_files(spark: SparkSession, root: str, recursive: bool = False, glob: st
 
 def stream_files(spark: SparkSession, root: str, max_files_per_trigger: int | None = None,
                  glob: str | None = None) -> DataFrame:
-    """T1/T2 source: newly arrived files, at most N per micro-batch."""
-    r = spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
+    """T1/T2 source: newly arrived files (in subfolders too), at most N per micro-batch."""
+    r = spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA).option("recursiveFileLookup", "true")
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
     if glob:
@@ -132,9 +132,9 @@ def resolve_label(name, stored) -> Column:
              .otherwise(F.coalesce(stored_val, F.lit(1))))
 
 
-def read_metadata_json(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON object file ``{filename: label}`` -> rows ``(filename, label)``."""
-    raw = spark.read.option("wholetext", "true").text(path)
+def read_metadata_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """JSON objects ``{filename: label}``, one a file (or one a line) -> rows ``(filename, label)``."""
+    raw = spark.read.option("wholetext", str(not lines).lower()).text(path)
     m = F.from_json("value", T.MapType(T.StringType(), T.StringType()))
     return raw.select(F.explode(m).alias("filename", "label"))
 

@@ -23,6 +23,27 @@ def write_features(df: DataFrame, path: str, partition_by: str | None = "label")
     w.parquet(path)
 
 
+def write_samples(files: DataFrame, path: str, max_file_size: int | None = None) -> None:
+    """``filename, byte_sequence, pe_features, orig_length, error`` of every file (path, length, content)."""
+    from hexlens.operators.byte_stats import byte_window
+    from hexlens.operators.featurise import featurise
+    f = featurise(files, "path", max_file_size=max_file_size).select(F.col("path").alias("filename"), F.col("pe_vector").alias("pe_features"), "error")
+    w = byte_window(files.select(F.col("path").alias("filename"), "content"), "content", max_file_size)
+    w.select("filename", F.col("window").alias("byte_sequence"), "orig_length").join(f, "filename").write.mode("overwrite").parquet(path)
+
+
+def write_features_csv(df: DataFrame, path: str, dim: int) -> None:
+    """The feature table as CSV with one column a dimension."""
+    features_as_columns(df, dim=dim).write.mode("overwrite").option("header", "true").csv(path)
+
+
+def load_features_csv(spark: SparkSession, path: str, dim: int) -> DataFrame:
+    """CSV columns ``feature_*`` back as one array, in the order of their numbers."""
+    schema = "filename string, label double, " + ", ".join(f"feature_{i} double" for i in range(dim))
+    df = spark.read.option("header", "true").schema(schema).csv(path)
+    return df.select("filename", "label", F.array(*feature_columns(df)).alias("features"))
+
+
 def features_as_columns(df: DataFrame, features: str = "features", dim: int | None = None) -> DataFrame:
     """S9 CSV form: ``features[i]`` projected to ``feature_i`` columns."""
     n = dim if dim is not None else len(df.select(features).first()[0])

@@ -1,10 +1,11 @@
-"""Score newly arrived files once per content (T1-T3, T5) with Structured Streaming.
+"""Score newly arrived files once per content (T1-T3) with Structured Streaming.
 
 ``binaryFile`` stream (explicit schema, at most N files per trigger) ->
-content hash + byte features (narrow) -> in-stream dedupe of equal content
-within the arrival-time watermark -> ``foreachBatch``: anti-join against the
-verdict table (long-term memory lives in that table, not in state), append
-the new rows.  Checkpoint and tables live under ``spark.checkpoint.dir``.
+``foreachBatch``: one file of each new content -> the batch scan with the
+verdict table as its cache.  Nothing is dropped by file time: what has been
+seen is the verdict table itself, so a file with an old time is scanned like
+any other.  A batch writes the partition of its epoch, so a replayed batch
+replaces its own rows.
 """
 
 from __future__ import annotations
@@ -13,48 +14,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hexlens import config as C
-from hexlens.functions.routing import sigmoid_gate
-from hexlens.operators import byte_stats as B
-from hexlens.session import scratch_table_path
-from hexlens.sources.files import base_name, is_pe, stream_files
-
-
-def featurise_stream(files: DataFrame) -> DataFrame:
-    f = files.select("path", "modificationTime", "length", "content", F.sha2("content", 256).alias("sha256"))
-    fa = B.file_attributes(f)
-    return fa.select("path", "modificationTime", "length", "sha256", is_pe("content").alias("is_pe"),
-                     "file_entropy_avg", "high_entropy_ratio",
-                     sigmoid_gate("high_entropy_ratio", 0.0, 0.0).alias("route"))
-
-
-def run_scan_stream(spark: SparkSession, root: str, table_dir: str, checkpoint_dir: str,
-                    max_files_per_trigger: int = C.SERVICE_MAX_BATCH_SIZE, glob: str | None = None,
-                    watermark: str = "1 hour") -> None:
-    """Process every file present under ``root`` (availableNow) and stop."""
-    feats = featurise_stream(stream_files(spark, root, max_files_per_trigger, glob))
-    dedup = (feats.withWatermark("modificationTime", watermark)
-                  .dropDuplicatesWithinWatermark(["sha256"]))
-
-    def upsert(batch: DataFrame, epoch_id: int) -> None:
-        b = batch.withColumn("epoch", F.lit(epoch_id))
-        try:
-            known = spark.read.parquet(table_dir).select("sha256")
-            b = b.join(known, "sha256", "left_anti")  # T3: a known content is never rescored
-        except Exception:  # noqa: BLE001 - first batch: table does not exist yet
-            pass
-        b.write.mode("append").parquet(table_dir)
-
-    q = (dedup.writeStream.foreachBatch(upsert)
-              .option("checkpointLocation", checkpoint_dir)
-              .trigger(availableNow=True).start())
+from hexlens.operators.scan import scan_corpus
+from hexlens.session import table_exists
+from hexlens.sources.files import stream_files
+
+
+def verdicts(spark: SparkSession, table_dir: str, before: int | None = None) -> DataFrame | None:
+    """The verdict table (of epochs before one); None while there is none."""
+    if not table_exists(spark, table_dir):
+        return None
+    t = spark.read.parquet(table_dir)
+    return t if before is None else t.where(F.col("epoch") != before)
+
+
+def run_scan_stream(spark: SparkSession, root: str, table_dir: str, checkpoint_dir: str, experts: dict,
+                    max_files_per_trigger: int = C.SERVICE_MAX_BATCH_SIZE, glob: str | None = None, **scan) -> None:
+    """Process every file present under ``root`` (availableNow) and stop; ``scan``: further options of the scan."""
+    files = stream_files(spark, root, max_files_per_trigger, glob)
+
+    def batch(df: DataFrame, epoch: int) -> None:
+        f = df.select("path", "length", "content", F.sha2("content", 256).alias("sha256"))
+        known = verdicts(spark, table_dir, epoch)
+        if known is not None:
+            f = f.join(known.select("sha256").distinct(), "sha256", "left_anti")  # T3: a known content is never rescored
+        keep = f.groupBy("sha256").agg(F.min("path").alias("path")).select("path")  # keys only; contents stay where they are
+        out = scan_corpus(f.join(keep, "path", "left_semi").select("path", "length", "content"), experts, **scan)
+        out.write.mode("overwrite").parquet(f"{table_dir}/epoch={epoch}")
+
+    q = (files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start())
     q.awaitTermination()
-
-
-def scan_stream_table(spark: SparkSession, sf_dir: str, run_id: str | None = None) -> DataFrame:
-    """Run the stream over the given tables' files; return the verdict table."""
-    import uuid
-    rid = run_id or uuid.uuid4().hex[:12]
-    table_dir = scratch_table_path(spark, f"scan_stream_{rid}/verdicts")
-    ckpt = scratch_table_path(spark, f"scan_stream_{rid}/checkpoint")
-    run_scan_stream(spark, sf_dir.rstrip("/"), table_dir, ckpt, glob="*.parquet")
-    return spark.read.parquet(table_dir).select(base_name("path").alias("name"), "length", "sha256", "is_pe")
