@@ -25,7 +25,7 @@ def _c(x) -> Column:
 
 def read_files(spark: SparkSession, root: str, recursive: bool = False, glob: str | None = None,
                max_size: int | None = None) -> DataFrame:
-    """S1 (+P3): list files under ``root``; optional glob and size limit."""
+    """S1 (+P3): list files under ``root``; optional glob and size limit.  Spark lists no files of zero bytes."""
     r = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if glob:
         r = r.option("pathGlobFilter", glob)
