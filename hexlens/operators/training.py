@@ -226,10 +226,15 @@ def tune(df: DataFrame, key: str, trials: int = 50, folds: int = 5, metric: str
     first = scores(grid, metric)
     best = max(range(1, len(grid)), key=lambda k: first[k]) if trials else 0
     rows = [("baseline" if k == 0 else f"trial_{k - 1}", metric, float(v), k == best) for k, v in enumerate(first)]
-    for name in TUNE_METRICS:
-        if name != metric:
-            pair = scores([grid[0], grid[best]] if best else [grid[0]], name)
-            rows += [("baseline" if k == 0 else f"trial_{best - 1}", name, float(v), k == 1 or not best) for k, v in enumerate(pair)]
+    # the report: one fit a fold for the baseline and the best, evaluated by all metrics
+    for k in dict.fromkeys((0, best)):
+        total = dict.fromkeys(TUNE_METRICS, 0.0)
+        for i in range(folds):
+            pred = materialize(gbt.fit(data.where(F.col("fold") != i), grid[k]).transform(data.where(F.col("fold") == i))
+                               .select(label, "rawPrediction", "prediction"), "tune-report")
+            for name in TUNE_METRICS:
+                total[name] += evaluator(name, label).evaluate(pred) / folds
+        rows += [("baseline" if k == 0 else f"trial_{k - 1}", name, v, k == best) for name, v in total.items() if name != metric]
     return spark.createDataFrame(rows, "trial string, metric string, score double, best boolean")
 
 

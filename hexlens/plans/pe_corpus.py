@@ -60,7 +60,8 @@ def _region(size: int, pieces: list[tuple[int, int, Column]]) -> Column:
 def pe_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``k, path, length, content`` of the corpus, stored once in the shared folder as files would be."""
     k = F.col("k")
-    df = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), "p_name")
+    # the narrow keys are spread before they become files; the files stay where they are made
+    df = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), "p_name").repartition(spark.sparkContext.defaultParallelism, "k")
     when = lambda c, v, width: F.when(c, v).otherwise(F.lit("00" * width))
     plus, n = k % 3 == 0, 1 + k % 4
     raw = lambda i: 256 + 64 * ((k * i) % 5)

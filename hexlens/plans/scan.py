@@ -169,7 +169,7 @@ def q_stream_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cards of few distinct contents arrive as files, some in each trigger; every content is scored once."""
     root = write_cards(spark, sf_dir, _SHARED, "stream-cards")
     run = scratch_table_path(spark, f"scan-stream-{uuid.uuid4().hex[:12]}")
-    run_scan_stream(spark, root, f"{run}/verdicts", f"{run}/checkpoint", {0: normal(), 1: packed()}, max_files_per_trigger=40, glob="*.txt", require_pe=False)
+    run_scan_stream(spark, root, f"{run}/verdicts", f"{run}/checkpoint", {0: normal(), 1: packed()}, glob="*.txt", require_pe=False)
     return verdicts(spark, f"{run}/verdicts").select("sha256", "file_size", F.round("score", 9).alias("score"), "is_malware", "virus_family")
 
 

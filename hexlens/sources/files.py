@@ -36,9 +36,17 @@ def read_files(spark: SparkSession, root: str, recursive: bool = False, glob: st
 
 
 def stream_files(spark: SparkSession, root: str, max_files_per_trigger: int | None = None,
-                 glob: str | None = None) -> DataFrame:
-    """T1/T2 source: newly arrived files (in subfolders too), at most N per micro-batch."""
-    r = spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA).option("recursiveFileLookup", "true")
+                 glob: str | None = None, max_file_age: str = "36500d") -> DataFrame:
+    """T1/T2 source: newly arrived files (in subfolders too), at most N per micro-batch.
+
+    Spark passes over files that are ``maxFileAge`` older than the newest one it
+    has seen (a week by default), which would lose copies and restores with old
+    times.  The long default keeps them; the price is that the source
+    remembers every path it has seen.  Where old files are moved away, a
+    shorter age bounds that memory.
+    """
+    r = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA).option("recursiveFileLookup", "true")
+         .option("maxFileAge", max_file_age))
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
     if glob:

@@ -51,7 +51,7 @@ def incremental_fit(spark: SparkSession, source_dir: str, schema, checkpoint_dir
         if not rows.isEmpty():
             boost(rows, features=features, rounds=rounds, model=start, **kw).save(spark, f"{model_dir}/epoch-{epoch}")
 
-    q = (spark.readStream.schema(schema).option("maxFilesPerTrigger", str(max_files_per_trigger))
+    q = (spark.readStream.schema(schema).option("maxFilesPerTrigger", str(max_files_per_trigger)).option("maxFileAge", "36500d")
               .parquet(source_dir)
               .writeStream.foreachBatch(fit).option("checkpointLocation", checkpoint_dir)
               .trigger(availableNow=True).start())
