@@ -20,7 +20,7 @@ from hexlens.llm.common import crc_mod
 from hexlens.llm.learning import fit_temperature, softmax
 
 #: Longest n-gram, slots that n-grams are hashed to, most labelled rows of a language that the fit takes.
-LONGEST, BITS, SAMPLE = 3, 15, 1000  # Spark prunes a ranking of 1000 at most before the shuffle
+LONGEST, BITS, SAMPLE = 3, 15, 1000
 #: Characters of one numpy pass.
 PASS_CHARS = 1 << 19
 #: Scale of the features, for the learning rate.
@@ -136,9 +136,13 @@ def train(docs: DataFrame, sample: int = SAMPLE, epochs: int = 4) -> Model | Non
     if not count:
         return None
     idf = np.log((1 + count) / (1 + df)) + 1
-    # the first rows of each language by a hash: Spark drops all others before the shuffle
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id"))
-    ids = docs.select("doc_id", "lang").withColumn("rank", rank).filter(F.col("rank") <= sample).select("doc_id", "lang")
+    # the first rows of each language by a hash: a threshold leaves about three times as many as are ranked
+    place = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 32)) / F.lit(float(1 << 32))
+    counts = docs.groupBy("lang").count()  # a row for each language, as the model has weights for each
+    near = docs.select("doc_id", "lang", place.alias("place")).join(F.broadcast(counts), "lang").filter(
+        F.col("place") < 3.0 * sample / F.col("count"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))
+    ids = near.withColumn("rank", rank).filter(F.col("rank") <= sample).select("doc_id", "lang")
     rows = docs.join(F.broadcast(ids.dropDuplicates()), ["doc_id", "lang"])  # at most ``sample`` rows a language
 
     def features(batches):
