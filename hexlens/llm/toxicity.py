@@ -24,8 +24,10 @@ from hexlens.llm.learning import sample_ids, sigmoid
 BITS = 18
 #: Most rows of either kind that the classifier is fitted on (a bounded sample of labelled rows).
 POSITIVES, UNLABELLED = 2000, 8000
-#: Penalties on the weights that are tried.
-PENALTIES = (1e-4, 3e-4, 1e-3, 3e-3)
+#: Penalties on the weights, as tried.
+PENALTIES = (1e-4, 1e-3)
+#: Standard errors by which a word's share must differ between the two kinds of rows, as tried.
+SCREENS = (4.0, 0.0)
 
 
 def distinct_slots(buf: np.ndarray, off: np.ndarray, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -41,17 +43,25 @@ def distinct_slots(buf: np.ndarray, off: np.ndarray, keep: np.ndarray | None = N
 
 
 def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, l1: float, epochs: int = 200, rate: float = 0.1,
-             least_df: int = 3) -> tuple[np.ndarray, float]:
-    """Weights of the slots and the bias; ``pos`` and ``unl`` hold each row's slots, ``l1`` penalises weights."""
+             least_df: int = 3, screen: float = 0.0) -> tuple[np.ndarray, float]:
+    """Weights of the slots and the bias; ``pos`` and ``unl`` hold each row's slots.
+
+    ``l1`` penalises weights.  Slots in fewer than ``least_df`` rows get none,
+    nor do those whose share of positives differs from that of unlabelled rows
+    by fewer than ``screen`` standard errors.
+    """
     flat = [np.concatenate([np.zeros(0, np.int64), *rows]) for rows in (pos, unl)]
     rows = [np.repeat(np.arange(len(r)), [len(x) for x in r]) for r in (pos, unl)]
     slots, at, n = np.unique(np.concatenate(flat), return_inverse=True, return_counts=True)
-    place = np.cumsum(n >= least_df) - 1  # slots that too few rows hold get no weight
-    keep = (n >= least_df)[at]
-    slots, at = slots[n >= least_df], place[at]
+    n_p, n_u = max(len(pos), 1), max(len(unl), 1)
+    in_p = np.bincount(at[: len(flat[0])], minlength=len(slots)) / n_p
+    share = n / (n_p + n_u)
+    z = (in_p - (n - in_p * n_p) / n_u) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n_p + 1 / n_u))
+    used = (n >= least_df) & (np.abs(z) >= screen)
+    place, keep = np.cumsum(used) - 1, used[at]
+    slots, at = slots[used], place[at]
     kp, ku = keep[: len(flat[0])], keep[len(flat[0]) :]
     (ip, iu), (rp, ru) = (at[: len(kp)][kp], at[len(kp) :][ku]), (rows[0][kp], rows[1][ku])
-    n_p, n_u = max(len(pos), 1), max(len(unl), 1)
     w, b = np.zeros(len(slots)), -2.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, epochs + 1):
@@ -76,21 +86,23 @@ def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, l1: flo
     return out, float(b)
 
 
-def fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, penalties: tuple[float, ...] = PENALTIES) -> tuple[np.ndarray, float]:
-    """``fit_nnpu`` with the penalty that best ranks left-out positives above left-out unlabelled rows.
+def fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, penalties: tuple[float, ...] = PENALTIES,
+        screens: tuple[float, ...] = SCREENS) -> tuple[np.ndarray, float]:
+    """``fit_nnpu`` with the penalty and screen that best rank left-out positives above left-out unlabelled rows.
 
-    That ranking needs no clean labels and orders penalties as the true one does.
+    That ranking needs no clean labels and orders the choices as the true one does.
     """
     late = lambda rows, k: [r for n, r in enumerate(rows) if (n % 4 == 3) == k]
     p, u = late(pos, True), late(unl, True)
-    best, chosen = -1.0, penalties[0]
-    for l1 in penalties if p and u else ():
-        w, _ = fit_nnpu(late(pos, False), late(unl, False), prior, l1, epochs=100)
-        s, t = np.array([w[r].sum() for r in p]), np.sort([w[r].sum() for r in u])
-        rank = (np.searchsorted(t, s, side="left") + np.searchsorted(t, s, side="right")).mean()
-        if rank > best + 1e-9:
-            best, chosen = rank, l1
-    return fit_nnpu(pos, unl, prior, chosen)
+    best, chosen = -1.0, (penalties[0], screens[0])
+    for screen in screens if p and u else ():
+        for l1 in penalties:
+            w, _ = fit_nnpu(late(pos, False), late(unl, False), prior, l1, epochs=100, screen=screen)
+            s, t = np.array([w[r].sum() for r in p]), np.sort([w[r].sum() for r in u])
+            rank = (np.searchsorted(t, s, side="left") + np.searchsorted(t, s, side="right")).mean()
+            if rank > best + 1e-9:
+                best, chosen = rank, (l1, screen)
+    return fit_nnpu(pos, unl, prior, chosen[0], screen=chosen[1])
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
