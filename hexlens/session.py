@@ -21,8 +21,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # byte windows are up to 64 KiB per row; keep Arrow batches bounded in memory
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
+    # whole files cross to Python in Arrow batches, which Spark bounds by rows only: set it lower for files of many MB
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
 }
 
 

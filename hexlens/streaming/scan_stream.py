@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from hexlens import config as C
 from hexlens.operators.scan import scan_corpus
-from hexlens.session import table_exists
+from hexlens.session import materialize, table_exists
 from hexlens.sources.files import stream_files
 
 
@@ -37,7 +37,9 @@ def run_scan_stream(spark: SparkSession, root: str, table_dir: str, checkpoint_d
         known = verdicts(spark, table_dir, epoch)
         if known is not None:
             f = f.join(known.select("sha256").distinct(), "sha256", "left_anti")  # T3: a known content is never rescored
-        keep = f.groupBy("sha256").agg(F.min("path").alias("path")).select("path")  # keys only; contents stay where they are
+        keep = materialize(f.groupBy("sha256").agg(F.min("path").alias("path")).select("path"), "stream-new")  # keys only
+        if keep.isEmpty():
+            return
         out = scan_corpus(f.join(keep, "path", "left_semi").select("path", "length", "content"), experts, **scan)
         out.write.mode("overwrite").parquet(f"{table_dir}/epoch={epoch}")
 
