@@ -1,7 +1,8 @@
 """Op 10: benchmark decontamination with BM25 retrieval of test items by block-max WAND.
 
-The inverted index holds the test items, cut into entries of at most one
-stride of words.  Every training passage (a window of two strides, one every
+The inverted index holds the test items as entries of at most one stride of
+words; the last entry of a longer item is its last stride of words, so that no
+entry is a short rest.  Every training passage (a window of two strides, one every
 stride) is a query, and all entries that score above the threshold are
 retrieved.  A BM25 score is taken relative to the entry's own score against
 itself, so that 1 means that all of the entry's terms are there.
@@ -11,9 +12,11 @@ each block.  As in WAND, the most frequent terms, which can't lift any entry
 over the threshold without others, never open a passage: a (passage, block) is
 looked at only if the block maxima of its other terms, and the most that the
 frequent ones could add, reach the threshold.  Those passages are scored
-exactly, and retrieved entries are verified on word n-grams: of the question
-(all but the last sentence) and of the answer (the last sentence) a stated
-share must occur in the passage.
+exactly.  Entries only retrieve: an item is verified on the word n-grams of its
+whole question (all but the last sentence) and its whole answer (the last
+sentence), of each of which a stated share must occur.  An item of one entry
+must have them in one passage; of a longer one they are sought in all passages
+of the document that its entries retrieve, together.
 """
 
 from __future__ import annotations
@@ -37,7 +40,7 @@ THRESHOLD, OVERLAP, WORDS = 0.5, 0.5, 5
 K1, B = 1.2, 0.75
 FILTER_BITS = 20
 U = np.uint64
-ENTRIES = "item_id long, words array<long>, n_question int"
+ITEMS = "item_id long, words array<long>, n_question int"
 PAIRS = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
 
 
@@ -57,9 +60,9 @@ def split_item(text: str) -> tuple[str, str]:
     return " ".join(words[:n]), " ".join(words[n:])
 
 
-def entries_of(items: DataFrame) -> DataFrame:
-    """Entries of the test items: word hashes, and how many of them belong to the question."""
-    def cut(batches):
+def items_of(items: DataFrame) -> DataFrame:
+    """Test items that have words: word hashes, and how many of them belong to the question."""
+    def hashed(batches):
         for b in batches:
             rows = []
             for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -68,15 +71,28 @@ def entries_of(items: DataFrame) -> DataFrame:
                     raw = np.frombuffer(part.encode(), np.uint8)
                     parts.append(words_of(raw, np.array([0, len(raw)]))[0])
                 words = np.concatenate(parts)
-                n_q = len(parts[0]) if len(words) >= WORDS else len(words)  # a shorter item is all question
-                for a in range(0, len(words), STRIDE):
-                    own = words[a : a + STRIDE]
-                    rows.append((item, own.view(np.int64), min(max(n_q - a, 0), len(own))))
+                if len(words):
+                    rows.append((item, words.view(np.int64), len(parts[0]) if len(words) >= WORDS else len(words)))  # a shorter item is all question
             i, w, q = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(w, pa.list_(pa.int64())), pa.array(q, pa.int32())],
                                              ["item_id", "words", "n_question"])
 
-    return items.mapInArrow(cut, ENTRIES)
+    return items.mapInArrow(hashed, ITEMS)
+
+
+def entry_starts(n: int) -> list[int]:
+    """First words of the entries of an item of ``n`` words; the last entry ends with the item."""
+    return [*range(0, n - STRIDE, STRIDE), max(n - STRIDE, 0)] if n else []
+
+
+def entries_of(items: DataFrame) -> DataFrame:
+    """Words of the entries of the items."""
+    def cut(batches):
+        for b in batches:
+            own = [w[a : a + STRIDE] for w in b.column(0).to_pylist() for a in entry_starts(len(w))]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.int64()))], ["words"])
+
+    return items.select("words").mapInArrow(cut, "words array<long>")
 
 
 def gram_hashes(words: np.ndarray, n: int = WORDS) -> np.ndarray:
@@ -85,13 +101,16 @@ def gram_hashes(words: np.ndarray, n: int = WORDS) -> np.ndarray:
 
 
 class Index:
-    """Inverted index of entries with block maxima."""
+    """Inverted index of the entries of items, with block maxima."""
 
     def __init__(self, items: list[int], words: list[np.ndarray], n_question: list[int], n_all: int, mean: float, df: dict[int, int], threshold: float):
         self.items, self.threshold = items, threshold
-        self.question = [gram_hashes(w[:q]) for w, q in zip(words, n_question, strict=True)]
-        self.answer = [gram_hashes(w[q:]) for w, q in zip(words, n_question, strict=True)]
+        self.parts = [(gram_hashes(w[:q]), gram_hashes(w[q:])) for w, q in zip(words, n_question, strict=True)]
         self.n = [(min(WORDS, q), min(WORDS, len(w) - q)) for w, q in zip(words, n_question, strict=True)]
+        cuts = [entry_starts(len(w)) for w in words]
+        self.n_entries = [len(c) for c in cuts]
+        self.item = np.repeat(np.arange(len(words)), self.n_entries).tolist()
+        words = [w[a : a + STRIDE] for w, c in zip(words, cuts, strict=True) for a in c]
         self.terms = np.unique(np.concatenate([np.zeros(0, U), *words]))
         count = np.array([df[int(t)] for t in self.terms.view(np.int64)], np.float64)
         idf = np.log1p((n_all - count + 0.5) / (count + 0.5))
@@ -158,37 +177,59 @@ class Index:
         return row, passage - base[row], block
 
     def leaks(self, words: np.ndarray, first: np.ndarray, overlap: float) -> dict[tuple[int, int], tuple[float, float, float]]:
-        """(row, item) -> (score, question overlap, answer overlap) of the verified entries, the best of each."""
+        """(row, item) -> (score, question overlap, answer overlap) of the verified items, the best of each."""
         out: dict[tuple[int, int], tuple[float, float, float]] = {}
+        hits: dict[int, tuple[float, list[np.ndarray]]] = {}
+
+        def verify(r: int, i: int, score: float, found: list[np.ndarray]) -> None:
+            share = [float(f.mean()) if len(f) else 1.0 for f in found]
+            if min(share) >= overlap:
+                out[r, self.items[i]] = max(out.get((r, self.items[i]), (0.0, 0.0, 0.0)), (score, *share))
+
         present = np.zeros(len(self.terms) + 1, bool)
         row, step, block = self.opened(words, first)
         last, own, terms = None, None, None
         for r, s, b in zip(row.tolist(), step.tolist(), block.tolist(), strict=True):
             if last != (r, s):
+                if last and last[0] != r:
+                    for i, hit in hits.items():
+                        verify(last[0], i, *hit)
+                    hits = {}
                 own = words[first[r] + s * STRIDE : min(first[r] + (s + 2) * STRIDE, first[r + 1])]
                 if terms is not None:
                     present[terms] = False
                 terms = self.lookup(own)
                 present[terms] = True
                 present[-1] = False
-                last, grams = (r, s), {}
+                last, grams, seen = (r, s), {}, set()
             for e in range(b * BLOCK, min((b + 1) * BLOCK, len(self.own))):
                 score = float(self.weight[e][present[self.own[e]]].sum())
                 if score < self.threshold - 1e-9:
                     continue
-                share = []
-                for known, n in zip((self.question[e], self.answer[e]), self.n[e], strict=True):
-                    if n and n not in grams:
-                        grams[n] = np.unique(hashing.window_hashes(own, n))
-                    share.append(float(np.isin(known, grams[n], assume_unique=True).mean()) if n else 1.0)
-                if min(share) >= overlap:
-                    out[r, self.items[e]] = max(out.get((r, self.items[e]), (0.0, 0.0, 0.0)), (score, *share))
+                i = self.item[e]
+                best, found = hits.get(i, (0.0, None))
+                if found is None:
+                    found = [np.zeros(len(known), bool) for known in self.parts[i]]
+                if i not in seen:  # the passage's n-grams, once for each item that it may hold
+                    for f, known, n in zip(found, self.parts[i], self.n[i], strict=True):
+                        if n and n not in grams:
+                            grams[n] = np.unique(hashing.window_hashes(own, n))
+                        if n:
+                            at = np.minimum(np.searchsorted(known, grams[n]), len(known) - 1)
+                            f[at[known[at] == grams[n]]] = True
+                    seen.add(i)
+                if self.n_entries[i] == 1:
+                    verify(r, i, score, found)
+                else:
+                    hits[i] = (max(best, score), found)
+        for i, hit in hits.items():
+            verify(last[0], i, *hit)
         return out
 
 
 def build_indexes(items: DataFrame, threshold: float = THRESHOLD, index_bytes: int = INDEX_BYTES, id_col: str = "item_id",
                   text_col: str = "text") -> list[Index]:
-    """One index for each ``index_bytes`` of test items; document frequencies are those of all entries.
+    """One index for each ``index_bytes`` of test items, each item whole in one; document frequencies are those of all entries.
 
     Each is small enough to be broadcast; a larger benchmark only makes more of
     them.  Null and empty items, and those without a letter or digit, have no entry.
@@ -196,14 +237,15 @@ def build_indexes(items: DataFrame, threshold: float = THRESHOLD, index_bytes: i
     items = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text"))
     size = items.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     parts = max(1, -(-size // index_bytes))
-    entries = entries_of(items)
+    whole = items_of(items)
+    entries = entries_of(whole)
     n_all, total = entries.agg(F.count("*"), F.sum(F.size("words"))).first()
     if not n_all:
         return []
     df = entries.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").count()
     out = []
     for k in range(parts):
-        own = entries.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k)
+        own = whole.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k)
         got = own.toArrow().to_pylist()
         got.sort(key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["words"]))
         terms = own.select(F.explode("words").alias("term")).distinct()
@@ -230,7 +272,9 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overl
     Words are lower-cased runs of letters and digits.  Null and empty texts and
     items leak nothing; repeated documents or items have pairs of their own
     (items that share an id are one); ids may be null.  An item of fewer than
-    five words must occur word for word.  Other columns are not read; empty
+    five words must occur word for word.  The score is that of the best entry of
+    the item; an item of more than 64 words leaks if the passages that its
+    entries retrieve hold the stated shares together.  Other columns are not read; empty
     tables give no rows.
     """
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

@@ -219,6 +219,69 @@ def test_leaks_against_every_passage_and_item(spark, docs_of, prose):
     assert sorted(x.doc_id for x in kept.collect()) == sorted(k for k, _ in docs if k not in {a for a, _ in want})
 
 
+def brute_whole_leaks(docs, items, threshold=0.5, overlap=0.5):
+    """Every passage against every item; question and answer of an item are whole, whatever its entries."""
+    whole, entries = [], []
+    for item, t in items:
+        q, a = (words(x) for x in decontam.split_item(t or ""))
+        w = q + a
+        whole.append((item, q if len(w) >= 5 else w, a if len(w) >= 5 else []))
+        entries += [(len(whole) - 1, w[i:i + 64]) for i in sorted({*range(0, max(len(w) - 63, 1), 64), max(len(w) - 64, 0)}) if w]
+    n, mean = len(entries), np.mean([len(e) for _, e in entries])
+    df = {}
+    for _, w in entries:
+        for t in set(w):
+            df[t] = df.get(t, 0) + 1
+    out = set()
+    for doc, text in docs:
+        w = words(text)
+        hit = {}
+        for s in range(0, max(len(w), 1), 64):
+            p = w[s:s + 128]
+            for k, e in entries:
+                weight = {t: np.log1p((n - df[t] + .5) / (df[t] + .5)) * e.count(t) * 2.2 / (e.count(t) + 1.2 * (.25 + .75 * len(e) / mean)) for t in set(e)}
+                if sum(v for t, v in weight.items() if t in p) >= threshold * sum(weight.values()) - 1e-9:
+                    hit.setdefault(k if len(whole[k][1] + whole[k][2]) > 64 else (k, s), []).append(p)
+        for k, found in hit.items():
+            item, *parts = whole[k if isinstance(k, int) else k[0]]
+            shares = []
+            for part in parts:
+                m = min(5, len(part))
+                own = {tuple(part[i:i + m]) for i in range(len(part) - m + 1)} if m else set()
+                have = {tuple(p[i:i + m]) for p in found for i in range(len(p) - m + 1)} if m else set()
+                shares.append(len(own & have) / len(own) if own else 1)
+            if min(shares) >= overlap:
+                out.add((doc, item))
+    return out
+
+
+def test_items_of_many_words_are_verified_whole(spark, docs_of, prose):
+    r = random.Random(8)
+    items = []
+    for n in (63, 64, 65, 66, 128, 129, 200, 700):  # the answer is the last sentence, of 10 words or of a third
+        items += [(n, prose(n, n - 10) + ". " + prose(1000 + n, 10)), (1000 + n, prose(2000 + n, n - n // 3) + ". " + prose(3000 + n, n // 3))]
+    items += [(9, prose(9, 3, 50)), (65, prose(77, 90) + ". " + prose(78, 20)), (None, prose(79, 140))]
+    docs = []
+    for k, (_, t) in enumerate(items):
+        w, q = t.replace(".", "").split(), len(decontam.split_item(t)[0].split())
+        fill = lambda n: prose(r.randrange(10 ** 6), n).split()
+        holed = [x if r.random() > 0.1 else "q" for x in w]
+        cuts = [w, w[-1:], w[-4:], w[:q], w[q:], w[:64], w[-64:], holed, w[: len(w) // 2] + fill(300) + w[len(w) // 2:], w[: q // 3] + w[q:], w[q:] + fill(200) + w[:q]]
+        docs += [(100 * k + j, " ".join(fill(r.randrange(150)) + c + fill(r.randrange(150)))) for j, c in enumerate(cuts)]
+    want = brute_whole_leaks(docs, items)
+    for k, (item, t) in enumerate(items):
+        n = len(t.split())
+        assert (100 * k, item) in want  # the whole item
+        if n >= 65:  # its last words, its question, or a first entry without the answer: no leak
+            assert not {(100 * k + j, item) for j in (1, 2, 3, *([5] if n >= 128 else []))} & want
+    bench = spark.createDataFrame(items, BENCH)
+    for size in (decontam.INDEX_BYTES, 2000):
+        got = decontam.leaks(docs_of(docs), bench, index_bytes=size).collect()
+        assert {(x.doc_id, x.item_id) for x in got} == want and len(got) == len(want)
+    kept = {x.doc_id for x in decontam.drop_leaking(docs_of(docs), bench).collect()}
+    assert kept == {k for k, _ in docs} - {k for k, _ in want}
+
+
 def test_leaks_of_odd_tables(spark, docs_of, prose):
     bench = spark.createDataFrame([(1, prose(1, 30))], BENCH)
     assert decontam.leaks(docs_of([]), bench).count() == 0
