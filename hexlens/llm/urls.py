@@ -5,17 +5,25 @@ one of rejected URLs, are counted by Spark from every URL that a rule decides.
 Each order falls back on the next shorter context by Witten-Bell smoothing.  A
 URL's score is the difference of the two log-likelihoods per byte; the cut is
 calibrated on rule-decided URLs that were left out of the counts.
+
+Counts are exact and kept as Spark tables.  A byte with the bytes of its longest
+context is one number, a window; the grams of all shorter orders are its
+suffixes.  So the probabilities are worked out once for each distinct window,
+order by order: a suffix or a context has at most 256 rows of the next order,
+however often it occurs.  URLs are then joined to their windows' log ratios;
+the few most frequent windows, which every URL may hold, are looked up in the
+task instead.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hexlens.llm import hashing
-from hexlens.llm.common import crc_mod
+from hexlens.llm.common import crc_mod, passes, release, string_buffer, write_step
 
 # The rules of the production query.
 RULES = (
@@ -25,9 +33,14 @@ RULES = (
     ("block", "net/es/"),
     ("block", "net/fr/"),
 )
-#: Bytes of context at most; slots that contexts and continuations are hashed to (the models' bounded size).
+#: Bytes of context at most; slots of the hashed form of ``slots``, which ``judge`` doesn't use.
 ORDER, BITS = 5, 18
 BIN = 0.01
+#: A window with this part of all occurrences or more is looked up in the task: there are at most so many.
+FREQUENT = 4096
+#: Log ratios are added as whole numbers of 1 / UNIT, so that the order of adding doesn't matter.
+UNIT = 1 << 32
+KINDS = ("allow", "block")
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -76,7 +89,7 @@ def slots(urls: list[str | None]) -> tuple[np.ndarray, list[np.ndarray], list[np
 
 
 class Markov:
-    """Smoothed variable-order model as arrays over slots."""
+    """Smoothed variable-order model as arrays over slots of contexts and grams."""
 
     def __init__(self, gram: np.ndarray, context: np.ndarray, kinds: np.ndarray):
         self.gram, self.context, self.kinds = gram, context, kinds
@@ -89,48 +102,114 @@ class Markov:
         return np.log(p)
 
 
-def count_models(urls: DataFrame) -> tuple[Markov, Markov]:
-    """Accepted and rejected models from the columns url and verdict of every row given."""
+def windows(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row of each byte, and its window: the ORDER bytes before it (2 before a row's start) and, lowest, the byte itself."""
+    row = np.repeat(np.arange(len(off) - 1), np.diff(off))
+    at = np.arange(len(buf)) - off[row]
+    w = np.zeros(len(buf), np.int64)
+    for k in range(ORDER, -1, -1):
+        have = np.flatnonzero(at >= k)
+        own = np.full(len(buf), 2, np.int64)
+        own[have] = buf[have - k]
+        w = (w << 8) | own
+    return row, w
+
+
+def suffix(name: str, order: int) -> Column:
+    """The gram of ``order`` that ends a window or a longer gram."""
+    return F.col(name).bitwiseAND(F.lit((1 << 8 * (order + 1)) - 1))
+
+
+def count_windows(urls: DataFrame) -> DataFrame:
+    """gram, n, allow, block: each distinct window of the column url, its occurrences, and those in URLs with that value of the column kind."""
     def count(batches):
         for b in batches:
-            rows = b.column(1).to_pylist()
-            for kind in ("allow", "block"):
-                own = [u for u, v in zip(b.column(0).to_pylist(), rows, strict=True) if v == kind]
-                if own:
-                    _, contexts, grams, _ = slots(own)
-                    key, n = np.unique((np.concatenate(contexts) << BITS) | np.concatenate(grams), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([kind] * len(key)), pa.array(key >> BITS), pa.array(key & ((1 << BITS) - 1)), pa.array(n)],
-                                                     ["verdict", "context", "gram", "n"])
-
-    pairs = (urls.select("url", "verdict").mapInArrow(count, "verdict string, context long, gram long, n long")
-             .groupBy("verdict", "context", "gram").agg(F.sum("n").alias("n")))
-    # one row a slot: at most 2**BITS of each kind reach the driver
-    grams = pairs.groupBy("verdict", F.lit("gram").alias("part"), F.col("gram").alias("slot")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
-    contexts = pairs.groupBy("verdict", F.lit("context").alias("part"), F.col("context").alias("slot")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
-    got = grams.unionByName(contexts).toPandas()
-    out = []
-    for kind in ("allow", "block"):
-        arrays = {p: (np.zeros(1 << BITS), np.zeros(1 << BITS)) for p in ("gram", "context")}
-        for p, (n, kinds) in arrays.items():
-            own = got[(got.verdict == kind) & (got.part == p)]
-            n[own.slot], kinds[own.slot] = own.n, own.kinds
-        out.append(Markov(arrays["gram"][0].astype(np.float32), arrays["context"][0].astype(np.float32), arrays["context"][1].astype(np.float32)))
-    return out[0], out[1]
-
-
-def add_score(urls: DataFrame, models: tuple[Markov, Markov]) -> DataFrame:
-    """page_id, url, rule, verdict and the log-likelihood difference per byte (0 for an empty URL)."""
-    shared = urls.sparkSession.sparkContext.broadcast(models)  # six arrays of 2**BITS floats at any input size
-
-    def run(batches):
-        good, bad = shared.value
+            buf, off = string_buffer(b.column(0))
+            kinds = np.array([KINDS.index(k) if k else -1 for k in b.column(1).to_pylist()], np.int64)
+            for i, j in passes(off):
+                row, w = windows(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+                gram, at = np.unique(w, return_inverse=True)
+                kind = kinds[i:j][row]
+                yield pa.RecordBatch.from_arrays([pa.array(gram), *(pa.array(np.bincount(at[own], minlength=len(gram))) for own in (slice(None), kind == 0, kind == 1))],
+                                                 ["gram", "n", *KINDS])
+
+    return (urls.select("url", "kind").mapInArrow(count, "gram long, n long, allow long, block long")
+            .groupBy("gram").agg(*(F.sum(c).alias(c) for c in ("n", *KINDS))))
+
+
+def low_orders(counts: DataFrame) -> DataFrame:
+    """shorter, p_allow, p_block: probabilities of the grams of order 1."""
+    got = counts.groupBy(suffix("gram", 1).alias("gram")).agg(*(F.sum(c).alias(c) for c in KINDS)).toPandas()  # at most 65,536 rows
+    gram = got.gram.to_numpy(np.int64)
+    out = got[["gram"]].rename(columns={"gram": "shorter"})
+    for kind in KINDS:
+        n = got[kind].to_numpy(float)
+        first = np.bincount(gram & 255, n, 256)
+        table = np.zeros(1 << 16)
+        table[gram] = n
+        pairs = table.reshape(256, 256)
+        model = Markov(np.concatenate((first, table)), np.concatenate(([n.sum()], pairs.sum(1))),
+                       np.concatenate(([np.count_nonzero(first)], np.count_nonzero(pairs, axis=1))))
+        out[f"p_{kind}"] = np.exp(model.log_p([np.zeros(len(gram), np.int64), 1 + (gram >> 8)], [gram & 255, 256 + gram]))
+    return F.broadcast(counts.sparkSession.createDataFrame(out, "shorter long, p_allow double, p_block double"))
+
+
+def log_ratios(counts: DataFrame) -> DataFrame:
+    """gram, n, ratio (in units) of each distinct window, from its probabilities of order 1 up to ORDER."""
+    p = low_orders(counts)
+    for k in range(2, ORDER + 1):
+        own = counts if k == ORDER else counts.groupBy(suffix("gram", k).alias("gram")).agg(*(F.sum(c).alias(c) for c in ("n", *KINDS)))
+        context = Window.partitionBy(F.shiftright("gram", 8))
+        cols = [f(kind) for kind in KINDS for f in (F.col, lambda c: F.sum(c).over(context).alias(f"all_{c}"),
+                                                    lambda c: F.count_if(F.col(c) > 0).over(context).alias(f"kinds_{c}"))]
+        smoothed = [((F.col(c) + (F.col(f"kinds_{c}") + 0.01) * F.col(f"p_{c}")) / (F.col(f"all_{c}") + F.col(f"kinds_{c}") + 0.01)).alias(f"p_{c}") for c in KINDS]
+        p = (own.select("gram", "n", suffix("gram", k - 1).alias("shorter"), *cols)
+             .join(p, "shorter").select(F.col("gram").alias("shorter"), "n", *smoothed))
+        if k < ORDER:
+            p = p.drop("n")
+    return p.select(F.col("shorter").alias("gram"), "n", F.round((F.log("p_allow") - F.log("p_block")) * UNIT).cast("long").alias("ratio"))
+
+
+def add_score(urls: DataFrame, ratios: DataFrame) -> DataFrame:
+    """The rows of ``urls``, which need a column row of their own, with llr: the log-likelihood difference per byte (0 for an empty URL)."""
+    total = ratios.agg(F.sum("n")).first()[0] or 0
+    got = ratios.filter(F.col("n") * FREQUENT >= total).select("gram", "ratio").toPandas().sort_values("gram")
+    known, value = got.gram.to_numpy(np.int64), got.ratio.to_numpy(np.int64)  # at most FREQUENT rows
+
+    def look_up(w):
+        at = np.minimum(np.searchsorted(known, w), len(known) - 1)
+        return at, known[at] == w
+
+    def rest(batches):
         for b in batches:
-            row, contexts, grams, sizes = slots(b.column(b.schema.get_field_index("url")).to_pylist())
-            d = np.bincount(row, good.log_p(contexts, grams) - bad.log_p(contexts, grams), len(sizes)) / np.maximum(sizes, 1)
-            yield b.append_column("llr", pa.array(d))
-
-    cols = ["page_id", "url", "host", "path", "rule", "verdict"]
-    return urls.select(*cols).mapInArrow(run, "page_id long, url string, host string, path string, rule string, verdict string, llr double")
+            buf, off = string_buffer(b.column(1))
+            for i, j in passes(off):
+                row, w = windows(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+                if len(known):
+                    left = ~look_up(w)[1]
+                    row, w = row[left], w[left]
+                order = np.lexsort((w, row))
+                row, w = row[order], w[order]
+                cut = np.flatnonzero(np.concatenate((np.ones(min(len(w), 1), bool), (row[1:] != row[:-1]) | (w[1:] != w[:-1]))))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i + row[cut])), pa.array(w[cut]), pa.array(np.diff(np.append(cut, len(w))))],
+                                                 ["row", "gram", "times"])
+
+    def frequent(batches):
+        for b in batches:
+            buf, off = string_buffer(b.column(b.schema.get_field_index("url")))
+            out = np.zeros(b.num_rows, np.int64)
+            for i, j in passes(off) if len(known) else ():
+                row, w = windows(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+                at, hit = look_up(w)
+                np.add.at(out, i + row[hit], value[at[hit]])
+            yield b.append_column("near", pa.array(out)).append_column("size", pa.array(np.diff(off)))
+
+    far = (urls.select("row", "url").mapInArrow(rest, "row long, gram long, times long").join(ratios.select("gram", "ratio"), "gram")
+           .groupBy("row").agg(F.sum(F.col("times") * F.col("ratio")).alias("far")))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in urls.schema) + ", near long, size long"
+    units = F.col("near") + F.coalesce("far", F.lit(0))
+    return (urls.mapInArrow(frequent, schema).join(far, "row", "left")
+            .select(*urls.columns, (units / float(UNIT) / F.greatest("size", F.lit(1))).alias("llr")))
 
 
 def calibrate(scored: DataFrame) -> float:
@@ -161,11 +240,14 @@ def judge(pages: DataFrame, rules=RULES, fold: int = 5) -> DataFrame:
     host, path = host_and_path(url)
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), url, host.alias("host"), path.alias("path"))
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
-    base = base.select("*", rule.alias("rule"), verdict.alias("verdict"))
-    decided, late = base.filter("verdict is not null"), crc_mod("page_id", fold) == fold - 1
-    models = count_models(decided.filter(~late))
-    cut = calibrate(add_score(decided.filter(late), models))
-    return add_score(base, models).select(
+    base = base.select("*", rule.alias("rule"), verdict.alias("verdict"), (crc_mod("page_id", fold) == fold - 1).alias("late"))
+    base, at_base = write_step(base.withColumn("row", F.monotonically_increasing_id()), "urls")
+    counts, at_counts = write_step(count_windows(base.withColumn("kind", F.expr("case when not late then verdict end"))), "url-windows")
+    ratios, at_ratios = write_step(log_ratios(counts), "url-ratios")
+    scored, _ = write_step(add_score(base, ratios).drop("url", "row"), "url-scores")
+    release(pages.sparkSession, at_base, at_counts, at_ratios)
+    cut = calibrate(scored.filter("late and verdict is not null"))
+    return scored.select(
         "page_id", "host", "path", "rule",
         F.coalesce("verdict", F.when(F.col("llr") >= cut, "allow").otherwise("block")).alias("verdict"),
         "llr", F.lit(cut).alias("cut"))

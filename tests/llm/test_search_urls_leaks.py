@@ -143,6 +143,42 @@ def test_smoothed_probabilities_by_brute_force():
         assert np.isclose(got[i], np.log(p))
 
 
+def test_scores_stay_exact_with_many_distinct_grams(spark, monkeypatch):
+    r = random.Random(4)
+    path = lambda a, n: "".join(r.choice(a) for _ in range(n))
+    rows = [(k, f"http://{path('abcdefghijkl', 6)}.{('com', 'net', 'org')[k % 3]}/{('', 'es/', 'é')[k % 3]}{path('abcdefghijklmnopqrstuvwxyz0123456789', 40)}") for k in range(6000)]
+    rows += [(6000, "http://a.org/" + "ab" * 500), (6001, "http://a.org/" + "ab" * 500), (6002, "")]
+    monkeypatch.setattr(urls, "FREQUENT", 100, raising=False)  # most windows go through the join
+    got = {x.page_id: x for x in urls.judge(spark.createDataFrame(rows, "page_id long, url string").repartition(4)).collect()}
+    late = {x.page_id for x in spark.createDataFrame(rows, "page_id long, url string").filter(urls.crc_mod("page_id", 5) == 4).collect()}
+    models = {}
+    for kind in ("allow", "block"):
+        grams, total, kinds = {}, {}, {}
+        for k, u in rows:
+            if k not in late and got[k].rule and got[k].verdict == kind:
+                t = b"\x02" * 5 + u.encode()
+                for i in range(5, len(t)):
+                    for o in range(6):
+                        c, g = t[i - o:i], t[i - o:i + 1]
+                        total[c] = total.get(c, 0) + 1
+                        kinds[c] = kinds.get(c, 0) + (g not in grams)
+                        grams[g] = grams.get(g, 0) + 1
+        assert len(grams) > 100_000  # against 2**18 slots for both before
+        models[kind] = grams, total, kinds
+    for k, u in rows[::37] + rows[-3:]:
+        t, llr = b"\x02" * 5 + u.encode(), 0.0
+        for i in range(5, len(t)):
+            for sign, kind in ((1, "allow"), (-1, "block")):
+                grams, total, kinds = models[kind]
+                p = 1 / 256
+                for o in range(6):
+                    n, t_ = total.get(t[i - o:i], 0), kinds.get(t[i - o:i], 0)
+                    p = (grams.get(t[i - o:i + 1], 0) + (t_ + 0.01) * p) / (n + t_ + 0.01)
+                llr += sign * np.log(p)
+        assert np.isclose(got[k].llr, llr / max(len(t) - 5, 1), atol=1e-8)
+    assert got[6000].llr == got[6001].llr
+
+
 def test_urls_of_odd_tables(spark):
     schema = "page_id long, url string"
     assert urls.judge(spark.createDataFrame([], schema)).count() == 0
