@@ -80,7 +80,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str | None = None, rule: str =
                     bounds = np.flatnonzero((buf & 0xC0) != 0x80)[at] if wide else at  # bytes at which these characters begin
                 n = len(bounds)
                 if raw:
-                    ends = np.cumsum(enc.widths[np.array(enc.ids(text), np.int64)])
+                    ends = enc.ends(text)
                     to, crossing = attribute(ends, bounds, rule)
                     tokens = np.bincount(to, minlength=n)
                     cross = np.bincount(to[crossing], minlength=n)

@@ -1,12 +1,12 @@
 """Byte-level BPE token ids of whole texts, from a public vocabulary file.
 
 The file is a ``tokenizers`` JSON.  The ids are those of
-``Tokenizer.from_file(path).encode(text, add_special_tokens=False)`` with
-special strings taken as ordinary text.  Where the file is plain byte-level
+``Tokenizer.from_file(path).encode(text, add_special_tokens=False)``: the string
+of an added token in a text is that token.  Where the file is plain byte-level
 BPE whose ids follow the merge order, the same merges run in ``tiktoken``,
-which is several times as fast; texts with characters beyond Latin Extended-B,
-for which the two libraries' Unicode classes could differ, and other files go
-through ``tokenizers`` itself.
+which is several times as fast; texts with the string of an added token, those
+with characters beyond Latin Extended-B, for which the two libraries' Unicode
+classes could differ, and other files go through ``tokenizers`` itself.
 """
 
 from __future__ import annotations
@@ -42,8 +42,8 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters, model = byte_letters(), spec["model"]
-        special = {t["content"] for t in spec.get("added_tokens", ())}
-        vocab = {t: i for t, i in model["vocab"].items() if t not in special}
+        self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
+        vocab = {t: i for t, i in model["vocab"].items() if t not in self.added}
         pieces = {i: bytes(letters[c] for c in t) for t, i in vocab.items()}
         merges = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", ())]
         pre = spec.get("pre_tokenizer") or {}
@@ -56,23 +56,36 @@ class Encoder:
             self.fast = tiktoken.Encoding("own", pat_str=PATTERN, special_tokens={},
                                           mergeable_ranks={b: i for i, b in pieces.items()})
         #: bytes of text behind each id (byte-level BPE loses none)
-        self.widths = np.zeros(max(pieces) + 1, np.int64)
+        self.widths = np.zeros(max((*pieces, *self.added.values())) + 1, np.int64)
         for i, b in pieces.items():
             self.widths[i] = len(b)
+        for t, i in self.added.items():
+            self.widths[i] = len(t.encode())
 
     @property
     def slow(self):
         if self._slow is None:
             from tokenizers import Tokenizer
             self._slow = Tokenizer.from_file(self.path)
-            self._slow.encode_special_tokens = True
         return self._slow
 
     def ids(self, text: str) -> list[int]:
-        if self.fast is None or UNUSUAL.search(text):
+        if self.fast is None or UNUSUAL.search(text) or any(t in text for t in self.added):
             return self.slow.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
+    def ends(self, text: str) -> np.ndarray:
+        """Byte ends of the tokens of a text."""
+        if not any(t in text for t in self.added):
+            return np.cumsum(self.widths[np.array(self.ids(text), np.int64)])
+        got = self.slow.encode(text, add_special_tokens=False)
+        ids = np.array(got.ids, np.int64)
+        widths, known = self.widths[ids], np.fromiter(self.added.values(), np.int64)
+        for k in np.flatnonzero(np.isin(ids, known)):  # an added token may take the white space beside it
+            a, z = got.offsets[k]
+            widths[k] = len(text[a:z].encode())
+        return np.cumsum(widths)
+
 
 @lru_cache(2)
 def encoder(path: str) -> Encoder:

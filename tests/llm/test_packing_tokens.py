@@ -139,3 +139,38 @@ def test_counts_add_up_and_odd_tables(spark, docs_of, reference, prose):
     assert token_counts.count_tokens(docs_of([])).count() == 0
     with pytest.raises(ValueError):
         token_counts.count_tokens(docs_of([]), rule="none")
+
+
+MARKED = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "line\nna\u00efve <|endoftext|>\n\n\u6771\u4eac <|endoftext|>\nend\n", "<|endoftext| >", "<|end\noftext|>"]
+
+
+def test_added_tokens_are_the_librarys(spark, docs_of):
+    library = Tokenizer.from_file(PATH)  # as it comes, without any flag
+    enc = tokenizer.encoder(PATH)
+    assert enc.ids(MARKED[0]) == [64, 220, 50256, 275]
+    for text in MARKED:
+        assert enc.ids(text) == library.encode(text, add_special_tokens=False).ids
+        assert enc.ends(text)[-1] == len(text.encode())
+    docs = docs_of(list(enumerate(MARKED)))
+    check_packed(packing.pack(docs).collect(), dict(enumerate(MARKED)), library)
+    rows = token_counts.count_tokens(docs).collect()
+    for k, t in enumerate(MARKED):
+        own = sorted((r for r in rows if r.doc_id == k), key=lambda r: r.section)
+        assert sum(r.n_tokens for r in own) == len(library.encode(t, add_special_tokens=False).ids)
+        if t.isascii():
+            n, cross = brute_sections(t, [i + 1 for i, c in enumerate(t[:-1]) if c == "\n"], library, "first")
+            assert [r.n_tokens for r in own] == n and [r.n_crossing for r in own] == cross
+
+
+@pytest.mark.parametrize("flags", [{}, {"lstrip": True}, {"rstrip": True}, {"lstrip": True, "rstrip": True}])
+def test_added_tokens_that_take_white_space(tmp_path, flags):
+    import json
+    spec = json.load(open(PATH, encoding="utf-8"))
+    spec["added_tokens"][0] |= flags
+    spec["added_tokens"].append(spec["added_tokens"][0] | {"id": 50257, "content": "[\u00e9]", "special": False})
+    (tmp_path / "own.json").write_text(json.dumps(spec), encoding="utf-8")
+    enc, library = tokenizer.Encoder(str(tmp_path / "own.json")), Tokenizer.from_file(str(tmp_path / "own.json"))
+    for text in ("a  <|endoftext|>  b", "x [\u00e9] y\n[\u00e9]", " <|endoftext|> "):
+        got = library.encode(text, add_special_tokens=False)
+        assert enc.ids(text) == got.ids
+        assert enc.ends(text).tolist() == [len(text[:z].encode()) for _, z in got.offsets]
