@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hexlens.llm import decontam, jaccard, language, neighbours, packing, quality, substring, token_counts, toxicity, urls
+from hexlens.llm import bpe, decontam, jaccard, language, neighbours, packing, quality, substring, token_counts, toxicity, urls
 from hexlens.llm.common import prepare, table
 
 
@@ -86,6 +86,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return bpe.decode(bpe.encode(table(spark, sf_dir, "documents"))).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {"op1_substring": op1_substring, "op2_jaccard": op2_jaccard, "op3_neighbours": op3_neighbours, "op4_language": op4_language, "op5_token_counts": op5_token_counts, "op6_quality": op6_quality, "op7_packing": op7_packing,
-           "op8_toxicity": op8_toxicity, "op9_urls": op9_urls, "op10_decontamination": op10_decontamination}
+           "op8_toxicity": op8_toxicity, "op9_urls": op9_urls, "op10_decontamination": op10_decontamination, "op12_bpe": op12_bpe}
 SQL = {"op1_substring": OP1_SQL, "op2_jaccard": OP2_SQL}
