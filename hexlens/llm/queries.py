@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hexlens.llm import bpe, decontam, jaccard, language, neighbours, packing, quality, substring, token_counts, toxicity, urls
+from hexlens.llm import bpe, conversations, decontam, jaccard, language, neighbours, packing, quality, substring, token_counts, toxicity, urls
 from hexlens.llm.common import prepare, table
 
 
@@ -93,6 +93,11 @@ def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return conversations.report(conversations.damage(table(spark, sf_dir, "conversations")), present_col="present")
+
+
 QUERIES = {"op1_substring": op1_substring, "op2_jaccard": op2_jaccard, "op3_neighbours": op3_neighbours, "op4_language": op4_language, "op5_token_counts": op5_token_counts, "op6_quality": op6_quality, "op7_packing": op7_packing,
-           "op8_toxicity": op8_toxicity, "op9_urls": op9_urls, "op10_decontamination": op10_decontamination, "op12_bpe": op12_bpe}
+           "op8_toxicity": op8_toxicity, "op9_urls": op9_urls, "op10_decontamination": op10_decontamination, "op12_bpe": op12_bpe, "op13_conversations": op13_conversations}
 SQL = {"op1_substring": OP1_SQL, "op2_jaccard": OP2_SQL}
