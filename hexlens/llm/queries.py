@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hexlens.llm import bpe, conversations, decontam, jaccard, language, neighbours, packing, quality, substring, token_counts, toxicity, urls
+from hexlens.llm import bpe, conversations, decontam, jaccard, language, mining, neighbours, packing, quality, substring, token_counts, toxicity, urls
 from hexlens.llm.common import prepare, table
 
 
@@ -86,6 +86,23 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return mining.mine(table(spark, sf_dir, "embeddings"), shift_every=7)
+
+
+OP11_SQL = r"""
+WITH p AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label AS own, p.vec_id, p.label, list_sum(list_transform(list_zip(a.v, p.v), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM p a JOIN p ON a.vec_id % 100 = 0 AND p.vec_id <> a.vec_id AND len(p.v) = len(a.v)),
+g AS (SELECT * FROM s WHERE label = own QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, g.vec_id AS positive_id, (row_number() OVER (PARTITION BY anchor_id, g.vec_id ORDER BY s.score DESC, s.vec_id))::INTEGER AS rank,
+  s.vec_id AS negative_id, g.score AS positive_score, s.score AS negative_score
+FROM g JOIN s USING (anchor_id) WHERE s.label <> s.own AND 80 * g.score <= 100 * s.score AND 100 * s.score <= 100 * g.score QUALIFY rank <= 5
+"""
+
+
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return bpe.decode(bpe.encode(table(spark, sf_dir, "documents"))).select(
@@ -99,5 +116,5 @@ def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_substring": op1_substring, "op2_jaccard": op2_jaccard, "op3_neighbours": op3_neighbours, "op4_language": op4_language, "op5_token_counts": op5_token_counts, "op6_quality": op6_quality, "op7_packing": op7_packing,
-           "op8_toxicity": op8_toxicity, "op9_urls": op9_urls, "op10_decontamination": op10_decontamination, "op12_bpe": op12_bpe, "op13_conversations": op13_conversations}
-SQL = {"op1_substring": OP1_SQL, "op2_jaccard": OP2_SQL}
+           "op8_toxicity": op8_toxicity, "op9_urls": op9_urls, "op10_decontamination": op10_decontamination, "op11_hard_negatives": op11_hard_negatives, "op12_bpe": op12_bpe, "op13_conversations": op13_conversations}
+SQL = {"op1_substring": OP1_SQL, "op2_jaccard": OP2_SQL, "op11_hard_negatives": OP11_SQL}
