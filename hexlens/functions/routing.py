@@ -36,18 +36,25 @@ def routing_label(packed_sections_ratio, packer_keyword_hits_count) -> Column:
             | (_c(packer_keyword_hits_count) > C.PACKER_KEYWORD_HITS_THRESHOLD)).cast("int")
 
 
+def gate_signals(high_entropy_ratio, packed_sections_ratio, overlay_high_entropy_flag,
+                 packer_keyword_hits_ratio, packer_section_flags: list) -> dict[str, Column]:
+    """the five raw signals; a ratio on its threshold fires."""
+    any_packer = F.greatest(*[_c(f) for f in packer_section_flags]) > 0 if len(packer_section_flags) > 1 else (
+        _c(packer_section_flags[0]) > 0 if packer_section_flags else F.lit(False))
+    return {
+        "entropy": _c(high_entropy_ratio) >= C.GATE_HIGH_ENTROPY_RATIO,
+        "packed_sections": _c(packed_sections_ratio) >= C.GATE_PACKED_SECTIONS_RATIO,
+        "overlay": _c(overlay_high_entropy_flag) > 0,
+        "keywords": _c(packer_keyword_hits_ratio) >= C.GATE_PACKER_RATIO,
+        "packer_section": any_packer,
+    }
+
+
 def gate_vote(high_entropy_ratio, packed_sections_ratio, overlay_high_entropy_flag,
               packer_keyword_hits_ratio, packer_section_flags: list) -> Column:
-    """five raw signals, packed when at least two fire."""
-    any_packer = F.greatest(*[_c(f) for f in packer_section_flags]) > 0 if packer_section_flags else F.lit(False)
-    signals = [
-        _c(high_entropy_ratio) > C.GATE_HIGH_ENTROPY_RATIO,
-        _c(packed_sections_ratio) > C.GATE_PACKED_SECTIONS_RATIO,
-        _c(overlay_high_entropy_flag) > 0,
-        _c(packer_keyword_hits_ratio) > C.GATE_PACKER_RATIO,
-        any_packer,
-    ]
-    votes = sum(s.cast("int") for s in signals)
+    """packed when at least two of the five signals fire."""
+    signals = gate_signals(high_entropy_ratio, packed_sections_ratio, overlay_high_entropy_flag, packer_keyword_hits_ratio, packer_section_flags)
+    votes = sum(s.cast("int") for s in signals.values())
     return (votes >= 2).cast("int")
 
 

@@ -4,10 +4,12 @@ The driver tables hold no executables, so Spark assembles them: every part is
 a file whose headers, sections and pointer tables follow from its key by the
 rules below (expressions on one row, nothing gathered).  The corpus has 32- and
 64-bit images, with and without TLS, imports by name and by ordinal, hostile
-section pointers beyond 2**31, truncated images and files that are no images.
+section pointers beyond 2**31, directories outside the sections, resource trees
+that lead back to their root, images of nine sections whose ratios lie on the
+thresholds of the vote, truncated images and files that are no images.
 The oracles state what the rules imply, without parsing anything.
 
-Rules for key k (i: section 1..4, d: imported DLL 0..2, j: its function):
+Rules for key k (i: section 1..8, d: imported DLL 0..2, j: its function):
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ DLLS = ["KERNEL32.dll", "ws2_32.dll", "custom.x.dll"]                  # DLL d <
 APIS = ["CreateFileA", "ReadFile", "NtClose", "connect", "send", "ZwOpenKey", "Foo", "RegOpenKeyExA", "LoadLibraryA"]  # d * 3 + j
 HEADER, TABLES = 1024, 1024                                            # bytes of the headers, of the section with the tables
 RVA = 0x1000                                                           # of the section with the tables
+IDATA_RAW = 200                                                        # size that its header gives: too short for an entropy
+OVERLAY, LONG_OVERLAY = 1500, 8192                                     # bytes of the cycle behind the sections, if any
 CYCLE = bytes(range(256)) * 8
 
 
@@ -63,11 +67,12 @@ def pe_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the narrow keys are spread before they become files; the files stay where they are made
     df = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), "p_name").repartition(spark.sparkContext.defaultParallelism, "k")
     when = lambda c, v, width: F.when(c, v).otherwise(F.lit("00" * width))
-    plus, n = k % 3 == 0, 1 + k % 4
+    plus, n = k % 3 == 0, F.when(k % 29 == 3, 8).otherwise(1 + k % 4)
+    long = (k % 40 == 16) & (k % 29 != 3)
     raw = lambda i: 256 + 64 * ((k * i) % 5)
     number = lambda *xs: F.array(*[F.lit(x) for x in xs])
     joined = lambda items: F.concat_ws("", items)
-    sections, entries = F.filter(number(1, 2, 3, 4), lambda i: i <= n), number(0, 1, 2)
+    sections, entries = F.filter(number(*range(1, 9)), lambda i: i <= n), number(0, 1, 2)
 
     def section(i):
         name = F.get(F.array(*[F.lit(x.encode().ljust(8, b"\0").hex()) for x in NAMES]), ((k + i) % 6).cast("int"))
@@ -78,8 +83,8 @@ def pe_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     tables = lambda off: RVA + off
     dirs = {0: (k % 5 == 0, tables(500), 40), 1: (k % 4 > 0, tables(0), 80), 2: (k % 6 == 0, tables(650), 64), 4: (k % 10 == 0, HEADER + 900, 64),
-            5: (k % 2 == 0, tables(580), 28), 9: (k % 7 == 0, tables(612), 40)}
-    own = F.concat(F.lit(b".idata\0\0".hex()), _le(TABLES, 4), _le(RVA, 4), _le(TABLES, 4), _le(HEADER, 4), F.lit("00" * 12), _le(0x40000040, 4))
+            5: (k % 2 == 0, tables(580), 28), 9: (k % 7 == 0, F.when(k % 35 == 0, 0x7000000).otherwise(tables(612)), 40)}
+    own = F.concat(F.lit(b".idata\0\0".hex()), _le(TABLES, 4), _le(RVA, 4), _le(IDATA_RAW, 4), _le(HEADER, 4), F.lit("00" * 12), _le(0x40000040, 4))
     opt = 152
     common = _region(opt + 72, [
         (0, 2, F.lit(b"MZ".hex())), (0x3C, 4, _le(128, 4)), (128, 4, F.lit(b"PE\0\0".hex())), (132, 2, F.when(plus, _le(0x8664, 2)).otherwise(_le(0x14C, 2))),
@@ -107,12 +112,12 @@ def pe_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces += [(520, 4, _le(2 + k % 3, 4)), (524, 4, _le(1 + k % 2, 4)), (532, 4, _le(tables(540), 4)), (540, 8, F.concat(_le(tables(550), 4), _le(tables(562), 4))),
                (550, 10, _text("ExportOne")), (562, 4, _text("Ex2")), (580, 8, F.concat(_le(RVA, 4), _le(16, 4))), (596, 8, F.concat(_le(2 * RVA, 4), _le(12, 4))),
                (624, 4, when(~plus & (k % 14 == 0), _le(1, 4), 4)), (636, 4, when(plus & (k % 14 == 0), _le(1, 4), 4)),
-               (664, 2, _le(2, 2)), (666, 16, F.concat(_le(1, 4), _le(64, 4), _le(2, 4), _le(0x80000000 + 32, 4))), (696, 2, _le(1, 2)),
+               (664, 2, _le(2, 2)), (666, 16, F.concat(_le(1, 4), _le(64, 4), _le(2, 4), F.when(k % 30 == 0, _le(0x80000000, 4)).otherwise(_le(0x80000000 + 32, 4)))), (696, 2, _le(1, 2)),
                (698, 8, F.concat(_le(1, 4), _le(64, 4))), (900, 12, when(k % 20 == 0, _text("signingTime"), 12))]
     cycle = CYCLE.hex()
     body = lambda i: F.when((k + i) % 3 == 0, F.substring(F.lit(cycle), 1, (2 * raw(i)).cast("int"))).otherwise(
         F.repeat(F.lower(F.hex((64 + i).cast("bigint"))), raw(i).cast("int")))
-    overlay = F.when(k % 5 == 1, F.lit(cycle[:3000])).otherwise(F.lit(""))
+    overlay = F.when(long, F.repeat(F.lit(cycle), LONG_OVERLAY // len(CYCLE))).when(k % 5 == 1, F.lit(cycle[: 2 * OVERLAY])).otherwise(F.lit(""))
     image = F.unhex(F.concat(header, _region(TABLES, pieces), joined(F.transform(sections, body)), overlay))
     content = F.when(k % 17 == 16, F.encode(F.coalesce("p_name", F.lit("")), "UTF-8")).when(k % 13 == 12, F.substring(image, 1, 100)).otherwise(image)
     df = df.select("k", content.alias("content"))
@@ -127,26 +132,30 @@ def pe_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LIST = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
 _FILES = f"""
 f AS (
-  SELECT p_partkey AS k, p_name, NOT (p_partkey % 17 = 16) AND NOT (p_partkey % 13 = 12) AS pe, 1 + p_partkey % 4 AS n FROM part
+  SELECT p_partkey AS k, p_name, NOT (p_partkey % 17 = 16) AND NOT (p_partkey % 13 = 12) AS pe, CASE WHEN p_partkey % 29 = 3 THEN 8 ELSE 1 + p_partkey % 4 END AS n,
+    p_partkey % 40 = 16 AND p_partkey % 29 <> 3 AS long FROM part
 ),
 s0 AS (
   SELECT k, i, CASE WHEN i = 0 THEN '.idata' ELSE ({_LIST(NAMES)})[(k + i) % 6 + 1] END AS name,
-         CASE WHEN i = 0 THEN {TABLES} ELSE 256 + 64 * ((k * i) % 5) END AS raw,
+         CASE WHEN i = 0 THEN {IDATA_RAW} ELSE 256 + 64 * ((k * i) % 5) END AS raw,
          CASE WHEN i = 0 THEN {TABLES} ELSE 1000 * (i + 1) + k % 7 END AS vs, (i + 1) * {RVA} AS va,
          i > 0 AND (k + i) % 4 IN (0, 2) AS ex, i = 0 OR TRUE AS rd, i > 0 AND (k + i) % 4 IN (1, 2) AS wr,
-         k % 11 = 0 AND i = n AS far, i > 0 AND (k + i) % 3 = 0 AS cycle
-  FROM f, range(5) r(i) WHERE pe AND i <= n
+         k % 11 = 0 AND i = n AS far, i > 0 AND (k + i) % 3 = 0 AS cycle, CASE WHEN long THEN {LONG_OVERLAY} WHEN k % 5 = 1 THEN {OVERLAY} ELSE 0 END AS overlay
+  FROM f, range(9) r(i) WHERE pe AND i <= n
 ),
-len0 AS (SELECT k, {HEADER} + sum(raw) + CASE WHEN k % 5 = 1 THEN 1500 ELSE 0 END AS size FROM s0 GROUP BY k),
+len0 AS (SELECT k, {HEADER + TABLES} + sum(CASE WHEN i > 0 THEN raw END) + any_value(overlay) AS size FROM s0 GROUP BY k),
 tab AS (SELECT k, {HEADER} AS h FROM f)"""
+#: What is malformed in the tables of an image.
+_ERROR = ("nullif(concat_ws('; ', CASE WHEN k % 35 = 0 THEN 'directory outside the sections' END, "
+          "CASE WHEN k % 30 = 0 THEN 'resource directories overlap' END), '')")
 #: Entropy/8 of n bytes that run through 0..255: r bytes occur one time more often than the others.
 _CYCLE_E = "(-(({r}) * ((({n}) // 256 + 1.0) / ({n})) * log2((({n}) // 256 + 1.0) / ({n})) + (256 - ({r})) * ((({n}) // 256) / ({n})::DOUBLE) * log2((({n}) // 256) / ({n})::DOUBLE)) / 8)"
 
 
-def _features(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
+def _features(spark: SparkSession, sf_dir: str, native: bool = False) -> DataFrame:
     """Features, written once for all queries: a filter on them must not be pushed down into the parser's expressions."""
-    f = materialize_once(spark, ("pe-features", sf_dir, *sorted(kw.items())),
-                         lambda: featurise(pe_files(spark, sf_dir).select("k", "length", "content"), "k", **kw), "pe-features")
+    f = materialize_once(spark, ("pe-features", sf_dir, native),
+                         lambda: featurise(pe_files(spark, sf_dir).select("k", "length", "content"), "k", native=native), "pe-features")
     return f.withColumnsRenamed({c: c.replace(".", "_") for c in f.columns})
 
 
@@ -173,7 +182,7 @@ SELECT k, (k % 50)::DOUBLE AS symbols_count, (2 + k % 2)::DOUBLE AS subsystem, c
   ((ch & 256) <> 0)::INT::DOUBLE AS has_nx_compat, ((ch & 64) <> 0)::INT::DOUBLE AS has_aslr, ((ch & 1024) = 0)::INT::DOUBLE AS has_seh,
   ((ch & 16384) <> 0)::INT::DOUBLE AS has_guard_cf, (k % 6 = 0)::INT::DOUBLE AS has_resources, 0.0::DOUBLE AS has_debug_info,
   (k % 7 = 0)::INT::DOUBLE AS has_tls, (k % 2 = 0)::INT::DOUBLE AS has_relocs, 0.0::DOUBLE AS has_exceptions,
-  CASE WHEN k % 6 = 0 THEN 2.0::DOUBLE ELSE 0 END AS resources_count, (k % 14 = 0)::INT::DOUBLE AS tls_callbacks_count,
+  CASE WHEN k % 30 = 0 THEN 1.0::DOUBLE WHEN k % 6 = 0 THEN 2.0 ELSE 0 END AS resources_count, (k % 14 = 0 AND k % 35 <> 0)::INT::DOUBLE AS tls_callbacks_count,
   CASE WHEN k % 2 = 0 THEN 2.0::DOUBLE ELSE 0 END AS reloc_blocks_count, CASE WHEN k % 2 = 0 THEN 6.0::DOUBLE ELSE 0 END AS reloc_entries_count,
   (k % 4 = 0)::INT::DOUBLE AS checksum_zero_flag, {HEADER}.0::DOUBLE AS pe_header_size, {r6(f'{HEADER}.0 / (size + 1)')} AS header_size_ratio,
   {r6(f'({2 * RVA} + k % 100) / (size + 1.0)')} AS entry_point_ratio, ts::DOUBLE AS timestamp,
@@ -181,7 +190,7 @@ SELECT k, (k % 50)::DOUBLE AS symbols_count, (2 + k % 2)::DOUBLE AS subsystem, c
   CASE WHEN k % 10 = 0 THEN 64.0::DOUBLE ELSE 0 END AS signature_size, (k % 20 = 0)::INT::DOUBLE AS signature_has_signing_time,
   funcs::DOUBLE AS exports_count, avg_len::DOUBLE AS export_name_avg_length, max_len::DOUBLE AS export_name_max_length, min_len::DOUBLE AS export_name_min_length,
   {r6('names / (size + 1.0)')} AS exports_density, {r6('names / (funcs + 1.0)')} AS exports_name_ratio,
-  CASE WHEN (k + 1) % 6 = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS entry_in_nonstandard_section_flag, NULL::VARCHAR AS error
+  CASE WHEN (k + 1) % 6 = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS entry_in_nonstandard_section_flag, {_ERROR} AS error
 FROM x JOIN y USING (k)
 """)
 def q_pe_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,12 +217,10 @@ def _section_sql(native: bool) -> str:
     return f"""
 WITH {_FILES},
 e AS (SELECT *, CASE WHEN cycle AND NOT far THEN {_CYCLE_E.format(n='raw', r='raw % 256')} ELSE 0.0 END AS ent FROM s0),
-t AS (SELECT CAST(raw AS VARCHAR) AS r, count(*) AS c FROM s0 GROUP BY 1),
-idata AS (SELECT 1),
 a AS (
   SELECT k, count(*)::DOUBLE AS n, count(DISTINCT name)::DOUBLE AS nn, sum(raw)::DOUBLE AS tr, sum(vs)::DOUBLE AS tv, avg(raw) AS ar, avg(vs) AS av,
-         max(raw)::DOUBLE AS mxr, min(raw)::DOUBLE AS mnr, stddev_pop(raw) AS sdr, avg(CASE WHEN i > 0 THEN ent END) AS unused,
-         sum(ent) AS se, max(ent) AS xe, count_if(ent > 0.8) AS high, min(CASE WHEN i > 0 THEN ent END) AS ne, list(ent) AS es,
+         max(raw)::DOUBLE AS mxr, min(raw)::DOUBLE AS mnr, stddev_pop(raw) AS sdr,
+         avg(ent) AS ae, min(ent) AS ne, max(ent) AS xe, stddev_pop(ent) AS se, count_if(ent > 0.8) AS high, any_value(overlay) AS overlay,
          sum(CASE WHEN ex THEN raw ELSE 0 END) AS cs, sum(CASE WHEN {data} THEN raw ELSE 0 END) AS ds, sum(CASE WHEN ex THEN vs ELSE 0 END) AS cv,
          sum(CASE WHEN {data} THEN vs ELSE 0 END) AS dv, count_if(ex)::DOUBLE AS exc, count_if(wr)::DOUBLE AS wrc, count_if(rd)::DOUBLE AS rdc,
          count_if({rwx})::DOUBLE AS rwx, count_if(ex AND name <> '.text')::DOUBLE AS nse, avg(length(name)) AS nla, max(length(name))::DOUBLE AS nlx,
@@ -223,7 +230,7 @@ a AS (
          max((name = '.rsrc')::INT) AS h_rsrc, max((name = 'UPX0')::INT) AS h_upx, max(far::INT) AS far
   FROM e GROUP BY k
 ),
-o AS (SELECT a.*, l.size, CASE WHEN a.far = 0 AND a.k % 5 = 1 THEN 1500 ELSE 0 END AS tail FROM a JOIN len0 l USING (k))
+o AS (SELECT a.*, l.size, CASE WHEN a.far = 0 THEN overlay ELSE 0 END AS tail FROM a JOIN len0 l USING (k))
 SELECT k, n AS sections_count, nn AS section_names_count, tr AS section_total_size, tv AS section_total_vsize, {r6('ar')} AS avg_section_size, {r6('av')} AS avg_section_vsize,
   mxr AS max_section_size, mnr AS min_section_size, {r6('sdr')} AS section_size_std, {r6(cv)} AS section_size_cv,
   {r6('high / (n + 0.0)' if native else 'high / (n + 1)')} AS packed_sections_ratio,
@@ -235,20 +242,15 @@ SELECT k, n AS sections_count, nn AS section_names_count, tr AS section_total_si
   {r6('pk / (n + 1)')} AS packer_keyword_hits_ratio, am AS alignment_mismatch_count, {r6('am / (2 * n + 1)')} AS alignment_mismatch_ratio,
   h_text::DOUBLE AS has__text_section, h_data::DOUBLE AS has__data_section, 0.0::DOUBLE AS has__rdata_section, h_rsrc::DOUBLE AS has__rsrc_section,
   h_upx::DOUBLE AS has_upx_section, tail::DOUBLE AS trailing_data_size, {r6('tail / (size + 1.0)')} AS trailing_data_ratio,
-  {r6(f"CASE WHEN tail > 0 THEN {_CYCLE_E.format(n='1500', r='1500 % 256')} ELSE 0 END")} AS overlay_entropy, (tail > 0)::INT::DOUBLE AS overlay_high_entropy_flag,
-  {r6('xe')} AS section_entropy_max
+  {r6(f"CASE WHEN tail > 0 THEN {_CYCLE_E.format(n='tail', r='tail % 256')} ELSE 0 END")} AS overlay_entropy, (tail > 0)::INT::DOUBLE AS overlay_high_entropy_flag,
+  {r6('ae')} AS section_entropy_avg, {r6('ne')} AS section_entropy_min, {r6('xe')} AS section_entropy_max, {r6('se')} AS section_entropy_std
 FROM o
-""".replace("t AS (SELECT CAST(raw AS VARCHAR) AS r, count(*) AS c FROM s0 GROUP BY 1),\nidata AS (SELECT 1),\n", "")
-
-
-#: The entropies that depend on the bytes of the tables too have no closed form; section_entropy_max has where it is a full cycle.
-_CHECKED = [c for c in _SECTION_COLS if c not in ("section_entropy_avg", "section_entropy_min", "section_entropy_std", "section_entropy_max")]
+"""
 
 
 def _sections(spark, sf_dir, native):
-    f = _features(spark, sf_dir, native=native).where("is_pe")
-    high = F.when(F.col("section_entropy_max") > C.ENTROPY_HIGH_THRESHOLD, F.col("section_entropy_max"))
-    return round6(f.select("k", *_CHECKED, F.coalesce(high, F.lit(0.0)).alias("section_entropy_max")), [*_CHECKED, "section_entropy_max"])
+    f = _features(spark, sf_dir, native).where("is_pe")
+    return round6(f.select("k", *_SECTION_COLS), _SECTION_COLS)
 
 
 @register("pe_sections", operators=("A16", "A17", "A18", "A19", "A20", "A21", "J6"), sql=_section_sql(False))
@@ -325,7 +327,7 @@ def q_pe_hash_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {_FILES}
 SELECT CASE WHEN NOT pe AND p_partkey_empty THEN 'failed' WHEN pe THEN 'success' ELSE 'skipped' END AS status, 0 AS stats_missing, 0 AS attributes_missing,
        (NOT pe)::INT AS header_missing, (NOT pe)::INT AS sections_missing, (NOT pe OR k % 4 = 0)::INT AS imports_missing, (NOT pe)::INT AS exports_missing,
-       count(*)::BIGINT AS files, 0::BIGINT AS errors
+       count(*)::BIGINT AS files, count_if(pe AND {_ERROR} IS NOT NULL)::BIGINT AS errors
 FROM (SELECT *, coalesce(length(p_name), 0) = 0 AS p_partkey_empty FROM f) GROUP BY ALL
 """)
 def q_featurise_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -336,26 +338,29 @@ def q_featurise_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
              .groupBy("status", *flags).agg(F.count(F.lit(1)).alias("files"), F.sum("bad").cast("bigint").alias("errors")))
 
 
+#: A long overlay makes four of the five blocks of its file full cycles, or nearly; no other file comes near the threshold.
 @register("gating_summary", operators=("A36", "F12", "F13"), sql=f"""
 WITH {_FILES},
 g AS (SELECT k, count(*)::DOUBLE AS n, count_if(cycle AND NOT far AND {_CYCLE_E.format(n='raw', r='raw % 256')} > 0.8) AS high,
-             max((name = 'UPX0')::INT)::DOUBLE AS pk, max(far::INT) AS far FROM s0 GROUP BY k),
-v AS (SELECT k, (high / (n + 1) > 0.3)::INT + (far = 0 AND k % 5 = 1)::INT + (pk / (n + 1) > 0.1)::INT + (pk > 0)::INT AS votes,
-             (high / (n + 1) > 0.4 OR pk > 0)::INT AS routing_label FROM g),
-a AS (SELECT f.k, coalesce((votes >= 2)::INT, 0) AS packed, coalesce(routing_label, 0) AS routing_label FROM f LEFT JOIN v USING (k))
-SELECT k, CASE WHEN packed = 1 THEN 'packed' ELSE 'normal' END AS decision, routing_label, (SELECT count(*) FROM a)::BIGINT AS total,
-       (SELECT sum(packed) FROM a)::BIGINT AS packed, (SELECT sum(1 - packed) FROM a)::BIGINT AS normal
+             max((name = 'UPX0')::INT)::DOUBLE AS pk, max(far::INT) AS far, any_value(overlay) AS overlay FROM s0 GROUP BY k),
+v AS (SELECT f.k, coalesce(pe AND long, false) AS entropy, coalesce(high / (g.n + 1) >= 0.3, false) AS packed_sections, coalesce(far = 0 AND overlay > 0, false) AS overlay,
+             coalesce(pk / (g.n + 1) >= 0.1, false) AS keywords, coalesce(pk > 0, false) AS packer_section,
+             coalesce((high / (g.n + 1) > 0.4 OR pk > 0)::INT, 0) AS routing_label FROM f LEFT JOIN g USING (k)),
+a AS (SELECT *, (entropy::INT + packed_sections::INT + overlay::INT + keywords::INT + packer_section::INT >= 2)::INT AS packed FROM v)
+SELECT k, CASE WHEN packed = 1 THEN 'packed' ELSE 'normal' END AS decision, entropy, packed_sections, overlay, keywords, packer_section, routing_label,
+       (SELECT count(*) FROM a)::BIGINT AS total, (SELECT sum(packed) FROM a)::BIGINT AS packed, (SELECT sum(1 - packed) FROM a)::BIGINT AS normal
 FROM a
 """)
 def q_gating_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five-signal vote (two or more: packed) and training rule of every file, with the totals."""
-    from hexlens.functions.routing import gate_vote, routing_label
+    """Signals, five-signal vote (two or more: packed) and training rule of every file, with the totals."""
+    from hexlens.functions.routing import gate_signals, gate_vote, routing_label
     zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
     f = _features(spark, sf_dir)
-    flags = [zero(f"has_{w}_section") for w in ("upx", "mpress", "aspack", "themida")]
-    v = f.select("k", gate_vote(F.lit(0.0) * zero("high_entropy_ratio"), zero("packed_sections_ratio"), zero("overlay_high_entropy_flag"),
-                                zero("packer_keyword_hits_ratio"), flags).alias("vote"),
+    given = [*map(zero, ("high_entropy_ratio", "packed_sections_ratio", "overlay_high_entropy_flag", "packer_keyword_hits_ratio")),
+             [zero(f"has_{w}_section") for w in ("upx", "mpress", "aspack", "themida")]]
+    signals = gate_signals(*given)
+    v = f.select("k", gate_vote(*given).alias("vote"), *[c.alias(name) for name, c in signals.items()],
                  routing_label(zero("packed_sections_ratio"), zero("packer_keyword_hits_count")).alias("routing_label"))
     total = v.agg(F.count(F.lit(1)).alias("total"), F.sum("vote").cast("bigint").alias("packed"), F.sum(1 - F.col("vote")).cast("bigint").alias("normal"))
     return v.crossJoin(F.broadcast(total)).select(  # one row of totals
-        "k", F.when(F.col("vote") == 1, "packed").otherwise("normal").alias("decision"), "routing_label", "total", "packed", "normal")
+        "k", F.when(F.col("vote") == 1, "packed").otherwise("normal").alias("decision"), *signals, "routing_label", "total", "packed", "normal")

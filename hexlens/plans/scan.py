@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from hexlens.catalog import register
 from hexlens.operators import families as FM
 from hexlens.operators.scan import scan_corpus, scan_summary, virus_family
-from hexlens.plans.pe_corpus import _FILES, pe_files
+from hexlens.plans.pe_corpus import _ERROR, _FILES, pe_files
 from hexlens.plans.sqlparts import FILES_CTE
 from hexlens.session import materialize_once, scratch_table_path
 from hexlens.sources import files as SF
@@ -97,7 +97,7 @@ def q_scan_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("scan_native", operators=("C2", "F12", "M8", "F9"), sql=f"""
 WITH {_FILES},
 u AS (SELECT k, max((name = 'UPX0')::INT) AS route FROM s0 GROUP BY k)
-SELECT f.k, coalesce(u.route, 0)::INTEGER AS route, true AS score_known, NULL::VARCHAR AS error FROM f LEFT JOIN u USING (k)
+SELECT f.k, coalesce(u.route, 0)::INTEGER AS route, true AS score_known, CASE WHEN pe THEN {_ERROR.replace('k %', 'f.k %')} END AS error FROM f LEFT JOIN u USING (k)
 """)
 def q_scan_native(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every file (no PE check, no cache), the native rule; a packed file is scored by the packed expert."""
