@@ -13,18 +13,21 @@ with the old one over the length of the longest token.
 from __future__ import annotations
 
 import base64
+import re
 from bisect import bisect_right
 from functools import lru_cache
 from itertools import accumulate
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Fixed value: the split pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The same with classes filled in.  Only marks can begin as a contraction does, so letters may be tried first.
+FILLED = r" ?[{L}]+| ?[{N}]+|'(?:s|t|re|ve|m|ll|d)| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
 #: A match of the pattern depends on fewer characters than this beyond its end.
 AHEAD = 3
 #: Pieces of more bytes keep their table for later edits; shorter ones are encoded anew.
@@ -40,10 +43,12 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
-def ranges(chars: set[str]) -> str:
-    """A character class body for a set of characters."""
-    points, out = sorted(map(ord, chars)), []
+def ranges(points: list[int], limit: int) -> str:
+    """A character class body for ascending code points up to a limit."""
+    out: list[list[int]] = []
     for p in points:
+        if p > limit:
+            break
         if out and out[-1][1] == p - 1:
             out[-1][1] = p
         else:
@@ -52,36 +57,32 @@ def ranges(chars: set[str]) -> str:
 
 
 class Splitter:
-    """Pieces of a text as the library cuts them.
-
-    Letters and digits are those of the library's own Unicode tables, which it
-    is asked for once; where Python's are newer, their new characters go.
-    """
+    """Pieces of a text as the library cuts them, by its own Unicode tables, for which it is asked once."""
 
     def __init__(self):
-        self.plain, self._exact, self._newer = regex.compile(PATTERN), None, None
+        self._by_limit: dict[int, re.Pattern] = {}
+        self._classes: dict[str, list[int]] | None = None
+        self._astral = re.compile("[\U00010000-\U0010ffff]")
 
-    def _compare(self) -> None:
+    def _points(self) -> dict[str, list[int]]:
         import tiktoken
         every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
-        body, newer = PATTERN, set()
-        for name in (r"\p{L}", r"\p{N}"):
-            asked = tiktoken.Encoding("classes", pat_str=name, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
-            theirs, ours = set(bytes(asked.encode_ordinary(every)).decode()), set(regex.findall(name, every))
-            if theirs != ours:
-                newer |= theirs ^ ours
-                lost, more = ranges(ours - theirs), ranges(theirs - ours)
-                own = f"[{name}--[{lost}]]" if lost else name
-                body = body.replace(name, f"[{own}||[{more}]]" if more else own)
-        self._newer = regex.compile(f"[{ranges(newer)}]") if newer else None
-        self._exact = regex.compile(body, regex.V1)
-
-    def matcher(self, text: str):
-        if text.isascii():
-            return self.plain
-        if self._exact is None:
-            self._compare()
-        return self._exact if self._newer and self._newer.search(text) else self.plain
+        bytewise, out = {bytes([b]): b for b in range(256)}, {}
+        for key, name in (("L", r"\p{L}"), ("N", r"\p{N}"), ("S", r"\s")):
+            asked = tiktoken.Encoding("classes", pat_str=name, mergeable_ranks=bytewise, special_tokens={})
+            out[key] = sorted(set(map(ord, bytes(asked.encode_ordinary(every)).decode())))
+        return out
+
+    def matcher(self, text: str) -> re.Pattern:
+        """The pattern for a text; classes reach no farther than its characters, which makes them faster."""
+        limit = 0x7F if text.isascii() else 0x10FFFF if self._astral.search(text) else 0xFFFF
+        if limit not in self._by_limit:
+            self._classes = self._classes or self._points()
+            body = FILLED
+            for key, points in self._classes.items():
+                body = body.replace("{" + key + "}", ranges(points, limit))
+            self._by_limit[limit] = re.compile(body)
+        return self._by_limit[limit]
 
 
 class Vocabulary:
@@ -94,9 +95,11 @@ class Vocabulary:
         if len(self.tokens) != len(self.ranks) or any(bytes([b]) not in self.ranks for b in range(256)):
             raise ValueError("a byte-level vocabulary has every byte, and one rank a token")
         self.longest = max(map(len, self.ranks))
-        self.matches = ahocorasick.Automaton()  # all tokens in a piece, by their ends
+        self.single = [self.ranks[bytes([b])] for b in range(256)]
+        self.matches = ahocorasick.Automaton()  # all longer tokens in a piece, by their ends
         for t, r in self.ranks.items():
-            self.matches.add_word(t.decode("latin-1"), (len(t), r))
+            if len(t) > 1:
+                self.matches.add_word(t.decode("latin-1"), (len(t), r))
         self.matches.make_automaton()
         self.split = Splitter()
         self._parts: dict[int, tuple[int, int]] = {}
@@ -157,8 +160,9 @@ class Vocabulary:
             self.known[piece] = found
         return found
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
+    def encode(self, text: str, out: list[int] | None = None) -> list[int]:
+        """The ids of a text, added to ``out`` if given."""
+        out = [] if out is None else out
         slow, more = self.piece, out.extend
         for p in self.split.matcher(text).findall(text):
             more(self.known.get(p) or slow(p))
@@ -175,49 +179,47 @@ class Prefixes:
         self.vocabulary, self.raw, self.last = vocabulary, b"", [-1]
         self.append(raw)
 
-    def _fill(self, start: int, old=None, shift: int = 0, agree_from: int = 0) -> None:
-        """Set the last tokens of all prefixes longer than ``start``.
-
-        With an ``old`` table, stop as soon as the last ``longest`` entries, all from
-        ``agree_from`` on, are the old ones ``shift`` places on: the rest are as well.
-        """
+    def _fill(self, start: int, stop: int) -> None:
+        """Set the last tokens of the prefixes longer than ``start``, up to ``stop`` bytes."""
         last, v = self.last, self.vocabulary
-        known, beside, longest, n = v.pairs.get, v.beside, v.longest, len(self.raw)
-        del last[start + 1 :]
-        last += [None] * (n - start)
-        same, done = 0, start
-        first = max(0, start - longest + 1)  # no token that starts before this ends after start
-        for at, (size, t) in v.matches.iter(self.raw[first:].decode("latin-1")):
+        known, beside, single = v.pairs.get, v.beside, v.single
+        last += [single[c] for c in self.raw[start:stop]]  # right unless a longer token may be last
+        first = max(0, start - v.longest + 1)  # no token that starts before this ends after start
+        found = start
+        for at, (size, t) in v.matches.iter(self.raw[first:stop].decode("latin-1")):
             end = first + at + 1
-            if last[end] is not None:
+            if end <= found:
                 continue
-            if old is not None and end - 1 > done:  # the entry before this end is final
-                done = end - 1
-                if done >= agree_from:
-                    same = same + 1 if last[done] == old[done - shift] else 0
-                    if same > longest:
-                        last[end:] = old[end - shift :]
-                        return
             before = last[end - size]
-            if before < 0:
-                last[end] = t
-            else:
+            if before >= 0:
                 ok = known(before << 32 | t)
-                if ok or (ok is None and beside(before, t)):
-                    last[end] = t
+                if not (beside(before, t) if ok is None else ok):
+                    continue
+            last[end] = t
+            found = end
 
     def append(self, more: bytes) -> None:
         start = len(self.raw)
         self.raw += more
-        self._fill(start)
+        self._fill(start, len(self.raw))
 
     def edit(self, at: int, removed: int, inserted: bytes) -> None:
-        """Replace ``removed`` bytes from ``at``; entries up to the edit stay."""
+        """Replace ``removed`` bytes from ``at``.
+
+        Entries up to the edit stay.  Those after it are set anew until the last
+        ``longest`` ones, all behind the edit, are the old ones: so is the rest.
+        """
         at = min(max(at, 0), len(self.raw))
         removed = min(max(removed, 0), len(self.raw) - at)
         old, self.last = self.last, self.last[: at + 1]
         self.raw = self.raw[:at] + inserted + self.raw[at + removed :]
-        self._fill(at, old, len(inserted) - removed, at + len(inserted))
+        shift, longest, behind, end = len(inserted) - removed, self.vocabulary.longest, at + len(inserted), at
+        while end < len(self.raw):
+            begin, end = end, min(end + 2 * longest, len(self.raw))
+            self._fill(begin, end)
+            if end - longest >= behind and self.last[end - longest :] == old[end - longest - shift : end + 1 - shift]:
+                self.last += old[end + 1 - shift :]
+                return
 
     def ids(self, end: int | None = None) -> list[int]:
         """The encoding of the first ``end`` bytes (default: all)."""
@@ -322,7 +324,10 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     def run(batches):
         v = vocabulary(path)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([v.encode(t) for t in texts(b.column(1))], pa.list_(pa.int32()))], ["doc_id", "ids"])
+            flat: list[int] = []
+            ends = [len(v.encode(t, flat)) for t in texts(b.column(1))]
+            ids = pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), pa.array(np.array(flat, np.int32)))
+            yield pa.RecordBatch.from_arrays([b.column(0), ids], ["doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, ENCODED)
 
@@ -334,7 +339,9 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches):
         v = vocabulary(path)
         for b in batches:
-            got = [v.decode(ids) if ids else b"" for ids in b.column(1).to_pylist()]
+            lists = b.column(1).fill_null([]) if b.column(1).null_count else b.column(1)
+            flat, ends = lists.flatten().to_numpy(zero_copy_only=False).tolist(), lists.value_lengths().to_numpy(zero_copy_only=False).cumsum().tolist()
+            got = [v.decode(flat[a:z]) for a, z in zip([0, *ends[:-1]], ends, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.binary())], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, ENCODED + ", decoded binary")
