@@ -2,11 +2,15 @@
 
 path guard -> content hash -> cache lookup on keys -> (misses only) PE check,
 features, route, expert, verdict, nearest family of the malicious -> one row
-a file.  The same function serves the batch query and the stream.
+a file.  The lookup joins keys; contents stay where they are read, and the misses
+are told by an exact filter (``keyfilter``).  The same function serves the batch
+query and the stream.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +20,7 @@ from hexlens.operators import families as FM
 from hexlens.operators import training as TR
 from hexlens.operators.featurise import featurise
 from hexlens.operators.joins import cache_lookup
+from hexlens.operators.keyfilter import members
 from hexlens.plans import dims as D
 from hexlens.session import materialize
 from hexlens.sources.files import base_name, path_guard
@@ -63,10 +68,13 @@ def scan_corpus(files: DataFrame, experts: dict, family_model: DataFrame | None
         known = materialize(cache_lookup(f.select("path", "length", "sha256"), keys), "scan-lookup")  # no content is moved
         hits = known.where("cache_hit").select("path", "length", "sha256", F.lit(True).alias("cache_hit"), F.lit(None).cast("int").alias("route"),
                                                F.col("_score").alias("score"), F.col("_family").alias("malware_family"), F.lit(None).cast("string").alias("error"))
-        f = f.join(keys.select("sha256").distinct(), "sha256", "left_anti")
-    feats = featurise(f.select("path", "length", "content"), "path", native=native)
+        contents = materialize(known.groupBy("sha256").agg((~F.any_value("cache_hit")).alias("miss")), "scan-contents")
+        parts = [f.where(missing(F.col("sha256"))) for missing in members(contents, "sha256", "miss")] or [f.where(F.lit(False))]
+    else:
+        parts = [f]
+    feats = [featurise(p.select("path", "length", "content"), "path", native=native).select("path", "length", "sha256", "is_pe", "features", "error") for p in parts]
     # written once: the filters below must not reach into the parser, and three branches read it
-    feats = materialize(feats.select("path", "length", "sha256", "is_pe", "features", "error"), "scan-features")
+    feats = materialize(reduce(DataFrame.unionByName, feats), "scan-features")
     if require_pe:
         feats = feats.where("is_pe")
     x = TR.assemble(feats, "features", "vec").withColumn("route", route_from_vector("features", rule))

@@ -220,7 +220,7 @@ def q_cache_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     for b in (0, 1):
         SK.append_cache(spark, d.where(F.col("batch") == b), at)
     copies = d.groupBy("sha256").agg(F.count(F.lit(1)).alias("copies"))
-    return spark.read.parquet(at).join(copies, "sha256").select("sha256", F.col("batch").alias("first_batch"), "copies")
+    return SK.read_cache(spark, at).join(copies, "sha256").select("sha256", F.col("batch").alias("first_batch"), "copies")
 
 
 @register("family_store", operators=("S12", "S15", "A24", "J8"), sql="""

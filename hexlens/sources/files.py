@@ -7,6 +7,8 @@ length, content``.  Length and time filters are pushed into the listing and
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,6 +37,12 @@ def read_files(spark: SparkSession, root: str, recursive: bool = False, glob: st
     return df
 
 
+def read_paths(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The files of a bounded list of paths, as the source named them."""
+    plain = [re.sub(r"([\\*?\[\]{}])", r"\\\1", p) for p in paths]
+    return spark.read.format("binaryFile").load(plain)
+
+
 def stream_files(spark: SparkSession, root: str, max_files_per_trigger: int | None = None,
                  glob: str | None = None, max_file_age: str = "36500d") -> DataFrame:
     """T1/T2 source: newly arrived files (in subfolders too), at most N per micro-batch.

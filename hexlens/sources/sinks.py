@@ -7,7 +7,7 @@ storage on a cluster, e.g. under ``spark.checkpoint.dir``).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hexlens.session import materialize, table_exists
@@ -75,18 +75,37 @@ def write_cluster_outputs(assign: DataFrame, families: DataFrame, path: str) ->
     families.select("cluster_id", "family_name").write.mode("overwrite").json(f"{path}/family_names")
 
 
+#: Hex digits of the key that name the folder of a cached verdict.
+CACHE_DIGITS = 2
+
+
+def _cache_folder(key: str) -> Column:
+    return F.concat(F.lit("k"), F.substring(key, 1, CACHE_DIGITS)).alias("prefix")  # never read as a number
+
+
+def read_cache(spark: SparkSession, path: str, keys: DataFrame | None = None, key: str = "sha256") -> DataFrame:
+    """Cached verdicts; given keys, only the folders that may hold them are read (16 ** CACHE_DIGITS at most)."""
+    t = spark.read.parquet(path)
+    if keys is not None and "prefix" in t.columns:
+        t = t.where(F.col("prefix").isin([r[0] for r in keys.select(_cache_folder(key)).distinct().collect()]))
+    return t.drop("prefix")
+
+
 def append_cache(spark: SparkSession, verdicts: DataFrame, path: str, key: str = "sha256") -> int:
     """Append only verdicts whose key is not yet in the cache table; returns rows added.
 
-    A table that can't be read is an error, not a first write.
+    The table is kept by the first digits of the key, so that a batch reads the
+    folders of its own keys.  A table that can't be read is an error, not a
+    first write.
     """
     new = verdicts.dropDuplicates([key])
     if table_exists(spark, path):
-        new = new.join(spark.read.parquet(path).select(key), key, "left_anti")
+        new = materialize(new, "cache-candidates")
+        new = new.join(read_cache(spark, path, new, key).select(key), key, "left_anti")
     new = materialize(new, "cache-append")  # what is counted is what is written
     n = new.count()
     if n:
-        new.write.mode("append").parquet(path)
+        new.withColumn("prefix", _cache_folder(key)).write.mode("append").partitionBy("prefix").parquet(path)
     return n
 
 

@@ -1,22 +1,51 @@
 """Score newly arrived files once per content (T1-T3) with Structured Streaming.
 
-``binaryFile`` stream (explicit schema, at most N files per trigger) ->
-``foreachBatch``: one file of each new content -> the batch scan with the
-verdict table as its cache.  Nothing is dropped by file time: what has been
-seen is the verdict table itself, so a file with an old time is scanned like
-any other.  A batch writes the partition of its epoch, so a replayed batch
-replaces its own rows.
+``binaryFile`` stream (explicit schema, at most N files per trigger) -> content
+hash -> keyed state -> ``foreachBatch``: the batch scan of the contents that the
+state had not seen.  The state (sha256 -> first path and number of copies) lies
+in RocksDB beside the checkpoint: a batch looks up its own keys and reads no
+table, so its plan and its time don't depend on how much has been scanned.  It
+survives a restart, and a batch that is replayed starts from the state before it
+and replaces the partition of its epoch.
+
+Only keys pass the state's shuffle.  The new contents are then read by their
+paths, of which a batch has as many as the trigger allows.  Nothing is dropped
+by file time: a file with an old time is scanned like any other.  A file that
+is changed between the two reads is scanned as it is then.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from hexlens import config as C
 from hexlens.operators.scan import scan_corpus
 from hexlens.session import materialize, table_exists
-from hexlens.sources.files import stream_files
+from hexlens.sources.files import read_paths, stream_files
+
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+SEEN = "path string, copies long"
+
+
+def first_of_content(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """A row for a content that the state doesn't know: its smallest path in this batch."""
+    paths = pd.concat(b["path"] for b in batches)
+    path, copies = state.get if state.exists else (None, 0)
+    state.update((path or paths.min(), copies + len(paths)))
+    if path is None:
+        yield pd.DataFrame({"sha256": [key[0]], "path": [paths.min()]})
+
+
+def new_contents(files: DataFrame) -> DataFrame:
+    """sha256 and path of every content that the stream sees for the first time."""
+    keys = files.select(F.sha2("content", 256).alias("sha256"), "path")
+    return keys.groupBy("sha256").applyInPandasWithState(first_of_content, "sha256 string, path string", SEEN, "append", GroupStateTimeout.NoTimeout)
 
 
 def verdicts(spark: SparkSession, table_dir: str, before: int | None = None) -> DataFrame | None:
@@ -33,15 +62,20 @@ def run_scan_stream(spark: SparkSession, root: str, table_dir: str, checkpoint_d
     files = stream_files(spark, root, max_files_per_trigger, glob)
 
     def batch(df: DataFrame, epoch: int) -> None:
-        f = df.select("path", "length", "content", F.sha2("content", 256).alias("sha256"))
-        known = verdicts(spark, table_dir, epoch)
-        if known is not None:
-            f = f.join(known.select("sha256").distinct(), "sha256", "left_anti")  # T3: a known content is never rescored
-        keep = materialize(f.groupBy("sha256").agg(F.min("path").alias("path")).select("path"), "stream-new")  # keys only
-        if keep.isEmpty():
-            return
-        out = scan_corpus(f.join(keep, "path", "left_semi").select("path", "length", "content"), experts, **scan)
-        out.write.mode("overwrite").parquet(f"{table_dir}/epoch={epoch}")
-
-    q = (files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start())
+        new = materialize(df, "stream-new")  # the state is asked once
+        paths = [r.path for r in new.select("path").collect()]  # max_files_per_trigger at most
+        if paths:
+            out = scan_corpus(read_paths(df.sparkSession, paths).select("path", "length", "content"), experts, **scan)
+            out.write.mode("overwrite").parquet(f"{table_dir}/epoch={epoch}")
+
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, ROCKSDB)
+    try:
+        q = (new_contents(files).writeStream.foreachBatch(batch).outputMode("append").option("checkpointLocation", checkpoint_dir)
+             .trigger(availableNow=True).start())
+    finally:
+        if before is None:
+            spark.conf.unset(STORE)
+        else:
+            spark.conf.set(STORE, before)
     q.awaitTermination()
