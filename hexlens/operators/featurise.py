@@ -58,7 +58,7 @@ def named_value_sql(name: str, present: bool, profile: str) -> str:
     return f"(coalesce({v}, 0.0D) * {C.NAMED_SLOT_SCALE}D)"
 
 
-def _with_l2_normalised(df: DataFrame, src: str, out: str, norm_out: str | None = None) -> DataFrame:
+def _with_l2_normalised(df: Projections, src: str, out: str, norm_out: str | None = None) -> Projections:
     """F3 as two projections: the norm is a column, so the division does not
     re-evaluate the sum for every element."""
     nc = norm_out or f"_{out}_norm"
@@ -83,6 +83,57 @@ def hash_vector_raw(slots: Column) -> Column:
                        lambda i: F.when(F.array_contains(slots, i), F.lit(1.0)).otherwise(F.lit(0.0)))
 
 
+class Projections:
+    """A frame that remembers the projections made on it, to make them again on another frame.
+
+    The columns are unresolved expressions over names.  Their construction, some
+    thirty thousand calls into the JVM, takes far longer than their analysis, and
+    every micro-batch of a stream would repeat it.
+    """
+
+    _made: dict[tuple, list[tuple[str, tuple]]] = {}
+
+    def __init__(self, df: DataFrame):
+        self.df, self.steps = df, []
+
+    def _do(self, method: str, *args) -> Projections:
+        self.df = getattr(self.df, method)(*args)
+        self.steps.append((method, args))
+        return self
+
+    def withColumn(self, name: str, column: Column) -> Projections:  # noqa: N802
+        return self._do("withColumns", {name: column})
+
+    def withColumns(self, columns: dict[str, Column]) -> Projections:  # noqa: N802
+        return self._do("withColumns", columns)
+
+    def select(self, *columns) -> Projections:
+        return self._do("select", *columns)
+
+    def drop(self, *columns: str) -> Projections:
+        return self._do("drop", *columns)
+
+    @property
+    def columns(self) -> list[str]:
+        return self.df.columns
+
+    @property
+    def schema(self):
+        return self.df.schema
+
+    @classmethod
+    def apply(cls, df: DataFrame, key: tuple, make) -> DataFrame:
+        """``make`` on the frame: in full for the first frame of this application and key, from memory for others."""
+        key = (df.sparkSession.sparkContext.applicationId, *key)
+        if key not in cls._made:
+            made = make(cls(df))
+            cls._made[key] = made.steps
+            return made.df
+        for method, args in cls._made[key]:
+            df = getattr(df, method)(*args)
+        return df
+
+
 def featurise(files: DataFrame, key: str = "path", max_file_size: int | None = None, sample_size: int | None = None,
               profile: str = "default", native: bool = False) -> DataFrame:
     """``files(key, length, content)`` -> key, sha256, is_pe, orig_length, stats, pe_vector, features, named slots.
@@ -94,6 +145,10 @@ def featurise(files: DataFrame, key: str = "path", max_file_size: int | None = N
     says what was malformed in a PE file.
     """
     f = files.select(key, F.col("length").cast("bigint").alias("length"), "content")
+    return Projections.apply(f, (key, max_file_size, sample_size, profile, native), lambda p: _project(p, key, max_file_size, sample_size, profile, native))
+
+
+def _project(f: Projections, key: str, max_file_size: int | None, sample_size: int | None, profile: str, native: bool) -> Projections:
     f = with_pe_headers(f.withColumn("sha256", F.sha2("content", 256)))
     f = f.withColumn("is_pe", F.col("h").isNotNull())
     h, content = F.col("h"), F.col("content")
