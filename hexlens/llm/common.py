@@ -51,6 +51,20 @@ def release(spark: SparkSession, *paths: str) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with as many underscores behind it as tell it from the names taken."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
+def rows_in_arrow(docs: DataFrame, run) -> DataFrame:
+    """``docs.mapInArrow`` with all columns in and out by their places, whatever their names are."""
+    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
 def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
     """Bytes of all texts (one narrow aggregate)."""
     return docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hexlens.llm import hashing
-from hexlens.llm.common import passes, string_buffer
+from hexlens.llm.common import passes, rows_in_arrow, string_buffer
 
 #: Words between passages; a passage has twice as many, so that an entry lies whole in one.
 STRIDE = 64
@@ -297,7 +297,10 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overl
 
 def drop_leaking(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP,
                  index_bytes: int = INDEX_BYTES, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that leak no test item; one narrow pass for each index."""
+    """The rows of ``docs``, all columns, that leak no test item; one narrow pass for each index.
+
+    Null and empty texts and null ids leak nothing by themselves; repeated rows are judged one by one.
+    """
     at = docs.columns.index(text_col)
     for index in build_indexes(items, threshold, index_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(index)
@@ -307,5 +310,5 @@ def drop_leaking(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
                 bad = {x[0] for x in batch_leaks(shared.value, b.column(at), overlap)}
                 yield b.filter(pa.array([r not in bad for r in range(b.num_rows)], pa.bool_()))
 
-        docs = docs.mapInArrow(clean, docs.schema)
+        docs = rows_in_arrow(docs, clean)
     return docs

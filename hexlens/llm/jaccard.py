@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hexlens.llm import hashing
-from hexlens.llm.common import passes, release, string_buffer, write_step
+from hexlens.llm.common import free_name, passes, release, string_buffer, write_step
 
 WORDS, BANDS, ROWS = 5, 18, 5
 #: Nodes of a block of a crowded bucket on average; nodes, or bytes of n-grams, that one task call takes on average.
@@ -29,7 +29,6 @@ BLOCK, BIN_NODES, BIN_BYTES = 256, 20_000, 6 << 20
 #: Most candidate nodes whose ids are broadcast to the scan of the texts (16 bytes each); more are joined by a shuffle.
 BROADCAST_NODES = 500_000
 U = np.uint64
-ROW = "jc_row"
 NODES = "doc_id long, node long, n_grams long, bands array<long>"
 
 
@@ -275,11 +274,11 @@ def first_of_class(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, without near copies: one row of each class stays.
 
     It is the one with the smallest doc_id (null ids last, repeated ids in the
-    order read); rows without links all stay.
+    order read); rows without links, such as those of null and empty texts, all
+    stay.  Columns may have any names; an empty table stays empty.
     """
-    if ROW in docs.columns:
-        raise ValueError(f"column {ROW} is taken")
     spark = docs.sparkSession
+    ROW = free_name("jc_row", docs.columns)  # noqa: N806
     rows, _ = write_step(docs.withColumn(ROW, F.monotonically_increasing_id()), "jaccard-rows")  # numbers that stay as written
     linked = join(rows, id_col=ROW).filter("n_links > 0").select(F.col("doc_id").alias(ROW), "class_id").join(rows.select(ROW, "doc_id"), ROW)
     linked, at = write_step(linked, "jaccard-linked")
@@ -287,4 +286,4 @@ def first_of_class(docs: DataFrame) -> DataFrame:
     others, _ = write_step(linked.select(ROW).join(first, ROW, "left_anti"), "jaccard-others")
     release(spark, at)
     others = F.broadcast(others) if others.count() <= BROADCAST_NODES else others
-    return rows.join(others, ROW, "left_anti").select(*docs.columns)
+    return rows.join(others, ROW, "left_anti").drop(ROW).toDF(*docs.columns)

@@ -21,6 +21,8 @@ from hexlens.llm.learning import fit_temperature, softmax
 
 #: Longest n-gram, slots that n-grams are hashed to, most labelled rows of a language that the fit takes.
 LONGEST, BITS, SAMPLE = 3, 15, 1000
+#: Most frequent languages that are told apart, at most: each has 2**BITS weights.
+LANGUAGES = 500
 #: Characters of one numpy pass.
 PASS_CHARS = 1 << 19
 #: Scale of the features, for the learning rate.
@@ -129,21 +131,26 @@ class Model:
         return top / np.maximum(norm, 1e-9)[:, None]
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, epochs: int = 4) -> Model | None:
-    """Fit on the rows given (training rows only: doc_id, text, lang); None if no row has a language."""
+def train(docs: DataFrame, sample: int = SAMPLE, epochs: int = 4, languages: int = LANGUAGES) -> Model | None:
+    """Fit on the rows given (training rows only: doc_id, text, lang); None if no row has a language.
+
+    The classes are the ``languages`` most frequent values of lang; equal texts
+    of one id and language are one row of the sample.
+    """
     docs = docs.select("doc_id", "text", "lang").filter("lang is not null and text is not null")
     count, df = document_frequencies(docs)
     if not count:
         return None
     idf = np.log((1 + count) / (1 + df)) + 1
     # the first rows of each language by a hash: a threshold leaves about three times as many as are ranked
-    place = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 32)) / F.lit(float(1 << 32))
-    counts = docs.groupBy("lang").count()  # a row for each language, as the model has weights for each
-    near = docs.select("doc_id", "lang", place.alias("place")).join(F.broadcast(counts), "lang").filter(
-        F.col("place") < 3.0 * sample / F.col("count"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))
-    ids = near.withColumn("rank", rank).filter(F.col("rank") <= sample).select("doc_id", "lang")
-    rows = docs.join(F.broadcast(ids.dropDuplicates()), ["doc_id", "lang"])  # at most ``sample`` rows a language
+    place = F.pmod(F.xxhash64(F.lit(7), "doc_id", "text"), F.lit(1 << 32)) / F.lit(float(1 << 32))
+    counts = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
+    same = F.xxhash64("text").alias("same")
+    near = docs.select("doc_id", "lang", same, place.alias("place")).join(F.broadcast(counts), "lang").filter(
+        F.col("place") < 3.0 * sample / F.col("count")).dropDuplicates(["doc_id", "lang", "same"])  # an id may be on any number of rows
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id", "same"))
+    ids = near.withColumn("rank", rank).filter(F.col("rank") <= sample).select("doc_id", "lang", "same")
+    rows = docs.withColumn("same", same).join(F.broadcast(ids), ["doc_id", "lang", "same"])  # repeats of ``sample`` rows a language
 
     def features(batches):
         for b in batches:
@@ -154,11 +161,12 @@ def train(docs: DataFrame, sample: int = SAMPLE, epochs: int = 4) -> Model | Non
                     s, n = np.unique(row_slots(slots, off, r), return_counts=True)
                     out_s.append(s)
                     out_n.append(n.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out_s, pa.list_(pa.int32())), pa.array(out_n, pa.list_(pa.int32()))],
-                                             ["doc_id", "lang", "slots", "n"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out_s, pa.list_(pa.int32())), pa.array(out_n, pa.list_(pa.int32())), b.column(3)],
+                                             ["doc_id", "lang", "slots", "n", "same"])
 
-    got = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").mapInArrow(
-        features, "doc_id long, lang string, slots array<int>, n array<int>").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
+    got = (rows.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text", "same")
+           .mapInArrow(features, "doc_id long, lang string, slots array<int>, n array<int>, same long").dropDuplicates(["doc_id", "lang", "same"])
+           .toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("same", "ascending")]))
     langs = sorted(set(got["lang"].to_pylist()))
     y = np.array([langs.index(v) for v in got["lang"].to_pylist()])
     x = []

@@ -109,8 +109,8 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, size: int = 1024, e
     path = tokenizer_path or tokenizer.default_path()
     shards = max(1, -(-docs.count() // SHARD_DOCS))
     pieces = cut_documents(docs, path, size, end_id, id_col, text_col)
-    # pieces of one document may go to different shards, so a very long one is spread
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(shards)))
+    # pieces of one document may go to different shards, so a very long one is spread, and so are rows that are all alike
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(shards)))
 
     def fill(t: pa.Table) -> pa.Table:
         t = t.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])

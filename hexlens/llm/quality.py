@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hexlens.llm import hashing
-from hexlens.llm.common import crc_mod, passes, string_buffer
+from hexlens.llm.common import crc_mod, passes, rows_in_arrow, string_buffer
 from hexlens.llm.learning import fit_temperature, sample_ids, sigmoid
 
 #: Slots that tokens are hashed to, length of their vectors, tokens of context on either side.
@@ -136,7 +136,7 @@ class Network:
 
 
 def train(docs: DataFrame, labels: DataFrame, words: np.ndarray, sample: int = SAMPLE, label_col: str = "quality") -> Network | None:
-    """Fit on at most ``sample`` labelled rows (they should be training rows only); None without labels."""
+    """Fit on at most ``sample`` labelled rows, whatever ids they repeat (they should be training rows only); None without labels."""
     index = index_vectors()
     of = labels.filter(F.col(label_col).isNotNull()).groupBy("doc_id").agg(F.max(label_col).alias("y"))
     rows = docs.select("doc_id", "text").join(F.broadcast(sample_ids(of, "doc_id", sample)), "doc_id")  # at most ``sample`` rows
@@ -150,7 +150,9 @@ def train(docs: DataFrame, labels: DataFrame, words: np.ndarray, sample: int = S
                 part = b.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
-    got = rows.select("doc_id", F.col("y").cast("int").alias("y"), "text").mapInArrow(features, "doc_id long, y int, x array<double>").toArrow()
+    vectors = rows.select("doc_id", F.col("y").cast("int").alias("y"), "text").mapInArrow(features, "doc_id long, y int, x array<double>")
+    # an id may be on any number of rows: what reaches the driver is bounded by rows
+    got = vectors.orderBy(F.xxhash64("doc_id", "y"), "doc_id", "x").limit(sample).toArrow()
     if not got.num_rows:
         return None
     got = got.sort_by("doc_id")
@@ -179,7 +181,10 @@ def score(docs: DataFrame, words: np.ndarray, net: Network | None, cut: float =
 
 
 def keep(docs: DataFrame, words: np.ndarray, net: Network | None, cut: float = 0.7, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that score ``cut`` or more; without a network all of them."""
+    """The rows of ``docs``, all columns, that score ``cut`` or more; without a network all of them.
+
+    Null and empty texts are scored as zero vectors; repeated rows one by one.
+    """
     if net is None:
         return docs
     index, at = index_vectors(), docs.columns.index(text_col)
@@ -193,7 +198,7 @@ def keep(docs: DataFrame, words: np.ndarray, net: Network | None, cut: float = 0
                 ok[i:j] = net.probability(pooled(buf[off[i] : off[j]], off[i : j + 1] - off[i], shared.value, index)) >= cut
             yield b.filter(pa.array(ok))
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows_in_arrow(docs, run)
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held_fold: int = 2, sample: int = SAMPLE) -> tuple[np.ndarray, Network | None]:

@@ -231,7 +231,7 @@ def remove(docs: pa.Table, repeats: pa.Table) -> pa.Table:
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, text and the ``carry`` columns as they are, and ss_n_words, ss_n_removed, ss_kept, ss_removed.
+    """doc_id, text, ss_n_words, ss_n_removed, ss_kept, ss_removed, and ``carried``, a struct of the ``carry`` columns if any.
 
     Words are maximal runs of bytes other than space and 0x09-0x0D.  ss_kept:
     the words left, joined by a space; ss_removed: the maximal repeats as
@@ -242,7 +242,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry
     columns named are read; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *carry)
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *([F.struct(*(F.col(f"`{c}`").alias(c) for c in carry)).alias("carried")] if carry else []))
     total, deal = text_bytes(base), int(spark.conf.get("spark.sql.shuffle.partitions"))
     groups, buckets = max(-(-total // GROUP_BYTES), deal), max(-(-total // BUCKET_BYTES), deal)
     block = (WINDOW + 1) // 2

@@ -119,8 +119,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     some_pos = sample_ids(of.filter("y = 1").select(F.col(id_col).alias("doc_id")), "doc_id", positives)
     some_unl = sample_ids(text.select("doc_id"), "doc_id", unlabelled, seed=8)
-    picked = some_pos.withColumn("kind", F.lit(1)).unionByName(some_unl.withColumn("kind", F.lit(0)))
-    rows = text.join(F.broadcast(picked), "doc_id").select("kind", "text")  # at most positives + unlabelled rows
+    picked = some_pos.withColumn("kind", F.lit(1)).unionByName(some_unl.dropDuplicates().withColumn("kind", F.lit(0)))
+    rows = text.join(F.broadcast(picked), "doc_id").select("kind", "text")  # at most positives + unlabelled ids
 
     def features(batches):
         for b in batches:
@@ -131,7 +131,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 out += np.split(s.astype(np.int32), np.searchsorted(r, np.arange(1, j - i)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int32()))], ["kind", "slots"])
 
-    got = rows.mapInArrow(features, "kind int, slots array<int>").toArrow()
+    found = rows.mapInArrow(features, "kind int, slots array<int>")
+    # an id may be on any number of rows: what reaches the driver is bounded by rows
+    part = lambda kind, n: found.filter(F.col("kind") == kind).orderBy(F.xxhash64("slots"), "slots").limit(n)
+    got = part(1, positives).unionByName(part(0, unlabelled)).toArrow()
     kind, slots = got["kind"].to_numpy(), [np.asarray(x.values, np.int64) for x in got["slots"]]
     order = sorted(range(len(slots)), key=lambda k: (kind[k], zlib.crc32(slots[k].tobytes()), slots[k].tobytes()))  # the same fit in any task order
     return fit([slots[k] for k in order if kind[k] == 1], [slots[k] for k in order if kind[k] == 0], n_pos / n)

@@ -7,7 +7,7 @@ from hexlens.llm.common import prepare
 
 from .test_jaccard import brute as brute_classes
 from .test_packing_tokens import check_packed
-from .test_search_urls_leaks import brute_leaks
+from .test_search_urls_leaks import brute_whole_leaks
 from .test_substring import brute as brute_repeats
 
 SF = "/root/testdata/sf0.001"
@@ -36,7 +36,7 @@ def test_registered(spark):
     import __spark_entry__ as entry
     names = list(entry.queries())
     assert set(queries.QUERIES) | {"pipeline"} <= set(names)
-    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 14))
 
 
 def test_stages_by_brute_force(spark, prose):
@@ -73,13 +73,12 @@ def test_stages_by_brute_force(spark, prose):
     assert free.columns == columns
     free = free.collect()
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    bad = {d for d, _ in brute_leaks([(r.doc_id, r.text) for r in clean], items)}
+    bad = {d for d, _ in brute_whole_leaks([(r.doc_id, r.text) for r in clean], items)}
     assert {r.doc_id for r in free} == {r.doc_id for r in clean} - bad
 
     import public_tokenizers
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     packed = stage["pack"](spark, spark.createDataFrame(free, docs.schema), SF).collect()
     check_packed(packed, {r.doc_id: r.text for r in free}, t)
 

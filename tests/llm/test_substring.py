@@ -72,7 +72,7 @@ def test_empty_table_and_carried_columns(spark, docs_of, prose):
     assert substring.dedup(docs_of([])).count() == 0
     d = docs_of([(1, prose(1, 40)), (1, prose(1, 40)), (None, prose(2, 40))]).selectExpr("*", "1 as home", "2 as bucket", "3 as payload")
     rows = substring.dedup(d, carry=("lang", "home", "bucket", "payload")).collect()
-    assert len(rows) == 3 and {(r.home, r.bucket, r.payload) for r in rows} == {(1, 2, 3)}
+    assert len(rows) == 3 and {(r.carried.home, r.carried.bucket, r.carried.payload) for r in rows} == {(1, 2, 3)}
     assert sorted((r.doc_id or 0, r.ss_n_removed) for r in rows) == [(0, 0), (1, 40), (1, 40)]
 
 
