@@ -144,4 +144,5 @@ WARMUP_ROUNDS = 200
 WARMUP_START_LR = 0.001
 WARMUP_TARGET_LR = 0.07
 DEFAULT_INCREMENTAL_ROUNDS = 200
+DEFAULT_EARLY_STOPPING_ROUNDS = 200
 DEFAULT_MAX_FINETUNE_ITERATIONS = 15
