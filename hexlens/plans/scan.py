@@ -20,6 +20,7 @@ from hexlens.session import materialize_once, scratch_table_path
 from hexlens.sources import files as SF
 from hexlens.sources import sinks as SK
 from hexlens.sources.tables import documents_as_files, table
+from hexlens.streaming.requests import answer
 from hexlens.streaming.scan_stream import run_scan_stream, verdicts
 
 def normal() -> Column:
@@ -173,6 +174,24 @@ def q_stream_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts(spark, f"{run}/verdicts").select("sha256", "file_size", F.round("score", 9).alias("score"), "is_malware", "virus_family")
 
 
+@register("bounded_requests", operators=("T2", "T4"), sql=f"""
+WITH r AS (SELECT event_type || ' ' || strftime(ts, '%Y-%m-%d') AS id, 'user/' || user_id AS p FROM events),
+c AS (SELECT id, count(*) AS files, count_if(starts_with(p, 'user/1') OR starts_with(p, 'user/2')) AS inside,
+             count_if((starts_with(p, 'user/1') OR starts_with(p, 'user/2')) AND {_hash_score('sha256(p)')} > 0.5) AS bad FROM r GROUP BY id)
+SELECT 1 AS version, id, files <= 64 AS ok, files::BIGINT AS files, CASE WHEN files <= 64 THEN inside END::BIGINT AS scanned, CASE WHEN files <= 64 THEN bad END::BIGINT AS malware,
+       CASE WHEN files > 64 THEN 'batch_too_large' END AS code, CASE WHEN files > 64 THEN files || ' files, at most 64' END AS message
+FROM c
+""")
+def q_bounded_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of a type and day are one request; more than 64 files are refused whole, the others scanned (the stand-in knows users 1.. and 2..)."""
+    e = table(spark, sf_dir, "events").select(F.concat_ws(" ", "event_type", F.date_format("ts", "yyyy-MM-dd")).alias("id"), F.concat(F.lit("user/"), F.col("user_id").cast("string")).alias("file_path"))
+
+    def scan(paths: DataFrame) -> DataFrame:
+        known = paths.where(F.col("path").startswith("user/1") | F.col("path").startswith("user/2"))
+        return known.select(F.col("path").alias("file_path"), F.sha2("path", 256).alias("sha256")).select("file_path", (normal() > 0.5).alias("is_malware"))
+    return answer(e, scan, allowed_root="user").select("version", "id", "ok", "files", "scanned", "malware", F.col("error.code").alias("code"), F.col("error.message").alias("message"))
+
+
 # ---------------------------------------------------------------------------
 # sinks and stores, written and read back
 # ---------------------------------------------------------------------------

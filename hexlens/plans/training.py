@@ -16,8 +16,11 @@ from hexlens import config as C
 from hexlens.catalog import register
 from hexlens.operators import metrics as M
 from hexlens.operators import training as TR
+from hexlens.operators import trees as T
 from hexlens.operators.boosting import BoostedModel, boost, fp_mining, fp_reinforcement
+from hexlens.operators.chain import train_all, trained
 from hexlens.operators.featurise import featurise
+from hexlens.operators.scan import route_from_vector, scan_corpus
 from hexlens.plans import dims as D
 from hexlens.session import materialize, materialize_once, scratch_table_path
 from hexlens.sources.models import load_experts, save_experts
@@ -261,3 +264,133 @@ def q_incremental_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     (m1, e1), (m2, e2) = runs
     return spark.createDataFrame([(len(m1.stages), len(e1), len(e2), m1 == m2, n)],
                                  "stages int, epochs int, epochs_after_restart int, restart_is_idle boolean, samples long")
+
+
+# ---------------------------------------------------------------------------
+# trees from histograms
+# ---------------------------------------------------------------------------
+
+_VECTORS = """
+WITH e AS (SELECT vec_id, label, embedding, ('0x' || substr(sha256(CAST(vec_id AS VARCHAR) || ':42'), 1, 8))::BIGINT % 100 AS bucket FROM embeddings),
+s AS (SELECT *, (label >= 5)::INT AS y, CASE WHEN bucket < 20 THEN 'test' WHEN bucket < 40 THEN 'val' ELSE 'train' END AS split FROM e)"""
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings with their split and its role: 0 teaches, 1 stops."""
+    x = TR.split_60_20_20(table(spark, sf_dir, "embeddings"), "vec_id")
+    return x.withColumn("role", F.when(F.col("split") == "train", 0).when(F.col("split") == "val", 1))
+
+
+@register("first_split", operators=("M2", "M12"), sql=_VECTORS + """,
+x AS (SELECT vec_id, y, split, unnest(range(0, 64)) AS d, floor(unnest(embedding)::DOUBLE * 20) AS v FROM s WHERE split <> 'test'),
+p AS (SELECT avg(y) AS p, count(*) AS n, sum(y) AS ys FROM s WHERE split = 'train'),
+c AS (SELECT d, v, count_if(split = 'train') AS n, sum(CASE WHEN split = 'train' THEN y ELSE 0 END) AS ys FROM x GROUP BY d, v),
+cum AS (SELECT d, v, lead(v) OVER (PARTITION BY d ORDER BY v) AS above, sum(n) OVER (PARTITION BY d ORDER BY v) AS n, sum(ys) OVER (PARTITION BY d ORDER BY v) AS ys FROM c),
+g AS (SELECT d, v, (v + above) / 2 AS threshold, p.p * cum.n - cum.ys AS gl, p.p * (1 - p.p) * cum.n AS hl, p.p * (p.n - cum.n) - (p.ys - cum.ys) AS gr, p.p * (1 - p.p) * (p.n - cum.n) AS hr
+      FROM cum, p WHERE above IS NOT NULL AND cum.n >= 20 AND p.n - cum.n >= 20),
+b AS (SELECT *, gl * gl / hl + gr * gr / hr - (gl + gr) * (gl + gr) / (hl + hr) AS gain FROM g ORDER BY round(gain, 9) DESC, d, v LIMIT 1),
+m AS (SELECT x.y, ln(p.p / (1 - p.p)) AS before, ln(p.p / (1 - p.p)) + CASE WHEN x.v <= b.threshold THEN -b.gl / b.hl ELSE -b.gr / b.hr END AS after
+      FROM x JOIN b ON x.d = b.d, p WHERE x.split = 'val'),
+l AS (SELECT avg(ln(1 + exp(CASE WHEN y = 1 THEN -before ELSE before END))) AS before, avg(ln(1 + exp(CASE WHEN y = 1 THEN -after ELSE after END))) AS after FROM m)
+SELECT b.d::INTEGER AS dim, round(threshold, 6) AS threshold, round(gain, 6) AS gain, round(-gl / hl, 6) AS left_value, round(-gr / hr, 6) AS right_value,
+       round(ln(p.p / (1 - p.p)), 6) AS init_margin, round(l.before, 6) AS loss_before, round(l.after, 6) AS loss_after, true AS most_important
+FROM b, p, l
+""")
+def q_first_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One tree of one split: where, its gain, its Newton values, and the validation losses around it."""
+    whole = F.transform("embedding", lambda v: F.floor(v.cast("double") * 20).cast("double"))
+    x = _vectors(spark, sf_dir).select("vec_id", "role", whole.alias("x"), (F.col("label") >= 5).cast("double").alias("label"))
+    model, fit, trainer = T.train(x, "vec_id", "x", rounds=1, leaves=2, rate=1.0)
+    (_, t), = fit.trees
+    dim = int(t["feature"][0])
+    row = (dim, float(trainer.bins.borders[dim][t["bin"][0]]), float(t["gain"][0]), float(t["value"][1]), float(t["value"][2]), model.init_margin, *map(float, fit.losses),
+           fit.best_round() != 1 or int(trainer.importance(fit).argmax()) == dim)
+    names = ["threshold", "gain", "left_value", "right_value", "init_margin", "loss_before", "loss_after"]
+    out = spark.createDataFrame([row], "dim int, " + ", ".join(f"{n} double" for n in names) + ", most_important boolean")
+    return out.select("dim", *[F.round(n, 6).alias(n) for n in names], "most_important")
+
+
+@register("early_stop", operators=("M2", "M3", "M4", "S14"), sql=_VECTORS + """
+SELECT count_if(split = 'train')::BIGINT AS train_rows, count_if(split = 'val')::BIGINT AS val_rows, true AS stopped, true AS least_loss, true AS signal_found, true AS went_on FROM s
+""")
+def q_early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fit on a planted signal (two components' sum) with row and feature sampling ends by its validation loss, is saved, and goes on."""
+    x = _vectors(spark, sf_dir).select("vec_id", "split", "role", "embedding", (F.col("embedding")[4] + F.col("embedding")[10] > 0).cast("double").alias("label"))
+    kw = {"leaves": 8, "min_data": 10, "feature_fraction": 0.8, "bagging_fraction": 0.9, "bagging_freq": 3, "rate": 0.6}
+    model, fit, trainer = T.train(x, "vec_id", "embedding", rounds=40, stop_after=3, model_features="vec", **kw)
+    at = scratch_table_path(spark, f"trees-{uuid.uuid4().hex[:12]}")
+    model.save(spark, at)
+    more, _, again = T.train(x, "vec_id", "embedding", rounds=2, stop_after=3, model_features="vec", start=BoostedModel.load(spark, at), **kw)
+    imp = trainer.importance(fit)
+    scored = model.predict(TR.assemble(x.where("split = 'test'"), "embedding", "vec"))
+    right = scored.agg(F.avg((F.col("label") == (F.col("score") > 0.5).cast("double")).cast("double"))).first()[0]
+    n = {r.role: r["count"] for r in x.groupBy("role").count().collect()}
+    facts = (n.get(0, 0), n.get(1, 0), len(fit.trees) < 40 and len(fit.losses) - 1 - fit.best_round() == 3, fit.losses[fit.best_round()] == min(fit.losses),
+             bool(right > 0.75) and set(imp.argsort()[-2:].tolist()) == {4, 10}, more.stages[: len(model.stages)] == model.stages)
+    return spark.createDataFrame([facts], "train_rows long, val_rows long, stopped boolean, least_loss boolean, signal_found boolean, went_on boolean")
+
+
+@register("tuned_trees", operators=("M10", "M11"), sql="""
+SELECT t AS trial, true AS in_range, true AS best_holds, true AS signal_found FROM (SELECT 'baseline' AS t UNION ALL SELECT 'trial_' || i FROM range(50) r(i))
+""")
+def q_tuned_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fifty drawn sets of all eight parameters and the baseline, five folds each: 255 fits that share each pass over the vectors."""
+    x = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", (F.col("embedding")[4] + F.col("embedding")[10] > 0).cast("double").alias("label"))
+    out = T.tune(TR.fold_column(x, "vec_id", 5), "vec_id", "embedding", trials=50, rounds=2, baseline={"rate": 0.3})
+    top = out.where("trial <> 'baseline'").agg(F.max("f1").alias("top"), F.count_if("best").alias("n"))  # one row
+    inside = F.forall(F.array(*T.METRICS), lambda v: v.between(0, 1))
+    return out.crossJoin(F.broadcast(top)).select("trial", inside.alias("in_range"), ((F.col("n") == 1) & (~F.col("best") | (F.col("f1") == F.col("top")))).alias("best_holds"),
+                                                  ((F.col("trial") != "baseline") | (F.col("roc_auc") > 0.7)).alias("signal_found"))
+
+
+@register("gated_trees", operators=("M13", "W9", "P10", "M12"), sql="""
+SELECT k::INTEGER AS k, true AS in_range, true AS all_is_baseline FROM (VALUES (16), (32), (48), (64), (NULL)) v(k)
+""")
+def q_gated_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fits on the first k dimensions by importance and on all (k null), in shared passes; all 64 are the baseline."""
+    x = _vectors(spark, sf_dir).select("vec_id", "role", "embedding", (F.col("embedding")[4] + F.col("embedding")[10] > 0).cast("double").alias("label"))
+    _, fit, trainer = T.train(x, "vec_id", "embedding", rounds=3, rate=0.3)
+    order = (-trainer.importance(fit)).argsort(kind="stable").tolist()
+    out = materialize(T.gate_features(x, "vec_id", "embedding", order, TR.k_schedule(64, 16, 16), rounds=3, rate=0.3), "gated-trees")
+    base = out.where("k is null").select(F.col("accuracy").alias("base"))  # one row
+    return out.crossJoin(F.broadcast(base)).select("k", F.col("accuracy").between(0, 1).alias("in_range"), (F.coalesce(F.col("k") != 64, F.lit(True)) | (F.col("accuracy") == F.col("base"))).alias("all_is_baseline"))
+
+
+@register("train_all", operators=("C4", "C1", "M7", "M8", "M11", "M18", "S14", "S15"), sql="""
+SELECT stage, first_run, second_run, (SELECT count(*) FROM documents)::BIGINT AS scanned, true AS same_models, true AS scored_by_expert, true AS families_hold
+FROM (VALUES ('features', true, false), ('first', true, false), ('tuned', true, false), ('refit', false, true), ('experts', false, true), ('families', false, true)) v(stage, first_run, second_run)
+""")
+def q_train_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain is ended after its third stage, goes on from there, finds all of it made the third time; then its experts scan every document.
+
+    Malicious documents of a score beyond the threshold get the nearest family of those that the chain found.
+    """
+    rows = labelled_features(spark, sf_dir).select("doc_id", "row", "label", "split", route_from_vector("row", "native").alias("route"))
+    at = scratch_table_path(spark, f"train-all-{uuid.uuid4().hex[:12]}")
+    kw = {"trials": 2, "folds": 3, "rounds": 4, "k": 8, "pca": 10, "min_family_size": 2}
+
+    class Ended(Exception):
+        pass
+
+    def end(name: str) -> None:
+        if name == "tuned":
+            raise Ended
+    ran = []
+    try:
+        train_all(spark, rows, at, "labelled documents", stop=end, **kw)
+    except Ended:
+        ran.append({r.stage for r in spark.read.schema("stage string").json(f"{at}/manifest/*").collect()})
+    chain = train_all(spark, rows, at, "labelled documents", **kw)
+    ran.append(set(chain.ran))
+    third = train_all(spark, rows, at, "labelled documents", **kw)
+    model = trained(spark, chain)
+    same = not third.ran and trained(spark, third)["experts"] == model["experts"] and third.made == chain.made
+    files = documents_as_files(spark, sf_dir).select("path", "length", "content")
+    got = materialize(scan_corpus(files, model["experts"], model["family_model"], model["family_scaler"], require_pe=False, rule="native", native=True, threshold=0.5), "trained-scan")
+    own = model["experts"][0].predict(TR.assemble(featurise(files, "path", native=True).select("path", "features"), "features", "vec")).select(F.col("path").alias("file_path"), F.col("score").alias("own"))
+    scored = got.join(own, "file_path").where(F.abs(F.col("score") - F.col("own")) > 1e-9).limit(1).count() == 0
+    bad = got.where((F.col("is_malware") != (F.col("score") > 0.5)) | (F.col("is_malware") & F.col("virus_family").isNull()) | (~F.col("is_malware") & F.col("virus_family").isNotNull()))
+    n, known = got.count(), bad.limit(1).count() == 0
+    stages = ("features", "first", "tuned", "refit", "experts", "families")
+    return spark.createDataFrame([(s, s in ran[0], s in ran[1], n, same, scored, known) for s in stages],
+                                 "stage string, first_run boolean, second_run boolean, scanned long, same_models boolean, scored_by_expert boolean, families_hold boolean")
