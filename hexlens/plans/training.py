@@ -356,6 +356,42 @@ def q_gated_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.crossJoin(F.broadcast(base)).select("k", F.col("accuracy").between(0, 1).alias("in_range"), (F.coalesce(F.col("k") != 64, F.lit(True)) | (F.col("accuracy") == F.col("base"))).alias("all_is_baseline"))
 
 
+@register("fp_loops", operators=("M5", "M6", "J3", "A30", "U2"), sql=_VECTORS.replace("label >= 5", "embedding[5] + embedding[11] > 0") + """,
+t AS (SELECT count_if(split = 'train')::BIGINT AS n, count_if(split = 'train' AND y = 0)::BIGINT AS benign, count_if(split = 'val' AND y = 0)::BIGINT AS val_benign FROM s)
+SELECT 'reinforce' AS phase, val_benign AS first_false_positives, benign AS first_touched, true AS counts_hold, true AS ended_by_rule, true AS fewer FROM t
+UNION ALL SELECT 'mining', val_benign, n, true, true, true FROM t
+""")
+def q_fp_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Re-weighting (M5) and mining (M6) to their ends with histogram trees, from a model that takes every row for malicious.
+
+    Every iteration is held against the rules: false positives counted again from
+    the models, rows re-weighted or added, and why the loop ended.
+    """
+    x = TR.assemble(_vectors(spark, sf_dir), "embedding", "vec").select(
+        "vec_id", "vec", "split", (F.col("embedding")[4] + F.col("embedding")[10] > 0).cast("double").alias("label"))
+    train, val = (materialize(x.where(F.col("split") == s).drop("split"), "fp-rows") for s in ("train", "val"))
+    start, out = BoostedModel(0.0, (), "vec"), []
+    kw = {"threshold": 0.4, "max_iter": 4, "rounds": 2, "leaves": 8, "rate": 0.3}
+    for phase, loop in (("reinforce", fp_reinforcement), ("mining", fp_mining)):
+        models = [start]
+
+        def fit(rows, models=models, **args):
+            models.append(T.go_on(rows, key="vec_id", **args))
+            return models[-1]
+        n_train = train.count()
+        _, h = loop(train, val, "vec_id", start, fit=fit, **kw)
+        wrong = [m.predict(val).where("label = 0 and score > 0.4").count() for m in models[: len(h)]]
+        if phase == "reinforce":
+            touched = [m.predict(train).where("label = 0 and score > 0.4").count() for m in models[: len(h)]]
+            best = min(w for w in wrong[:-1]) if len(wrong) > 1 else None
+            ended = wrong[-1] == 0 or (best is not None and wrong[-1] >= best) or len(h) == kw["max_iter"]
+        else:
+            touched = [n_train + sum(wrong[:i]) for i in range(len(h))]
+            ended = wrong[-1] == 0 or len(h) == kw["max_iter"]
+        out.append((phase, h[0][1], h[0][2], [r[1] for r in h] == wrong and [r[2] for r in h] == touched, bool(ended), len(h) > 1 and min(wrong[1:]) < wrong[0]))
+    return spark.createDataFrame(out, "phase string, first_false_positives long, first_touched long, counts_hold boolean, ended_by_rule boolean, fewer boolean")
+
+
 @register("train_all", operators=("C4", "C1", "M7", "M8", "M11", "M18", "S14", "S15"), sql="""
 SELECT stage, first_run, second_run, (SELECT count(*) FROM documents)::BIGINT AS scanned, true AS same_models, true AS scored_by_expert, true AS families_hold
 FROM (VALUES ('features', true, false), ('first', true, false), ('tuned', true, false), ('refit', false, true), ('experts', false, true), ('families', false, true)) v(stage, first_run, second_run)
