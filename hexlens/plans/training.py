@@ -392,6 +392,40 @@ def q_fp_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(out, "phase string, first_false_positives long, first_touched long, counts_hold boolean, ended_by_rule boolean, fewer boolean")
 
 
+@register("projection", operators=("M14", "F15"), sql="""
+WITH e AS (SELECT vec_id, unnest(range(0, 64)) AS d, unnest(embedding)::DOUBLE AS x FROM embeddings),
+m AS (SELECT d, avg(x) AS mu, stddev_pop(x) AS sd FROM e GROUP BY d)
+SELECT vec_id, round(sum(((x - mu) / sd) ** 2), 6) AS square, 2 AS plane_width, 64.0::DOUBLE AS whole_variance, true AS ordered FROM e JOIN m USING (d) GROUP BY vec_id
+""")
+def q_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All components of the vectors: a rotation keeps every row's length, the variances add up to the number of columns; with the first two as a plane."""
+    from hexlens.operators.reduction import principal_components
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    c = principal_components(e, "embedding", 64)
+    out = c.project(e, "embedding", "z", plane="plane")
+    square = F.aggregate("z", F.lit(0.0), lambda a, v: a + v * v)
+    return out.select("vec_id", F.round(square, 6).alias("square"), F.size("plane").alias("plane_width"), F.lit(round(float(c.variance.sum()), 6)).alias("whole_variance"),
+                      F.lit(bool((c.variance[:-1] >= c.variance[1:] - 1e-12).all())).alias("ordered"))
+
+
+@register("mini_batch_kmeans", operators=("M15",), sql="""
+SELECT vec_id, true AS nearest, true AS closer_than_seeds, true AS every_batch_counted FROM embeddings
+""")
+def q_mini_batch_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forty centres moved by a hundred batches; every row's centre is held against all centres."""
+    from hexlens.operators.reduction import MiniBatches, batches_of, mini_batch_kmeans
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    n, batch = e.count(), 256
+    m = mini_batch_kmeans(e, "vec_id", "embedding", k=40, batch=batch)
+    out = m.assign(e, "embedding", "cluster", "distance")
+    mean = lambda df: df.agg(F.avg("distance")).first()[0]
+    closer = mean(out) < mean(MiniBatches(m.seeds, m.seeds, m.counts).assign(e, "embedding", "cluster", "distance"))
+    counted = batches_of(e, "vec_id", "embedding", n, batch, 100, C.DEFAULT_RANDOM_STATE).count() == int(m.counts.sum())
+    to = lambda c: F.aggregate(F.zip_with(F.col("embedding").cast("array<double>"), F.array(*map(F.lit, c)), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+    least = F.least(*[to(c.tolist()) for c in m.centres])
+    return out.select("vec_id", (F.abs(F.col("distance") - least) < 1e-9).alias("nearest"), F.lit(bool(closer)).alias("closer_than_seeds"), F.lit(counted).alias("every_batch_counted"))
+
+
 @register("train_all", operators=("C4", "C1", "M7", "M8", "M11", "M18", "S14", "S15"), sql="""
 SELECT stage, first_run, second_run, (SELECT count(*) FROM documents)::BIGINT AS scanned, true AS same_models, true AS scored_by_expert, true AS families_hold
 FROM (VALUES ('features', true, false), ('first', true, false), ('tuned', true, false), ('refit', false, true), ('experts', false, true), ('families', false, true)) v(stage, first_run, second_run)
