@@ -93,12 +93,16 @@ def materialize(df, name: str):
 
 _MATERIALIZED: dict[str, list[str]] = {}
 _ONCE: dict[tuple, object] = {}
+#: Keys that ``materialize_once`` found written already, in the order asked for.
+REUSED: list[tuple] = []
 
 
 def materialize_once(spark: SparkSession, key: tuple, build, name: str):
     """``materialize(build())``, written the first time that this application asks for ``key``."""
     k = (spark.sparkContext.applicationId, *key)
-    if k not in _ONCE:
+    if k in _ONCE:
+        REUSED.append(k)
+    else:
         _ONCE[k] = materialize(build(), name)
     return _ONCE[k]
 
