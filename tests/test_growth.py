@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from hexlens.operators import trees
 from hexlens.operators.featurise import hash_slots, hash_vector_raw
-from hexlens.plans import pe_corpus
+from hexlens.plans import pe_corpus, scan
+from hexlens.streaming.scan_stream import run_scan_stream
 
 
 def test_the_corpus_is_made_by_tasks_of_bounded_size(spark, tmp_path, monkeypatch):
@@ -27,3 +30,37 @@ def test_hashes_are_made_once_a_row(spark):
         hash_vector_raw(F.col("_x")).alias("v"))._jdf.queryExecution().optimizedPlan().toString()
     for r in v.collect():
         assert [k for k, x in enumerate(r.v) if x] == sorted(r.slots)
+
+
+def test_cards_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(scan, "CARDS", 4)
+    spark.range(80).select(F.col("id").alias("s_suppkey"), F.lit("x").alias("s_name"), F.lit(1).alias("s_nationkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    root = scan.write_cards(spark, str(tmp_path), scan._CARD, "cards")
+    tasks = [p.split("/part-")[1][:5] for p in spark.read.option("recursiveFileLookup", "true").text(root).inputFiles()]
+    assert len(tasks) == 80 and len(set(tasks)) > 8
+
+
+def test_the_state_of_a_stream_has_no_more_parts_than_can_run_at_once(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("a")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "77")
+    try:
+        run_scan_stream(spark, str(tmp_path / "in"), str(tmp_path / "v"), str(tmp_path / "c"), {0: F.lit(0.5), 1: F.lit(0.5)}, require_pe=False)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "77"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    meta = next(p for p in (tmp_path / "c" / "offsets").iterdir() if p.name.isdigit()).read_text()
+    assert f'"spark.sql.shuffle.partitions":"{min(77, spark.sparkContext.defaultParallelism)}"' in meta
+
+
+def test_few_rows_of_a_node_are_sent_as_they_are():
+    rng, starts = np.random.default_rng(1), np.arange(0, 5 * 200 + 1, 200)
+    parts = [(rng.integers(0, 200, (n, 5)).astype(np.uint8), rng.random(n), rng.random(n)) for n in (3, 4, 2000)]
+    pieces = []
+    for p in parts:
+        held = trees.Held(starts)
+        held.add(*p)
+        pieces.append(held.packed())
+    assert [n for n, _ in pieces] == [3, 4, 0] and len(pieces[0][1]) < 100 < len(pieces[2][1])
+    assert np.allclose(trees.Held.met(pieces, starts), trees.sums_of(*(np.concatenate(x) for x in zip(*parts)), starts))
