@@ -8,8 +8,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from hexlens.operators import trees
+from hexlens.operators.boosting import BoostedModel
 from hexlens.operators.featurise import hash_slots, hash_vector_raw
-from hexlens.plans import pe_corpus, scan
+from hexlens.plans import pe_corpus, scan, training
 from hexlens.streaming.scan_stream import run_scan_stream
 
 
@@ -64,3 +65,13 @@ def test_few_rows_of_a_node_are_sent_as_they_are():
         pieces.append(held.packed())
     assert [n for n, _ in pieces] == [3, 4, 0] and len(pieces[0][1]) < 100 < len(pieces[2][1])
     assert np.allclose(trees.Held.met(pieces, starts), trees.sums_of(*(np.concatenate(x) for x in zip(*parts)), starts))
+
+
+def test_an_expert_scores_written_features(spark, monkeypatch):
+    parser = F.udf(lambda c: [float(len(c))], "array<float>")
+    monkeypatch.setattr(training, "featurise", lambda f, key, native: f.select(key, parser("content").alias("features")))
+    files = spark.createDataFrame([("a", b"x"), ("b", b"xyz")], "path string, content binary")
+    model = BoostedModel(0.0, ((1.0, {"feature": [0, -1, -1], "threshold": [2.0, 0.0, 0.0], "left": [1, -1, -1], "right": [2, -1, -1], "value": [0.0, -50.0, 50.0]}),), "vec")
+    own = training.expert_scores(files, model)
+    assert "content" not in own._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.file_path: round(r.own) for r in own.collect()} == {"a": 0, "b": 1}
