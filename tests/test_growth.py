@@ -5,10 +5,12 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import functions as F
 
 from hexlens.operators import trees
-from hexlens.operators.boosting import BoostedModel
+from hexlens.operators.boosting import BoostedModel, boost
 from hexlens.operators.featurise import hash_slots, hash_vector_raw
 from hexlens.plans import pe_corpus, scan, training
 from hexlens.streaming.scan_stream import run_scan_stream
@@ -75,3 +77,25 @@ def test_an_expert_scores_written_features(spark, monkeypatch):
     own = training.expert_scores(files, model)
     assert "content" not in own._jdf.queryExecution().optimizedPlan().toString()
     assert {r.file_path: round(r.own) for r in own.collect()} == {"a": 0, "b": 1}
+
+
+def test_a_boosted_model_bins_its_rows_once_and_grows_spark_trees(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x, w = rng.integers(0, 9, (400, 4)).astype(float), rng.integers(1, 4, 400).astype(float)
+    y = (x[:, 0] + x[:, 1] * 0.7 + rng.random(400) * 3 > 8).astype(float)
+    df = spark.createDataFrame([(x[i].tolist(), float(y[i]), float(w[i])) for i in range(400)], "x array<double>, label double, w double").withColumn("vec", array_to_vector("x"))
+    made, was = [], trees.fit_bins
+    monkeypatch.setattr(trees, "fit_bins", lambda *a: made.append(1) or was(*a))
+    model = boost(df, weight="w", rounds=3, step=1.0, depth=3)
+    assert len(made) == 1 and len(model.stages) == 3
+    g = df.withColumn("g", F.col("label") - 1 / (1 + F.exp(-F.lit(model.init_margin))))
+    tree = DecisionTreeRegressor(featuresCol="vec", labelCol="g", weightCol="w", maxDepth=3).fit(g)
+    want = [r.prediction for r in tree.transform(g).collect()]
+    got = [r.margin - model.init_margin for r in BoostedModel(model.init_margin, model.stages[:1], "vec").margin(df).collect()]
+    assert np.allclose(want, got)
+
+
+def test_a_boosted_model_of_one_class_has_a_stage_a_round(spark):
+    df = spark.createDataFrame([([1.0, 2.0], 1.0)] * 30, "x array<double>, label double").withColumn("vec", array_to_vector("x"))
+    model = boost(df, rounds=2, depth=2)
+    assert [t["feature"] for _, t in model.stages] == [[-1], [-1]] and model.stages[0][1]["value"][0] > 0
