@@ -99,3 +99,11 @@ def test_a_boosted_model_of_one_class_has_a_stage_a_round(spark):
     df = spark.createDataFrame([([1.0, 2.0], 1.0)] * 30, "x array<double>, label double").withColumn("vec", array_to_vector("x"))
     model = boost(df, rounds=2, depth=2)
     assert [t["feature"] for _, t in model.stages] == [[-1], [-1]] and model.stages[0][1]["value"][0] > 0
+
+
+def test_samples_are_as_many_files_for_each_part(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(training, "SAMPLES", 20)
+    df = spark.range(0, 1000, 1, 4).select(F.lit("clean_1").alias("filename"), (F.col("id") % 4).alias("part"))
+    assert training.write_samples(df, f"{tmp_path}/s") == 12
+    files = spark.read.parquet(f"{tmp_path}/s").inputFiles()
+    assert len(files) == 48 and spark.read.parquet(f"{tmp_path}/s").count() == 1000
