@@ -9,10 +9,14 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import functions as F
 
+from hexlens import config as C
+from hexlens.functions.pe import with_pe_headers
 from hexlens.operators import trees
 from hexlens.operators.boosting import BoostedModel, boost
-from hexlens.operators.featurise import hash_slots, hash_vector_raw
+from hexlens.operators.featurise import hash_slots, hash_vector_raw, hash_vector_scaled
+from hexlens.operators.pe_features import add_import_features
 from hexlens.plans import pe_corpus, scan, training
+from hexlens.sources.files import le_uint
 from hexlens.streaming.scan_stream import run_scan_stream
 
 
@@ -107,3 +111,41 @@ def test_samples_are_as_many_files_for_each_part(spark, tmp_path, monkeypatch):
     assert training.write_samples(df, f"{tmp_path}/s") == 12
     files = spark.read.parquet(f"{tmp_path}/s").inputFiles()
     assert len(files) == 48 and spark.read.parquet(f"{tmp_path}/s").count() == 1000
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_an_integer_of_the_file_is_not_cut_byte_by_byte(spark):
+    rows = [bytes(range(200, 212)), b"\xff" * 9, b"\x00\x01\x02\x80", b""]
+    df = spark.createDataFrame([(k, r) for k, r in enumerate(rows)], "k int, c binary")
+    got = df.select("k", *[le_uint("c", at, width).alias(f"v{at}_{width}") for at in (0, 3, 1 << 33) for width in (1, 2, 4, 7)])
+    assert _plan(df.select(le_uint("c", 3, 4).alias("v"))).count("hex(") <= 2  # a common part; it was cut out of five
+    for r in got.collect():
+        for at in (0, 3, 1 << 33):
+            for width in (1, 2, 4, 7):
+                own = rows[r.k][at:at + width]
+                assert r[f"v{at}_{width}"] == (int.from_bytes(own, "little") if len(own) == width else None)
+
+
+def test_directories_are_compiled(spark):
+    df = with_pe_headers(spark.createDataFrame([(b"MZ",)], "content binary"))
+    dirs = next(line for line in _plan(df).split("\n") if "AS _dirs#" in line)
+    own = dirs[:dirs.index("AS _dirs#")].rsplit(" AS ", 1)[0]
+    assert "rva" in own and "lambda" not in own  # a lambda is interpreted
+
+
+def test_texts_of_imports_are_made_once(spark):
+    df = spark.createDataFrame([([(0, "ws2_32.dll", "Connect", None), (0, "ws2_32.dll", None, 7)],), ([],)],
+                               "i array<struct<entry_pos: int, dll: string, api: string, ordinal: bigint>>")
+    out = add_import_features(df, "i")
+    assert _plan(out).count("concat_ws(") == 1
+    assert [r.api_network_ratio for r in out.collect()] == [1 / 3, None] and "connect" in C.keyword_lists(False)["api"]["network"]
+
+
+def test_scaled_hash_slots_equal_the_normalised_ones(spark):
+    df = spark.createDataFrame([([3, 7, 255],), ([],), ([0],)], "s array<int>")
+    for r in df.select("s", hash_vector_scaled(F.col("s")).alias("v"), hash_vector_raw(F.col("s")).alias("raw")).collect():
+        norm = sum(x * x for x in r.raw) ** 0.5
+        assert r.v == [x / norm * C.HASH_SLOT_SCALE if norm else 0.0 for x in r.raw]
