@@ -12,7 +12,9 @@ suffixes.  So the probabilities are worked out once for each distinct window,
 order by order: a suffix or a context has at most 256 rows of the next order,
 however often it occurs.  URLs are then joined to their windows' log ratios;
 the few most frequent windows, which every URL may hold, are looked up in the
-task instead.
+task instead.  These joins are always by shuffles: a window or a row's number takes
+a few bytes of a file or a shuffle, but tens of them in a table that is sent out,
+so a bound by bytes written would let the driver hold tables that grow with the input.
 """
 
 from __future__ import annotations
@@ -164,7 +166,7 @@ def log_ratios(counts: DataFrame) -> DataFrame:
                                                     lambda c: F.count_if(F.col(c) > 0).over(context).alias(f"kinds_{c}"))]
         smoothed = [((F.col(c) + (F.col(f"kinds_{c}") + 0.01) * F.col(f"p_{c}")) / (F.col(f"all_{c}") + F.col(f"kinds_{c}") + 0.01)).alias(f"p_{c}") for c in KINDS]
         p = (own.select("gram", "n", suffix("gram", k - 1).alias("shorter"), *cols)
-             .join(p, "shorter").select(F.col("gram").alias("shorter"), "n", *smoothed))
+             .join(p if k == 2 else p.hint("merge"), "shorter").select(F.col("gram").alias("shorter"), "n", *smoothed))
         if k < ORDER:
             p = p.drop("n")
     return p.select(F.col("shorter").alias("gram"), "n", F.round((F.log("p_allow") - F.log("p_block")) * UNIT).cast("long").alias("ratio"))
@@ -204,11 +206,11 @@ def add_score(urls: DataFrame, ratios: DataFrame) -> DataFrame:
                 np.add.at(out, i + row[hit], value[at[hit]])
             yield b.append_column("near", pa.array(out)).append_column("size", pa.array(np.diff(off)))
 
-    far = (urls.select("row", "url").mapInArrow(rest, "row long, gram long, times long").join(ratios.select("gram", "ratio"), "gram")
+    far = (urls.select("row", "url").mapInArrow(rest, "row long, gram long, times long").join(ratios.select("gram", "ratio").hint("merge"), "gram")
            .groupBy("row").agg(F.sum(F.col("times") * F.col("ratio")).alias("far")))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in urls.schema) + ", near long, size long"
     units = F.col("near") + F.coalesce("far", F.lit(0))
-    return (urls.mapInArrow(frequent, schema).join(far, "row", "left")
+    return (urls.mapInArrow(frequent, schema).join(far.hint("merge"), "row", "left")
             .select(*urls.columns, (units / float(UNIT) / F.greatest("size", F.lit(1))).alias("llr")))
 
 

@@ -3,6 +3,7 @@ from urllib.parse import urlsplit
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from hexlens.llm import decontam, neighbours, urls
 
@@ -297,3 +298,22 @@ def test_leaks_of_odd_tables(spark, docs_of, prose):
 @pytest.mark.parametrize("text,parts", [("What is it? A thing.", ("What is it? ", "A thing.")), ("one two three four", ("one two three", "four")), ("", ("", ""))])
 def test_questions_and_answers(text, parts):
     assert decontam.split_item(text) == parts
+
+
+def test_url_tables_that_grow_are_not_sent_out(spark):
+    """Whatever a table's size on disk, only the 65,536 grams of order 1 at most are broadcast."""
+    names = [f"http://h{k % 7}.example.{'com' if k % 2 else 'net'}/{'en' if k % 3 else 'es'}/{k * k}" for k in range(300)]
+    pages = spark.createDataFrame(list(enumerate(names)), "row long, url string").withColumn("kind", F.expr("case when row % 2 = 0 then 'allow' else 'block' end"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        counts = urls.count_windows(pages).localCheckpoint()
+        ratios = urls.log_ratios(counts)
+        scored = urls.add_score(pages.select("row", "url"), ratios.localCheckpoint())
+        for df, sent in ((ratios, 1), (scored, 0)):
+            assert df.count() > 0
+            df.collect()  # the plan is final then
+            plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+            assert plan.count("BroadcastExchange") == sent
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
