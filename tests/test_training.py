@@ -61,3 +61,34 @@ def test_calinski_harabasz_matches_numpy(spark):
 def test_k_schedule():
     assert TR.k_schedule(120, 50, 50) == [50, 100, 120]
     assert TR.k_schedule(30, 50, 50) == [30]
+
+
+def test_tuning_equals_sparks_own_trees(spark):
+    """Without draws the fits are those of GBTClassifier: the same scores of held-out rows."""
+    from pyspark.ml.classification import GBTClassifier
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 9, (400, 4)).astype(float)
+    y = ((x[:, 0] > 3) ^ (x[:, 1] > 5) ^ (rng.random(400) < 0.1)).astype(float)
+    df = spark.createDataFrame([(i, x[i].tolist(), float(y[i])) for i in range(400)], "id long, f array<double>, label double").withColumn("vec", array_to_vector("f"))
+    got = {r.metric: r.score for r in TR.tune(df, "id", trials=0, folds=2).collect()}
+    data = TR.fold_column(df, "id", 2)
+    want = dict.fromkeys(TR.TUNE_METRICS, 0.0)
+    for k in range(2):
+        pred = GBTClassifier(maxIter=20, maxDepth=4, seed=42, featuresCol="vec").fit(data.where(f"fold <> {k}")).transform(data.where(f"fold = {k}")).localCheckpoint()
+        for m in want:
+            want[m] += TR.evaluator(m).evaluate(pred) / 2
+    assert got.keys() == want.keys()
+    assert all(got[m] == pytest.approx(want[m], abs=0.02) for m in want)
+
+
+def test_cv_tune_is_all_trials_folds_and_features(spark, monkeypatch):
+    from hexlens.plans import training as P
+    seen = {}
+
+    def tune(df, key, trials=50, folds=5, features="vec", **kw):
+        seen.update(trials=trials, folds=folds, width=len(df.select(features).first()[0]))
+        raise StopIteration
+    monkeypatch.setattr(P.TR, "tune", tune)
+    with pytest.raises(StopIteration):
+        P.q_cv_tune(spark, "/root/testdata/sf0.001")
+    assert seen == {"trials": 50, "folds": 5, "width": 1549}
