@@ -135,3 +135,38 @@ def test_the_first_path_of_a_content_is_its_smallest(spark, tmp_path):
     (path, _), = run(spark, root, at, n=10).values()
     assert path.endswith("/0.bin")
     assert np.isscalar(len(path))
+
+
+def test_batches_list_their_own_files_and_commit_only_changes(spark, tmp_path):
+    """40 files a trigger, above Spark's bound of 32 for a listing job: the batches start none, and the state's parts write change logs."""
+    root, at = tmp_path / "in", str(tmp_path / "out")
+    root.mkdir()
+    for k in range(90):
+        (root / f"a{k:02}.bin").write_bytes(b"x" * (1 + k % 3))
+    names = (ST.LISTED, ST.COMPACTED, ST.STORE, ST.PARTITIONS, ST.CHANGES)
+    before, seen = {k: spark.conf.get(k, None) for k in names}, []
+
+    def scan(files, *args, **kw):
+        seen.append(files)
+        assert int(spark.conf.get(ST.LISTED)) >= 40
+        return files.select("path").withColumns({"sha256": F.lit("s"), "file_path": F.col("path")})
+    was, ST.scan_corpus = ST.scan_corpus, scan
+    try:
+        ST.run_scan_stream(spark, str(root), f"{at}/v", f"{at}/c", {}, max_files_per_trigger=40)
+    finally:
+        ST.scan_corpus = was
+    assert seen and {k: spark.conf.get(k, None) for k in names} == before
+    logs = list((tmp_path / "out" / "c" / "state").rglob("*.changelog"))
+    assert logs and not [p for p in (tmp_path / "out" / "c" / "sources").rglob("*.compact")]
+
+
+def test_cards_are_written_without_files_of_checksums(spark, tmp_path):
+    import os
+
+    from hexlens.plans import scan as S
+    spark.range(20).selectExpr("id as s_suppkey", "cast(id % 3 as int) as s_nationkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    root = S.write_cards(spark, str(tmp_path), S._SHARED, "cards-test").removeprefix("file:")
+    names = [n for _, _, files in os.walk(root) for n in files]
+    assert len([n for n in names if n.endswith(".txt")]) == 20 and not [n for n in names if n.endswith(".txt.crc")]
+    got = spark.read.text(root)
+    assert {(r.s_suppkey, r.value) for r in got.collect()} == {(k, f"nation {k % 3}") for k in range(20)}
