@@ -92,3 +92,29 @@ def test_cv_tune_is_all_trials_folds_and_features(spark, monkeypatch):
     with pytest.raises(StopIteration):
         P.q_cv_tune(spark, "/root/testdata/sf0.001")
     assert seen == {"trials": 50, "folds": 5, "width": 1549}
+
+
+def test_a_chain_leaves_no_binned_tables(spark, tmp_path):
+    """Every model of the chain drops the table that it was fitted on, also with features that have one value."""
+    import os
+
+    from hexlens.operators.chain import train_all
+    from hexlens.session import ensure_checkpoint_dir
+    rng = np.random.default_rng(6)
+    x = np.zeros((240, 30))
+    x[:, 3], x[:, 9] = rng.normal(size=240), rng.normal(size=240)
+    rows = [(i, x[i].tolist(), float(x[i, 3] > 0), i % 2, ("train", "val", "test")[i % 3]) for i in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, row array<double>, label double, route int, split string")
+    tables = f"{ensure_checkpoint_dir(spark)}/tables".removeprefix("file:")
+    before = set(os.listdir(tables)) if os.path.isdir(tables) else set()
+
+    class Ended(Exception):
+        pass
+
+    def end(name):
+        if name == "experts":
+            raise Ended
+    with pytest.raises(Ended):
+        train_all(spark, df, str(tmp_path / "chain"), "rows", trials=2, folds=2, rounds=2, stop=end)
+    left = set(os.listdir(tables)) - before if os.path.isdir(tables) else set()
+    assert not [t for t in left if t.startswith("tree-blocks")]
